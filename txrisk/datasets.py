@@ -79,15 +79,17 @@ scored AS (
 )
 
 
+_LINE_KEY = ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
+
+
 def ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Order lines as a second, larger transaction table: the customer is the account."""
-    lines = table(spark, sf_dir, "lineitem").select(
-        "l_orderkey", "l_linenumber", "l_extendedprice", "l_discount", "l_tax", "l_quantity", "l_returnflag"
-    )
+    lines = table(spark, sf_dir, "lineitem").select(*_LINE_KEY, "l_extendedprice", "l_discount", "l_tax", "l_quantity", "l_returnflag")
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
     joined = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
     return joined.select(
-        (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("transaction_id"),
+        # (order, line number) repeats in this data; with part, supplier and price it does not.
+        F.concat_ws("-", *_LINE_KEY, F.round(F.col("l_extendedprice") * 100).cast("bigint")).alias("transaction_id"),
         F.col("o_orderdate").cast("timestamp").alias("timestamp"),
         F.col("o_custkey").alias("sender_account"),
         F.col("l_extendedprice").alias("amount"),
@@ -100,7 +102,7 @@ def ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 LEDGER_SQL = """
 ledger AS (
-  SELECT l_orderkey * 10 + l_linenumber AS transaction_id, o_orderdate AS timestamp,
+  SELECT concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey, CAST(round(l_extendedprice * 100) AS BIGINT)) AS transaction_id, o_orderdate AS timestamp,
          o_custkey AS sender_account, l_extendedprice AS amount, l_quantity AS quantity,
          l_discount AS discount, l_tax AS tax, l_returnflag = 'R' AS is_fraud
   FROM lineitem JOIN orders ON l_orderkey = o_orderkey)"""

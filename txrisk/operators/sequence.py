@@ -7,13 +7,13 @@ makes ties reproducible.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from txrisk.functions.scalar import micros, ratio, whole_seconds
-from txrisk.operators.ordering import row_frames
+from txrisk.operators.ordering import group_rank, row_frames
 
 REACH = 5
 
@@ -90,11 +90,8 @@ def history_features(
     row_id: str = "transaction_id",
 ) -> DataFrame:
     """The simulator's history: whole-history span and pace, with its own no-history defaults."""
-
     # The number of earlier rows is a prefix count; in a split group it needs the totals of
     # the earlier chunks, so it comes from the ranking primitive, not from a row frame.
-    from txrisk.operators.ordering import group_rank
-
     ordered = df.withColumn("_us", micros(F.col(time)))
     ranked = group_rank(ordered, [account], ["_us", row_id], "_rank")
 
@@ -107,7 +104,7 @@ def history_features(
         return {
             "hours_since_prev": F.coalesce((F.col("_us") - F.lag("_us", 1).over(w)) / 3.6e9, F.lit(24.0)),
             "hist_delta": F.coalesce(value - previous, F.lit(0.0)),
-            "hist_ratio": F.coalesce(value / F.greatest(F.lit(1.0), previous), F.lit(1.0)),
+            "hist_ratio": F.when(previous.isNotNull(), value / F.greatest(F.lit(1.0), previous)).otherwise(1.0),
             "hist_avg_last5": F.coalesce(mean, value),
             "hist_max_last5": F.coalesce(F.max(value).over(recent), value),
             "hist_count_last5": F.count(value).over(recent),
@@ -123,6 +120,3 @@ def history_features(
 def sort_entity_time(df: DataFrame, entity: str, time: str, row_id: str) -> DataFrame:
     """Global order by entity and time: a range-partitioned sort."""
     return df.orderBy(entity, time, row_id)
-
-
-HistoryBuilder = Callable[[WindowSpec], dict[str, Column]]

@@ -95,7 +95,7 @@ _MEASURES = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 @query(
     "correlation_matrix",
     " UNION ALL ".join(
-        f"SELECT '{a}' AS a, '{b}' AS b, {'1.0::DOUBLE' if a == b else R(f'corr({a}, {b})')} AS corr FROM lineitem"
+        f"SELECT '{a}' AS a, '{b}' AS b, {R(f'corr({a}, {b})')} AS corr FROM lineitem"
         for a in _MEASURES
         for b in _MEASURES
     ),
@@ -259,7 +259,7 @@ def _(spark, d):
 # Distances between every minority row and every row, written out once for all oracles below.
 _PAIRS = """
 p AS (SELECT a.id AS query_id, b.id AS neighbor_id, (b.label = 0)::INTEGER AS big, b.label AS nlabel,
-        sqrt(list_sum(list_transform(list_zip(a.features, b.features), z -> (z[1] - z[2]) * (z[1] - z[2])))) AS distance
+        sqrt(list_sum(list_transform(list_zip(a.features, b.features), lambda z: (z[1] - z[2]) * (z[1] - z[2])))) AS distance
       FROM vectors a JOIN vectors b ON a.id <> b.id WHERE a.label = 1),
 near AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, neighbor_id) AS rank FROM p),
 own AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, neighbor_id) AS rank FROM p WHERE nlabel = 1)"""
@@ -284,7 +284,7 @@ def _made_sql(copies: str) -> str:
     e AS (SELECT id AS seed_id, unnest(range(1, copies + 1))::INTEGER AS copy FROM copies WHERE copies > 0),
     g AS (SELECT seed_id, copy, {gap} AS gap, 1 + floor({pick} * k)::BIGINT AS pick FROM e JOIN k ON seed_id = query_id)
     SELECT seed_id, copy, o.neighbor_id, {R('gap')} AS gap,
-      {R('list_sum(list_transform(list_zip(a.features, b.features), z -> z[1] + gap * (z[2] - z[1])))', 4)} AS total
+      {R('list_sum(list_transform(list_zip(a.features, b.features), lambda z: z[1] + gap * (z[2] - z[1])))', 4)} AS total
     FROM g JOIN own o ON o.query_id = seed_id AND o.rank = pick JOIN vectors a ON a.id = seed_id JOIN vectors b ON b.id = o.neighbor_id"""
 
 

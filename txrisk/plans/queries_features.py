@@ -305,7 +305,7 @@ def _(spark, d):
       FROM orders JOIN customer ON o_custkey = c_custkey)
     SELECT o_orderkey, hour(timestamp) AS hour, amount,
       """
-    + R("list_aggregate(list_filter([old_b, new_b, dest_b], x -> x IS NOT NULL), 'median')")
+    + R("list_aggregate(list_filter([old_b, new_b, dest_b], lambda x: x IS NOT NULL), 'median')")
     + f""" AS balance_mid, {R('amount - old_b')} AS amount_delta,
       {R('amount / CASE WHEN old_b = 0 THEN 1.0 ELSE old_b END')} AS amount_ratio,
       0.0::DOUBLE AS time_since_x, amount AS avg_amount, 0.0::DOUBLE AS other FROM b""",
@@ -466,8 +466,9 @@ def _(spark, d):
     "amount_features",
     _tx(
         f""", c AS (SELECT transaction_id, greatest(amount - 10, 0.0::DOUBLE) AS a FROM tx),
-        e AS (SELECT list_distinct(list_filter(quantile_cont(a, [0.1,0.2,0.3,0.4,0.5,0.6,0.7,0.8,0.9]), x -> x > (SELECT min(a) FROM c))) AS edges FROM c)
-        SELECT transaction_id, {R('ln(1 + a)')} AS v_log, len(list_filter(edges, x -> x < a))::INTEGER AS v_bin FROM c, e"""
+        q AS (SELECT min(a) AS low, quantile_cont(a, [0.1,0.2,0.3,0.4,0.5,0.6,0.7,0.8,0.9]) AS qs FROM c),
+        e AS (SELECT list_distinct(list_filter(qs, lambda x: x > low)) AS edges FROM q)
+        SELECT transaction_id, {R('ln(1 + a)')} AS v_log, len(list_filter(edges, lambda x: x < a))::INTEGER AS v_bin FROM c, e"""
     ),
 )
 def _(spark, d):

@@ -113,7 +113,7 @@ def _(spark, d):
     "anomaly_score",
     f"""WITH {VECTORS_SQL}, m AS (SELECT i, avg(x) AS m FROM (SELECT unnest(features) AS x, unnest(range(1, 65)) AS i FROM vectors) GROUP BY i),
     mm AS (SELECT list(m ORDER BY i) AS m FROM m)
-    SELECT id, {R('list_sum(list_transform(list_zip(features, m), z -> (z[1] - z[2]) * (z[1] - z[2]))) / len(features)')} AS anomaly_score FROM vectors, mm""",
+    SELECT id, {R('list_sum(list_transform(list_zip(features, m), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) / len(features)')} AS anomaly_score FROM vectors, mm""",
 )
 def _(spark, d):
     # The rebuilt vector here is the column mean: the zero-component reconstruction.
@@ -473,7 +473,7 @@ _KS = f""", l AS ({_LONG}), g AS (SELECT feature, value, count(*) FILTER (NOT ne
   d AS (SELECT feature, max(abs(ca::DOUBLE / na - cb::DOUBLE / nb)) AS ks, max(na)::DOUBLE AS n1, max(nb)::DOUBLE AS n2 FROM f GROUP BY 1),
   lam AS (SELECT feature, ks, ks * sqrt(n1 * n2 / (n1 + n2)) AS lam FROM d),
   kp AS (SELECT feature, ks, CASE WHEN lam < 0.2 THEN 1.0::DOUBLE ELSE least(greatest(list_sum(list_transform(range(1, 101),
-    j -> (CASE WHEN j % 2 = 1 THEN 2.0::DOUBLE ELSE -2.0::DOUBLE END) * exp(-2.0::DOUBLE * j * j * lam * lam))), 0), 1) END AS p FROM lam)"""
+    lambda j: (CASE WHEN j % 2 = 1 THEN 2.0::DOUBLE ELSE -2.0::DOUBLE END) * exp(-2.0::DOUBLE * j * j * lam * lam))), 0), 1) END AS p FROM lam)"""
 
 
 def _drift(spark: SparkSession, d: str) -> DataFrame:

@@ -42,13 +42,19 @@ def rounded(df: DataFrame, *columns: str, digits: int = 6) -> DataFrame:
     return df.withColumns({c: r(F.col(c), digits) for c in columns})
 
 
+# Two engines add doubles in different orders, so a value half-way between two roundings may
+# go either way. Both sides are moved off the half-way points by the same small amount first.
+def _nudge(digits: int) -> float:
+    return 1.234 * 10.0 ** -(digits + 1)
+
+
 def r(c: Column, digits: int = 6) -> Column:
-    return F.round(c.cast("double"), digits) + F.lit(0.0)
+    return F.round(c.cast("double") + F.lit(_nudge(digits)), digits) + F.lit(0.0)
 
 
 def R(sql: str, digits: int = 6) -> str:
     """The SQL side of ``r``; adding zero turns -0.0 into 0.0."""
-    return f"round(CAST({sql} AS DOUBLE), {digits}) + 0.0"
+    return f"round(CAST({sql} AS DOUBLE) + {_nudge(digits)!r}::DOUBLE, {digits}) + 0.0"
 
 
 def rand_sql(row_id: str, salt: str | int) -> str:
