@@ -60,9 +60,9 @@ def risk_by_category(features: DataFrame) -> DataFrame:
     return features.groupBy("merchant_category", "spending_risk").agg(
         F.count(F.lit(1)).alias("transactions"),
         F.sum("fraud_label").alias("frauds"),
-        F.round(F.avg("amount"), 6).alias("avg_amount"),
-        F.round(F.avg("amount_deviation_from_avg"), 6).alias("avg_deviation"),
-        F.round(F.avg("tx_velocity"), 6).alias("avg_velocity"),
+        F.avg("amount").alias("avg_amount"),
+        F.avg("amount_deviation_from_avg").alias("avg_deviation"),
+        F.avg("tx_velocity").alias("avg_velocity"),
     )
 
 

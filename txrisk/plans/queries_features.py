@@ -696,4 +696,5 @@ def _(spark, d):
     ),
 )
 def _(spark, d):
-    return pipeline.risk_by_category(pipeline.engineer_features(transactions(spark, d)))
+    report = pipeline.risk_by_category(pipeline.engineer_features(transactions(spark, d)))
+    return rounded(report, "avg_amount", "avg_deviation", "avg_velocity")
