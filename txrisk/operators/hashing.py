@@ -44,8 +44,17 @@ def _cuts(df: DataFrame, key: Column, row_id: str, salt, counts: dict, ranks: di
             T.StructField("_hi", T.DoubleType()),
         ]
     )
-    brackets = spark.createDataFrame(rows, schema)
-    near = narrow.join(F.broadcast(brackets), F.col("_key").eqNullSafe(F.col("_bkey")))
+    if len(ranks) == 1:
+        # One key: nothing to join on, the few brackets are literals of the plan.
+        marks = [
+            F.struct(F.lit(r).cast("bigint").alias("_rank"), F.lit(lo).alias("_lo"), F.lit(hi).alias("_hi"))
+            for _, r, lo, hi in rows
+        ]
+        only = narrow.filter(F.col("_key").eqNullSafe(F.lit(rows[0][0])))
+        near = only.select(F.col("_key").alias("_bkey"), "_u", "_id", F.inline(F.array(*marks)))
+    else:
+        brackets = spark.createDataFrame(rows, schema)
+        near = narrow.join(F.broadcast(brackets), F.col("_key").eqNullSafe(F.col("_bkey")))
     below = near.filter(F.col("_u") < F.col("_lo")).groupBy("_bkey", "_rank").count()
     skipped = {(r["_bkey"], r["_rank"]): r["count"] for r in below.collect()}
     inside = near.filter(F.col("_u").between(F.col("_lo"), F.col("_hi")))
@@ -79,10 +88,9 @@ def hash_cuts(df: DataFrame, key: Column, row_id: str, salt, counts: dict, ranks
     return found
 
 
-def rank_at_most(key: Column, row_id: str, salt, counts: dict, limits: dict, cuts: dict) -> Column:
-    """Is the row among the first ``limits[key]`` rows of its key in hash order?"""
-    hashed, ident = det_rand(F.col(row_id), salt), F.col(row_id)
-    verdict = F.lit(False)
+def rank_at_most(key: Column, hashed: Column, row_id: str, counts: dict, limits: dict, cuts: dict) -> Column:
+    """Is the row, with this hash, among the first ``limits[key]`` rows of its key in hash order?"""
+    ident, verdict = F.col(row_id), F.lit(False)
     for k, limit in limits.items():
         if limit <= 0:
             continue
@@ -95,12 +103,18 @@ def rank_at_most(key: Column, row_id: str, salt, counts: dict, limits: dict, cut
     return verdict
 
 
+def with_hash(df: DataFrame, row_id: str, salt, name: str = "_u") -> DataFrame:
+    """The row's hash as a column of its own, so that several conditions share one digest."""
+    return df.withColumn(name, det_rand(F.col(row_id), salt))
+
+
 def first_by_hash(df: DataFrame, key: str, row_id: str, salt, limits: dict, counts: dict | None = None) -> DataFrame:
     """Exactly ``limits[key]`` rows of each listed key (all, if it has fewer); others are dropped."""
     counts = counts or key_counts(df, key)
     limits = {k: v for k, v in limits.items() if k in counts}
     cuts = hash_cuts(df, F.col(key), row_id, salt, counts, {k: [v] for k, v in limits.items()})
-    return df.filter(rank_at_most(F.col(key), row_id, salt, counts, limits, cuts))
+    hashed = with_hash(df, row_id, salt)
+    return hashed.filter(rank_at_most(F.col(key), F.col("_u"), row_id, counts, limits, cuts)).drop("_u")
 
 
 def shuffle_rows(df: DataFrame, row_id: str, salt: int = 1) -> DataFrame:

@@ -11,28 +11,27 @@ from pyspark.sql import functions as F
 
 from txrisk.functions.scalar import null_if_nan
 from txrisk.operators.clean import impute_mode
-from txrisk.operators.hashing import hash_cuts, key_counts, rank_at_most
+from txrisk.operators.hashing import hash_cuts, key_counts, rank_at_most, with_hash
 
 
-def fit_scaler(train: DataFrame, columns: Sequence[str]) -> Column:
-    """Mean and population deviation of the training rows as one struct-valued subquery."""
+def fit_scaler(train: DataFrame, columns: Sequence[str]) -> dict[str, tuple[float, float]]:
+    """(mean, population deviation) of each column over the training rows.
+
+    Two numbers per column come back to the driver and become literals, so that later passes
+    over the scaled table do not repeat the aggregate. A deviation of 0 counts as 1.
+    """
     fields = []
-    for c in columns:
+    for i, c in enumerate(columns):
         v = null_if_nan(F.col(c))
-        fields += [F.avg(v).alias(f"m_{c}"), F.stddev_pop(v).alias(f"s_{c}")]
-    stats = train.agg(*fields)
-    return stats.select(F.struct(*stats.columns)).scalar()
+        fields += [F.avg(v).alias(f"m{i}"), F.stddev_pop(v).alias(f"s{i}")]
+    row = train.agg(*fields).first()
+    return {c: (row[f"m{i}"] or 0.0, row[f"s{i}"] or 1.0) for i, c in enumerate(columns)}
 
 
 def standardize(df: DataFrame, columns: Sequence[str], train: DataFrame | None = None) -> DataFrame:
-    """(x - mean) / population std, fitted on ``train`` (default: the table itself); std 0 counts as 1."""
+    """(x - mean) / population std, fitted on ``train`` (default: the table itself)."""
     fitted = fit_scaler(train if train is not None else df, columns)
-
-    def scaled(c: str) -> Column:
-        spread = fitted.getField(f"s_{c}")
-        return (F.col(c) - fitted.getField(f"m_{c}")) / F.when(spread == 0, 1.0).otherwise(spread)
-
-    return df.withColumns({c: scaled(c) for c in columns})
+    return df.withColumns({c: (F.col(c) - F.lit(m)) / F.lit(s) for c, (m, s) in fitted.items()})
 
 
 def one_hot(df: DataFrame, column: str, categories: Sequence[str]) -> DataFrame:
@@ -87,9 +86,10 @@ def _split(df: DataFrame, key: Column, counts: dict, row_id: str, test: float, v
     tests = {k: round(test * n) for k, n in counts.items()}
     vals = {k: tests[k] + round(val * (n - tests[k])) for k, n in counts.items()}
     cuts = hash_cuts(df, key, row_id, salt, counts, {k: [tests[k], vals[k]] for k in counts})
-    in_test = rank_at_most(key, row_id, salt, counts, tests, cuts)
-    in_val = rank_at_most(key, row_id, salt, counts, vals, cuts)
-    return df.withColumn("split", F.when(in_test, "test").when(in_val, "val").otherwise("train"))
+    hashed = with_hash(df, row_id, salt)
+    in_test = rank_at_most(key, F.col("_u"), row_id, counts, tests, cuts)
+    in_val = rank_at_most(key, F.col("_u"), row_id, counts, vals, cuts)
+    return hashed.withColumn("split", F.when(in_test, "test").when(in_val, "val").otherwise("train")).drop("_u")
 
 
 def split_stratified(

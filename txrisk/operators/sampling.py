@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from txrisk.functions.random import det_rand
 from txrisk.functions.vectors import interpolate
 from txrisk.operators.aggregate import remaining_rows
-from txrisk.operators.hashing import first_by_hash, hash_cuts, key_counts, rank_at_most, shuffle_rows
+from txrisk.operators.hashing import first_by_hash, hash_cuts, key_counts, rank_at_most, shuffle_rows, with_hash
 from txrisk.operators.knn import knn_topk
 
 
@@ -57,8 +57,8 @@ def equal_shares(df: DataFrame, key: str, row_id: str, salt, totals: dict, count
     base = F.lit(0)
     for k, t in totals.items():
         base = F.when(F.col(key).eqNullSafe(F.lit(k)), t // counts[k]).otherwise(base)
-    one_more = rank_at_most(F.col(key), row_id, salt, counts, extra, cuts).cast("int")
-    return df.withColumn("copies", (base + one_more).cast("int"))
+    one_more = rank_at_most(F.col(key), F.col("_u"), row_id, counts, extra, cuts).cast("int")
+    return with_hash(df, row_id, salt).withColumn("copies", (base + one_more).cast("int")).drop("_u")
 
 
 def _neighbour_lists(pairs: DataFrame) -> DataFrame:

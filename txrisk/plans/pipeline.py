@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from txrisk.functions import scalar
 from txrisk.operators import clean, evaluation, models, prep, scoring
 from txrisk.operators.sequence import account_history
+from txrisk.session import ensure_checkpoint_dir
 from txrisk.sources.files import scan_table, sink_parquet
 
 
@@ -82,10 +83,14 @@ def training_job(
 ) -> Trained:
     """Split, impute, scale, fit with class weights, pick the F1-best cut, measure on held-out rows.
 
-    Imputation and scaling are fitted on the training rows only.
+    Imputation and scaling are fitted on the training rows only. The chosen columns are written to
+    the shared checkpoint folder once: every later pass (cuts, medians, scaling, fit, metrics)
+    reads that copy instead of recomputing the features.
     """
     names = list(features or clean.feature_names(table.schema))
-    split = prep.split_stratified(table.select(row_id, label, *names), label, row_id)
+    ensure_checkpoint_dir(table.sparkSession)
+    stored = table.select(row_id, label, *names).checkpoint()
+    split = prep.split_stratified(stored, label, row_id)
     train = split.filter(F.col("split") == "train")
     medians = clean.column_quantiles(train, names, [0.5])
     filled = split.withColumns(
@@ -98,7 +103,8 @@ def training_job(
     model = (
         models.train_weighted(fit_rows, kind) if kind in ("logistic", "gbt") else models.train_classifier(fit_rows, kind)
     )
-    held_out = scoring.score_probability(models.as_vectors(assembled.filter(F.col("split") != "train")), model)
+    rest = models.as_vectors(assembled.filter(F.col("split") != "train"))
+    held_out = scoring.score_probability(rest, model).drop("features")
     val = held_out.filter(F.col("split") == "val")
     cut = evaluation.best_f1_threshold(val, "fraud_probability", "label").first()["threshold"]
     flagged = held_out.filter(F.col("split") == "test").withColumn(
