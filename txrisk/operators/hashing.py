@@ -58,12 +58,13 @@ def _cuts(df: DataFrame, key: Column, row_id: str, salt, counts: dict, ranks: di
     below = near.filter(F.col("_u") < F.col("_lo")).groupBy("_bkey", "_rank").count()
     skipped = {(r["_bkey"], r["_rank"]): r["count"] for r in below.collect()}
     inside = near.filter(F.col("_u").between(F.col("_lo"), F.col("_hi")))
+    bound = max(counts[k] for k in ranks)
     targets = [(k, r, r - skipped.get((k, r), 0)) for k, r, _, _ in rows]
     wanted_ranks = spark.createDataFrame(
         targets,
         T.StructType([schema["_bkey"], schema["_rank"], T.StructField("_local", T.LongType())]),
     )
-    ranked = group_rank(inside.select("_bkey", "_rank", "_u", "_id"), ["_bkey", "_rank"], ["_u", "_id"], "_r")
+    ranked = group_rank(inside.select("_bkey", "_rank", "_u", "_id"), ["_bkey", "_rank"], ["_u", "_id"], "_r", rows=bound)
     wanted_ranks = wanted_ranks.withColumnsRenamed({"_bkey": "_k2", "_rank": "_rank2"})
     hits = ranked.join(
         F.broadcast(wanted_ranks),

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from txrisk.session import max_group_rows
+from txrisk.session import ensure_checkpoint_dir, max_group_rows
 
 CHUNK = "_chunk"
 _HALO = "_halo"
@@ -97,14 +97,16 @@ def _two_level(edges: list) -> tuple[list, list, int]:
     return coarse, blocks, width
 
 
-def split_groups(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> Layout:
+def split_groups(df: DataFrame, keys: Sequence[str], order: Sequence[str], rows: int | None = None) -> Layout:
     """Lay ``df`` out for ordered work per group.
 
     ``order`` must be numeric, boolean or string columns that order the rows of a group
-    uniquely (add the row id last), without NULLs.
+    uniquely (add the row id last), without NULLs. ``rows`` is a known upper bound of the rows
+    in any group; when it is small enough nothing has to be counted.
     """
     keys, order = tuple(keys), tuple(order)
-    floor = max_group_rows(df.sparkSession)
+    if rows is not None and rows <= max_group_rows(df.sparkSession):
+        return Layout(df.withColumn(CHUNK, F.lit(0)), keys, order, False, None)
     counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
     profile = counts.agg(
         F.coalesce(F.sum("_n"), F.lit(0)).alias("rows"),
@@ -187,12 +189,13 @@ def prefix_sums(
     order: Sequence[str],
     sums: dict[str, Column],
     totals: bool = False,
+    rows: int | None = None,
 ) -> DataFrame:
     """Running totals ``{name}`` (current row included) in ``order`` within each group.
 
-    ``totals=True`` adds the group totals as ``{name}_total``.
+    ``totals=True`` adds the group totals as ``{name}_total``; ``rows`` as in ``split_groups``.
     """
-    layout = split_groups(df, keys, order)
+    layout = split_groups(df, keys, order, rows)
     running = layout.window().rowsBetween(Window.unboundedPreceding, 0)
     cols = {n: F.sum(v).over(running) for n, v in sums.items()}
     if not layout.split:
@@ -211,11 +214,28 @@ def prefix_sums(
     return layout.drop_internal(joined).drop(*[f"_before_{n}" for n in sums], *[f"_whole_{n}" for n in sums])
 
 
+def reusable(df: DataFrame, rows: int) -> DataFrame:
+    """An aggregate that the splitting primitives will read several times.
+
+    Over few rows it is cheaper to recompute; beyond the group limit it is written once to the
+    shared checkpoint folder instead of being shuffled again for every pass.
+    """
+    if rows <= max_group_rows(df.sparkSession):
+        return df
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint()
+
+
 def group_rank(
-    df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str = "rank", totals: bool = False
+    df: DataFrame,
+    keys: Sequence[str],
+    order: Sequence[str],
+    name: str = "rank",
+    totals: bool = False,
+    rows: int | None = None,
 ) -> DataFrame:
     """Dense position 1..n of each row in ``order`` within its group (``{name}_total`` = n)."""
-    return prefix_sums(df, keys, order, {name: F.lit(1)}, totals=totals)
+    return prefix_sums(df, keys, order, {name: F.lit(1)}, totals=totals, rows=rows)
 
 
 def take_per_group(df: DataFrame, keys: Sequence[str], order: Sequence[str], quota: Column) -> DataFrame:
@@ -287,12 +307,12 @@ def exact_quantiles(
     clean = df.select(*keys, F.col(value).cast("double").alias("_v")).filter(
         F.col("_v").isNotNull() & ~F.isnan("_v")
     )
-    largest = clean.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
-    if largest <= max_group_rows(df.sparkSession):
+    n = clean.count()
+    if n <= max_group_rows(df.sparkSession):
         return clean.groupBy(*keys).agg(
             F.percentile("_v", F.array(*[F.lit(float(p)) for p in probs])).alias(name)
         )
-    counted = clean.groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_c"))
+    counted = reusable(clean.groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_c")), n)
     ranked = prefix_sums(counted, keys, ["_v"], {"_cum": F.col("_c")}, totals=True)
 
     def at(rank: Column) -> Column:

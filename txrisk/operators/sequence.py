@@ -16,6 +16,7 @@ from txrisk.functions.scalar import micros, ratio, whole_seconds
 from txrisk.operators.ordering import group_rank, row_frames
 
 REACH = 5
+_BASE = ("_prev_s", "_prev", "_avg", "_max", "_cnt", "_old_s")
 
 # The features of account_history, in output order.
 HISTORY_COLUMNS = (
@@ -32,20 +33,30 @@ HISTORY_COLUMNS = (
 )
 
 
-def _expressions(w: WindowSpec, time: str, amount: str) -> dict[str, Column]:
+def _windows(w: WindowSpec, time: str, amount: str) -> dict[str, Column]:
+    """What has to be read from neighbouring rows; each appears once in the Window node."""
     recent = w.rowsBetween(-REACH, -1)
     seconds, value = whole_seconds(F.col(time)), F.col(amount)
-    previous = F.lag(value, 1).over(w)
-    mean, count = F.avg(value).over(recent), F.count(value).over(recent)
-    oldest = F.min(seconds).over(recent)
-    span = F.when(oldest.isNotNull(), (seconds - oldest) / 86400.0).otherwise(1.0)
+    return {
+        "_prev_s": F.lag(seconds, 1).over(w),
+        "_prev": F.lag(value, 1).over(w),
+        "_avg": F.avg(value).over(recent),
+        "_max": F.max(value).over(recent),
+        "_cnt": F.count(value).over(recent),
+        "_old_s": F.min(seconds).over(recent),
+    }
+
+
+def _features(time: str, amount: str) -> dict[str, Column]:
+    seconds, value, mean, count = whole_seconds(F.col(time)), F.col(amount), F.col("_avg"), F.col("_cnt")
+    span = F.when(F.col("_old_s").isNotNull(), (seconds - F.col("_old_s")) / 86400.0).otherwise(1.0)
     return {
         # Minutes, from whole seconds.
-        "time_since_prev_tx": (seconds - F.lag(seconds, 1).over(w)) / 60.0,
-        "amount_delta": value - previous,
-        "amount_ratio": F.when(previous > 0, ratio(value, previous)),
+        "time_since_prev_tx": (seconds - F.col("_prev_s")) / 60.0,
+        "amount_delta": value - F.col("_prev"),
+        "amount_ratio": F.when(F.col("_prev") > 0, ratio(value, F.col("_prev"))),
         "avg_amount_last5": mean,
-        "max_amount_last5": F.max(value).over(recent),
+        "max_amount_last5": F.col("_max"),
         "tx_count_last5": count,
         "time_span_days": span,
         "transaction_frequency": F.when(span > 0, ratio(count, span)).otherwise(count.cast("double")),
@@ -64,12 +75,10 @@ def account_history(
 ) -> DataFrame:
     """Add the chosen history features; the current row never counts as its own history."""
 
-    def build(w: WindowSpec) -> dict[str, Column]:
-        every = _expressions(w, time, amount)
-        return {c: every[c] for c in columns}
-
     ordered = df.withColumn("_us", micros(F.col(time)))
-    return row_frames(ordered, [account], ["_us", row_id], REACH, build).drop("_us")
+    framed = row_frames(ordered, [account], ["_us", row_id], REACH, lambda w: _windows(w, time, amount))
+    every = _features(time, amount)
+    return framed.withColumns({c: every[c] for c in columns}).drop("_us", *_BASE)
 
 
 def entity_time_diff(df: DataFrame, entity: str, time: str, row_id: str) -> DataFrame:
@@ -97,24 +106,31 @@ def history_features(
 
     def build(w: WindowSpec) -> dict[str, Column]:
         recent = w.rowsBetween(-REACH, -1)
-        value, seen = F.col(amount), F.col("_rank") - 1
-        previous, mean = F.lag(value, 1).over(w), F.avg(value).over(recent)
-        first = F.first("_us").over(w.rowsBetween(Window.unboundedPreceding, 0))
-        days = F.when(seen > 1, (F.col("_us") - first) / 8.64e10).otherwise(0.0)
         return {
-            "hours_since_prev": F.coalesce((F.col("_us") - F.lag("_us", 1).over(w)) / 3.6e9, F.lit(24.0)),
-            "hist_delta": F.coalesce(value - previous, F.lit(0.0)),
-            "hist_ratio": F.when(previous.isNotNull(), value / F.greatest(F.lit(1.0), previous)).otherwise(1.0),
-            "hist_avg_last5": F.coalesce(mean, value),
-            "hist_max_last5": F.coalesce(F.max(value).over(recent), value),
-            "hist_count_last5": F.count(value).over(recent),
-            "hist_span_days": days,
-            "hist_frequency": F.when(seen > 1, seen / F.greatest(F.lit(1.0), days)).otherwise(0.0),
-            "hist_deviation": F.coalesce(value - mean, F.lit(0.0)),
-            "hist_velocity": F.when(days > 0, ratio(seen, days * 24)).otherwise(0.0),
+            "_prev_s": F.lag("_us", 1).over(w),
+            "_prev": F.lag(amount, 1).over(w),
+            "_avg": F.avg(amount).over(recent),
+            "_max": F.max(amount).over(recent),
+            "_cnt": F.count(amount).over(recent),
+            "_old_s": F.first("_us").over(w.rowsBetween(Window.unboundedPreceding, 0)),
         }
 
-    return row_frames(ranked, [account], ["_us", row_id], REACH, build, keep_first=True).drop("_us", "_rank")
+    value, seen, previous, mean = F.col(amount), F.col("_rank") - 1, F.col("_prev"), F.col("_avg")
+    days = F.when(seen > 1, (F.col("_us") - F.col("_old_s")) / 8.64e10).otherwise(0.0)
+    features = {
+        "hours_since_prev": F.coalesce((F.col("_us") - F.col("_prev_s")) / 3.6e9, F.lit(24.0)),
+        "hist_delta": F.coalesce(value - previous, F.lit(0.0)),
+        "hist_ratio": F.when(previous.isNotNull(), value / F.greatest(F.lit(1.0), previous)).otherwise(1.0),
+        "hist_avg_last5": F.coalesce(mean, value),
+        "hist_max_last5": F.coalesce(F.col("_max"), value),
+        "hist_count_last5": F.col("_cnt"),
+        "hist_span_days": days,
+        "hist_frequency": F.when(seen > 1, seen / F.greatest(F.lit(1.0), days)).otherwise(0.0),
+        "hist_deviation": F.coalesce(value - mean, F.lit(0.0)),
+        "hist_velocity": F.when(days > 0, ratio(seen, days * 24)).otherwise(0.0),
+    }
+    framed = row_frames(ranked, [account], ["_us", row_id], REACH, build, keep_first=True)
+    return framed.withColumns(features).drop("_us", "_rank", *_BASE)
 
 
 def sort_entity_time(df: DataFrame, entity: str, time: str, row_id: str) -> DataFrame:

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from txrisk.functions.scalar import MICROS_PER_DAY, micros, ratio
-from txrisk.operators.ordering import prefix_sums
+from txrisk.operators.ordering import prefix_sums, reusable
 from txrisk.operators.sequence import entity_time_diff
 
 #: Largest entity for which a sliding frame is acceptable.
@@ -38,6 +38,7 @@ def _prefix_frames(
     frame's start; a probe sorts before the data at its position.
     """
     points = df.groupBy(entity, "_us").agg(*[F.sum(m.cast(_EXACT)).cast(_EXACT).alias(n) for n, m in measures.items()])
+    points = reusable(points, df.count())
     names, data_kind = list(starts), len(starts)
     zero = F.lit(0).cast(_EXACT)
     data = points.select(entity, F.col("_us").alias("_pos"), F.lit(data_kind).alias("_kind"), "_us", *measures)
