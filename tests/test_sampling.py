@@ -147,3 +147,11 @@ def test_splits_are_disjoint_complete_and_stratified(spark):
         assert counts[("test", label)] == n // 5 and counts[("val", label)] == n // 5
     again = prep.split_stratified(df.repartition(7), "label", "id")
     assert sorted(map(tuple, out.select("id", "split").collect())) == sorted(map(tuple, again.select("id", "split").collect()))
+
+
+def test_many_copies_of_one_row_are_spread(spark, monkeypatch):
+    monkeypatch.setattr(sampling, "COPIES_PER_TASK", 10)
+    df = spark.createDataFrame([(1, 95), (2, 0), (3, 10)], "id long, copies int")
+    out = sampling.expand_copies(df.filter("copies > 0"), "copies", 95)
+    assert sorted(r["copy"] for r in out.filter("id = 1").collect()) == list(range(1, 96))
+    assert sorted(r["copy"] for r in out.filter("id = 3").collect()) == list(range(1, 11))

@@ -75,3 +75,14 @@ def test_connector_options():
     assert sources.socket_options(port=7) == {"host": "localhost", "port": "7"}
     assert scoring.trigger_options() == {"processingTime": "1 seconds"}
     assert scoring.trigger_options(once=True) == {"availableNow": True}
+
+
+def test_console_sink_runs(spark, folder):
+    scoring.sink_console(2)(spark.read.schema(sources.STREAM_RECORD).json(folder), 0)
+
+
+def test_kafka_needs_its_connector(spark):
+    from pyspark.errors import AnalysisException
+
+    with pytest.raises(AnalysisException):
+        sources.stream_kafka(spark, "localhost:9092")

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from txrisk.operators.ordering import exact_quantiles, fetch_quantiles
+from txrisk.session import max_broadcast_bytes
 
 
 def group_stats(df: DataFrame, group: str, values: Sequence[str]) -> DataFrame:
@@ -26,13 +27,25 @@ def group_stats(df: DataFrame, group: str, values: Sequence[str]) -> DataFrame:
     return df.groupBy(group).agg(*aggs)
 
 
+def _broadcast_if_small(stats: DataFrame, groups: int) -> DataFrame:
+    """Hint a broadcast when ``groups`` rows of this width fit the configured size."""
+    width = 16 * len(stats.columns) + 32
+    return F.broadcast(stats) if groups * width <= max_broadcast_bytes(stats.sparkSession) else stats
+
+
 def join_group_stats(df: DataFrame, groups: Sequence[str], values: Sequence[str]) -> DataFrame:
     """Each row with the statistics of its groups; a NULL group gets NULLs.
 
-    No broadcast hint: the adaptive planner broadcasts the aggregate when its measured size
-    allows it and otherwise sort-merges, splitting the rows of a skewed group.
+    The distinct groups are estimated in one pass (with a margin above the sketch's error). Few
+    groups are broadcast, so the rows stay where they are; many are sort-merged, where the
+    adaptive planner splits the rows of a skewed group.
     """
-    return reduce(lambda out, g: out.join(group_stats(df, g, values), g, "left"), groups, df)
+    sizes = df.agg(*[F.approx_count_distinct(g, 0.02).alias(g) for g in groups]).first()
+
+    def add(out: DataFrame, g: str) -> DataFrame:
+        return out.join(_broadcast_if_small(group_stats(df, g, values), int(sizes[g] * 1.5) + 1), g, "left")
+
+    return reduce(add, groups, df)
 
 
 def amount_features(df: DataFrame, amount: str, bins: int = 10) -> DataFrame:

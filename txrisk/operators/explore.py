@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from txrisk.functions.scalar import null_if_nan, ratio
 from txrisk.operators.clean import unpivot_numeric
+from txrisk.operators.hashing import key_counts
 from txrisk.operators.ordering import exact_quantiles
 
 
@@ -132,6 +133,7 @@ def log_histogram_by_label(df: DataFrame, value: str, label: str, bins: int = 50
 
 def boxplot_by_label(df: DataFrame, value: str, label: str) -> DataFrame:
     """Quartiles, whiskers (furthest value within 1.5 IQR) and outlier count per class."""
+    key_counts(df, label)  # one box per class: refuses a label with unboundedly many values
     box = exact_quantiles(df, value, [0.25, 0.5, 0.75], [label]).select(
         label,
         F.get("quantiles", F.lit(0)).alias("q25"),
@@ -142,7 +144,7 @@ def boxplot_by_label(df: DataFrame, value: str, label: str) -> DataFrame:
     inside = F.col(value).between(F.col("q25") - reach, F.col("q75") + reach)
     return (
         df.select(label, value)
-        .join(box, label)
+        .join(F.broadcast(box), label)
         .groupBy(label)
         .agg(
             *[F.max(c).alias(c) for c in ("q25", "median", "q75")],

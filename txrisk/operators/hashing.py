@@ -19,9 +19,16 @@ from txrisk.operators.ordering import group_rank
 _SIGMAS = 8.0
 
 
+#: More distinct values than this and a column is no category: refused rather than collected.
+MAX_CATEGORIES = 100_000
+
+
 def key_counts(df: DataFrame, key: str) -> dict:
-    """Rows per value of a low-cardinality column."""
-    return {r[0]: r[1] for r in df.groupBy(key).count().collect()}
+    """Rows per value of a category column."""
+    rows = df.groupBy(key).count().limit(MAX_CATEGORIES + 1).collect()
+    if len(rows) > MAX_CATEGORIES:
+        raise ValueError(f"{key} has more than {MAX_CATEGORIES} distinct values")
+    return {r[0]: r[1] for r in rows}
 
 
 def _cuts(df: DataFrame, key: Column, row_id: str, salt, counts: dict, ranks: dict, slack: float) -> dict:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame, WindowSpec
+from pyspark.sql import DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from txrisk.functions.random import det_rand
@@ -73,8 +73,8 @@ def permutation_importance(
     else:
         quality = scored.groupBy("repeat", "variant").agg((-F.avg("score")).alias("quality"))
     # repeats * (features + 1) rows from here on.
-    base = quality.filter(F.col("variant") == -1).select("repeat", F.col("quality").alias("base"))
-    drops = quality.filter(F.col("variant") >= 0).join(base, "repeat")
+    untouched = F.max(F.when(F.col("variant") == -1, F.col("quality"))).over(Window.partitionBy("repeat"))
+    drops = quality.withColumn("base", untouched).filter(F.col("variant") >= 0)
     names = F.element_at(F.lit(list(features)), F.col("variant") + 1)
     return drops.groupBy(names.alias("feature")).agg(
         F.avg(F.col("base") - F.col("quality")).alias("importance"),

@@ -43,8 +43,7 @@ def one_hot(df: DataFrame, column: str, categories: Sequence[str]) -> DataFrame:
 
 def fit_categories(train: DataFrame, column: str) -> list[str]:
     """Sorted category list; it becomes the table's columns, so it has to be short."""
-    rows = train.filter(F.col(column).isNotNull()).select(column).distinct().orderBy(column).collect()
-    return [r[0] for r in rows]
+    return sorted(v for v in key_counts(train, column) if v is not None)
 
 
 def preprocess_pipeline(

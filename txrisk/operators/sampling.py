@@ -44,7 +44,24 @@ def oversample(df: DataFrame, label: str, row_id: str, ratio: float = 1.0, salt:
     wanted = max(n_small, int(ratio * n_big))
     others = {k: n for k, n in counts.items() if k != small}
     shares = equal_shares(df, label, row_id, salt, {**others, small: wanted}, counts)
-    return shares.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).drop("copies")
+    return expand_copies(shares, "copies", wanted // n_small + 1).drop("copies")
+
+
+#: Copies one task makes of one row before they are spread over several tasks.
+COPIES_PER_TASK = 1_000_000
+
+
+def expand_copies(df: DataFrame, copies: str, most: int) -> DataFrame:
+    """One row per copy, numbered from 1 in ``copy``. ``most`` bounds the copies of any row.
+
+    A row with very many copies is first cut into ranges, which are spread over tasks.
+    """
+    if most <= COPIES_PER_TASK:
+        return df.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col(copies))))
+    starts = F.sequence(F.lit(1), F.col(copies), F.lit(COPIES_PER_TASK))
+    ranges = df.withColumn("_start", F.explode(starts)).repartition("_start")
+    stop = F.least(F.col("_start") + COPIES_PER_TASK - 1, F.col(copies))
+    return ranges.withColumn("copy", F.explode(F.sequence(F.col("_start"), stop))).drop("_start")
 
 
 def equal_shares(df: DataFrame, key: str, row_id: str, salt, totals: dict, counts: dict) -> DataFrame:
@@ -67,14 +84,18 @@ def _neighbour_lists(pairs: DataFrame) -> DataFrame:
     return pairs.groupBy(F.col("query_id").alias("seed_id")).agg(F.transform(packed, lambda p: p["neighbor_id"]).alias("_near"))
 
 
-def synthesize(seeds: DataFrame, minority: DataFrame, pairs: DataFrame, row_id: str, features: str, salt: int) -> DataFrame:
-    """``copies`` new points per seed, each on the segment to a random one of its neighbours."""
+def synthesize(
+    seeds: DataFrame, minority: DataFrame, pairs: DataFrame, row_id: str, features: str, salt: int, most: int
+) -> DataFrame:
+    """``copies`` (at most ``most``) new points per seed, each on the segment to a random neighbour of it."""
     drawn = F.concat_ws(":", F.col("seed_id").cast("string"), F.col("copy").cast("string"))
-    expanded = (
+    listed = (
         seeds.filter(F.col("copies") > 0)
         .select(F.col(row_id).alias("seed_id"), F.col(features).alias("_x"), "copies")
         .join(_neighbour_lists(pairs), "seed_id")
-        .withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
+    )
+    expanded = (
+        expand_copies(listed, "copies", most)
         .withColumn("_pick", F.floor(det_rand(drawn, f"{salt}-n") * F.size("_near")).cast("int"))
         .select(
             "seed_id",
@@ -126,10 +147,10 @@ def smote(
 ) -> DataFrame:
     """Synthetic minority rows until minority / majority = ratio."""
     typed, minority, small, _, n_small, n_big = _prepare(df, label, features)
-    wanted = int(ratio * n_big) - n_small
-    seeds = equal_shares(minority, label, row_id, salt, {small: max(0, wanted)}, {small: n_small})
+    wanted = max(0, int(ratio * n_big) - n_small)
+    seeds = equal_shares(minority, label, row_id, salt, {small: wanted}, {small: n_small})
     pairs = knn_topk(minority, minority, k, row_id, features)
-    return _with_originals(typed, synthesize(seeds, minority, pairs, row_id, features, salt), row_id, features, label, small)
+    return _with_originals(typed, synthesize(seeds, minority, pairs, row_id, features, salt, wanted // n_small + 1), row_id, features, label, small)
 
 
 def adasyn_density(
@@ -151,11 +172,12 @@ def adasyn(
     beta: float = 0.5, k: int = 5, salt: int = 42,
 ) -> DataFrame:
     """More synthetic rows where a minority row is surrounded by the majority."""
-    typed, minority, small, *_ = _prepare(df, label, features)
+    typed, minority, small, _, n_small, n_big = _prepare(df, label, features)
+    wanted = int(beta * (n_big - n_small)) + 1
     copies = adasyn_density(df, label, row_id, features, k, beta).select(row_id, "copies")
     seeds = minority.join(copies, row_id)
     pairs = knn_topk(minority, minority, k, row_id, features)
-    return _with_originals(typed, synthesize(seeds, minority, pairs, row_id, features, salt), row_id, features, label, small)
+    return _with_originals(typed, synthesize(seeds, minority, pairs, row_id, features, salt, wanted), row_id, features, label, small)
 
 
 def borderline_zones(
@@ -187,7 +209,7 @@ def borderline_smote(
     wanted = max(0, int(ratio * n_big) - n_small)
     seeds = equal_shares(selected, label, row_id, salt, {small: wanted}, {small: n_selected})
     pairs = knn_topk(selected, minority, k, row_id, features)
-    return _with_originals(typed, synthesize(seeds, minority, pairs, row_id, features, salt), row_id, features, label, small)
+    return _with_originals(typed, synthesize(seeds, minority, pairs, row_id, features, salt, wanted // n_selected + 1), row_id, features, label, small)
 
 
 def cluster_smote(
@@ -208,9 +230,10 @@ def cluster_smote(
     quotas = {
         c: wanted // count + (1 if c < wanted % count else 0) for c in range(count) if sizes.get(c, 0) > 1
     }
+    most = max((q // sizes[c] + 1 for c, q in quotas.items()), default=1)
     seeds = equal_shares(clustered.filter(F.col("cluster").isin(list(quotas))), "cluster", row_id, salt, quotas, sizes)
     pairs = knn_topk(clustered, clustered, k, row_id, features, group="cluster")
-    return _with_originals(typed, synthesize(seeds, minority, pairs, row_id, features, salt), row_id, features, label, small)
+    return _with_originals(typed, synthesize(seeds, minority, pairs, row_id, features, salt, most), row_id, features, label, small)
 
 
 TECHNIQUES: dict[str, Callable[..., DataFrame]] = {

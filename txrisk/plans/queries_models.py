@@ -647,6 +647,30 @@ def _(spark, d):
     return rounded(back.select(*keep), "fraud_probability", "anomaly_score")
 
 
+def _drain(spark: SparkSession, source: str, out: str, checkpoint: str, fmt: str) -> None:
+    stream = stream_sources.stream_files(spark, source, files_per_trigger=100)
+    sink = stream_scoring.sink_files(out, fmt)
+    stream_scoring.score_stream(stream, _stream_scorer, sink, checkpoint, once=True, anomaly_cut=10.0).awaitTermination()
+
+
+@query("sink_files", _sc(f", {_FLAGS_SQL} SELECT transaction_id::VARCHAR AS transaction_id, is_fraud_ensemble FROM flagged"))
+def _(spark, d):
+    out = scratch_path(spark, "scored-json")
+    _drain(spark, _json_folder(spark, d), out, scratch_path(spark, "cp"), "json")
+    return spark.read.schema("transaction_id string, is_fraud_ensemble boolean").json(f"{out}/epoch=*")
+
+
+@query("trigger_and_checkpoint", _sc(f", {_FLAGS_SQL} SELECT count(*) AS rows, count(*) FILTER (is_fraud_ensemble) AS fraud_rows FROM flagged"))
+def _(spark, d):
+    """Half of the files, a restart from the checkpoint with the other half: nothing lost or doubled."""
+    source, out, checkpoint = scratch_path(spark, "records"), scratch_path(spark, "scored"), scratch_path(spark, "cp")
+    rows = transactions(spark, d).select(*_RECORD)
+    for half in (0, 1):
+        rows.filter(F.col("transaction_id") % 2 == half).write.mode("append").json(source)
+        _drain(spark, source, out, checkpoint, "parquet")
+    return spark.read.parquet(out).agg(F.count(F.lit(1)).alias("rows"), F.count_if("is_fraud_ensemble").alias("fraud_rows"))
+
+
 @query(
     "sink_kafka_payload",
     _sc("SELECT transaction_id::VARCHAR AS key, merchant_category FROM scored"),
