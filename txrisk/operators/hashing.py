@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from txrisk.functions.random import det_rand
-from txrisk.operators.ordering import group_rank
+from txrisk.operators.ordering import prefix_sums, reusable
 
 _SIGMAS = 8.0
 
@@ -62,26 +62,36 @@ def _cuts(df: DataFrame, key: Column, row_id: str, salt, counts: dict, ranks: di
     else:
         brackets = spark.createDataFrame(rows, schema)
         near = narrow.join(F.broadcast(brackets), F.col("_key").eqNullSafe(F.col("_bkey")))
-    below = near.filter(F.col("_u") < F.col("_lo")).groupBy("_bkey", "_rank").count()
-    skipped = {(r["_bkey"], r["_rank"]): r["count"] for r in below.collect()}
-    inside = near.filter(F.col("_u").between(F.col("_lo"), F.col("_hi")))
-    bound = max(counts[k] for k in ranks)
-    targets = [(k, r, r - skipped.get((k, r), 0)) for k, r, _, _ in rows]
-    wanted_ranks = spark.createDataFrame(
-        targets,
-        T.StructType([schema["_bkey"], schema["_rank"], T.StructField("_local", T.LongType())]),
+    # One scan: all rows before a bracket collapse into one counted row on the map side, the few
+    # rows inside it stay themselves. The running count is then the rank.
+    before = F.col("_u") < F.col("_lo")
+    first_id = F.lit(0 if isinstance(narrow.schema["_id"].dataType, T.NumericType) else "").cast(narrow.schema["_id"].dataType)
+    counted = (
+        near.filter(F.col("_u") <= F.col("_hi"))
+        .groupBy(
+            "_bkey",
+            "_rank",
+            F.when(before, -1.0).otherwise(F.col("_u")).alias("_u"),
+            F.when(before, first_id).otherwise(F.col("_id")).alias("_id"),
+        )
+        .agg(F.count(F.lit(1)).alias("_n"))
     )
-    ranked = group_rank(inside.select("_bkey", "_rank", "_u", "_id"), ["_bkey", "_rank"], ["_u", "_id"], "_r", rows=bound)
-    wanted_ranks = wanted_ranks.withColumnsRenamed({"_bkey": "_k2", "_rank": "_rank2"})
-    hits = ranked.join(
-        F.broadcast(wanted_ranks),
-        F.col("_bkey").eqNullSafe(F.col("_k2"))
-        & (F.col("_rank") == F.col("_rank2"))
-        & (F.col("_r") == F.col("_local")),
+    bound = max(counts[k] for k in ranks)
+    ranked = prefix_sums(
+        reusable(counted, bound), ["_bkey", "_rank"], ["_u", "_id"], {"_r": F.col("_n")}, rows=min(bound, _inside(bound, slack))
     )
+    hits = ranked.filter((F.col("_r") == F.col("_rank")) & (F.col("_u") >= 0))
     return {(r["_bkey"], r["_rank"]): (r["_u"], r["_id"]) for r in hits.collect()}
 
 
+def _inside(n: int, slack: float) -> int:
+    """More rows than a bracket of this slack can be expected to hold (eight more sigmas of its own)."""
+    if math.isinf(slack):
+        return n
+    expected = 2 * slack * (math.sqrt(n) + 1)
+    return int(expected + slack * math.sqrt(expected) + 100)
+
+
 def hash_cuts(df: DataFrame, key: Column, row_id: str, salt, counts: dict, ranks: dict) -> dict:
     """(key, rank) -> the (hash, id) pair of that rank within the key.
 

@@ -81,14 +81,14 @@ def account_history(
     return framed.withColumns({c: every[c] for c in columns}).drop("_us", *_BASE)
 
 
-def entity_time_diff(df: DataFrame, entity: str, time: str, row_id: str) -> DataFrame:
-    """Hours since the entity's previous row."""
+def entity_time_diff(df: DataFrame, entity: str, time: str, row_id: str, rows: int | None = None) -> DataFrame:
+    """Hours since the entity's previous row. ``rows``: known bound of the rows of one entity."""
 
     def build(w: WindowSpec) -> dict[str, Column]:
-        return {f"{entity}_time_diff": (F.col("_us") - F.lag("_us", 1).over(w)) / 3.6e9}
+        return {f"{entity}_time_diff": (F.col("_at") - F.lag("_at", 1).over(w)) / 3.6e9}
 
-    ordered = df.withColumn("_us", micros(F.col(time)))
-    return row_frames(ordered, [entity], ["_us", row_id], 1, build).drop("_us")
+    ordered = df.withColumn("_at", micros(F.col(time)))
+    return row_frames(ordered, [entity], ["_at", row_id], 1, build, rows=rows).drop("_at")
 
 
 def history_features(

@@ -2,55 +2,53 @@
 
 A sliding RANGE frame re-reads its frame for every row, which is quadratic in the rows an
 entity has inside one window. Small entities use it anyway (one exchange, one sort).
-As soon as one entity is larger, the same sums come from differences of prefix sums over
-the distinct (entity, time) points: linear, and split across tasks for hot entities.
+For larger entities the same sums come from differences of prefix sums over their distinct
+(entity, time) points: linear, and split across tasks when an entity is hot.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from txrisk.functions.scalar import MICROS_PER_DAY, micros, ratio
 from txrisk.operators.ordering import prefix_sums, reusable
 from txrisk.operators.sequence import entity_time_diff
+from txrisk.session import max_broadcast_bytes
 
 #: Largest entity for which a sliding frame is acceptable.
 RANGE_FRAME_ROWS_CONF = "spark.txrisk.rangeFrameRows"
 DEFAULT_RANGE_FRAME_ROWS = 10_000
-# Prefix differences cancel; decimals keep them exact.
+# Prefix differences cancel; decimals keep fractional sums exact, whole numbers stay bigints.
 _EXACT = "decimal(38,8)"
 
 
-def _largest(df: DataFrame, entity: str) -> int:
-    return df.groupBy(entity).count().agg(F.max("count")).first()[0] or 0
+def _typed(df: DataFrame, measures: dict[str, Column]) -> dict[str, str]:
+    kinds = df.select(*[m.alias(n) for n, m in measures.items()]).schema
+    return {f.name: "bigint" if isinstance(f.dataType, T.IntegralType) else _EXACT for f in kinds}
 
 
 def _prefix_frames(
-    df: DataFrame, entity: str, measures: dict[str, Column], starts: dict[str, int], end_inclusive: bool
+    df: DataFrame, onto: DataFrame, entity: str, measures: dict[str, Column], starts: dict[str, int], end_inclusive: bool
 ) -> DataFrame:
-    """Sums of ``measures`` over [t + start, t) or [t + start, t] for each frame, per row.
+    """``onto`` with the sums of ``measures`` in ``df`` over [t + start, t) or [t + start, t] for each frame.
 
     Every distinct (entity, time) point contributes itself plus one probe per frame at the
     frame's start; a probe sorts before the data at its position.
     """
-    points = df.groupBy(entity, "_us").agg(*[F.sum(m.cast(_EXACT)).cast(_EXACT).alias(n) for n, m in measures.items()])
+    kinds = _typed(df, measures)
+    points = df.groupBy(entity, "_us").agg(*[F.sum(m.cast(kinds[n])).cast(kinds[n]).alias(n) for n, m in measures.items()])
     points = reusable(points, df.count())
     names, data_kind = list(starts), len(starts)
-    zero = F.lit(0).cast(_EXACT)
     data = points.select(entity, F.col("_us").alias("_pos"), F.lit(data_kind).alias("_kind"), "_us", *measures)
-    probes = points.select(
-        entity,
-        "_us",
-        F.inline(
-            F.array(
-                *[F.struct((F.col("_us") + s).alias("_pos"), F.lit(i).alias("_kind")) for i, s in enumerate(starts.values())]
-            )
-        ),
-    ).select(entity, "_pos", "_kind", "_us", *[zero.alias(n) for n in measures])
+    shifted = [F.struct((F.col("_us") + s).alias("_pos"), F.lit(i).alias("_kind")) for i, s in enumerate(starts.values())]
+    probes = points.select(entity, "_us", F.inline(F.array(*shifted))).select(
+        entity, "_pos", "_kind", "_us", *[F.lit(0).cast(kinds[n]).alias(n) for n in measures]
+    )
     running = prefix_sums(
         data.unionByName(probes), [entity], ["_pos", "_kind"], {f"_cum_{n}": F.col(n) for n in measures}
     )
@@ -71,12 +69,60 @@ def _prefix_frames(
     )
     # One point per (entity, time): rows join it many-to-one; AQE splits a hot point's rows.
     cond = F.col(entity).eqNullSafe(F.col("_e")) & (F.col("_us") == F.col("_t"))
-    return df.join(sums, cond, "left").drop("_e", "_t")
+    return onto.join(sums, cond, "left").drop("_e", "_t")
+
+
+def _frame_rows(df: DataFrame) -> int:
+    return int(df.sparkSession.conf.get(RANGE_FRAME_ROWS_CONF, str(DEFAULT_RANGE_FRAME_ROWS)))
+
 
+def _by_size(df: DataFrame, entity: str) -> tuple[DataFrame | None, DataFrame | None]:
+    """(rows of ordinary entities, rows of large entities); None for a part that is empty.
+
+    The large entities are told apart by a broadcast list while that list is short enough;
+    otherwise all rows count as large.
+    """
+    limit = _frame_rows(df)
+    counts = df.groupBy(entity).count()
+    profile = counts.agg(F.count_if(F.col("count") > limit).alias("large"), F.count(F.lit(1)).alias("all")).first()
+    if not profile["large"]:
+        return df, None
+    if profile["large"] == profile["all"] or profile["large"] * 128 > max_broadcast_bytes(df.sparkSession):
+        return None, df
+    large = counts.filter(F.col("count") > limit).select(F.col(entity).alias("_large"))
+    same = F.col(entity).eqNullSafe(F.col("_large"))
+    return df.join(F.broadcast(large), same, "left_anti"), df.join(F.broadcast(large), same, "left_semi")
+
+
+def _framed(
+    df: DataFrame,
+    entity: str,
+    windows: Sequence[int],
+    bounds: tuple[int, int],
+    direct: Callable[[int, WindowSpec], dict[str, Column]],
+    measures: dict[str, Column],
+    derived: Callable[[int], dict[str, Column]],
+    extend: Callable[[DataFrame, int | None], DataFrame] = lambda part, rows: part,
+) -> DataFrame:
+    """Columns per window, by sliding frames for ordinary entities and prefix sums for large ones.
 
-def _small_enough(df: DataFrame, entity: str) -> bool:
-    limit = int(df.sparkSession.conf.get(RANGE_FRAME_ROWS_CONF, str(DEFAULT_RANGE_FRAME_ROWS)))
-    return _largest(df, entity) <= limit
+    ``bounds`` are added to the frame's ends: [t - w + bounds[0], t + bounds[1]] in microseconds.
+    ``extend`` adds further columns to a part; it also gets the largest entity's rows if bounded.
+    """
+    small, large = _by_size(df, entity)
+    parts = []
+    if small is not None:
+        cols: dict[str, Column] = {}
+        for w in windows:
+            frame = Window.partitionBy(entity).orderBy("_us").rangeBetween(-w * MICROS_PER_DAY + bounds[0], bounds[1])
+            cols.update(direct(w, frame))
+        parts.append(extend(small, _frame_rows(df)).withColumns(cols))
+    if large is not None:
+        starts = {f"{w}d": -w * MICROS_PER_DAY + bounds[0] for w in windows}
+        summed = _prefix_frames(large, extend(large, None), entity, measures, starts, end_inclusive=bounds[1] == 0)
+        cols = {name: c for w in windows for name, c in derived(w).items()}
+        parts.append(summed.withColumns(cols).drop(*[f"_{f}_{n}" for f in starts for n in measures]))
+    return reduce(DataFrame.unionByName, parts).drop("_us")
 
 
 def velocity_features(
@@ -88,60 +134,65 @@ def velocity_features(
     windows: Sequence[int] = (1, 7, 30),
 ) -> DataFrame:
     """Count, sum and mean over the ``w`` days before each row: [t - w, t)."""
-    timed = entity_time_diff(df, entity, time, row_id).withColumn("_us", micros(F.col(time)))
-    value = F.col(amount) if amount else None
-    cols: dict[str, Column] = {}
-    if _small_enough(df, entity):
-        for w in windows:
-            frame = Window.partitionBy(entity).orderBy("_us").rangeBetween(-w * MICROS_PER_DAY, -1)
-            cols[f"{entity}_txn_count_{w}d"] = F.count(F.lit(1)).over(frame)
-            if amount:
-                cols[f"{entity}_amount_sum_{w}d"] = F.coalesce(F.sum(value).over(frame), F.lit(0.0))
-                cols[f"{entity}_amount_mean_{w}d"] = F.avg(value).over(frame)
-        return timed.withColumns(cols).drop("_us")
-
+    timed = df.withColumn("_us", micros(F.col(time)))
     measures = {"n": F.lit(1)}
     if amount:
-        measures.update(v=F.coalesce(value, F.lit(0.0)), nv=value.isNotNull().cast("int"))
-    starts = {f"{w}d": -w * MICROS_PER_DAY for w in windows}
-    summed = _prefix_frames(timed, entity, measures, starts, end_inclusive=False)
-    for w in windows:
-        cols[f"{entity}_txn_count_{w}d"] = F.col(f"_{w}d_n").cast("bigint")
+        value = F.col(amount)
+        measures.update(v=F.coalesce(value.cast("double"), F.lit(0.0)), nv=value.isNotNull().cast("int"))
+
+    def names(w: int) -> tuple[str, str, str]:
+        return f"{entity}_txn_count_{w}d", f"{entity}_amount_sum_{w}d", f"{entity}_amount_mean_{w}d"
+
+    def direct(w: int, frame: WindowSpec) -> dict[str, Column]:
+        count, total, mean = names(w)
+        out = {count: F.count(F.lit(1)).over(frame)}
+        if amount:
+            out.update({total: F.coalesce(F.sum(value).over(frame), F.lit(0.0)), mean: F.avg(value).over(frame)})
+        return out
+
+    def derived(w: int) -> dict[str, Column]:
+        count, total, mean = names(w)
+        out = {count: F.col(f"_{w}d_n").cast("bigint")}
         if amount:
-            cols[f"{entity}_amount_sum_{w}d"] = F.col(f"_{w}d_v")
-            cols[f"{entity}_amount_mean_{w}d"] = F.when(F.col(f"_{w}d_nv") > 0, ratio(F.col(f"_{w}d_v"), F.col(f"_{w}d_nv")))
-    temp = [f"_{f}_{n}" for f in starts for n in measures]
-    return summed.withColumns(cols).drop("_us", *temp)
+            s, n = F.col(f"_{w}d_v"), F.col(f"_{w}d_nv")
+            out.update({total: s, mean: F.when(n > 0, ratio(s, n))})
+        return out
+
+    def extend(part: DataFrame, rows: int | None) -> DataFrame:
+        return entity_time_diff(part, entity, time, row_id, rows)
+
+    return _framed(timed, entity, windows, (0, -1), direct, measures, derived, extend)
 
 
 def rolling_time_aggs(
     df: DataFrame, group: str, value: str, time: str = "timestamp", windows: Sequence[int] = (7,)
 ) -> DataFrame:
     """Mean, sample deviation and count over (t - w days, t] per group."""
-    timed = df.withColumn("_us", micros(F.col(time)))
-    v, cols = F.col(value), {}
-    if _small_enough(df, group):
-        for w in windows:
-            frame = Window.partitionBy(group).orderBy("_us").rangeBetween(-w * MICROS_PER_DAY + 1, 0)
-            cols[f"{group}_{value}_{w}d_mean"] = F.avg(v).over(frame)
-            cols[f"{group}_{value}_{w}d_std"] = F.stddev_samp(v).over(frame)
-            cols[f"{group}_{value}_{w}d_count"] = F.count(v).over(frame)
-        return timed.withColumns(cols).drop("_us")
-
+    timed, v = df.withColumn("_us", micros(F.col(time))), F.col(value)
     # Squares are summed around the overall mean so that the variance does not cancel.
-    centre = df.agg(F.avg(v)).first()[0] or 0.0
-    d = F.coalesce(v - F.lit(float(centre)), F.lit(0.0))
-    measures = {"n": v.isNotNull().cast("int"), "d": d, "q": d * d}
-    starts = {f"{w}d": -w * MICROS_PER_DAY + 1 for w in windows}
-    summed = _prefix_frames(timed, group, measures, starts, end_inclusive=True)
-    for w in windows:
+    centre = F.lit(float(df.agg(F.avg(v)).first()[0] or 0.0))
+    off = F.coalesce(v - centre, F.lit(0.0))
+    measures = {"n": v.isNotNull().cast("int"), "d": off, "q": off * off}
+
+    def names(w: int) -> tuple[str, str, str]:
+        stem = f"{group}_{value}_{w}d"
+        return f"{stem}_mean", f"{stem}_std", f"{stem}_count"
+
+    def direct(w: int, frame: WindowSpec) -> dict[str, Column]:
+        mean, std, count = names(w)
+        return {mean: F.avg(v).over(frame), std: F.stddev_samp(v).over(frame), count: F.count(v).over(frame)}
+
+    def derived(w: int) -> dict[str, Column]:
+        mean, std, count = names(w)
         n, s, q = (F.col(f"_{w}d_{m}") for m in ("n", "d", "q"))
-        cols[f"{group}_{value}_{w}d_mean"] = F.when(n > 0, F.lit(float(centre)) + ratio(s, n))
         spread = F.greatest(ratio(q - ratio(s * s, n), n - 1), F.lit(0.0))
-        cols[f"{group}_{value}_{w}d_std"] = F.when(n > 1, F.sqrt(spread))
-        cols[f"{group}_{value}_{w}d_count"] = n.cast("bigint")
-    temp = [f"_{f}_{m}" for f in starts for m in measures]
-    return summed.withColumns(cols).drop("_us", *temp)
+        return {
+            mean: F.when(n > 0, centre + ratio(s, n)),
+            std: F.when(n > 1, F.sqrt(spread)),
+            count: n.cast("bigint"),
+        }
+
+    return _framed(timed, group, windows, (1, 0), direct, measures, derived)
 
 
 def rolling_features(
