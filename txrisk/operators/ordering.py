@@ -29,6 +29,8 @@ from txrisk.session import ensure_checkpoint_dir, max_group_rows
 
 CHUNK = "_chunk"
 _HALO = "_halo"
+# What a split layout knows about the row's group; dropped before the shuffle.
+_MARKS = ("_coarse", "_fine", "_width", "_last", "_guards", "_first")
 # An oversized group can only exist while groups * limit <= rows, so these two
 # bound the edges on the driver: at most MAX_CHUNKS hot groups and 2 * MAX_CHUNKS
 # chunks for keyed layouts, KEYLESS_CHUNKS edges for a global order.
@@ -62,12 +64,14 @@ class Layout:
         return _chunk_expr(self.order, position)
 
     def drop_internal(self, df: DataFrame) -> DataFrame:
-        return df.drop(CHUNK, "_coarse", "_fine", "_width")
+        return df.drop(CHUNK, *_MARKS)
 
 
-def _limit(df: DataFrame, rows: int, keyed: bool) -> int:
-    cap = MAX_CHUNKS if keyed else KEYLESS_CHUNKS
-    return max(max_group_rows(df.sparkSession), math.ceil(rows / cap))
+def _limits(df: DataFrame, rows: int, keyed: bool) -> tuple[int, int]:
+    """(largest unsplit group, rows per chunk). Chunks are smaller than the limit so that a group
+    just above it already keeps several tasks busy."""
+    floor, share = max_group_rows(df.sparkSession), math.ceil(rows / (MAX_CHUNKS if keyed else KEYLESS_CHUNKS))
+    return max(floor, share), max(math.ceil(floor / 8), share, 1)
 
 
 def _null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str) -> DataFrame:
@@ -97,12 +101,15 @@ def _two_level(edges: list) -> tuple[list, list, int]:
     return coarse, blocks, width
 
 
-def split_groups(df: DataFrame, keys: Sequence[str], order: Sequence[str], rows: int | None = None) -> Layout:
+def split_groups(
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], rows: int | None = None, reach: int = 0
+) -> Layout:
     """Lay ``df`` out for ordered work per group.
 
     ``order`` must be numeric, boolean or string columns that order the rows of a group
     uniquely (add the row id last), without NULLs. ``rows`` is a known upper bound of the rows
-    in any group; when it is small enough nothing has to be counted.
+    in any group; when it is small enough nothing has to be counted. With ``reach`` the layout also
+    marks, for every chunk, a row at least ``reach`` rows before its end.
     """
     keys, order = tuple(keys), tuple(order)
     if rows is not None and rows <= max_group_rows(df.sparkSession):
@@ -112,33 +119,42 @@ def split_groups(df: DataFrame, keys: Sequence[str], order: Sequence[str], rows:
         F.coalesce(F.sum("_n"), F.lit(0)).alias("rows"),
         F.coalesce(F.max("_n"), F.lit(0)).alias("largest"),
     ).first()
-    limit = _limit(df, profile["rows"], bool(keys))
+    limit, chunk = _limits(df, profile["rows"], bool(keys))
     if profile["largest"] <= limit:
         return Layout(df.withColumn(CHUNK, F.lit(0)), keys, order, False, None)
 
     hot_keys = counts.filter(F.col("_n") > limit).select(*keys)
-    step = max(1, min(_SAMPLES_PER_CHUNK, limit))
-    modulus = max(1, limit // step)
+    step = max(min(_SAMPLES_PER_CHUNK, chunk), reach + 1)
+    modulus = max(1, chunk // step)
     rows = df.select(*keys, *order)
     if keys:
         rows = _null_safe_join(rows, hot_keys.withColumn("_hot", F.lit(True)), keys, "inner").drop("_hot")
     sampled = rows.filter(F.pmod(F.xxhash64(*order), F.lit(modulus)) == 0)
     point = F.struct(*[F.col(c).alias(f"o{i}") for i, c in enumerate(order)])
     # Bounded: rows / modulus <= cap * step sampled rows in all.
-    edges = sampled.groupBy(*keys).agg(
-        F.filter(F.sort_array(F.collect_list(point)), lambda x, i: i % step == step - 1).alias("_edges")
+    samples = sampled.groupBy(*keys).agg(F.sort_array(F.collect_list(point)).alias("_s"))
+    # Edge j ends chunk j; guard j lies ``reach`` sampled rows before it, in the same chunk.
+    edges = samples.select(
+        *keys,
+        F.filter("_s", lambda x, i: i % step == step - 1).alias("_edges"),
+        F.filter("_s", lambda x, i: i % step == step - 1 - reach).alias("_guards"),
+        F.slice("_s", 1, 1).alias("_first"),
     )
     edge_type = edges.schema["_edges"].dataType
     table = []
     for row in edges.collect():
         coarse, fine, width = _two_level([tuple(e) for e in row["_edges"]])
-        table.append((*[row[k] for k in keys], coarse, fine, width))
+        marks = [[tuple(e) for e in row[c]] for c in ("_guards", "_first")] if reach else [[], []]
+        table.append((*[row[k] for k in keys], coarse, fine, width, len(row["_edges"]), *marks))
     schema = T.StructType(
         [df.schema[k] for k in keys]
         + [
             T.StructField("_coarse", edge_type),
             T.StructField("_fine", T.ArrayType(edge_type)),
             T.StructField("_width", T.IntegerType()),
+            T.StructField("_last", T.IntegerType()),
+            T.StructField("_guards", edge_type),
+            T.StructField("_first", edge_type),
         ]
     )
     hot = df.sparkSession.createDataFrame(table, T.StructType([T.StructField(f.name, f.dataType) for f in schema]))
@@ -146,13 +162,16 @@ def split_groups(df: DataFrame, keys: Sequence[str], order: Sequence[str], rows:
         placed = _null_safe_join(df, hot, keys, "left")
     else:
         # No key to join on and one row of edges: they become literals of the plan.
-        coarse, fine, width = table[0]
+        coarse, fine, width, last, guards, first = table[0]
         kind, deep = edge_type.simpleString(), T.ArrayType(edge_type).simpleString()
         placed = df.withColumns(
             {
                 "_coarse": _literal(coarse).cast(kind),
                 "_fine": F.array(*[_literal(b).cast(kind) for b in fine]).cast(deep),
                 "_width": F.lit(width),
+                "_last": F.lit(last),
+                "_guards": _literal(guards).cast(kind),
+                "_first": _literal(first).cast(kind),
             }
         )
     placed = placed.withColumn(CHUNK, _chunk_expr(order, [F.col(c) for c in order]))
@@ -255,44 +274,32 @@ def row_frames(
     """Window columns that look back at most ``reach`` rows (or at the group's first row).
 
     ``build(window)`` returns name -> column. In a split group every chunk is preceded by a
-    halo: the last ``reach`` rows before it, plus the group's first row with ``keep_first``.
+    halo: the last ``reach`` (at least 1) rows before it, plus the group's first row with ``keep_first``.
     """
-    layout = split_groups(df, keys, order, rows)
+    layout = split_groups(df, keys, order, rows, reach)
     if not layout.split:
         return layout.drop_internal(layout.df.withColumns(build(layout.window())))
 
-    plain = layout.df.drop("_coarse", "_fine", "_width")
+    plain = layout.df.drop(*_MARKS)
     cols = plain.columns
-    hot = _hot_rows(layout).select(*cols)
-    # Both rankings keep a few rows per chunk; Spark limits them before the shuffle.
+    here = F.struct(*[F.col(c).alias(f"o{i}") for i, c in enumerate(order)])
+    hot = _hot_rows(layout)
+    # Only rows behind a chunk's guard can be among its last ones, so little has to be ranked; and
+    # every chunk has at least ``reach`` rows, so nothing from further back is needed.
     tail = (
-        hot.withColumn("_r", F.row_number().over(layout.window(descending=True)))
-        .filter(F.col("_r") <= max(reach, 1))
+        hot.filter((F.col(CHUNK) < F.col("_last")) & (here >= F.get("_guards", F.col(CHUNK))))
+        .select(*cols)
+        .withColumn("_r", F.row_number().over(layout.window(descending=True)))
+        .filter(F.col("_r") <= reach)
         .drop("_r")
     )
-    across = Window.partitionBy(*keys).orderBy(CHUNK, *order)
-    packed = F.struct(*cols)
-    # <= reach rows per chunk of a split group: bounded by the number of chunks.
-    halo = (
-        tail.withColumn("_head", F.row_number().over(layout.window()))
-        .withColumn("_prev", F.collect_list(packed).over(across.rowsBetween(-reach, -1)))
-    )
+    halo = tail.withColumn(CHUNK, F.col(CHUNK) + 1)
     if keep_first:
-        heads = hot.withColumn("_r", F.row_number().over(layout.window())).filter(F.col("_r") == 1).drop("_r")
-        firsts = (
-            heads.withColumn("_f", F.row_number().over(across))
-            .filter(F.col("_f") == 1)
-            .select(*keys, F.struct(*cols).alias("_first"))
-        )
-        halo = _null_safe_join(halo, firsts, keys, "left")
-        halo = halo.withColumn("_prev", F.array_distinct(F.concat(F.array("_first"), F.col("_prev"))))
-    halo = (
-        halo.filter((F.col("_head") == 1) & (F.col(CHUNK) > 0))
-        .select(F.col(CHUNK).alias("_target"), F.explode("_prev").alias("_row"))
-        .filter(F.col(f"_row.{CHUNK}") < F.col("_target"))
-        .select(*[F.col("_target").alias(CHUNK) if c == CHUNK else F.col(f"_row.{c}").alias(c) for c in cols])
-        .withColumn(_HALO, F.lit(True))
-    )
+        early = hot.filter((F.col("_last") > 0) & (F.col(CHUNK) == 0) & (here <= F.get("_first", F.lit(0)))).select(*cols, "_last")
+        heads = early.withColumn("_r", F.row_number().over(layout.window())).filter(F.col("_r") == 1)
+        spread = heads.withColumn(CHUNK, F.explode(F.sequence(F.lit(1), F.col("_last"))))
+        halo = halo.unionByName(spread.select(*cols)).dropDuplicates([*keys, CHUNK, *order])
+    halo = halo.withColumn(_HALO, F.lit(True))
     padded = plain.withColumn(_HALO, F.lit(False)).unionByName(halo)
     return padded.withColumns(build(layout.window())).filter(~F.col(_HALO)).drop(CHUNK, _HALO)
 
