@@ -6,9 +6,9 @@ similarity, so a signature of 2 * permutations values costs half the hash evalua
 values propose links; every proposed link is confirmed on the full sets.
 
 No bucket is expanded into all its pairs. Documents with equal sets are one node. Within a bucket every
-node is compared with the bucket's hub only; after that, one representative per component is compared with
-another hub; this repeats until a round finds no link. What is left are buckets that hold nodes of different
-components; those nodes are compared across components, so no link is lost.
+node is compared with the bucket's hub only; after that, for some rounds, one representative per component is compared
+with another hub. What is left are buckets that hold nodes of different components; those nodes are compared
+across components unless their distances to the hub rule a link out, so no link is lost.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from txrisk.llm.components import connected_components
 from txrisk.llm.text_hash import lower_ascii, mix, shingle_set
-from txrisk.session import ensure_checkpoint_dir
+from txrisk.session import ensure_checkpoint_dir, max_broadcast_bytes
 
 
 @dataclass(frozen=True)
@@ -35,6 +35,7 @@ class NearDedup:
     percent: int = 80
     permutations: int = 100
     rows: int = 5
+    hub_rounds: int = 3
 
     @property
     def bands(self) -> int:
@@ -59,6 +60,10 @@ def band_keys(shingles: np.ndarray, p: NearDedup) -> np.ndarray:
     return keys.view(np.int64)
 
 
+def _text_hash() -> Column:
+    return F.xxhash64(F.coalesce("text", F.lit("")))
+
+
 def _digest(shingles: np.ndarray) -> bytes:
     return xxhash.xxh3_128_digest(shingles.tobytes())
 
@@ -74,10 +79,10 @@ def _signed(documents: DataFrame, p: NearDedup) -> DataFrame:
                 sizes.append(len(s))
                 nodes.append(_digest(s) if len(s) else None)
                 keys.append(band_keys(s, p) if len(s) else None)
-            yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "n_shingles": sizes, "node": nodes, "keys": keys})
+            yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "n_shingles": sizes, "node": nodes, "keys": keys, "text_hash": batch["text_hash"]})
 
-    return documents.select(F.col("doc_id").cast("long"), "text").mapInPandas(
-        run, "doc_id long, n_shingles long, node binary, keys array<long>"
+    return documents.select(F.col("doc_id").cast("long"), "text", _text_hash().alias("text_hash")).mapInPandas(
+        run, "doc_id long, n_shingles long, node binary, keys array<long>, text_hash long"
     )
 
 
@@ -101,53 +106,81 @@ def _sizes_fit(a: Column, b: Column, percent: int) -> Column:
     return F.least(a, b) * 100 >= F.greatest(a, b) * percent
 
 
-def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Those of ``pairs(u, v)`` whose full sets are similar enough."""
+def _compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """u, v, shared, total (size of the union) from the full sets of ``pairs(u, v)``, a checkpointed table."""
+    ends = pairs.select("u").union(pairs.select("v")).distinct().withColumnRenamed("u", "node")
+    if pairs.count() * 96 <= max_broadcast_bytes(pairs.sparkSession):
+        sets = sets.join(F.broadcast(ends), "node", "left_semi")  # else all the sets take part in the shuffle
     shared = F.size(F.array_intersect("a", "b"))
     return (
         pairs.join(sets.select(F.col("node").alias("u"), F.col("shingles").alias("a")), "u")
         .join(sets.select(F.col("node").alias("v"), F.col("shingles").alias("b")), "v")
-        .where(shared * 100 >= (F.size("a") + F.size("b") - shared) * percent)
-        .select("u", "v")
+        .select("u", "v", shared.alias("shared"), (F.size("a") + F.size("b")).alias("both"))
+        .select("u", "v", "shared", (F.col("both") - F.col("shared")).alias("total"))
     )
 
 
-def _hub_pairs(members: DataFrame, seed: int, percent: int) -> DataFrame:
-    """Per bucket, one representative of each component, paired with the representative that comes first."""
+def _linked(compared: DataFrame, percent: int) -> DataFrame:
+    return compared.where(F.col("shared") * 100 >= F.col("total") * percent).select("u", "v")
+
+
+def _hub_pairs(members: DataFrame, seed: int) -> DataFrame:
+    """key, node, hub: one representative of each component in a bucket, with the one that comes first."""
     rank = F.struct(F.xxhash64(F.lit(seed), "node").alias("r"), "node", "n_shingles")
     heads = members.groupBy("key", "component").agg(F.min(rank).alias("head"))
     hubs = heads.groupBy("key").agg(F.min("head").alias("hub"), F.count("*").alias("n")).where("n > 1").drop("n")
-    return (
-        heads.join(hubs, "key")
-        .where("head.node != hub.node")
-        .where(_sizes_fit(F.col("head.n_shingles"), F.col("hub.n_shingles"), percent))
-        .select(F.greatest("head.node", "hub.node").alias("u"), F.least("head.node", "hub.node").alias("v"))
-        .distinct()
+    return heads.join(hubs, "key").select(
+        "key", F.col("head.node").alias("node"), F.col("hub.node").alias("hub"),
+        F.col("head.n_shingles").alias("n_node"), F.col("hub.n_shingles").alias("n_hub"),
     )
 
 
-def _cross_pairs(members: DataFrame, percent: int) -> DataFrame:
-    """Pairs of nodes that share a bucket but not a component."""
-    open_keys = members.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b"))
-    left = members.join(open_keys.where("a != b").select("key"), "key")
-    right = left.select("key", *(F.col(c).alias(f"{c}2") for c in ("node", "component", "n_shingles")))
+def _ordered(hubbed: DataFrame) -> DataFrame:
+    return hubbed.where("node != hub").select(F.greatest("node", "hub").alias("u"), F.least("node", "hub").alias("v")).distinct()
+
+
+def _open_members(live: DataFrame, components: DataFrame) -> DataFrame:
+    """The rows of the buckets that hold nodes of several components."""
+    labelled = live.join(components, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    ends = labelled.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b"))
+    return labelled.join(ends.where("a != b").select("key"), "key")
+
+
+def _cross_pairs(members: DataFrame, hubbed: DataFrame, compared: DataFrame, percent: int) -> DataFrame:
+    """Pairs of different components that share a bucket and may be similar enough.
+
+    The Jaccard distance is a metric, so two nodes whose distances to their bucket's hub differ by more than the
+    threshold's distance can't be linked. A pair is made in the smallest of its open buckets only.
+    """
+    far = 1 - F.col("shared") / F.col("total")
+    known = compared.select("u", "v", far.alias("d"))
+    to_hub = (
+        hubbed.select("key", "node", "hub", F.greatest("node", "hub").alias("u"), F.least("node", "hub").alias("v"))
+        .join(known, ["u", "v"], "left")
+        .select("key", "node", F.when(F.col("node") == F.col("hub"), 0.0).otherwise(F.col("d")).alias("d"))
+    )
+    keys = members.groupBy("node").agg(F.collect_set("key").alias("keys"))  # at most one per band
+    left = members.join(keys, "node").join(to_hub, ["key", "node"]).select("key", "node", "component", "n_shingles", "keys", "d")
+    right = left.select("key", *(F.col(c).alias(f"{c}2") for c in left.columns if c != "key"))
     return (
         left.join(right, "key")
         .where("node > node2 and component != component2")
         .where(_sizes_fit(F.col("n_shingles"), F.col("n_shingles2"), percent))
+        .where(F.abs(F.col("d") - F.col("d2")) <= 1 - percent / 100 + 1e-9)
+        .where(F.array_min(F.array_intersect("keys", "keys2")) == F.col("key"))
         .select(F.col("node").alias("u"), F.col("node2").alias("v"))
-        .distinct()
     )
 
 
 def near_components(documents: DataFrame, params: NearDedup | None = None) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept for every row of ``documents(doc_id, text, ...)``.
+    """doc_id, n_shingles, component_id, kept, text_hash for every row of ``documents(doc_id, text, ...)``.
 
     ``component_id`` is the smallest doc_id that confirmed links reach, itself included; ``kept`` says
     that a row has that id. Texts without words (null, empty, white space) have no shingles and are linked
     with nothing; texts shorter than a shingle are one shingle. Rows with a null doc_id take part but
     never name a component that has another id. Repeated rows are one node; all rows that carry the
-    component's id count as kept. Other columns are ignored. Sets are compared by 64-bit shingle hashes.
+    component's id count as kept. ``text_hash`` tells texts under one doc_id apart. Other columns are ignored.
+    Sets are compared by 64-bit shingle hashes.
     """
     p = params or NearDedup()
     ensure_checkpoint_dir(documents.sparkSession)
@@ -165,36 +198,36 @@ def near_components(documents: DataFrame, params: NearDedup | None = None) -> Da
     )
     sets = _sets(texts, p).checkpoint()
 
-    links = checked = None
-    members = live.withColumn("component", F.col("node"))
-    seed = 0
-    while True:
-        pairs = _hub_pairs(members, seed, p.percent)
-        if checked is not None:
-            pairs = pairs.join(checked, ["u", "v"], "left_anti")
-        pairs = pairs.checkpoint()
-        found = _confirmed(pairs, sets, p.percent).checkpoint()
-        checked = pairs if checked is None else checked.unionByName(pairs)
-        links = found if links is None else links.unionByName(found)
-        if found.isEmpty():
-            break
-        components = connected_components(links)
-        members = _relabelled(live, components)
-        seed += 1
-    left = _cross_pairs(members, p.percent).join(checked, ["u", "v"], "left_anti")
-    found = _confirmed(left, sets, p.percent).checkpoint()
-    if not found.isEmpty():
-        links = links.unionByName(found)
-    components = connected_components(links)
+    # The first hubs meet every node of their buckets.
+    hubbed = _hub_pairs(live.withColumn("component", F.col("node")), 0).checkpoint()
+    compared = _compared(_ordered(hubbed).checkpoint(), sets).checkpoint()
+    components = connected_components(_linked(compared, p.percent))
+    # More hubs, now among components.
+    for seed in range(1, p.hub_rounds):
+        heads = _hub_pairs(_open_members(live, components), seed)
+        heads = heads.where(_sizes_fit(F.col("n_node"), F.col("n_hub"), p.percent))
+        links = _linked(_compared(_ordered(heads).checkpoint(), sets), p.percent)
+        components = connected_components(components.toDF("u", "v").union(links))
+    # Whatever shares a bucket and is not yet in one component.
+    left = _cross_pairs(_open_members(live, components), hubbed, compared, p.percent).checkpoint()
+    links = _linked(_compared(left, sets), p.percent)
+    components = connected_components(components.toDF("u", "v").union(links))
+
     labelled = signed.drop("keys").join(components, "node", "left").withColumn("component", F.coalesce("component", "node"))
     smallest = labelled.where("component is not null").groupBy("component").agg(F.min("doc_id").alias("smallest"))
     component_id = F.when(F.col("component").isNull(), F.col("doc_id")).otherwise(F.col("smallest"))
     return labelled.join(smallest, "component", "left").select(
-        "doc_id", "n_shingles", component_id.alias("component_id"), F.col("doc_id").eqNullSafe(component_id).alias("kept")
+        "doc_id",
+        "n_shingles",
+        component_id.alias("component_id"),
+        F.col("doc_id").eqNullSafe(component_id).alias("kept"),
+        "text_hash",
     )
 
 
-def _relabelled(live: DataFrame, components: DataFrame) -> DataFrame:
-    labelled = live.join(components, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    still = labelled.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b"))
-    return labelled.join(still.where("a != b").select("key"), "key").select("key", "node", "n_shingles", "component").checkpoint()
+def keep_one_per_component(documents: DataFrame, params: NearDedup | None = None) -> DataFrame:
+    """The rows of ``documents`` that stay, one per group, all columns as they are; of repeated rows one stays."""
+    kept = near_components(documents, params).where("kept").select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"))
+    same = F.col("__own").eqNullSafe(F.col("__id")) & (F.col("__text") == F.col("__hash"))
+    rows = documents.withColumn("__own", F.col("doc_id").cast("long")).withColumn("__text", _text_hash())
+    return rows.join(kept.distinct(), same, "left_semi").dropDuplicates(["__own", "__text"]).drop("__own", "__text")

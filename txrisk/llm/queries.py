@@ -2,9 +2,19 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from txrisk.llm.decontamination import contained_items
+from txrisk.llm.exact_dedup import exact_groups
+from txrisk.llm.license_scan import TEMPLATES, scan_licenses
+from txrisk.llm.line_dedup import drop_recurring_lines
 from txrisk.llm.near_dedup import NearDedup, near_components
+from txrisk.llm.packing import pack
+from txrisk.llm.quality_rules import fit_rules, score_quality
+from txrisk.llm.token_counts import count_tokens
+from txrisk.llm.url_filter import Rule, fit_url_model, judge_urls, matching_rule, url_host, url_path
 from txrisk.plans.registry import query
 
 
@@ -12,6 +22,110 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+#: Host, path, verdict.
+URL_RULES = [
+    Rule("com", "/", "allow"),
+    Rule("example.com", "/en/", "block"),
+    Rule("www.example.com", "/en/", "allow"),
+    Rule("net", "/es/", "block"),
+    Rule("net", "/fr/", "block"),
+]
+
+
+@query("op1_url_filter")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The labelled urls are those that a rule decides: the rules are the only judgement on urls there is."""
+    pages = _read(spark, sf_dir, "pages")
+    decided = matching_rule(URL_RULES, url_host(F.col("url")), url_path(F.col("url")))
+    labelled = pages.select("url", decided["verdict"].alias("verdict"))
+    return judge_urls(pages, URL_RULES, fit_url_model(labelled))
+
+
+def _quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+_WORDS = r"list_filter(regexp_split_to_array(lower({}), '[^\p{{L}}\p{{N}}]+'), lambda x: x <> '')"
+
+OP2_SQL = f"""
+WITH notices(template, licence, notice) AS (
+    VALUES {", ".join(f"({i}, {_quoted(licence)}, {_quoted(text)})" for i, (licence, text) in enumerate(TEMPLATES))}
+), units AS (
+    SELECT doc_id, unnest(CASE WHEN contains(coalesce(text, ''), chr(10))
+        THEN list_concat([text], string_split(text, chr(10))) ELSE [coalesce(text, '')] END) AS unit FROM documents
+), words AS (
+    SELECT doc_id, CAST(NULL AS INTEGER) AS template, NULL AS licence, {_WORDS.format("unit")} AS w FROM units
+    UNION ALL SELECT NULL, template, licence, {_WORDS.format("notice")} FROM notices
+), grams AS (
+    SELECT doc_id, template, licence, CASE WHEN len(w) < 2 THEN w ELSE
+        list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) END AS g FROM words
+), pairs AS (
+    SELECT u.doc_id, t.licence, len(list_intersect(u.g, t.g)) AS shared, len(u.g) + len(t.g) AS both_sizes
+    FROM grams u JOIN grams t ON u.template IS NULL AND t.template IS NOT NULL
+    WHERE len(u.g) > 0 AND len(u.g) <= 2 * len(t.g) AND len(t.g) <= 2 * len(u.g)
+)
+SELECT doc_id, licence, max(2.0::DOUBLE * shared / both_sizes) AS dice, count(*) AS n_units
+FROM pairs WHERE shared * 200 >= both_sizes * 80 GROUP BY ALL
+"""
+
+
+@query("op2_license_scan", OP2_SQL)
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licenses(_read(spark, sf_dir, "documents"))
+
+
+OP3_SQL = r"""
+WITH docs AS (
+    SELECT doc_id, coalesce(text, '') AS text, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents
+), numbered AS (
+    SELECT doc_id, unnest(range(1, len(lines) + 1)) AS line_no, unnest(lines) AS line FROM docs
+), cut AS (
+    SELECT doc_id, line_no, list_transform(list_filter(regexp_split_to_array(line, '[\x20\x09-\x0D]+'), lambda x: x <> ''),
+        lambda x: CASE WHEN regexp_matches(x, '[0-9]') THEN '<*>' ELSE x END) AS t FROM numbered
+), lines AS (
+    SELECT *, concat_ws(' ', len(t), t[1], t[2], t[3]) AS leaf FROM cut WHERE len(t) >= 3
+), crowded AS (
+    SELECT leaf, count(DISTINCT t) AS members FROM lines GROUP BY leaf
+    HAVING count(DISTINCT doc_id) > 1 AND count(DISTINCT t) > 1
+), members AS (
+    SELECT DISTINCT leaf, t, members FROM lines JOIN crowded USING (leaf)
+), tokens AS (
+    SELECT leaf, members, t, unnest(range(1, len(t) + 1)) AS at, unnest(t) AS token FROM members
+), constant AS (
+    SELECT leaf, at, token, true AS fixed FROM tokens
+    GROUP BY leaf, members, at, token HAVING count(*) > 1 AND count(*) * 100 >= members * 50
+), general AS (
+    SELECT leaf, t, list(CASE WHEN fixed THEN token ELSE '<*>' END ORDER BY at) AS g
+    FROM tokens LEFT JOIN constant USING (leaf, at, token) GROUP BY leaf, t
+), templates AS (
+    SELECT doc_id, line_no, CASE WHEN len(list_filter(g, lambda x: x <> '<*>')) * 100 >= len(l.t) * 60 THEN g ELSE l.t END AS template
+    FROM lines l LEFT JOIN general g ON g.leaf = l.leaf AND g.t = l.t
+), recurring AS (
+    SELECT template FROM templates GROUP BY template HAVING count(DISTINCT doc_id) >= 3
+), dropped AS (
+    SELECT doc_id, line_no FROM templates JOIN recurring USING (template)
+)
+SELECT doc_id, coalesce(string_agg(n.line, chr(10) ORDER BY n.line_no) FILTER (WHERE d.line_no IS NULL), '') AS text,
+    count(*) AS n_lines, count(d.line_no) AS n_dropped
+FROM numbered n LEFT JOIN dropped d USING (doc_id, line_no) GROUP BY doc_id
+"""
+
+
+@query("op3_line_dedup", OP3_SQL)
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return drop_recurring_lines(_read(spark, sf_dir, "documents"))
+
+
+@query("op5_token_counts")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return count_tokens(_read(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+@query("op6_packing")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(_read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 OP7_SQL = r"""
 WITH RECURSIVE words AS (
     SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''),
@@ -54,4 +168,45 @@ FROM sets d LEFT JOIN classes c ON len(d.s) > 0 AND list_sort(d.s) = c.s LEFT JO
 
 @query("op7_minhash_near_dedup", OP7_SQL)
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_components(_read(spark, sf_dir, "documents"), NearDedup(shingle_words=2))
+    return near_components(_read(spark, sf_dir, "documents"), NearDedup(shingle_words=2)).drop("text_hash")
+
+
+OP8_SQL = """
+SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = max(doc_id) OVER w AS kept,
+    sha256(coalesce(text, '')) AS text_sha256
+FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))
+"""
+
+
+@query("op8_exact_dedup", OP8_SQL)
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_groups(_read(spark, sf_dir, "documents"))
+
+
+OP9_SQL = f"""
+WITH words AS (
+    SELECT doc_id, CAST(NULL AS BIGINT) AS item_id, {_WORDS.format("coalesce(text, '')")} AS w FROM documents
+    UNION ALL SELECT NULL, item_id, {_WORDS.format("coalesce(text, '')")} FROM benchmark
+), sets AS (
+    SELECT doc_id, item_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE
+        list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) END AS s FROM words
+), items AS (
+    SELECT item_id, len(s) AS n_item, unnest(s) AS g FROM sets WHERE item_id IS NOT NULL
+), docs AS (
+    SELECT doc_id, unnest(s) AS g FROM sets WHERE item_id IS NULL
+)
+SELECT doc_id, item_id, count(*) AS n_shared, n_item, count(*)::DOUBLE / n_item AS containment
+FROM docs JOIN items USING (g) GROUP BY doc_id, item_id, n_item HAVING count(*) * 100 >= n_item * 80
+"""
+
+
+@query("op9_benchmark_decontamination", OP9_SQL)
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = contained_items(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+    return found.drop("text_hash")
+
+
+@query("op10_quality_classifier")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = _read(spark, sf_dir, "documents")
+    return score_quality(documents, fit_rules(documents, _read(spark, sf_dir, "labels")))
