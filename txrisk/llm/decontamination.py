@@ -29,8 +29,12 @@ class Containment:
 
 
 def words(text: Column) -> Column:
-    """Lower-case words; everything but letters and digits is a gap."""
-    return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), lambda w: w != "")
+    """Lower-case words; everything but letters and digits is a gap.
+
+    A generator: the list becomes a column of its own, which the optimizer can't copy into the lambdas that read it.
+    """
+    cut = F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), lambda w: w != "")
+    return F.explode(F.array(cut))
 
 
 def shingles(w: Column, n: int, part: Column | None = None) -> Column:
@@ -44,7 +48,8 @@ def shingles(w: Column, n: int, part: Column | None = None) -> Column:
 def item_shingles(benchmark: DataFrame, p: Containment) -> DataFrame:
     """item_id, n_item, need, all (distinct shingle hashes) per distinct item; ``need`` of them make a find."""
     items = benchmark.select("item_id", "text").where("text is not null").distinct()
-    items = items.select("item_id", F.array_distinct(shingles(words(F.col("text")), p.shingle_words)).alias("all"))
+    items = items.select("item_id", words(F.col("text")).alias("w"))
+    items = items.select("item_id", F.array_distinct(shingles(F.col("w"), p.shingle_words)).alias("all"))
     items = items.withColumn("n_item", F.size("all").cast("long")).where("n_item > 0")
     return items.withColumn("need", F.floor((F.col("n_item") * p.percent + 99) / 100).cast("long"))
 
@@ -89,13 +94,15 @@ def contained_items(documents: DataFrame, benchmark: DataFrame, params: Containm
     bound = keys.groupBy("size_class").agg(F.max("shingle").alias("m")).agg(F.max("m")).first()[0]
 
     rows = documents.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
-    looked_up = shingles(words(F.col("text")), p.shingle_words, F.lit(bound).cast("long"))
-    probes = rows.select("doc_id", "text_hash", F.explode(looked_up).alias("shingle"))
+    listed = rows.select("doc_id", "text_hash", words(F.col("text")).alias("w"))
+    looked_up = shingles(F.col("w"), p.shingle_words, F.lit(bound).cast("long"))
+    probes = listed.select("doc_id", "text_hash", F.explode(looked_up).alias("shingle"))
     found = probes.join(_small(keys.select("shingle").distinct()), "shingle").select("doc_id", "text_hash").distinct()
     found = _stored(found.select(F.col("doc_id").alias("id"), F.col("text_hash").alias("hash")), "candidates")
 
     whole = rows.join(found, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("text_hash") == F.col("hash")), "left_semi")
-    whole = whole.select("doc_id", "text_hash", F.explode(F.array_distinct(shingles(words(F.col("text")), p.shingle_words))).alias("shingle"))
+    whole = whole.select("doc_id", "text_hash", words(F.col("text")).alias("w"))
+    whole = whole.select("doc_id", "text_hash", F.explode(F.array_distinct(shingles(F.col("w"), p.shingle_words))).alias("shingle"))
     shared = whole.join(_small(item_rows), "shingle").select("doc_id", "text_hash", "item", "item_id", "n_item", "need", "shingle")
     counted = shared.distinct().groupBy("doc_id", "text_hash", "item", "item_id", "n_item", "need").agg(F.count("*").alias("n_shared"))
     return counted.where("n_shared >= need").select(

@@ -49,8 +49,11 @@ MAX_TEMPLATES = 1000
 
 
 def words(text: Column) -> Column:
-    """Words of the normalised text: lower case, everything but letters and digits is a gap."""
-    return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != "")
+    """Words of the normalised text: lower case, everything but letters and digits is a gap.
+
+    A generator: the list becomes a column of its own, which the optimizer can't copy into the lambdas that read it.
+    """
+    return F.explode(F.array(F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != "")))
 
 
 def bigrams(w: Column) -> Column:
@@ -65,7 +68,8 @@ def template_table(spark, templates: list[tuple[str, str]]) -> DataFrame:
         raise ValueError(f"at most {MAX_TEMPLATES} templates")
     rows = [(i, licence, text) for i, (licence, text) in enumerate(templates)]
     table = spark.createDataFrame(rows, "template int, licence string, notice string")
-    table = table.select("template", "licence", bigrams(words(F.col("notice"))).alias("bigrams"))
+    table = table.select("template", "licence", words(F.col("notice")).alias("w"))
+    table = table.select("template", "licence", bigrams(F.col("w")).alias("bigrams"))
     return table.select("template", "licence", F.size("bigrams").alias("n_template"), "bigrams").where("n_template > 0")
 
 
@@ -86,8 +90,8 @@ def scan_licenses(documents: DataFrame, templates: list[tuple[str, str]] | None
     text = F.coalesce("text", F.lit(""))
     lines = F.split(text, "\n", -1)
     units = F.when(F.size(lines) > 1, F.concat(F.array(text), lines)).otherwise(lines)
-    grams = documents.select("doc_id", F.explode(units).alias("unit")).select("doc_id", bigrams(words(F.col("unit"))).alias("a"))
-    sized = grams.withColumn("n_unit", F.size("a"))
+    listed = documents.select("doc_id", F.explode(units).alias("unit")).select("doc_id", words(F.col("unit")).alias("w"))
+    sized = listed.select("doc_id", F.explode(F.array(bigrams(F.col("w")))).alias("a")).withColumn("n_unit", F.size("a"))
     shared = F.size(F.array_intersect("a", "bigrams"))
     both = F.col("n_unit") + F.col("n_template")
     return (

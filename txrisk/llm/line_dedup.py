@@ -54,7 +54,8 @@ def _lines(documents: DataFrame, p: LineTree) -> DataFrame:
     """row_id, line_no, leaf, line (masked), size; only lines of enough tokens."""
     text = F.coalesce("text", F.lit(""))
     lines = documents.select(_row_id(F.col("doc_id"), text).alias("row_id"), F.posexplode(F.split(text, "\n", -1)).alias("line_no", "line"))
-    lines = lines.select("row_id", "line_no", masked(F.col("line")).alias("line"))
+    # A generator, so that the masked line is made once and not again for every use.
+    lines = lines.select("row_id", "line_no", F.explode(F.array(masked(F.col("line")))).alias("line"))
     lines = lines.withColumn("size", F.char_length("line") - F.char_length(F.translate("line", " ", "")) + 1)
     leaf = F.concat_ws(" ", F.col("size").cast("string"), F.substring_index("line", " ", p.leading))
     return lines.where(F.col("size") >= p.min_tokens).select("row_id", "line_no", _digest(leaf).alias("leaf"), "line", "size")

@@ -44,9 +44,9 @@ STATISTICS = [
 class RuleEnsemble:
     """At most ``max_labelled`` labelled rows are fitted, those with the smallest hash of their id."""
 
-    trees: int = 40
+    trees: int = 20
     depth: int = 3
-    penalty: float = 2e-3
+    penalty: float = 5e-4
     max_labelled: int = 20_000
     seed: int = 11
 
@@ -177,7 +177,7 @@ def fit_rules(documents: DataFrame, labels: DataFrame, params: RuleEnsemble | No
     if not bounds:
         return RuleModel(float(np.log(seen[1.0] / seen[0.0])), ())
     indicators = F.array(*(Rule(b, 1.0).holds(F.col("s")).cast("double") for b in bounds))
-    fitted = LogisticRegression(featuresCol="rules", regParam=p.penalty, elasticNetParam=1.0, standardization=False, maxIter=200).fit(
+    fitted = LogisticRegression(featuresCol="rules", regParam=p.penalty, elasticNetParam=1.0, standardization=False, maxIter=60, tol=1e-5).fit(
         features.select("label", array_to_vector(indicators).alias("rules"))
     )
     weights = fitted.coefficients.toArray()

@@ -90,13 +90,13 @@ WITH docs AS (
 ), members AS (
     SELECT DISTINCT leaf, t, members FROM lines JOIN crowded USING (leaf)
 ), tokens AS (
-    SELECT leaf, members, t, unnest(range(1, len(t) + 1)) AS at, unnest(t) AS token FROM members
+    SELECT leaf, members, t, unnest(range(1, len(t) + 1)) AS pos, unnest(t) AS token FROM members
 ), constant AS (
-    SELECT leaf, at, token, true AS fixed FROM tokens
-    GROUP BY leaf, members, at, token HAVING count(*) > 1 AND count(*) * 100 >= members * 50
+    SELECT leaf, pos, token, true AS fixed FROM tokens
+    GROUP BY leaf, members, pos, token HAVING count(*) > 1 AND count(*) * 100 >= members * 50
 ), general AS (
-    SELECT leaf, t, list(CASE WHEN fixed THEN token ELSE '<*>' END ORDER BY at) AS g
-    FROM tokens LEFT JOIN constant USING (leaf, at, token) GROUP BY leaf, t
+    SELECT leaf, t, list(CASE WHEN fixed THEN token ELSE '<*>' END ORDER BY pos) AS g
+    FROM tokens LEFT JOIN constant USING (leaf, pos, token) GROUP BY leaf, t
 ), templates AS (
     SELECT doc_id, line_no, CASE WHEN len(list_filter(g, lambda x: x <> '<*>')) * 100 >= len(l.t) * 60 THEN g ELSE l.t END AS template
     FROM lines l LEFT JOIN general g ON g.leaf = l.leaf AND g.t = l.t
