@@ -13,6 +13,7 @@ from txrisk.llm.line_dedup import drop_recurring_lines
 from txrisk.llm.near_dedup import NearDedup, near_components
 from txrisk.llm.packing import pack
 from txrisk.llm.quality_rules import fit_rules, score_quality
+from txrisk.llm.suffix_dedup import remove_repeats
 from txrisk.llm.token_counts import count_tokens
 from txrisk.llm.url_filter import Rule, fit_url_model, judge_urls, matching_rule, url_host, url_path
 from txrisk.plans.registry import query
@@ -116,6 +117,11 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drop_recurring_lines(_read(spark, sf_dir, "documents"))
 
 
+@query("op4_suffix_dedup")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(_read(spark, sf_dir, "documents"), with_bytes=False).drop("kept")
+
+
 @query("op5_token_counts")
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(_read(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
