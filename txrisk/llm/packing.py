@@ -7,7 +7,6 @@ sequence crosses documents and none needs padding; sequences of equal length for
 
 from __future__ import annotations
 
-import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -23,16 +22,41 @@ CACHE_WORDS = 400_000
 SLOT_PIECES = 1 << 16
 
 
+def _kinds() -> np.ndarray:
+    """Per byte: 1 for ASCII letters and digits, 2 for ASCII signs but the apostrophe, else 0."""
+    kinds = np.zeros(256, dtype=np.int8)
+    kinds[33:127] = 2
+    kinds[np.frombuffer(b"0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz", dtype=np.uint8)] = 1
+    kinds[ord("'")] = 0
+    return kinds
+
+
+_KIND = _kinds()
+
+
+def cut_words(raw: bytes) -> list[bytes]:
+    """Words of a text, also cut between ASCII letters or digits and signs, where every pre-token ends.
+
+    An apostrophe may begin a pre-token with letters in it, so there is no cut next to one; nor is there next to
+    other characters, whose kind depends on more than a byte.
+    """
+    if b"<|" in raw:  # a special token keeps its signs and its case
+        return raw.split()
+    raw = raw.lower()
+    kinds = _KIND[np.frombuffer(raw, dtype=np.uint8)]
+    at = np.flatnonzero(kinds[1:] * kinds[:-1] == 2) + 1
+    if len(at):
+        raw = np.insert(np.frombuffer(raw, dtype=np.uint8), at, 32).tobytes()
+    return raw.split()
+
+
 class WordIds:
     """Ids of texts by way of their words: this tokenizer's pre-tokens never hold white space.
 
-    Ids are kept as little-endian unsigned 32-bit bytes. The library sees each new word of a batch once. A word
-    of ASCII letters, digits and other signs without an apostrophe falls apart where the library's pattern cuts
-    it, between signs and the rest.
+    Ids are kept as little-endian unsigned 32-bit bytes. The library sees each new word of a batch once; words
+    that are one pre-token (letters only) are given to it many at a time, as one text.
     """
 
-    _parts = re.compile(rb"[A-Za-z]+|[0-9]|[^0-9A-Za-z]+")
-
     def __init__(self, file: str):
         from tokenizers import Tokenizer
 
@@ -43,34 +67,28 @@ class WordIds:
     def _learn(self, words: set[bytes]) -> None:
         """Have all these words in the newer generation."""
         known, old = self._new, self._old
-        cut, single, whole = {}, set(), []
-        for word in words - known.keys():
+        letters, other = [], []
+        for word in [w for w in words if w not in known]:
             ids = old.get(word)
             if ids is not None:
                 known[word] = ids
-            elif word.isascii() and b"'" not in word and b"<|" not in word:
-                cut[word] = self._parts.findall(word)
-                single.update(cut[word])
-            else:
-                whole.append(word)
-        found = self._tokenizer.encode_batch_fast([w.decode("utf-8") for w in whole], add_special_tokens=False)
-        known.update((word, struct.pack(f"<{len(e.ids)}I", *e.ids)) for word, e in zip(whole, found))
-        single = list(single - known.keys())
-        for at in range(0, len(single), 4096):
-            parts = single[at : at + 4096]
-            e = self._tokenizer.encode(b" ".join(parts).decode("ascii"), add_special_tokens=False)
-            raw = np.array(e.ids, dtype="<u4").tobytes()
-            ends = np.cumsum(np.bincount(np.array(e.word_ids), minlength=len(parts))) * 4
-            known.update((part, raw[i:j]) for part, i, j in zip(parts, [0, *ends.tolist()], ends.tolist()))
-        for word, parts in cut.items():
-            if len(parts) > 1:
-                known[word] = b"".join([known[part] for part in parts])
+                continue
+            text = word.decode("utf-8")
+            (letters if text.isalpha() and text.lower().isalpha() else other).append((word, text))
+        for at in range(0, len(letters), 512):
+            part = letters[at : at + 512]
+            e = self._tokenizer.encode(" ".join([text for _, text in part]), add_special_tokens=False)
+            ends = np.cumsum(np.bincount(np.array(e.word_ids), minlength=len(part))) * 4
+            if len(ends) != len(part):  # the library cuts one of them after all
+                other += part
+                continue
+            raw, ends = np.array(e.ids, dtype="<u4").tobytes(), ends.tolist()
+            known.update((word, raw[i:j]) for (word, _), i, j in zip(part, [0, *ends], ends))
+        found = self._tokenizer.encode_batch_fast([text for _, text in other], add_special_tokens=False)
+        known.update((word, struct.pack(f"<{len(e.ids)}I", *e.ids)) for (word, _), e in zip(other, found))
 
     def encode_batch(self, texts: list[str], end: int) -> list[bytes]:
-        split = []
-        for text in texts:
-            raw = text.encode("utf-8")
-            split.append((raw if b"<|" in raw else raw.lower()).split())  # special tokens are told apart by case
+        split = [cut_words(text.encode("utf-8")) for text in texts]
         if len(self._new) >= CACHE_WORDS:
             self._old, self._new = self._new, {}
         self._learn(set().union(*split))
