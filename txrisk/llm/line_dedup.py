@@ -11,11 +11,12 @@ order of lines. Counts are combined map-side, so neither a common line nor a cro
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from txrisk.session import ensure_checkpoint_dir
+from txrisk.session import ensure_checkpoint_dir, max_broadcast_bytes
 
 VARIABLE = "<*>"
 
@@ -37,7 +38,8 @@ class LineTree:
 
 def masked(line: Column) -> Column:
     """Tokens of the line with one space between them; tokens with a digit are variable."""
-    plain = F.trim(F.regexp_replace(line, r"[\x20\x09-\x0D]+", " "))
+    gaps = reduce(Column.__or__, (line.contains(gap) for gap in ("  ", "\t", "\r", "\x0b", "\x0c")))
+    plain = F.trim(F.when(gaps, F.regexp_replace(line, r"[\x20\x09-\x0D]+", " ")).otherwise(line))
     return F.when(plain.rlike("[0-9]"), F.regexp_replace(plain, "(?<![^ ])[^ 0-9]*+[0-9][^ ]*", VARIABLE)).otherwise(plain)
 
 
@@ -56,7 +58,7 @@ def _lines(documents: DataFrame, p: LineTree) -> DataFrame:
     lines = documents.select(_row_id(F.col("doc_id"), text).alias("row_id"), F.posexplode(F.split(text, "\n", -1)).alias("line_no", "line"))
     # A generator, so that the masked line is made once and not again for every use.
     lines = lines.select("row_id", "line_no", F.explode(F.array(masked(F.col("line")))).alias("line"))
-    lines = lines.withColumn("size", F.char_length("line") - F.char_length(F.translate("line", " ", "")) + 1)
+    lines = lines.withColumn("size", F.octet_length("line") - F.octet_length(F.replace("line", F.lit(" "))) + 1)
     leaf = F.concat_ws(" ", F.col("size").cast("string"), F.substring_index("line", " ", p.leading))
     return lines.where(F.col("size") >= p.min_tokens).select("row_id", "line_no", _digest(leaf).alias("leaf"), "line", "size")
 
@@ -66,8 +68,11 @@ def _generalised(lines: DataFrame, occurrences: DataFrame, p: LineTree) -> DataF
     leaves = occurrences.groupBy("leaf").agg(
         F.min("row_id").alias("a"), F.max("row_id").alias("b"), F.min("key").alias("c"), F.max("key").alias("d")
     )
+    crowded = leaves.where("a != b and c != d").select("leaf").checkpoint()
+    if crowded.count() * 64 <= max_broadcast_bytes(lines.sparkSession):
+        crowded = F.broadcast(crowded)  # else the lines are shuffled
     members = (
-        lines.join(leaves.where("a != b and c != d").select("leaf"), "leaf", "left_semi")
+        lines.join(crowded, "leaf", "left_semi")
         .groupBy("leaf", "line", "size")
         .agg(F.count("*").alias("n"))
         .select("leaf", "size", _digest(F.col("line")).alias("key"), F.split("line", " ", -1).alias("t"))
