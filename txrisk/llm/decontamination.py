@@ -19,6 +19,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from txrisk.llm.columns import fresh
 from txrisk.session import max_broadcast_bytes, scratch_path
 
 
@@ -112,7 +113,8 @@ def contained_items(documents: DataFrame, benchmark: DataFrame, params: Containm
 
 def drop_contaminated(documents: DataFrame, benchmark: DataFrame, params: Containment | None = None) -> DataFrame:
     """The rows of ``documents`` that contain no item, all columns as they are."""
-    found = contained_items(documents, benchmark, params).select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"))
+    of, other = fresh(documents, "of", "other")
+    found = contained_items(documents, benchmark, params).select(F.col("doc_id").alias(of), F.col("text_hash").alias(other))
     found = _stored(found.distinct(), "contaminated")
-    same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.xxhash64("text") == F.col("__hash"))
+    same = F.col("doc_id").eqNullSafe(F.col(of)) & (F.xxhash64("text") == F.col(other))
     return documents.join(found, same, "left_anti")

@@ -15,6 +15,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from txrisk.llm.columns import fresh
 from txrisk.session import max_broadcast_bytes, scratch_path
 
 
@@ -82,8 +83,9 @@ def build_index(documents: DataFrame, params: ExtendibleHash | None = None) -> t
     owned = _with_bucket(entries, cells, depth).withColumn("bucket", F.concat(F.lit("b"), "bucket")).repartition("bucket")
     chain = F.row_number().over(Window.partitionBy("bucket", "key").orderBy("text_sha256"))
     path = scratch_path(spark, "index")
-    owned.withColumn("chain", chain).write.partitionBy("bucket").parquet(path)
-    return spark.read.parquet(path), cells, depth
+    owned = owned.withColumn("chain", chain)
+    owned.write.partitionBy("bucket").parquet(path)
+    return spark.read.schema(owned.schema).parquet(path), cells, depth
 
 
 def exact_groups(documents: DataFrame, params: ExtendibleHash | None = None) -> DataFrame:
@@ -106,7 +108,8 @@ def exact_groups(documents: DataFrame, params: ExtendibleHash | None = None) ->
 def keep_one_of_equal(documents: DataFrame, params: ExtendibleHash | None = None) -> DataFrame:
     """The rows of ``documents`` that stay, all columns as they are; of repeated rows one stays."""
     index, _, _ = build_index(documents, params)
-    keep = index.select(F.col("text_sha256").alias("__sha"), F.col("keep_id").alias("__keep"))
-    rows = documents.withColumn("__sha", F.sha2(F.coalesce("text", F.lit("")), 256)).withColumn("__id", F.col("doc_id").cast("long"))
-    rows = rows.join(keep.withColumnRenamed("__sha", "__of"), (F.col("__sha") == F.col("__of")) & F.col("__id").eqNullSafe(F.col("__keep")))
-    return rows.dropDuplicates(["__sha", "__id"]).drop("__sha", "__id", "__of", "__keep")
+    sha, own, of, keep = fresh(documents, "sha", "own", "of", "keep")
+    stay = index.select(F.col("text_sha256").alias(of), F.col("keep_id").alias(keep))
+    rows = documents.withColumn(sha, F.sha2(F.coalesce("text", F.lit("")), 256)).withColumn(own, F.col("doc_id").cast("long"))
+    rows = rows.join(stay, (F.col(sha) == F.col(of)) & F.col(own).eqNullSafe(F.col(keep)))
+    return rows.dropDuplicates([sha, own]).drop(sha, own, of, keep)

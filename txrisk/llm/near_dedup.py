@@ -22,6 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from txrisk.llm.columns import fresh
 from txrisk.llm.components import connected_components
 from txrisk.llm.text_hash import lower_ascii, mix, shingle_set
 from txrisk.session import ensure_checkpoint_dir, max_broadcast_bytes
@@ -107,10 +108,17 @@ def _sizes_fit(a: Column, b: Column, percent: int) -> Column:
 
 
 def _compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """u, v, shared, total (size of the union) from the full sets of ``pairs(u, v)``, a checkpointed table."""
-    ends = pairs.select("u").union(pairs.select("v")).distinct().withColumnRenamed("u", "node")
-    if pairs.count() * 96 <= max_broadcast_bytes(pairs.sparkSession):
-        sets = sets.join(F.broadcast(ends), "node", "left_semi")  # else all the sets take part in the shuffle
+    """u, v, shared, total (size of the union) from the full sets of ``pairs(u, v)``, a checkpointed table.
+
+    Only the sets of the pairs' nodes take part. Where these are few, a size that is measured, every task gets
+    them and no set is shuffled once per pair.
+    """
+    limit = max_broadcast_bytes(pairs.sparkSession)
+    if pairs.count() * 96 <= limit:
+        ends = pairs.select("u").union(pairs.select("v")).distinct().withColumnRenamed("u", "node")
+        sets = sets.join(F.broadcast(ends), "node", "left_semi").checkpoint()
+        if sets.agg(F.coalesce(F.sum(F.size("shingles") * 8 + 64), F.lit(0))).first()[0] <= limit:
+            sets = F.broadcast(sets)
     shared = F.size(F.array_intersect("a", "b"))
     return (
         pairs.join(sets.select(F.col("node").alias("u"), F.col("shingles").alias("a")), "u")
@@ -227,7 +235,8 @@ def near_components(documents: DataFrame, params: NearDedup | None = None) -> Da
 
 def keep_one_per_component(documents: DataFrame, params: NearDedup | None = None) -> DataFrame:
     """The rows of ``documents`` that stay, one per group, all columns as they are; of repeated rows one stays."""
-    kept = near_components(documents, params).where("kept").select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"))
-    same = F.col("__own").eqNullSafe(F.col("__id")) & (F.col("__text") == F.col("__hash"))
-    rows = documents.withColumn("__own", F.col("doc_id").cast("long")).withColumn("__text", _text_hash())
-    return rows.join(kept.distinct(), same, "left_semi").dropDuplicates(["__own", "__text"]).drop("__own", "__text")
+    own, text, of, other = fresh(documents, "own", "text_hash", "of", "other")
+    kept = near_components(documents, params).where("kept").select(F.col("doc_id").alias(of), F.col("text_hash").alias(other))
+    rows = documents.withColumn(own, F.col("doc_id").cast("long")).withColumn(text, _text_hash())
+    same = F.col(own).eqNullSafe(F.col(of)) & (F.col(text) == F.col(other))
+    return rows.join(kept.distinct(), same, "left_semi").dropDuplicates([own, text]).drop(own, text)

@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
+from txrisk.llm.columns import fresh
 from txrisk.session import ensure_checkpoint_dir
 
 STATISTICS = [
@@ -197,5 +198,6 @@ def score_quality(documents: DataFrame, model: RuleModel) -> DataFrame:
 
 def keep_good(documents: DataFrame, model: RuleModel) -> DataFrame:
     """The rows of ``documents`` that score 0.5 or more, all columns as they are."""
-    scored = documents.withColumn("__statistics", statistics_of("text"))
-    return scored.where(model.score(F.col("__statistics")) >= 0.5).drop("__statistics")
+    (statistics,) = fresh(documents, "statistics")
+    scored = documents.withColumn(statistics, statistics_of("text"))
+    return scored.where(model.score(F.col(statistics)) >= 0.5).drop(statistics)
