@@ -7,7 +7,7 @@ first dealt out such that equal strings meet:
 1. Every window of ``width`` bytes picks its smallest hash among its runs of ``anchor`` bytes. Equal windows pick the
    same run at the same place. Picked runs that occur once in the corpus can't be in a repeated window.
 2. Around each occurrence of a repeated run the bytes of all windows that may have picked it are cut out (a context).
-   Equal contexts are merged by Spark: all but the first occurrence are covered.
+   Equal contexts (by a 128-bit digest) are merged by Spark: all but the first occurrence are covered.
 3. Contexts that differ are dealt by run. In each dealt portion shards of contexts get a suffix order and a
    Burrows-Wheeler transform of their own. The transforms are merged by refining their interleave: reading the
    symbols in the order reached so far and dealing them stably by symbol sorts by one symbol more. The round in which two
@@ -25,16 +25,17 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from txrisk.llm.text_hash import window_hashes
-from txrisk.session import ensure_checkpoint_dir, max_broadcast_bytes
+from txrisk.session import ensure_checkpoint_dir, max_broadcast_bytes, scratch_path
 
 
 @dataclass(frozen=True)
 class RepeatedStrings:
-    """``portion``: contexts per merge task, about; ``hot``: contexts of one run from which it is cut into windows;
+    """``width`` is at most 255. ``portion``: contexts per merge task, about; ``hot``: contexts of one run from which it is cut into windows;
     ``shard``: contexts per transform before merging."""
 
     width: int = 100
@@ -60,108 +61,141 @@ def _sliding_min(h: np.ndarray, width: int) -> np.ndarray:
     return out[:n] if span == width else np.minimum(out[:n], out[width - span : width - span + n])
 
 
-def picked_runs(data: np.ndarray, p: RepeatedStrings) -> tuple[np.ndarray, np.ndarray]:
-    """Places and hashes of the runs that some window of the data picks, in order of place.
+def picked_runs(data: np.ndarray, p: RepeatedStrings) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Place and hash of the runs that windows of the data pick, with the first and last start of those windows.
 
-    Of equal smallest hashes in a window all places count, so equal windows pick alike.
+    Of equal smallest hashes in a window all places count, so equal windows pick alike. The windows that pick a
+    place are those around it without a smaller hash, which follow each other.
     """
     h = window_hashes(data, p.anchor)
     span = p.width - p.anchor + 1
     if len(h) < span:
-        return np.empty(0, dtype=np.int64), np.empty(0, dtype=np.uint64)
+        none = np.empty(0, dtype=np.int64)
+        return none, none.astype(np.uint64), none, none
     least = _sliding_min(h, span)
     # The largest minimum of the windows around a place equals its hash if and only if one of them picks it.
     edge = np.zeros(span - 1, dtype=np.uint64)
     around = ~_sliding_min(~np.concatenate([edge, least, edge]), span)
     at = np.flatnonzero(h == around)
-    return at, h[at]
+    # Stretches of windows with one minimum; a place's windows are in the first one in reach that has its hash.
+    begins = np.flatnonzero(np.concatenate([[True], least[1:] != least[:-1]]))
+    ends = np.append(begins[1:], len(least)) - 1
+    stretch = np.searchsorted(ends, at - span + 1)
+    while True:
+        wrong = least[begins[stretch]] != h[at]
+        if not wrong.any():
+            break
+        stretch[wrong] += 1
+    return at, h[at], np.maximum(begins[stretch], at - span + 1), np.minimum(ends[stretch], at)
 
 
 # -- Burrows-Wheeler transforms ----------------------------------------------------------------------------------
 
 
-def transform_of(strings: list[bytes], depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """Suffix order (places in the joined strings, each with an end mark) and transform of a shard.
+@dataclass(frozen=True)
+class Transform:
+    """A shard's suffix order with its transform; all arrays go by row.
+
+    ``place`` is where the row's suffix begins in the joined strings, ``symbol`` the byte + 1 before it (0 before a
+    string's first byte), ``step`` the row of the suffix that has this symbol in front.
+    """
+
+    row_of: np.ndarray
+    place: np.ndarray
+    symbol: np.ndarray
+    step: np.ndarray
+
+
+def transform_of(strings: list[bytes], depth: int) -> Transform:
+    """The transform of a shard: its suffixes in order up to at least ``depth`` symbols.
 
-    The end mark of a string is smaller than any byte and smaller than the marks of later strings; the transform's
-    symbol before a string's first byte is 0, other symbols are byte + 1. Suffixes are told apart up to at least
-    ``depth`` symbols; equal ones stay in order of place.
+    Every string has an end mark, smaller than any byte and smaller than the marks of later strings.
     """
     joined = np.frombuffer(b"\0".join(strings) + b"\0", dtype=np.uint8)
-    lengths = np.fromiter(map(len, strings), dtype=np.int64, count=len(strings))
-    marks = np.cumsum(lengths + 1) - 1
-    symbols = joined.astype(np.uint16) + np.uint16(1)
+    n = len(joined)
+    marks = np.cumsum(np.fromiter(map(len, strings), dtype=np.int64, count=len(strings)) + 1) - 1
+    symbols = joined.astype(np.int64) + 1
     symbols[marks] = 0
-    rank = symbols.astype(np.int64) + len(strings)
+    rank = symbols + len(strings)
     rank[marks] = np.arange(len(strings))
-    step = 1
+    known = 1
     while True:
-        order = np.argsort(rank, kind="stable")
-        new = np.concatenate([[0], np.cumsum(rank[order[1:]] != rank[order[:-1]])])
-        rank[order] = new
-        if step >= depth or new[-1] == len(rank) - 1:
+        order = np.argsort(rank)
+        ordered = rank[order]
+        rank[order] = np.cumsum(np.concatenate([[False], ordered[1:] != ordered[:-1]]))
+        if known >= depth or rank[order[-1]] == n - 1:
             break
-        follow = np.zeros_like(rank)
-        follow[:-step] = rank[step:] + 1
-        rank = rank * (len(rank) + 1) + follow
-        step *= 2
-    before = np.concatenate([[0], symbols[:-1]]).astype(np.uint16)
-    return order, before[order]
-
+        wide = 6 if known == 1 else 2  # six symbols of up to 9 + bits fit a first key
+        key = rank.copy()
+        for i in range(1, wide):
+            key *= n + 1 if known > 1 else 257 + len(strings)
+            key[: n - i * known] += rank[i * known :] + 1
+        if known == 1 and (257 + len(strings)) ** wide >= 1 << 62:
+            raise ValueError("too many strings in a shard")
+        rank, known = key, known * wide
+    row_of = np.empty(n, dtype=np.int64)
+    row_of[order] = np.arange(n)
+    return Transform(row_of, order, symbols[order - 1], row_of[order - 1])
 
-def merged_intervals(transforms: list[np.ndarray], n_strings: list[int], depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """The interleave of several transforms, and common prefixes of neighbours in it.
 
-    The first result names, place by place, the transform each next row comes from. The second has the length of the
-    common prefix of a row with the row before it, or ``depth`` for that and more.
+def repeated_starts(strings: list[bytes], width: int, shard: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places of equal windows of ``width`` bytes: string number, start, and the number of the interval they share.
+
+    Shards are merged by refining the interleave of their rows. A round takes the rows in the order reached, which is
+    by their first symbols, and deals them stably by the symbol before; one step on, they are in order by one symbol
+    more. Neighbours with another symbol, or from parts that were apart already, part here, and the round is the length
+    of their common prefix. A row that parts from both its neighbours can't get an equal again, nor can any row it
+    steps to, so only rows that are still together go on; and only rows from which a window's start is yet to be
+    reached begin. After ``width`` rounds the parts are the repeated intervals.
     """
-    joined = np.concatenate(transforms)
-    n, marks = len(joined), sum(n_strings)
-    kind = np.uint8 if len(transforms) <= 256 else np.uint16
-    source = np.repeat(np.arange(len(transforms), dtype=kind), [len(t) for t in transforms])
-    ends = np.repeat(np.arange(len(transforms), dtype=kind), n_strings)
-    block = np.zeros(n, dtype=np.int32)
-    prefix = np.full(n, depth, dtype=np.int16)
-    prefix[0] = 0
-    symbols = np.empty(n, dtype=np.uint16)
-    for length in range(depth):
-        symbols[np.argsort(source, kind="stable")] = joined
-        order = np.argsort(symbols, kind="stable")[len(ends) :]  # the first are the string starts
-        s, b = symbols[order], block[order]
-        parts = np.empty(n, dtype=bool)
-        parts[: marks + 1] = True  # end marks all differ
-        np.not_equal(s[1:], s[:-1], out=parts[marks + 1 :])
-        parts[marks + 1 :] |= b[1:] != b[:-1]
-        source = np.concatenate([ends, source[order]])
-        prefix[parts & (prefix == depth)] = length
-        np.cumsum(parts, dtype=np.int32, out=block)
-        if parts.all():
+    of_string, start_of, begin, base = [], [], [], 0
+    lengths = np.fromiter(map(len, strings), dtype=np.int64, count=len(strings))
+    symbols, steps = [], []
+    for at in range(0, len(strings), shard):
+        t = transform_of(strings[at : at + shard], width)
+        sizes = lengths[at : at + shard] + 1
+        number = np.repeat(np.arange(len(sizes)), sizes)
+        start = np.arange(len(t.place)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        # Rows of the last bytes of windows, the only ones that may reach a window's start.
+        last = np.flatnonzero((start >= width - 1) & (start < sizes[number] - 1))
+        begin.append(np.sort(t.row_of[last]) + base)
+        of_string.append(number[t.place] + at)
+        start_of.append(start[t.place])
+        symbols.append(t.symbol.astype(np.uint16))
+        steps.append(t.step + base)
+        base += len(t.place)
+    symbol, step = np.concatenate(symbols), np.concatenate(steps)
+    rows = np.concatenate(begin)
+    # Shard by shard in order; dealt by first symbols, the interleave of the first round.
+    first = symbol_in_front(rows, symbol, step)
+    rows = rows[np.argsort(first, kind="stable")]
+    part = np.sort(first).astype(np.int32)
+    rows, part = _still_together(rows, part)
+    for _ in range(1, width):
+        if not len(rows):
             break
-    return source, prefix
+        dealt = symbol[rows]
+        order = np.argsort(dealt, kind="stable")
+        dealt, part = dealt[order], part[order]
+        rows = step[rows[order]]
+        part = np.cumsum(np.concatenate([[False], (dealt[1:] != dealt[:-1]) | (part[1:] != part[:-1])]), dtype=np.int32)
+        rows, part = _still_together(rows, part)
+    return np.concatenate(of_string)[rows], np.concatenate(start_of)[rows], part
 
 
-def repeated_starts(strings: list[bytes], width: int, shard: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Places of equal windows of ``width`` bytes: string number, start, and the number of the interval they share."""
-    shards = [strings[at : at + shard] for at in range(0, len(strings), shard)]
-    orders, transforms, first = [], [], 0
-    of_string, start_at = [], []
-    for part in shards:
-        order, transform = transform_of(part, width)
-        lengths = np.fromiter(map(len, part), dtype=np.int64, count=len(part)) + 1
-        number = np.repeat(np.arange(len(part)), lengths)
-        start = np.arange(len(order)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-        of_string.append(number[order] + first)
-        start_at.append(start[order])
-        transforms.append(transform)
-        first += len(part)
-    source, prefix = merged_intervals(transforms, [len(part) for part in shards], width)
-    place = np.argsort(source, kind="stable")
-    string, start = np.empty(len(source), dtype=np.int64), np.empty(len(source), dtype=np.int64)
-    string[place], start[place] = np.concatenate(of_string), np.concatenate(start_at)
-    together = prefix >= width
-    inside = together | np.append(together[1:], False)
-    interval = np.cumsum(~together)
-    return string[inside], start[inside], interval[inside]
+def symbol_in_front(rows: np.ndarray, symbol: np.ndarray, step: np.ndarray) -> np.ndarray:
+    """First symbols of rows: what the transform has before the row that steps to them."""
+    first = np.empty_like(symbol)
+    first[step] = symbol
+    return first[rows]
+
+
+def _still_together(rows: np.ndarray, part: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    same = part[1:] == part[:-1]
+    keep = np.zeros(len(part), dtype=bool)
+    keep[1:] |= same
+    keep[:-1] |= same
+    return rows[keep], part[keep]
 
 
 # -- the Spark job -----------------------------------------------------------------------------------------------
@@ -184,38 +218,50 @@ def _anchors(texts: DataFrame, p: RepeatedStrings) -> DataFrame:
             for at in range(0, len(batch), 500):
                 part = batch.iloc[at : at + 500]
                 runs = [picked_runs(np.frombuffer(raw, dtype=np.uint8), p) for raw in part["raw"]]
-                sizes = [len(places) for places, _ in runs]
+                sizes = [len(found[0]) for found in runs]
+                at_place, hashes, low, high = (np.concatenate(x) for x in zip(*runs))
                 yield pd.DataFrame(
                     {
                         "d": np.repeat(part["d"].to_numpy(), sizes),
                         "t": np.repeat(part["t"].to_numpy(), sizes),
-                        "at": np.concatenate([places for places, _ in runs]).astype(np.int32),
-                        "run": np.concatenate([h for _, h in runs]).view(np.int64),
+                        "at": at_place.astype(np.int32),
+                        "run": hashes.view(np.int64),
+                        # How far the windows that pick the run reach to its left and right.
+                        "reach": ((at_place - low) * 256 + (high + p.width - at_place)).astype(np.int32),
                     }
                 )
 
-    return texts.where(F.octet_length("raw") >= p.width).select("d", "t", "raw").mapInPandas(run, "d long, t long, at int, run long")
+    return texts.where(F.octet_length("raw") >= p.width).select("d", "t", "raw").mapInPandas(run, "d long, t long, at int, run long, reach int")
 
 
 def _contexts(placed: DataFrame, p: RepeatedStrings) -> DataFrame:
-    """run, context, left (bytes before the run), d, t, at for the places of each document."""
-    reach = p.width - p.anchor
+    """run, digest (of context and place in it), context, left (bytes before the run), d, t, begin, stop."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for at in range(0, len(batch), 200):
                 rows = []
-                for d, t, raw, places, runs in zip(*(batch[c].iloc[at : at + 200] for c in ("d", "t", "raw", "places", "runs"))):
-                    for place, found in zip(places.tolist(), runs.tolist()):
-                        begin = max(0, place - reach)
-                        rows.append((found, raw[begin : place + p.width], place - begin, d, t, begin))
-                yield pd.DataFrame(rows, columns=["run", "context", "left", "d", "t", "begin"])
-
-    return placed.select("d", "t", "raw", "places", "runs").mapInPandas(
-        run, "run long, context binary, left int, d long, t long, begin int"
+                part = (batch[c].iloc[at : at + 200] for c in ("d", "t", "raw", "places", "runs", "reaches"))
+                for d, t, raw, places, runs, reaches in zip(*part):
+                    for place, found, reach in zip(places.tolist(), runs.tolist(), reaches.tolist()):
+                        left, right = divmod(reach, 256)
+                        context = raw[place - left : place + right]
+                        digest = xxhash.xxh3_128_digest(context, seed=left)
+                        rows.append((found, digest, context, left, d, t, place - left, place + right))
+                yield pd.DataFrame(rows, columns=["run", "digest", "context", "left", "d", "t", "begin", "stop"])
+
+    return placed.select("d", "t", "raw", "places", "runs", "reaches").mapInPandas(
+        run, "run long, digest binary, context binary, left int, d long, t long, begin int, stop int"
     )
 
 
+def _stored(df: DataFrame, name: str) -> DataFrame:
+    """Cut the lineage with a compressed table in the shared folder."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def _may_share(part: pd.DataFrame, p: RepeatedStrings) -> np.ndarray:
     """Contexts that may have a window in common with another of their run.
 
@@ -250,21 +296,25 @@ def _covered(texts: DataFrame, p: RepeatedStrings) -> DataFrame:
     anchors = _anchors(texts, p)
     repeated = anchors.groupBy("run").agg(F.count("*").alias("n")).where("n > 1").select("run")
     found = anchors.join(repeated, "run").groupBy("d", "t")
-    found = found.agg(F.collect_list("at").alias("places"), F.collect_list("run").alias("runs"))
-    contexts = _contexts(texts.select("d", "t", "raw").join(found, ["d", "t"]), p).checkpoint()
+    found = found.agg(F.collect_list("at").alias("places"), F.collect_list("run").alias("runs"), F.collect_list("reach").alias("reaches"))
+    contexts = _stored(_contexts(texts.select("d", "t", "raw").join(found, ["d", "t"]), p), "contexts")
 
     place = F.struct("d", "t", "begin")
-    merged = contexts.groupBy("run", "context", "left").agg(F.min(place).alias("first"), F.count("*").alias("n"))
-    merged = merged.checkpoint()
+    merged = contexts.groupBy("run", "digest").agg(F.min(place).alias("first"), F.count("*").alias("n"))
+    merged = _stored(merged, "merged")
     copies = (
-        contexts.join(merged.where("n > 1").select("run", "context", "left", "first"), ["run", "context", "left"])
+        contexts.select("run", "digest", "d", "t", "begin", "stop")
+        .where(F.col("stop") - F.col("begin") >= p.width)
+        .join(merged.where("n > 1").select("run", "digest", "first"), ["run", "digest"])
         .where(place != F.col("first"))
-        .where(F.octet_length("context") >= p.width)
-        .select("d", "t", "begin", (F.col("begin") + F.octet_length("context")).alias("stop"))
+        .select("d", "t", "begin", "stop")
     )
 
     kinds = merged.groupBy("run").agg(F.count("*").alias("kinds")).where("kinds > 1")
-    differing = merged.select("run", "context", "left", "first.*").join(kinds.select("run", "kinds"), "run").checkpoint()
+    firsts = _stored(merged.join(kinds, "run").select("run", "digest", "kinds", "first.*"), "firsts")
+    if firsts.count() * 96 <= max_broadcast_bytes(texts.sparkSession):
+        firsts = F.broadcast(firsts)  # else the contexts are shuffled
+    differing = _stored(contexts.drop("stop").join(firsts, ["run", "digest", "d", "t", "begin"]), "differing")
     usual = differing.where(F.col("kinds") <= p.hot)
     portions = max(1, -(-usual.count() // p.portion))
     dealt = usual.withColumn("portion", F.pmod(F.xxhash64("run"), F.lit(portions)))
