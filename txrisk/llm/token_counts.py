@@ -22,8 +22,11 @@ SPACE_MARK = "▁"
 FREQUENT = 1 << 20
 
 
-def pre_tokens(text: Column) -> Column:
-    """The text's pre-tokens, each without its first space (the model puts one before the text)."""
+def pre_tokens(text: Column) -> tuple[Column, Column]:
+    """The text with plain spaces, and (over that as column ``plain``) what to split at spaces into pre-tokens.
+
+    A pre-token is given without its first space; the model puts one before the text.
+    """
     plain = F.translate(F.coalesce(text, F.lit("")), SPACE_MARK, " ")
     # A space after a space belongs to the next word; split at the others.
     marked = F.expr("substring(regexp_replace(concat(' ', plain), '(?<= ) ', '▁'), 2)")
@@ -31,12 +34,17 @@ def pre_tokens(text: Column) -> Column:
     return plain, runs
 
 
+def _text_hash() -> Column:
+    return F.xxhash64(F.coalesce("text", F.lit("")))
+
+
 def _exploded(documents: DataFrame) -> DataFrame:
     plain, runs = pre_tokens(F.col("text"))
     return (
-        documents.select(F.col("doc_id").cast("long"), plain.alias("plain"))
+        documents.select(F.col("doc_id").cast("long").alias("doc_id"), _text_hash().alias("t"), plain.alias("plain"))
         .where("plain != ''")
-        .select("doc_id", F.explode(F.split(runs, " ", -1)).alias("piece"))
+        .select("doc_id", "t", F.posexplode(F.split(runs, " ", -1)).alias("at", "piece"))
+        .select("doc_id", "t", (F.col("at") == 0).cast("long").alias("first"), "piece")
     )
 
 
@@ -80,18 +88,26 @@ def count_tokens(documents: DataFrame, model_file: str, limit: int = 4096) -> Da
     frequent = vocabulary.where(F.col("n") * FREQUENT >= total).select("piece", "tokens")
     rare = vocabulary.where(F.col("n") * FREQUENT < total).select("piece", "tokens")
 
+    # Rows that repeat id and text add up; each has one first pre-token, so the sum is shared out among them.
     rows = _exploded(documents)
-    often = rows.join(F.broadcast(frequent), "piece").groupBy("doc_id").agg(F.sum("tokens").alias("tokens"))
+    often = rows.join(F.broadcast(frequent), "piece").groupBy("doc_id", "t").agg(F.sum("tokens").alias("tokens"), F.sum("first").alias("rows"))
     seldom = (
         rows.join(F.broadcast(frequent.select("piece")), "piece", "left_anti")
         .repartition("piece")
-        .groupBy("piece", "doc_id")
-        .agg(F.count("*").alias("times"))
+        .groupBy("piece", "doc_id", "t")
+        .agg(F.count("*").alias("times"), F.sum("first").alias("rows"))
         .join(rare, "piece")
-        .groupBy("doc_id")
-        .agg(F.sum(F.col("times") * F.col("tokens")).alias("tokens"))
+        .groupBy("doc_id", "t")
+        .agg(F.sum(F.col("times") * F.col("tokens")).alias("tokens"), F.sum("rows").alias("rows"))
+    )
+    sums = often.unionByName(seldom).groupBy("doc_id", "t")
+    sums = sums.agg((F.sum("tokens") / F.sum("rows")).cast("long").alias("n_tokens")).alias("s")
+    sizes = documents.select(
+        F.col("doc_id").cast("long").alias("doc_id"),
+        _text_hash().alias("t"),
+        F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"),
+    ).alias("d")
+    n_tokens = F.coalesce("s.n_tokens", F.lit(0))
+    return sizes.join(sums, F.expr("d.doc_id <=> s.doc_id and d.t = s.t"), "left").select(
+        "d.doc_id", "d.n_bytes", n_tokens.alias("n_tokens"), (n_tokens > limit).alias("over_limit")
     )
-    sums = often.unionByName(seldom).groupBy("doc_id").agg(F.sum("tokens").alias("n_tokens"))
-    sizes = documents.select(F.col("doc_id").cast("long"), F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"))
-    n_tokens = F.coalesce("n_tokens", F.lit(0))
-    return sizes.join(sums, "doc_id", "left").select("doc_id", "n_bytes", n_tokens.alias("n_tokens"), (n_tokens > limit).alias("over_limit"))
