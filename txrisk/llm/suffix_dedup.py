@@ -235,7 +235,7 @@ def _anchors(texts: DataFrame, p: RepeatedStrings) -> DataFrame:
 
 
 def _contexts(placed: DataFrame, p: RepeatedStrings) -> DataFrame:
-    """run, digest (of context and place in it), context, left (bytes before the run), d, t, begin, stop."""
+    """run, digest (of context and place in it), left (bytes before the run), d, t, begin, stop."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -245,13 +245,30 @@ def _contexts(placed: DataFrame, p: RepeatedStrings) -> DataFrame:
                 for d, t, raw, places, runs, reaches in zip(*part):
                     for place, found, reach in zip(places.tolist(), runs.tolist(), reaches.tolist()):
                         left, right = divmod(reach, 256)
-                        context = raw[place - left : place + right]
-                        digest = xxhash.xxh3_128_digest(context, seed=left)
-                        rows.append((found, digest, context, left, d, t, place - left, place + right))
-                yield pd.DataFrame(rows, columns=["run", "digest", "context", "left", "d", "t", "begin", "stop"])
+                        digest = xxhash.xxh3_128_digest(raw[place - left : place + right], seed=left)
+                        rows.append((found, digest, left, d, t, place - left, place + right))
+                yield pd.DataFrame(rows, columns=["run", "digest", "left", "d", "t", "begin", "stop"])
 
     return placed.select("d", "t", "raw", "places", "runs", "reaches").mapInPandas(
-        run, "run long, digest binary, context binary, left int, d long, t long, begin int, stop int"
+        run, "run long, digest binary, left int, d long, t long, begin int, stop int"
+    )
+
+
+def _cut_out(firsts: DataFrame, texts: DataFrame) -> DataFrame:
+    """run, kinds, left, d, t, begin, context for ``firsts``, the bytes taken from their documents."""
+    columns = ["run", "kinds", "left", "begin", "stop"]
+    listed = firsts.groupBy("d", "t").agg(*[F.collect_list(c).alias(c) for c in columns])
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for at in range(0, len(batch), 200):
+                part, rows = batch.iloc[at : at + 200], []
+                for d, t, raw, *lists in zip(part["d"], part["t"], part["raw"], *(part[c] for c in columns)):
+                    rows += [(r, k, left, d, t, b, raw[b:e]) for r, k, left, b, e in zip(*(x.tolist() for x in lists))]
+                yield pd.DataFrame(rows, columns=["run", "kinds", "left", "d", "t", "begin", "context"])
+
+    return texts.join(listed, ["d", "t"]).select("d", "t", "raw", *columns).mapInPandas(
+        run, "run long, kinds long, left int, d long, t long, begin int, context binary"
     )
 
 
@@ -300,24 +317,23 @@ def _covered(texts: DataFrame, p: RepeatedStrings) -> DataFrame:
     contexts = _stored(_contexts(texts.select("d", "t", "raw").join(found, ["d", "t"]), p), "contexts")
 
     place = F.struct("d", "t", "begin")
-    merged = contexts.groupBy("run", "digest").agg(F.min(place).alias("first"), F.count("*").alias("n"))
+    first = F.struct("d", "t", "begin", "left", "stop")
+    merged = contexts.groupBy("run", "digest").agg(F.min(first).alias("first"), F.count("*").alias("n"))
     merged = _stored(merged, "merged")
     copies = (
         contexts.select("run", "digest", "d", "t", "begin", "stop")
         .where(F.col("stop") - F.col("begin") >= p.width)
         .join(merged.where("n > 1").select("run", "digest", "first"), ["run", "digest"])
-        .where(place != F.col("first"))
+        .where((F.col("d") != F.col("first.d")) | (F.col("t") != F.col("first.t")) | (F.col("begin") != F.col("first.begin")))
         .select("d", "t", "begin", "stop")
     )
 
     kinds = merged.groupBy("run").agg(F.count("*").alias("kinds")).where("kinds > 1")
-    firsts = _stored(merged.join(kinds, "run").select("run", "digest", "kinds", "first.*"), "firsts")
-    if firsts.count() * 96 <= max_broadcast_bytes(texts.sparkSession):
-        firsts = F.broadcast(firsts)  # else the contexts are shuffled
-    differing = _stored(contexts.drop("stop").join(firsts, ["run", "digest", "d", "t", "begin"]), "differing")
-    usual = differing.where(F.col("kinds") <= p.hot)
-    portions = max(1, -(-usual.count() // p.portion))
-    dealt = usual.withColumn("portion", F.pmod(F.xxhash64("run"), F.lit(portions)))
+    firsts = _stored(merged.join(kinds, "run").select("run", "kinds", "first.*"), "firsts")
+    usual = F.col("kinds") <= p.hot
+    portions = max(1, -(-firsts.where(usual).count() // p.portion))
+    dealt = _cut_out(firsts.where(usual), texts.select("d", "t", "raw"))
+    dealt = dealt.withColumn("portion", F.pmod(F.xxhash64("run"), F.lit(portions)))
 
     def merge(part: pd.DataFrame) -> pd.DataFrame:
         part = part[_may_share(part, p)].sort_values(["d", "t", "begin"], ignore_index=True)
@@ -344,18 +360,19 @@ def _covered(texts: DataFrame, p: RepeatedStrings) -> DataFrame:
 
     shifts = F.sequence(F.lit(0), F.octet_length("context") - p.width)
     windows = (
-        differing.where((F.col("kinds") > p.hot) & (F.octet_length("context") >= p.width))
+        _cut_out(firsts.where(~usual), texts.select("d", "t", "raw"))
         .select("d", "t", "begin", "context", F.explode(shifts).alias("shift"))
         .select("d", "t", (F.col("begin") + F.col("shift")).alias("begin"), F.expr(f"substring(context, shift + 1, {p.width})").alias("window"))
     )
-    first = windows.groupBy("window").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1")
+    source = windows.groupBy("window").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1")
     hot = (
-        windows.join(first, "window")
+        windows.join(source, "window")
         .where(place != F.col("first"))
         .select("d", "t", "begin", (F.col("begin") + p.width).alias("stop"))
     )
     whole = later.where(F.col("n_bytes") >= p.width).select("d", "t", F.lit(0).alias("begin"), F.col("n_bytes").alias("stop"))
-    return copies.unionByName(within).unionByName(hot).unionByName(whole)
+    covered = copies.unionByName(within).unionByName(whole)
+    return covered if firsts.where(~usual).isEmpty() else covered.unionByName(hot)
 
 
 def remove_repeats(documents: DataFrame, params: RepeatedStrings | None = None, with_bytes: bool = True) -> DataFrame:
