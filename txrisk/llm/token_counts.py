@@ -15,11 +15,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from txrisk.session import ensure_checkpoint_dir
+from txrisk.session import ensure_checkpoint_dir, max_broadcast_bytes
 
 SPACE_MARK = "▁"
-#: A pre-token with at least 1 in this many occurrences is frequent, so there are at most so many of them.
-FREQUENT = 1 << 20
+#: A pre-token with at least 1 in this many occurrences is frequent, so there are at most so many of them. Where
+#: even these pass the session's broadcast limit, the share is doubled until they fit.
+FREQUENT = 1 << 22
 
 
 def pre_tokens(text: Column) -> tuple[Column, Column]:
@@ -71,6 +72,10 @@ def _counted(vocabulary: DataFrame, model_file: str) -> DataFrame:
     return vocabulary.mapInPandas(run, "piece string, n long, tokens long")
 
 
+def _bytes(vocabulary: DataFrame) -> int:
+    return vocabulary.agg(F.coalesce(F.sum(F.octet_length("piece") + 48), F.lit(0))).first()[0]
+
+
 def count_tokens(documents: DataFrame, model_file: str, limit: int = 4096) -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit for every row of ``documents(doc_id, text, ...)``.
 
@@ -78,15 +83,18 @@ def count_tokens(documents: DataFrame, model_file: str, limit: int = 4096) -> Da
     text has no tokens. Rows that repeat a doc_id, or have none, are counted each on its own. Other columns are
     ignored.
 
-    Frequent pre-tokens (at most ``FREQUENT``, by their share of all occurrences) are joined by broadcast;
+    Frequent pre-tokens (at most ``FREQUENT``, by their share of all occurrences, and a measured size) are joined by broadcast;
     the others, none of which is hot, meet their counts by shuffle.
     """
     ensure_checkpoint_dir(documents.sparkSession)
     vocabulary = _exploded(documents).groupBy("piece").agg(F.count("*").alias("n"))
     vocabulary = _counted(vocabulary, model_file).checkpoint()
     total = vocabulary.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    frequent = vocabulary.where(F.col("n") * FREQUENT >= total).select("piece", "tokens")
-    rare = vocabulary.where(F.col("n") * FREQUENT < total).select("piece", "tokens")
+    share = FREQUENT
+    while _bytes(vocabulary.where(F.col("n") * share >= total)) > max_broadcast_bytes(documents.sparkSession):
+        share //= 2
+    frequent = vocabulary.where(F.col("n") * share >= total).select("piece", "tokens")
+    rare = vocabulary.where(F.col("n") * share < total).select("piece", "tokens")
 
     # Rows that repeat id and text add up; each has one first pre-token, so the sum is shared out among them.
     rows = _exploded(documents)
