@@ -22,6 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from txrisk.llm.batches import small_batches
 from txrisk.llm.columns import fresh
 from txrisk.llm.components import connected_components
 from txrisk.llm.text_hash import lower_ascii, mix, shingle_set
@@ -185,6 +186,7 @@ def near_components(documents: DataFrame, params: NearDedup | None = None) -> Da
     """
     p = params or NearDedup()
     ensure_checkpoint_dir(documents.sparkSession)
+    small_batches(documents.sparkSession)
     signed = _signed(documents, p).checkpoint()
 
     nodes = signed.where("node is not null").groupBy("node").agg(F.first("keys").alias("keys"), F.first("n_shingles").alias("n_shingles"))

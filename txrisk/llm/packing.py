@@ -16,6 +16,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from txrisk.llm.batches import small_batches
+
 #: Words a task remembers per generation; the generation before is kept too.
 CACHE_WORDS = 400_000
 #: About how many pieces share a numbering slot.
@@ -132,6 +134,7 @@ def pack(documents: DataFrame, tokenizer_file: str, longest: int = 2048, end_id:
                 out = pd.DataFrame(rows, columns=["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
                 yield out.astype({"doc_id": "Int64"})
 
+    small_batches(documents.sparkSession)
     slots = max(1, documents.count() // (SLOT_PIECES // 8))
     pieces = documents.select(F.col("doc_id").cast("long"), "text").mapInPandas(
         run, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"

@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
+from txrisk.llm.batches import small_batches
 from txrisk.llm.columns import fresh
 from txrisk.session import ensure_checkpoint_dir
 
@@ -163,6 +164,7 @@ def fit_rules(documents: DataFrame, labels: DataFrame, params: RuleEnsemble | No
     """
     p = params or RuleEnsemble()
     ensure_checkpoint_dir(documents.sparkSession)
+    small_batches(documents.sparkSession)
     usable = labels.where("doc_id is not null and quality in (0, 1)").where(~held_out(F.col("doc_id")))
     sample = usable.select("doc_id", F.col("quality").cast("double").alias("label")).distinct()
     sample = sample.orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(p.max_labelled)
@@ -191,6 +193,7 @@ def score_quality(documents: DataFrame, model: RuleModel) -> DataFrame:
     A null text is an empty text, whose statistics are zeros. Repeated rows score alike; rows without a doc_id are
     scored and not held out. Other columns are never inputs.
     """
+    small_batches(documents.sparkSession)
     scored = documents.select("doc_id", statistics_of("text").alias("s"))
     scored = scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), model.score(F.col("s")).alias("score"))
     return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
@@ -198,6 +201,7 @@ def score_quality(documents: DataFrame, model: RuleModel) -> DataFrame:
 
 def keep_good(documents: DataFrame, model: RuleModel) -> DataFrame:
     """The rows of ``documents`` that score 0.5 or more, all columns as they are."""
+    small_batches(documents.sparkSession)
     (statistics,) = fresh(documents, "statistics")
     scored = documents.withColumn(statistics, statistics_of("text"))
     return scored.where(model.score(F.col(statistics)) >= 0.5).drop(statistics)

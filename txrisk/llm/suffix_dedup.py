@@ -29,6 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from txrisk.llm.batches import small_batches
 from txrisk.llm.text_hash import window_hashes
 from txrisk.session import ensure_checkpoint_dir, max_broadcast_bytes, scratch_path
 
@@ -385,6 +386,7 @@ def remove_repeats(documents: DataFrame, params: RepeatedStrings | None = None,
     """
     p = params or RepeatedStrings()
     ensure_checkpoint_dir(documents.sparkSession)
+    small_batches(documents.sparkSession)
     texts = _texts(documents)
     spans = _covered(texts, p).groupBy("d", "t").agg(F.collect_list("begin").alias("begins"), F.collect_list("stop").alias("stops"))
 
