@@ -194,6 +194,11 @@ def threshold_counts(df: DataFrame, score: str, label: str, grid: Sequence[float
     )
     flagged = F.col("bucket") > F.col("idx")
     spread = hist.select(*keys, "bucket", "pos", "neg", F.posexplode(F.lit(edges)).alias("idx", "threshold"))
+    if not keys and edges:
+        # Without a scored row there is no bucket; the grid is there all the same, with zeros.
+        grid_rows = df.sparkSession.range(1).select(F.posexplode(F.lit(edges)).alias("idx", "threshold"))
+        zero = [F.lit(0).cast(hist.schema[c].dataType).alias(c) for c in ("bucket", "pos", "neg")]
+        spread = spread.unionByName(grid_rows.select("idx", "threshold", *zero))
     return spread.groupBy(*keys, "idx", "threshold").agg(
         F.sum(F.when(flagged, F.col("pos")).otherwise(0)).alias("tp"),
         F.sum(F.when(flagged, F.col("neg")).otherwise(0)).alias("fp"),

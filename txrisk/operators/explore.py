@@ -7,6 +7,7 @@ from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from txrisk.functions.scalar import null_if_nan, ratio
 from txrisk.operators.clean import unpivot_numeric
@@ -20,10 +21,10 @@ def _melt(one_row: DataFrame, columns: Sequence[str], name: str, value: str) ->
 
 
 def missing_summary(df: DataFrame) -> DataFrame:
-    """NULL count and share per column that has any, most first."""
-    counts = df.agg(
-        F.count(F.lit(1)).alias("_rows"), *[F.count_if(F.col(c).isNull()).alias(c) for c in df.columns]
-    )
+    """Count and share of NULL and NaN per column that has any, most first."""
+    floats = {f.name for f in df.schema if isinstance(f.dataType, (T.FloatType, T.DoubleType))}
+    absent = {c: (null_if_nan(F.col(c)) if c in floats else F.col(c)).isNull() for c in df.columns}
+    counts = df.agg(F.count(F.lit(1)).alias("_rows"), *[F.count_if(a).alias(c) for c, a in absent.items()])
     long = _melt(counts, df.columns, "column_name", "missing")
     return (
         long.filter(F.col("missing") > 0)
@@ -55,7 +56,7 @@ def describe_numeric(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 
 def describe_by_label(df: DataFrame, value: str, label: str) -> DataFrame:
-    return _summary([label], df.select(label, value), value)
+    return _summary([label], df.select(label, null_if_nan(F.col(value)).alias(value)), value)
 
 
 def label_distribution(df: DataFrame, label: str) -> DataFrame:
@@ -93,7 +94,7 @@ def correlation_matrix(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Pearson correlation of all column pairs: one aggregate, both triangles in the result."""
     pairs = list(combinations(range(len(columns)), 2))
     sums = df.agg(
-        *[F.corr(F.col(columns[i]).cast("double"), F.col(columns[j]).cast("double")).alias(f"c{i}_{j}") for i, j in pairs]
+        *[F.corr(null_if_nan(F.col(columns[i])), null_if_nan(F.col(columns[j]))).alias(f"c{i}_{j}") for i, j in pairs]
     )
 
     def entry(a: int, b: int, c: Column) -> Column:
@@ -108,7 +109,7 @@ def correlation_matrix(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 def target_correlation_topk(df: DataFrame, columns: Sequence[str], target: str, k: int = 10) -> DataFrame:
     """The features most correlated with the target, highest first, without the target itself."""
     features = [c for c in columns if c != target]
-    sums = df.agg(*[F.corr(F.col(c).cast("double"), F.col(target).cast("double")).alias(c) for c in features])
+    sums = df.agg(*[F.corr(null_if_nan(F.col(c)), null_if_nan(F.col(target))).alias(c) for c in features])
     return _melt(sums, features, "feature", "corr").orderBy(F.col("corr").desc_nulls_last(), "feature").limit(k)
 
 

@@ -106,19 +106,42 @@ def hash_cuts(df: DataFrame, key: Column, row_id: str, salt, counts: dict, ranks
     return found
 
 
-def rank_at_most(key: Column, hashed: Column, row_id: str, counts: dict, limits: dict, cuts: dict) -> Column:
-    """Is the row, with this hash, among the first ``limits[key]`` rows of its key in hash order?"""
-    ident, verdict = F.col(row_id), F.lit(False)
-    for k, limit in limits.items():
-        if limit <= 0:
-            continue
-        if limit >= counts[k]:
-            inside = F.lit(True)
-        else:
-            u, i = cuts[(k, limit)]
-            inside = (hashed < u) | ((hashed == u) & (ident <= F.lit(i)))
-        verdict = F.when(key.eqNullSafe(F.lit(k)), inside).otherwise(verdict)
-    return verdict
+def rank_at_most(hashed: DataFrame, key: Column, row_id: str, counts: dict, limits: dict[str, dict], cuts: dict) -> DataFrame:
+    """Add a column per name in ``limits``: is the row among the first ``limits[name][key]`` of its key in hash order?
+
+    ``hashed`` has the row's hash in ``_u``. The keys are a table that is joined by broadcast (at most
+    ``MAX_CATEGORIES`` short rows), so the expression does not grow with them; one key is a literal. Rows of other
+    keys are not among the first.
+    """
+    ident = F.col(row_id)
+    keys = sorted({k for of in limits.values() for k in of}, key=repr)
+    id_type = hashed.schema[row_id].dataType
+    fields, rows = [T.StructField("_lkey", hashed.select(key.alias("k")).schema["k"].dataType)], []
+    for i in range(len(limits)):
+        fields += [
+            T.StructField(f"_all{i}", T.BooleanType()),
+            T.StructField(f"_u{i}", T.DoubleType()),
+            T.StructField(f"_id{i}", id_type),
+        ]
+    for k in keys:
+        row: list = [k]
+        for of in limits.values():
+            limit = of.get(k, 0)
+            row += [True, None, None] if limit >= counts[k] else [False, *cuts.get((k, limit), (None, None))]
+        rows.append(tuple(row))
+    if len(rows) == 1:
+        marked = hashed.withColumns({f.name: F.lit(v).cast(f.dataType) for f, v in zip(fields, rows[0])})
+        listed = key.eqNullSafe(F.col("_lkey"))
+    else:
+        table = hashed.sparkSession.createDataFrame(rows, T.StructType(fields)).withColumn("_listed", F.lit(True))
+        marked = hashed.join(F.broadcast(table), key.eqNullSafe(F.col("_lkey")), "left")
+        listed = F.coalesce("_listed", F.lit(False))
+    u = F.col("_u")
+    verdicts = {
+        name: listed & F.coalesce(F.col(f"_all{i}") | (u < F.col(f"_u{i}")) | ((u == F.col(f"_u{i}")) & (ident <= F.col(f"_id{i}"))), F.lit(False))
+        for i, name in enumerate(limits)
+    }
+    return marked.withColumns(verdicts).drop("_listed", *[f.name for f in fields])
 
 
 def with_hash(df: DataFrame, row_id: str, salt, name: str = "_u") -> DataFrame:
@@ -132,7 +155,7 @@ def first_by_hash(df: DataFrame, key: str, row_id: str, salt, limits: dict, coun
     limits = {k: v for k, v in limits.items() if k in counts}
     cuts = hash_cuts(df, F.col(key), row_id, salt, counts, {k: [v] for k, v in limits.items()})
     hashed = with_hash(df, row_id, salt)
-    return hashed.filter(rank_at_most(F.col(key), F.col("_u"), row_id, counts, limits, cuts)).drop("_u")
+    return rank_at_most(hashed, F.col(key), row_id, counts, {"_first": limits}, cuts).filter("_first").drop("_u", "_first")
 
 
 def shuffle_rows(df: DataFrame, row_id: str, salt: int = 1) -> DataFrame:

@@ -86,9 +86,9 @@ def _split(df: DataFrame, key: Column, counts: dict, row_id: str, test: float, v
     vals = {k: tests[k] + round(val * (n - tests[k])) for k, n in counts.items()}
     cuts = hash_cuts(df, key, row_id, salt, counts, {k: [tests[k], vals[k]] for k in counts})
     hashed = with_hash(df, row_id, salt)
-    in_test = rank_at_most(key, F.col("_u"), row_id, counts, tests, cuts)
-    in_val = rank_at_most(key, F.col("_u"), row_id, counts, vals, cuts)
-    return hashed.withColumn("split", F.when(in_test, "test").when(in_val, "val").otherwise("train")).drop("_u")
+    marked = rank_at_most(hashed, key, row_id, counts, {"_test": tests, "_val": vals}, cuts)
+    split = F.when(F.col("_test"), "test").when(F.col("_val"), "val").otherwise("train")
+    return marked.withColumn("split", split).drop("_u", "_test", "_val")
 
 
 def split_stratified(

@@ -13,6 +13,7 @@ from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from txrisk.functions.random import det_rand
 from txrisk.functions.vectors import interpolate
@@ -71,11 +72,17 @@ def equal_shares(df: DataFrame, key: str, row_id: str, salt, totals: dict, count
     """
     extra = {k: t % counts[k] for k, t in totals.items()}
     cuts = hash_cuts(df, F.col(key), row_id, salt, counts, {k: [e] for k, e in extra.items()})
-    base = F.lit(0)
-    for k, t in totals.items():
-        base = F.when(F.col(key).eqNullSafe(F.lit(k)), t // counts[k]).otherwise(base)
-    one_more = rank_at_most(F.col(key), F.col("_u"), row_id, counts, extra, cuts).cast("int")
-    return with_hash(df, row_id, salt).withColumn("copies", (base + one_more).cast("int")).drop("_u")
+    hashed = with_hash(df, row_id, salt)
+    marked = rank_at_most(hashed, F.col(key), row_id, counts, {"_more": extra}, cuts)
+    shares = [(k, t // counts[k]) for k, t in totals.items()]
+    if len(shares) == 1:
+        whole = F.when(F.col(key).eqNullSafe(F.lit(shares[0][0])), shares[0][1]).otherwise(0)
+    else:
+        schema = T.StructType([T.StructField("_skey", df.schema[key].dataType), T.StructField("_share", T.LongType())])
+        table = df.sparkSession.createDataFrame(shares, schema)
+        marked = marked.join(F.broadcast(table), F.col(key).eqNullSafe(F.col("_skey")), "left")
+        whole = F.coalesce("_share", F.lit(0))
+    return marked.withColumn("copies", (whole + F.col("_more").cast("int")).cast("int")).drop("_u", "_more", "_skey", "_share")
 
 
 def _neighbour_lists(pairs: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ For larger entities the same sums come from differences of prefix sums over thei
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Sequence
 from functools import reduce
 
@@ -15,21 +16,31 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from txrisk.functions.scalar import MICROS_PER_DAY, micros, ratio
+from txrisk.functions.scalar import MICROS_PER_DAY, micros, null_if_nan, ratio
 from txrisk.operators.ordering import prefix_sums, reusable
 from txrisk.operators.sequence import entity_time_diff
-from txrisk.session import max_broadcast_bytes
+from txrisk.session import ensure_checkpoint_dir, max_broadcast_bytes
 
 #: Largest entity for which a sliding frame is acceptable.
 RANGE_FRAME_ROWS_CONF = "spark.txrisk.rangeFrameRows"
 DEFAULT_RANGE_FRAME_ROWS = 10_000
-# Prefix differences cancel; decimals keep fractional sums exact, whole numbers stay bigints.
-_EXACT = "decimal(38,8)"
 
 
-def _typed(df: DataFrame, measures: dict[str, Column]) -> dict[str, str]:
+def _typed(df: DataFrame, measures: dict[str, Column], rows: int) -> dict[str, str]:
+    """Types in which sums are exact: bigint for whole numbers, else a decimal as fine as the largest sum leaves room for.
+
+    Prefix differences cancel, so doubles would lose what a sliding frame keeps. The scale comes from the data: with
+    the largest magnitude times the rows before the point, all other digits of the 38 are fraction.
+    """
     kinds = df.select(*[m.alias(n) for n, m in measures.items()]).schema
-    return {f.name: "bigint" if isinstance(f.dataType, T.IntegralType) else _EXACT for f in kinds}
+    fractional = [f.name for f in kinds if not isinstance(f.dataType, T.IntegralType)]
+    out = {f.name: "bigint" for f in kinds}
+    if fractional:
+        largest = df.agg(*[F.max(F.abs(measures[n].cast("double"))).alias(n) for n in fractional]).first()
+        for n in fractional:
+            whole = math.ceil(math.log10(max(largest[n] or 0.0, 1e-300) * max(rows, 1)))
+            out[n] = f"decimal(38,{min(37, max(0, 36 - max(whole, 0)))})"
+    return out
 
 
 def _prefix_frames(
@@ -40,9 +51,10 @@ def _prefix_frames(
     Every distinct (entity, time) point contributes itself plus one probe per frame at the
     frame's start; a probe sorts before the data at its position.
     """
-    kinds = _typed(df, measures)
+    n_rows = df.count()
+    kinds = _typed(df, measures, n_rows)
     points = df.groupBy(entity, "_us").agg(*[F.sum(m.cast(kinds[n])).cast(kinds[n]).alias(n) for n, m in measures.items()])
-    points = reusable(points, df.count())
+    points = reusable(points, n_rows)
     names, data_kind = list(starts), len(starts)
     data = points.select(entity, F.col("_us").alias("_pos"), F.lit(data_kind).alias("_kind"), "_us", *measures)
     shifted = [F.struct((F.col("_us") + s).alias("_pos"), F.lit(i).alias("_kind")) for i, s in enumerate(starts.values())]
@@ -87,6 +99,10 @@ def _by_size(df: DataFrame, entity: str) -> tuple[DataFrame | None, DataFrame |
     profile = counts.agg(F.count_if(F.col("count") > limit).alias("large"), F.count(F.lit(1)).alias("all")).first()
     if not profile["large"]:
         return df, None
+    # Both parts and every pass over the large one read the input: it is written once.
+    ensure_checkpoint_dir(df.sparkSession)
+    df = df.checkpoint()
+    counts = df.groupBy(entity).count()
     if profile["large"] == profile["all"] or profile["large"] * 128 > max_broadcast_bytes(df.sparkSession):
         return None, df
     large = counts.filter(F.col("count") > limit).select(F.col(entity).alias("_large"))
@@ -137,8 +153,8 @@ def velocity_features(
     timed = df.withColumn("_us", micros(F.col(time)))
     measures = {"n": F.lit(1)}
     if amount:
-        value = F.col(amount)
-        measures.update(v=F.coalesce(value.cast("double"), F.lit(0.0)), nv=value.isNotNull().cast("int"))
+        value = null_if_nan(F.col(amount))
+        measures.update(v=F.coalesce(value, F.lit(0.0)), nv=value.isNotNull().cast("int"))
 
     def names(w: int) -> tuple[str, str, str]:
         return f"{entity}_txn_count_{w}d", f"{entity}_amount_sum_{w}d", f"{entity}_amount_mean_{w}d"
@@ -165,32 +181,48 @@ def velocity_features(
 
 
 def rolling_time_aggs(
-    df: DataFrame, group: str, value: str, time: str = "timestamp", windows: Sequence[int] = (7,)
+    df: DataFrame, group: str, value: str | Sequence[str], time: str = "timestamp", windows: Sequence[int] = (7,)
 ) -> DataFrame:
-    """Mean, sample deviation and count over (t - w days, t] per group."""
-    timed, v = df.withColumn("_us", micros(F.col(time))), F.col(value)
-    # Squares are summed around the overall mean so that the variance does not cancel.
-    centre = F.lit(float(df.agg(F.avg(v)).first()[0] or 0.0))
-    off = F.coalesce(v - centre, F.lit(0.0))
-    measures = {"n": v.isNotNull().cast("int"), "d": off, "q": off * off}
+    """Mean, sample deviation and count over (t - w days, t] per group, of one or several value columns in one pass.
 
-    def names(w: int) -> tuple[str, str, str]:
-        stem = f"{group}_{value}_{w}d"
+    NaN counts as missing.
+    """
+    values = [value] if isinstance(value, str) else list(value)
+    timed = df.withColumn("_us", micros(F.col(time)))
+    clean = {v: null_if_nan(F.col(v)) for v in values}
+    # Squares are summed around the overall mean so that the variance does not cancel.
+    means = df.agg(*[F.avg(c).alias(v) for v, c in clean.items()]).first()
+    centres = {v: F.lit(float(means[v] or 0.0)) for v in values}
+    measures: dict[str, Column] = {}
+    for i, (v, c) in enumerate(clean.items()):
+        off = F.coalesce(c - centres[v], F.lit(0.0))
+        measures.update({f"n{i}": c.isNotNull().cast("int"), f"d{i}": off, f"q{i}": off * off})
+
+    def names(v: str, w: int) -> tuple[str, str, str]:
+        stem = f"{group}_{v}_{w}d"
         return f"{stem}_mean", f"{stem}_std", f"{stem}_count"
 
     def direct(w: int, frame: WindowSpec) -> dict[str, Column]:
-        mean, std, count = names(w)
-        return {mean: F.avg(v).over(frame), std: F.stddev_samp(v).over(frame), count: F.count(v).over(frame)}
+        out = {}
+        for v, c in clean.items():
+            mean, std, count = names(v, w)
+            out.update({mean: F.avg(c).over(frame), std: F.stddev_samp(c).over(frame), count: F.count(c).over(frame)})
+        return out
 
     def derived(w: int) -> dict[str, Column]:
-        mean, std, count = names(w)
-        n, s, q = (F.col(f"_{w}d_{m}") for m in ("n", "d", "q"))
-        spread = F.greatest(ratio(q - ratio(s * s, n), n - 1), F.lit(0.0))
-        return {
-            mean: F.when(n > 0, centre + ratio(s, n)),
-            std: F.when(n > 1, F.sqrt(spread)),
-            count: n.cast("bigint"),
-        }
+        out = {}
+        for i, v in enumerate(values):
+            mean, std, count = names(v, w)
+            n, s, q = (F.col(f"_{w}d_{m}{i}") for m in ("n", "d", "q"))
+            spread = F.greatest(ratio(q - ratio(s * s, n), n - 1), F.lit(0.0))
+            out.update(
+                {
+                    mean: F.when(n > 0, centres[v] + ratio(s, n)),
+                    std: F.when(n > 1, F.sqrt(spread)),
+                    count: n.cast("bigint"),
+                }
+            )
+        return out
 
     return _framed(timed, group, windows, (1, 0), direct, measures, derived)
 
@@ -198,6 +230,5 @@ def rolling_time_aggs(
 def rolling_features(
     df: DataFrame, groups: Sequence[str], values: Sequence[str], time: str, windows: Sequence[int]
 ) -> DataFrame:
-    """``rolling_time_aggs`` for every group and value column."""
-    jobs = [(g, v) for g in groups for v in values]
-    return reduce(lambda out, gv: rolling_time_aggs(out, gv[0], gv[1], time, windows), jobs, df)
+    """``rolling_time_aggs`` for every group and value column: one pass per group for all values."""
+    return reduce(lambda out, g: rolling_time_aggs(out, g, values, time, windows), groups, df)

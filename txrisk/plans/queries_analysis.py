@@ -223,6 +223,12 @@ def _(spark, d):
     return prep.split_stratified(transactions(spark, d), "is_fraud", "transaction_id").select("transaction_id", "split")
 
 
+@query("split_by_account", _split_sql("PARTITION BY sender_account"))
+def _(spark, d):
+    """As many strata as accounts."""
+    return prep.split_stratified(transactions(spark, d), "sender_account", "transaction_id").select("transaction_id", "split")
+
+
 @query("split_random", _split_sql("PARTITION BY 1"))
 def _(spark, d):
     return prep.split_random(transactions(spark, d), "transaction_id").select("transaction_id", "split")

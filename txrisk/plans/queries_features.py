@@ -48,6 +48,16 @@ def _(spark, d):
     return files.scan_csv(spark, path, raw.schema)
 
 
+@query("scan_csv_reordered", _tx(f"SELECT {RAW_SQL} FROM tx"))
+def _(spark, d):
+    """Files with another column order, a column more, and labels written 0 and 1."""
+    raw = transactions(spark, d).select(*RAW)
+    path = scratch_path(spark, "tx-csv")
+    other = raw.select(F.lit("x").alias("note"), *reversed(RAW)).withColumn("is_fraud", F.col("is_fraud").cast("int"))
+    files.sink_table(other, path, "csv")
+    return files.scan_csv(spark, path, raw.schema)
+
+
 @query("scan_table", _tx(f"SELECT {RAW_SQL} FROM tx"))
 def _(spark, d):
     return _round_trip(spark, d, "json")
@@ -561,25 +571,42 @@ def _velocity_run(source, windows):
     return run
 
 
+def _all_large(run):
+    """The same query with every entity above the sliding-frame limit; the answer may not depend on it."""
+
+    def forced(spark, d):
+        spark.conf.set(velocity.RANGE_FRAME_ROWS_CONF, "1")
+        try:
+            return run(spark, d)
+        finally:
+            spark.conf.unset(velocity.RANGE_FRAME_ROWS_CONF)
+
+    return forced
+
+
+query("velocity_features_large", _tx(_velocity_sql([1, 7, 30]).format(src="tx")))(_all_large(_velocity_run(transactions, [1, 7, 30])))
 query("velocity_features", _tx(_velocity_sql([1, 7, 30]).format(src="tx")))(_velocity_run(transactions, [1, 7, 30]))
 query("velocity_features_ledger", _led(_velocity_sql([30, 90]).format(src="ledger")))(_velocity_run(ledger, [30, 90]))
 
 
-@query(
-    "rolling_time_aggs",
-    _tx(
-        f"""SELECT transaction_id, {R('avg(amount) OVER f')} AS sender_account_amount_7d_mean,
+_ROLLING_SQL = _tx(
+    f"""SELECT transaction_id, {R('avg(amount) OVER f')} AS sender_account_amount_7d_mean,
         {R('stddev_samp(amount) OVER f', 4)} AS sender_account_amount_7d_std, count(amount) OVER f AS sender_account_amount_7d_count
         FROM tx WINDOW f AS (PARTITION BY sender_account ORDER BY epoch_us(timestamp)
           RANGE BETWEEN {7 * scalar.MICROS_PER_DAY - 1} PRECEDING AND CURRENT ROW)"""
-    ),
 )
-def _(spark, d):
+
+
+def _rolling_run(spark, d):
     out = velocity.rolling_time_aggs(transactions(spark, d), "sender_account", "amount", "timestamp", [7])
     slim = out.select("transaction_id", *[f"sender_account_amount_7d_{a}" for a in ("mean", "std", "count")])
     return rounded(rounded(slim, "sender_account_amount_7d_mean"), "sender_account_amount_7d_std", digits=4)
 
 
+query("rolling_time_aggs", _ROLLING_SQL)(_rolling_run)
+query("rolling_time_aggs_large", _ROLLING_SQL)(_all_large(_rolling_run))
+
+
 query(
     "join_rolling",
     _tx(

@@ -580,10 +580,10 @@ def _(spark, d):
 _RECORD = ["transaction_id", "timestamp", "amount", "sender_account", "receiver_account", "merchant_category"]
 
 
-def _json_folder(spark: SparkSession, d: str, files: int = 2) -> str:
+def _json_folder(spark: SparkSession, d: str) -> str:
     """The transactions as JSON record files in the shared folder."""
     path = scratch_path(spark, "records")
-    transactions(spark, d).select(*_RECORD).repartition(files, "transaction_id").write.json(path)
+    transactions(spark, d).select(*_RECORD).write.json(path)
     return path
 
 

@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import os
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 
-from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -15,14 +16,50 @@ from txrisk.schema import TRANSACTION
 FORMATS = ("parquet", "csv", "json")
 
 
+#: Columns a table of transactions can't do without.
+REQUIRED = ("transaction_id", "timestamp", "amount")
+
+
+def _typed(name: str, kind: T.DataType) -> Column:
+    """A text column in its type; null where the text doesn't say such a value."""
+    text = F.trim(F.col(f"`{name}`"))
+    if isinstance(kind, T.BooleanType):
+        return F.when(F.lower(text).isin("true", "1", "1.0"), True).when(F.lower(text).isin("false", "0", "0.0"), False)
+    return F.col(f"`{name}`") if isinstance(kind, T.StringType) else text.try_cast(kind)
+
+
 def scan_csv(
-    spark: SparkSession, path: str, schema: T.StructType | None = TRANSACTION, infer: bool = False
+    spark: SparkSession,
+    path: str,
+    schema: T.StructType | None = TRANSACTION,
+    infer: bool = False,
+    required: Sequence[str] = REQUIRED,
 ) -> DataFrame:
-    """CSV with a header. A given schema saves the inference pass over the whole input."""
+    """CSV with a header. A given schema saves the inference pass over the whole input.
+
+    Columns are found by name in the header, whatever their order there, and returned in the schema's order. A
+    missing ``required`` column is an error, other missing ones are null; columns the schema lacks are left out.
+    Boolean columns may be written true/false or 1/0.
+    """
     reader = spark.read.option("header", True)
     if infer or schema is None:
         return reader.option("inferSchema", True).csv(path)
-    return reader.schema(schema).csv(path)
+    texts = reader.csv(path)
+    missing = [f.name for f in schema if f.name in required and f.name not in texts.columns]
+    if missing:
+        raise ValueError(f"{path} has no column {', '.join(missing)}")
+    return texts.select(
+        *[
+            (_typed(f.name, f.dataType) if f.name in texts.columns else F.lit(None).cast(f.dataType)).alias(f.name)
+            for f in schema
+        ]
+    )
+
+
+def _first_sign(spark: SparkSession, path: str) -> str:
+    """The first character that is not white space, of a text file."""
+    first = spark.read.text(path).filter(F.length(F.trim("value")) > 0).limit(1).collect()
+    return first[0][0].lstrip()[:1] if first else ""
 
 
 def _sniff(spark: SparkSession, path: str) -> str:
@@ -30,11 +67,11 @@ def _sniff(spark: SparkSession, path: str) -> str:
     try:
         spark.read.parquet(path).schema
         return "parquet"
-    except Exception as error:  # not a Parquet file: text then
-        if isinstance(error, AnalysisException) and "PATH_NOT_FOUND" in str(error):
+    except (PySparkException, Py4JJavaError) as error:
+        # Text files have no footer and give no schema; anything else is a real failure.
+        if not any(mark in str(error) for mark in ("CANNOT_READ_FILE_FOOTER", "UNABLE_TO_INFER_SCHEMA", "not a Parquet file")):
             raise
-    first = spark.read.text(path).filter(F.length(F.trim("value")) > 0).limit(1).collect()
-    return "json" if first and first[0][0].lstrip().startswith("{") else "csv"
+    return "json" if _first_sign(spark, path) in ("{", "[") else "csv"
 
 
 def format_of(path: str) -> str | None:
@@ -52,6 +89,8 @@ def scan_table(
     if kind == "csv":
         return scan_csv(spark, path, schema, infer=schema is None)
     reader = spark.read.schema(schema) if schema is not None else spark.read
+    if kind == "json" and _first_sign(spark, path) == "[":
+        reader = reader.option("multiLine", True)  # one array instead of a record per line
     return reader.format(kind).load(path)
 
 
