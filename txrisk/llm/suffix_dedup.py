@@ -112,6 +112,8 @@ def transform_of(strings: list[bytes], depth: int) -> Transform:
 
     Every string has an end mark, smaller than any byte and smaller than the marks of later strings.
     """
+    if len(strings) > 1024:
+        raise ValueError("a shard has at most 1024 strings, so that six symbols fit a key")
     joined = np.frombuffer(b"\0".join(strings) + b"\0", dtype=np.uint8)
     n = len(joined)
     marks = np.cumsum(np.fromiter(map(len, strings), dtype=np.int64, count=len(strings)) + 1) - 1
@@ -126,13 +128,13 @@ def transform_of(strings: list[bytes], depth: int) -> Transform:
         rank[order] = np.cumsum(np.concatenate([[False], ordered[1:] != ordered[:-1]]))
         if known >= depth or rank[order[-1]] == n - 1:
             break
-        wide = 6 if known == 1 else 2  # six symbols of up to 9 + bits fit a first key
+        wide = 6 if known == 1 else 2
+        base = n + 1 if known > 1 else 257 + len(strings)
         key = rank.copy()
         for i in range(1, wide):
-            key *= n + 1 if known > 1 else 257 + len(strings)
-            key[: n - i * known] += rank[i * known :] + 1
-        if known == 1 and (257 + len(strings)) ** wide >= 1 << 62:
-            raise ValueError("too many strings in a shard")
+            key *= base
+            if i * known < n:
+                key[: n - i * known] += rank[i * known :] + 1
         rank, known = key, known * wide
     row_of = np.empty(n, dtype=np.int64)
     row_of[order] = np.arange(n)
