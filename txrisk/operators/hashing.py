@@ -21,6 +21,8 @@ _SIGMAS = 8.0
 
 #: More distinct values than this and a column is no category: refused rather than collected.
 MAX_CATEGORIES = 100_000
+#: Up to so many keys are part of the plan.
+LITERAL_KEYS = 16
 
 
 def key_counts(df: DataFrame, key: str) -> dict:
@@ -110,8 +112,8 @@ def rank_at_most(hashed: DataFrame, key: Column, row_id: str, counts: dict, limi
     """Add a column per name in ``limits``: is the row among the first ``limits[name][key]`` of its key in hash order?
 
     ``hashed`` has the row's hash in ``_u``. The keys are a table that is joined by broadcast (at most
-    ``MAX_CATEGORIES`` short rows), so the expression does not grow with them; one key is a literal. Rows of other
-    keys are not among the first.
+    ``MAX_CATEGORIES`` short rows), so the expression does not grow with them; up to ``LITERAL_KEYS`` keys are one literal
+    array, which needs no join. Rows of other keys are not among the first.
     """
     ident = F.col(row_id)
     keys = sorted({k for of in limits.values() for k in of}, key=repr)
@@ -129,9 +131,12 @@ def rank_at_most(hashed: DataFrame, key: Column, row_id: str, counts: dict, limi
             limit = of.get(k, 0)
             row += [True, None, None] if limit >= counts[k] else [False, *cuts.get((k, limit), (None, None))]
         rows.append(tuple(row))
-    if len(rows) == 1:
-        marked = hashed.withColumns({f.name: F.lit(v).cast(f.dataType) for f, v in zip(fields, rows[0])})
-        listed = key.eqNullSafe(F.col("_lkey"))
+    if len(rows) <= LITERAL_KEYS:
+        structs = [F.struct(*[F.lit(v).cast(f.dataType).alias(f.name) for f, v in zip(fields, row)]) for row in rows]
+        hit = F.get(F.filter(F.array(*structs), lambda s: key.eqNullSafe(s["_lkey"])), F.lit(0)) if rows else F.lit(None)
+        marked = hashed.withColumn("_hit", hit)
+        marked = marked.withColumns({f.name: F.col("_hit")[f.name] if rows else F.lit(None).cast(f.dataType) for f in fields})
+        listed = F.col("_hit").isNotNull()
     else:
         table = hashed.sparkSession.createDataFrame(rows, T.StructType(fields)).withColumn("_listed", F.lit(True))
         marked = hashed.join(F.broadcast(table), key.eqNullSafe(F.col("_lkey")), "left")
@@ -141,7 +146,7 @@ def rank_at_most(hashed: DataFrame, key: Column, row_id: str, counts: dict, limi
         name: listed & F.coalesce(F.col(f"_all{i}") | (u < F.col(f"_u{i}")) | ((u == F.col(f"_u{i}")) & (ident <= F.col(f"_id{i}"))), F.lit(False))
         for i, name in enumerate(limits)
     }
-    return marked.withColumns(verdicts).drop("_listed", *[f.name for f in fields])
+    return marked.withColumns(verdicts).drop("_listed", "_hit", *[f.name for f in fields])
 
 
 def with_hash(df: DataFrame, row_id: str, salt, name: str = "_u") -> DataFrame:

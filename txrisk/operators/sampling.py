@@ -18,7 +18,7 @@ from pyspark.sql import types as T
 from txrisk.functions.random import det_rand
 from txrisk.functions.vectors import interpolate
 from txrisk.operators.aggregate import remaining_rows
-from txrisk.operators.hashing import first_by_hash, hash_cuts, key_counts, rank_at_most, shuffle_rows, with_hash
+from txrisk.operators.hashing import LITERAL_KEYS, first_by_hash, hash_cuts, key_counts, rank_at_most, shuffle_rows, with_hash
 from txrisk.operators.knn import knn_topk
 
 
@@ -75,8 +75,10 @@ def equal_shares(df: DataFrame, key: str, row_id: str, salt, totals: dict, count
     hashed = with_hash(df, row_id, salt)
     marked = rank_at_most(hashed, F.col(key), row_id, counts, {"_more": extra}, cuts)
     shares = [(k, t // counts[k]) for k, t in totals.items()]
-    if len(shares) == 1:
-        whole = F.when(F.col(key).eqNullSafe(F.lit(shares[0][0])), shares[0][1]).otherwise(0)
+    if len(shares) <= LITERAL_KEYS:
+        whole = F.lit(0)
+        for k, share in shares:
+            whole = F.when(F.col(key).eqNullSafe(F.lit(k)), share).otherwise(whole)
     else:
         schema = T.StructType([T.StructField("_skey", df.schema[key].dataType), T.StructField("_share", T.LongType())])
         table = df.sparkSession.createDataFrame(shares, schema)
