@@ -8,6 +8,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from txrisk.llm import near_dedup
 from txrisk.llm.components import connected_components
 from txrisk.llm.exact_dedup import ExtendibleHash, build_index, exact_groups, keep_one_of_equal
 from txrisk.llm.near_dedup import NearDedup, keep_one_per_component, near_components
@@ -72,6 +73,31 @@ def test_near_keeps_one_row_per_group(make_docs, odd_rows):
     assert ids.count(6) == 1 and 7 not in ids and ids.count(9) == 2 and {1, 2, 3, 4, 5} <= set(ids)
 
 
+def test_near_keeps_one_row_of_groups_without_ids_of_their_own(make_docs, words):
+    rng = np.random.default_rng(8)
+
+    def family():
+        base = [words[i] for i in rng.integers(0, 400, 200)]
+        return [" ".join([*base[:at], f"changed{at}", *base[at:]]) for at in range(0, 200, 50)]
+
+    unnamed, shared = family(), family()
+    rows = [(None, t) for t in unnamed + unnamed[:2]] + [(3, t) for t in shared + shared[:1]]
+    got = [(r.doc_id, r.text) for r in keep_one_per_component(make_docs(rows), NearDedup()).collect()]
+    assert sorted(d or 0 for d, _ in got) == [0, 3] and all(row in rows for row in got)
+    kept = {(r.doc_id, r.text_hash) for r in near_components(make_docs(rows), NearDedup()).collect() if r.kept}
+    assert len(kept) == 2
+
+
+def test_near_sets_are_read_once_per_node(spark, make_docs, words, monkeypatch):
+    rng = np.random.default_rng(9)
+    base = [words[i] for i in rng.integers(0, 400, 100)]
+    rows = [(None, " ".join([*base[:at], f"changed{at}", *base[at:]])) for at in range(0, 100, 25)] * 3
+    seen, sets_of = [], near_dedup._sets
+    monkeypatch.setattr(near_dedup, "_sets", lambda texts, p: seen.append(texts.count()) or sets_of(texts, p))
+    near_components(make_docs(rows), NearDedup())
+    assert seen == [4]
+
+
 @pytest.mark.parametrize("stage", [keep_one_per_component, keep_one_of_equal, near_components, exact_groups, remove_repeats])
 def test_empty_tables(make_docs, stage):
     assert stage(make_docs([])).collect() == []

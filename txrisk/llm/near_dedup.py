@@ -66,6 +66,11 @@ def _text_hash() -> Column:
     return F.xxhash64(F.coalesce("text", F.lit("")))
 
 
+def _position() -> tuple[Column, ...]:
+    """What orders the rows of a group: doc_id, null last, then the text's hash."""
+    return F.col("doc_id").isNull().alias("unnamed"), F.col("doc_id"), F.col("text_hash")
+
+
 def _digest(shingles: np.ndarray) -> bytes:
     return xxhash.xxh3_128_digest(shingles.tobytes())
 
@@ -89,7 +94,7 @@ def _signed(documents: DataFrame, p: NearDedup) -> DataFrame:
 
 
 def _sets(texts: DataFrame, p: NearDedup) -> DataFrame:
-    """The full set of each wanted node; a row of the same doc_id with another text is passed over."""
+    """The full set of each wanted node; a text whose set is another one (a clash of text hashes) is passed over."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -101,7 +106,7 @@ def _sets(texts: DataFrame, p: NearDedup) -> DataFrame:
                     sets.append(s.view(np.int64))
             yield pd.DataFrame({"node": nodes, "shingles": sets})
 
-    return texts.select("w.node", "d.text").mapInPandas(run, "node binary, shingles array<long>")
+    return texts.select("node", "text").mapInPandas(run, "node binary, shingles array<long>")
 
 
 def _sizes_fit(a: Column, b: Column, percent: int) -> Column:
@@ -178,11 +183,11 @@ def near_components(documents: DataFrame, params: NearDedup | None = None) -> Da
     """doc_id, n_shingles, component_id, kept, text_hash for every row of ``documents(doc_id, text, ...)``.
 
     ``component_id`` is the smallest doc_id that confirmed links reach, itself included; ``kept`` says
-    that a row has that id. Texts without words (null, empty, white space) have no shingles and are linked
-    with nothing; texts shorter than a shingle are one shingle. Rows with a null doc_id take part but
-    never name a component that has another id. Repeated rows are one node; all rows that carry the
-    component's id count as kept. ``text_hash`` tells texts under one doc_id apart. Other columns are ignored.
-    Sets are compared by 64-bit shingle hashes.
+    that a row is the component's first by doc_id (null last) and then text hash. Texts without words (null, empty,
+    white space) have no shingles, are linked with nothing and are kept; texts shorter than a shingle are one
+    shingle. Rows with a null doc_id take part but never name a component that has another id. Repeated rows are
+    one node; all repeats of the component's first row count as kept. ``text_hash`` tells texts under one doc_id
+    apart. Other columns are ignored. Sets are compared by 64-bit shingle hashes.
     """
     p = params or NearDedup()
     ensure_checkpoint_dir(documents.sparkSession)
@@ -194,11 +199,15 @@ def near_components(documents: DataFrame, params: NearDedup | None = None) -> Da
     shared = banded.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
     live = banded.join(shared, "key").checkpoint()
 
-    first = signed.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
-    wanted = live.select("node").distinct().join(first, "node")
-    texts = documents.select(F.col("doc_id").cast("long"), "text").alias("d").join(
-        wanted.alias("w"), F.col("d.doc_id").eqNullSafe(F.col("w.doc_id"))
-    )
+    # Each set is read from one text: the row that comes first, and of its repeats only one.
+    rows = signed.where("node is not null").groupBy("node", "doc_id", "text_hash").agg(F.count("*").alias("n"))
+    first = rows.groupBy("node").agg(F.min(F.struct(*_position(), "n")).alias("first")).select("node", "first.doc_id", "first.text_hash", "first.n")
+    wanted = live.select("node").distinct().join(first, "node").checkpoint()
+    texts = documents.select(F.col("doc_id").cast("long"), "text", _text_hash().alias("text_hash")).alias("d").join(
+        wanted.alias("w"), F.col("d.doc_id").eqNullSafe(F.col("w.doc_id")) & (F.col("d.text_hash") == F.col("w.text_hash"))
+    ).select("node", "text", "n")
+    if not wanted.where("n > 1").isEmpty():
+        texts = texts.where("n = 1").union(texts.where("n > 1").dropDuplicates(["node"]))
     sets = _sets(texts, p).checkpoint()
 
     # The first hubs meet every node of their buckets.
@@ -217,13 +226,13 @@ def near_components(documents: DataFrame, params: NearDedup | None = None) -> Da
     components = connected_components(components.toDF("u", "v").union(links))
 
     labelled = signed.drop("keys").join(components, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    smallest = labelled.where("component is not null").groupBy("component").agg(F.min("doc_id").alias("smallest"))
-    component_id = F.when(F.col("component").isNull(), F.col("doc_id")).otherwise(F.col("smallest"))
-    return labelled.join(smallest, "component", "left").select(
+    heads = labelled.where("component is not null").groupBy("component").agg(F.min(F.struct(*_position())).alias("head"))
+    alone = F.col("component").isNull()
+    return labelled.join(heads, "component", "left").select(
         "doc_id",
         "n_shingles",
-        component_id.alias("component_id"),
-        F.col("doc_id").eqNullSafe(component_id).alias("kept"),
+        F.when(alone, F.col("doc_id")).otherwise(F.col("head.doc_id")).alias("component_id"),
+        (alone | (F.struct(*_position()) == F.col("head"))).alias("kept"),
         "text_hash",
     )
 
