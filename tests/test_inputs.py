@@ -8,7 +8,7 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
-from txrisk.operators import evaluation, explore, prep, velocity
+from txrisk.operators import evaluation, explore, hashing, prep, velocity
 from txrisk.schema import TRANSACTION
 from txrisk.sources import files
 
@@ -85,6 +85,23 @@ def test_splits_over_many_strata(spark):
     assert {r.split: r["count"] for r in got} == {"test": 4000, "val": 4000, "train": 12_000}
 
 
+def test_splits_over_more_strata_than_a_driver_should_hold(spark):
+    df = spark.range(300_000).select("id", F.when(F.col("id") % 3 > 0, F.col("id") % 150_000).alias("stratum"))
+    got = prep.split_stratified(df, "stratum", "id")
+    assert got.columns == ["id", "stratum", "split"] and got.count() == 300_000
+    without = {r.split: r["count"] for r in got.where("stratum IS NULL").groupBy("split").count().collect()}
+    assert without == {"test": 20_000, "val": 20_000, "train": 60_000}
+
+
+@pytest.mark.parametrize("rows", [20, 2_000_000])
+def test_splits_by_rank_equal_splits_by_cut(spark, settings, monkeypatch, rows):
+    df = spark.range(5000).select("id", F.when(F.col("id") % 7 > 0, F.col("id") % 10).alias("stratum"))
+    cut = prep.split_stratified(df, "stratum", "id").collect()
+    monkeypatch.setattr(hashing, "LITERAL_KEYS", 2)
+    settings("spark.txrisk.maxGroupRows", rows)
+    assert sorted(prep.split_stratified(df, "stratum", "id").collect()) == sorted(cut)
+
+
 def test_a_grid_without_rows(spark):
     df = spark.createDataFrame([], "score double, label int")
     got = evaluation.threshold_counts(df, "score", "label", [0.1, 0.5]).collect()

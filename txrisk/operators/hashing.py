@@ -33,6 +33,12 @@ def key_counts(df: DataFrame, key: str) -> dict:
     return {r[0]: r[1] for r in rows}
 
 
+def few_counts(df: DataFrame, key: str) -> dict | None:
+    """Rows per value of a column of at most ``LITERAL_KEYS`` values, else None."""
+    rows = df.groupBy(key).count().limit(LITERAL_KEYS + 1).collect()
+    return {r[0]: r[1] for r in rows} if len(rows) <= LITERAL_KEYS else None
+
+
 def _cuts(df: DataFrame, key: Column, row_id: str, salt, counts: dict, ranks: dict, slack: float) -> dict:
     spark = df.sparkSession
     narrow = df.select(key.alias("_key"), det_rand(F.col(row_id), salt).alias("_u"), F.col(row_id).alias("_id"))

@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 from txrisk.functions.scalar import null_if_nan
 from txrisk.operators.clean import impute_mode
-from txrisk.operators.hashing import hash_cuts, key_counts, rank_at_most, with_hash
+from txrisk.operators.hashing import few_counts, hash_cuts, key_counts, rank_at_most, with_hash
+from txrisk.operators.ordering import group_rank
 
 
 def fit_scaler(train: DataFrame, columns: Sequence[str]) -> dict[str, tuple[float, float]]:
@@ -96,9 +97,19 @@ def split_stratified(
 ) -> DataFrame:
     """Add ``split``: test, then ``val`` of the rest, else train, with exact shares per class.
 
-    A filter on the row's own hash: no row moves, and a re-run assigns it the same way.
+    Few classes: a filter on the row's own hash, no row moves. Otherwise, however many classes there are, rows are
+    ranked by the same hash within their class, and nothing about a class reaches the driver. Both ways, and a
+    re-run, assign a row alike.
     """
-    return _split(df, F.col(label), key_counts(df, label), row_id, test, val, salt)
+    counts = few_counts(df, label)
+    if counts is not None:
+        return _split(df, F.col(label), counts, row_id, test, val, salt)
+    ranked = group_rank(with_hash(df, row_id, salt), [label], ["_u", row_id], "_rank", totals=True)
+    n = F.col("_rank_total")
+    tests = F.rint(F.lit(test) * n)
+    vals = tests + F.rint(F.lit(val) * (n - tests))
+    split = F.when(F.col("_rank") <= tests, "test").when(F.col("_rank") <= vals, "val").otherwise("train")
+    return ranked.withColumn("split", split).drop("_u", "_rank", "_rank_total")
 
 
 def split_random(df: DataFrame, row_id: str, test: float = 0.2, val: float = 0.25, salt: int = 42) -> DataFrame:
