@@ -1,10 +1,10 @@
-"""Benchmark decontamination: size-partitioned MinHash containment search.
+"""Benchmark decontamination: containment search by the smallest shingle hashes.
 
 A document contains an item when it has at least ``percent`` of the item's distinct word shingles. Item sizes
-differ, so items are partitioned by size (powers of two) and each partition has its own sketch: the item's k
-smallest shingle hashes, where k is one more than the shingles a containing document may lack. A document that
-contains the item therefore has at least one sketch hash, whatever its own length: the search loses nothing. A
-partition's largest sketch hash bounds which of a document's shingles are looked up at all. Candidates are then
+differ, so each item has a sketch of its own size: its k smallest shingle hashes, where k is one more than the
+shingles a containing document may lack. A document that contains the item therefore has at least one sketch hash,
+whatever its own length: the search loses nothing. The largest sketch hash of all items bounds which of a document's
+shingles are looked up at all; the size classes (powers of two) have no effect on the search. Candidates are then
 verified by counting shared shingles exactly.
 
 One minimum per permutation and document, with bands, would need thousands of permutations to find an item of forty
@@ -56,7 +56,7 @@ def item_shingles(benchmark: DataFrame, p: Containment) -> DataFrame:
 
 
 def sketches(items: DataFrame) -> DataFrame:
-    """size_class, k, shingle: the k smallest hashes of every item, k by its size partition's items alone."""
+    """size_class, k, shingle: the k smallest hashes of every item, k by the item's size."""
     k = (F.col("n_item") - F.col("need") + 1).cast("int")
     smallest = F.slice(F.array_sort("all"), F.lit(1), k)
     size_class = F.ceil(F.log2(F.col("n_item"))).cast("int")
