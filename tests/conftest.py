@@ -5,7 +5,8 @@ import sys
 
 import pytest
 
-sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+_HERE = os.path.dirname(os.path.abspath(__file__))
+sys.path[:0] = [os.path.dirname(_HERE), _HERE]
 
 from txrisk.session import (  # noqa: E402
     DEFAULT_MAX_BROADCAST_BYTES,
@@ -15,9 +16,6 @@ from txrisk.session import (  # noqa: E402
     local_session,
 )
 
-SF_DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
-
-
 @pytest.fixture(scope="session")
 def spark():
     session = local_session("4", memory="4g", shuffle_partitions=4)

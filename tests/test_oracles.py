@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pytest
-from conftest import SF_DIR
+from paths import SF_DIR
 
 import __spark_entry__
 from tools.check_oracles import compare, connect

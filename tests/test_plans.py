@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 
 import pytest
-from conftest import SF_DIR
+from paths import SF_DIR
 
 from txrisk.datasets import scored, transactions
 from txrisk.operators import evaluation, explore, prep, sequence
