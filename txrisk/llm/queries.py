@@ -6,6 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from txrisk.llm.conversation_repair import damage, repair_conversations
 from txrisk.llm.decontamination import contained_items
 from txrisk.llm.exact_dedup import exact_groups
 from txrisk.llm.license_scan import TEMPLATES, scan_licenses
@@ -216,3 +217,8 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = _read(spark, sf_dir, "documents")
     return score_quality(documents, fit_rules(documents, _read(spark, sf_dir, "labels")))
+
+
+@query("op13_conversation_repair")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair_conversations(damage(_read(spark, sf_dir, "conversations")), dropped="dropped")
