@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from txrisk.llm.conversation_repair import damage, repair_conversations
 from txrisk.llm.decontamination import contained_items
 from txrisk.llm.exact_dedup import exact_groups
+from txrisk.llm.hard_negatives import mine_negatives, usable_rows
 from txrisk.llm.license_scan import TEMPLATES, scan_licenses
 from txrisk.llm.line_dedup import drop_recurring_lines
 from txrisk.llm.near_dedup import NearDedup, near_components
@@ -16,6 +17,7 @@ from txrisk.llm.packing import pack
 from txrisk.llm.quality_rules import fit_rules, score_quality
 from txrisk.llm.suffix_dedup import remove_repeats
 from txrisk.llm.token_counts import count_tokens
+from txrisk.llm.toxicity import fit_toxicity, score_toxicity
 from txrisk.llm.url_filter import Rule, fit_url_model, judge_urls, matching_rule, url_host, url_path
 from txrisk.plans.registry import query
 
@@ -219,6 +221,40 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_quality(documents, fit_rules(documents, _read(spark, sf_dir, "labels")))
 
 
+OP11_SQL = """
+WITH rows AS (
+    SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label::BIGINT + 1) % 10 ELSE label END AS label,
+        list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v
+    FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+        AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), scored AS (
+    SELECT a.vec_id AS anchor_id, r.vec_id, r.label = a.label AS same, CAST(list_dot_product(a.v::DOUBLE[], r.v::DOUBLE[]) AS BIGINT) AS score
+    FROM rows a JOIN rows r ON r.vec_id <> a.vec_id WHERE a.vec_id % 100 = 0
+), positives AS (
+    SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM scored WHERE same
+    QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5
+)
+SELECT p.anchor_id, p.positive_id, CAST(row_number() OVER w AS INTEGER) AS rank, s.vec_id AS negative_id, p.positive_score, s.score AS negative_score
+FROM positives p JOIN scored s ON s.anchor_id = p.anchor_id AND NOT s.same
+    AND 30 * p.positive_score <= 100 * s.score AND 100 * s.score <= 90 * p.positive_score
+WINDOW w AS (PARTITION BY p.anchor_id, p.positive_id ORDER BY s.score DESC, s.vec_id)
+QUALIFY row_number() OVER w <= 10
+"""
+
+
+@query("op11_hard_negatives", OP11_SQL)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label").cast("long") + 1) % 10).otherwise(F.col("label"))
+    rows = usable_rows(_read(spark, sf_dir, "embeddings").withColumn("label", label))
+    return mine_negatives(rows, F.col("id") % 100 == 0)
+
+
+@query("op12_toxicity")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = _read(spark, sf_dir, "documents")
+    return score_toxicity(documents, fit_toxicity(documents, _read(spark, sf_dir, "labels")))
+
+
 @query("op13_conversation_repair")
 def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair_conversations(damage(_read(spark, sf_dir, "conversations")), dropped="dropped")
