@@ -5,12 +5,15 @@ toxic. The risk of a linear classifier is ``prior * E_toxic[loss(+)] + max(0, E_
 where the estimate of the second part falls below zero on a batch, the step undoes the overfit instead (non-negative
 positive-unlabelled learning). Several numpy classifiers learn side by side in Spark tasks from different unlabelled
 texts, and their logits are averaged.
+
+What they see is how often a text uses certain words, whole or by their beginnings: those that a G-test finds in far
+more confirmed than unlabelled texts.
 """
 
 from __future__ import annotations
 
 import re
-import zlib
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -22,6 +25,9 @@ from pyspark.sql import functions as F
 from txrisk.session import scratch_path
 
 _WORD = re.compile(r"[^\W\d_]+")
+#: Lengths of the beginnings of words that are terms; a whole word is a term with END behind it.
+SHORTEST, LONGEST = 4, 8
+END = "|"
 
 
 @dataclass(frozen=True)
@@ -32,32 +38,53 @@ class PositiveUnlabelled:
     """
 
     prior: float | None = None
-    bits: int = 18
-    members: int = 4
-    epochs: int = 12
-    batch: int = 512
-    rate: float = 0.02
-    decay: float = 1e-4
-    least_texts: int = 3
     max_toxic: int = 4_000
     max_unlabelled: int = 16_000
+    max_terms: int = 2_000
+    least_texts: int = 3
+    least_g: float = 25.0
+    members: int = 4
+    steps: int = 300
+    known_per_step: int = 128
+    other_per_step: int = 512
+    rate: float = 0.05
+    decay: float = 1e-4
     seed: int = 5
 
 
 @dataclass(frozen=True)
 class ToxicityModel:
-    """Logit = bias + the weights of a text's distinct words; words hash to ``bits`` bits."""
+    """Logit = bias + sum of a term's weight times log(1 + its uses in a hundred words)."""
 
     bias: float
-    at: np.ndarray
-    weight: np.ndarray
-    bits: int
+    weights: dict[str, float]
+
 
+def words_of(text: str | None) -> Counter:
+    """Words of the whole text, letters of any script in lower case, with their counts."""
+    return Counter(_WORD.findall((text or "").lower()))
 
-def word_slots(text: str | None, bits: int) -> set[int]:
-    """Hashed distinct words of the whole text, letters of any script in lower case."""
-    mask = (1 << bits) - 1
-    return {zlib.crc32(w.encode("utf-8", "surrogatepass")) & mask for w in set(_WORD.findall((text or "").lower()))}
+
+def _terms(word: str) -> list[str]:
+    return [word + END] + [word[:n] for n in range(SHORTEST, min(LONGEST, len(word) - 1) + 1)]
+
+
+def term_rates(text: str | None, known: set[str] | None = None, heads: set[str] | None = None) -> dict[str, float]:
+    """log(1 + uses in a hundred words) of every term, or of the known ones, of a text."""
+    counts = words_of(text)
+    uses: Counter = Counter()
+    for word, n in counts.items():
+        if heads is None or word[:SHORTEST] in heads:
+            for term in _terms(word):
+                if known is None or term in known:
+                    uses[term] += n
+    total = max(sum(counts.values()), 1)
+    return {t: float(np.log1p(100.0 * n / total)) for t, n in uses.items()}
+
+
+def _heads(terms: dict | set) -> set[str]:
+    """The first letters of words that can have one of the terms."""
+    return {t.removesuffix(END)[:SHORTEST] for t in terms}
 
 
 def held_out(doc_id: Column) -> Column:
@@ -65,117 +92,131 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def _logits(weight: np.ndarray, bias: float, slots: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    sums = np.concatenate([[0.0], np.cumsum(weight[slots])])
-    return bias + sums[ends] - sums[np.concatenate([[0], ends[:-1]])]
-
-
 def _sigmoid(z: np.ndarray) -> np.ndarray:
     return 1.0 / (1.0 + np.exp(-np.clip(z, -30, 30)))
 
 
-def fit_member(texts: list[np.ndarray], toxic: np.ndarray, prior: float, p: PositiveUnlabelled, seed: int) -> tuple[float, np.ndarray]:
-    """(bias, weights) of one classifier by Adam on the non-negative risk; ``texts`` are slots into the weights."""
+def risk_and_slopes(known: np.ndarray, other: np.ndarray, prior: float) -> tuple[float, np.ndarray, np.ndarray]:
+    """The harmless part of the risk and the slopes of the step by each logit.
+
+    Logistic loss: its slope is q - 1 for a text called toxic and q for one called harmless. A negative part counts as
+    zero in the risk, and the step goes up its gradient.
+    """
+    qk, qu = _sigmoid(known), _sigmoid(other)
+    harmless = float(np.logaddexp(0, other).mean() - prior * np.logaddexp(0, known).mean())
+    slope_k, slope_u = -prior * qk / len(qk), qu / len(qu)
+    if harmless < 0:
+        return harmless, -slope_k, -slope_u
+    return harmless, slope_k + prior * (qk - 1) / len(qk), slope_u
+
+
+def fit_member(texts: list[tuple[np.ndarray, np.ndarray]], toxic: np.ndarray, terms: int, prior: float, p: PositiveUnlabelled, seed: int) -> tuple[float, np.ndarray]:
+    """(bias, weights) of one classifier by Adam on the non-negative risk; a text is (term numbers, values)."""
     rng = np.random.default_rng(seed)
-    size = 1 + max((int(t.max()) for t in texts if len(t)), default=0)
-    weight, bias = np.zeros(size), float(np.log(prior / (1 - prior)))
-    moment, square, step = np.zeros(size + 1), np.zeros(size + 1), 0
+    at = np.concatenate([[0.0], np.zeros(terms)])
+    at[0] = np.log(prior / (1 - prior))
+    moment, square = np.zeros(terms + 1), np.zeros(terms + 1)
     known, other = np.flatnonzero(toxic), np.flatnonzero(~toxic)
-    batches = max(1, -(-len(other) // p.batch))
-    for _ in range(p.epochs):
-        known, other = rng.permutation(known), rng.permutation(other)
-        for some, any_ in zip(np.array_split(np.resize(known, max(len(known), batches)), batches), np.array_split(other, batches)):
-            rows = [texts[i] for i in some] + [texts[i] for i in any_]
-            lengths = np.array([len(r) for r in rows])
-            slots, ends = np.concatenate(rows).astype(np.int64), np.cumsum(lengths)
-            q = _sigmoid(_logits(weight, bias, slots, ends))
-            qk, qu = q[: len(some)], q[len(some) :]
-            # Logistic loss: its slope is q - 1 for a text called toxic and q for one called harmless.
-            harmless = -np.log1p(-np.minimum(qu, 1 - 1e-9)).mean() + prior * np.log1p(-np.minimum(qk, 1 - 1e-9)).mean()
-            slope_k, slope_u = -prior * qk / len(some), qu / len(any_)
-            if harmless >= 0:
-                slope_k = slope_k + prior * (qk - 1) / len(some)
-            else:
-                slope_k, slope_u = -slope_k, -slope_u
-            slope = np.concatenate([slope_k, slope_u])
-            gradient = np.append(np.bincount(slots, np.repeat(slope, lengths), size) + p.decay * weight, slope.sum())
-            step += 1
-            moment = 0.9 * moment + 0.1 * gradient
-            square = 0.999 * square + 0.001 * gradient**2
-            change = p.rate * (moment / (1 - 0.9**step)) / (np.sqrt(square / (1 - 0.999**step)) + 1e-8)
-            weight, bias = weight - change[:-1], bias - change[-1]
-    return bias, weight
-
-
-def _sample(documents: DataFrame, labels: DataFrame, p: PositiveUnlabelled) -> tuple[DataFrame, DataFrame]:
-    """(labels that may be learned from, hashed words of the fitted texts with toxic or not)."""
-    usable = labels.where("doc_id is not null and toxic in (0, 1)").where(~held_out(F.col("doc_id")))
-    usable = usable.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    for step in range(1, p.steps + 1):
+        some = rng.choice(known, min(p.known_per_step, len(known)), replace=False)
+        any_ = rng.choice(other, min(p.other_per_step, len(other)), replace=False)
+        rows = [texts[i] for i in (*some, *any_)]
+        lengths = np.array([len(r[0]) for r in rows])
+        place, value = np.concatenate([r[0] for r in rows]).astype(np.int64), np.concatenate([r[1] for r in rows])
+        row = np.repeat(np.arange(len(rows)), lengths)
+        z = at[0] + np.bincount(row, at[1 + place] * value, len(rows))
+        _, slope_k, slope_u = risk_and_slopes(z[: len(some)], z[len(some) :], prior)
+        slope = np.concatenate([slope_k, slope_u])
+        gradient = np.append(slope.sum(), np.bincount(place, slope[row] * value, terms) + p.decay * at[1:])
+        moment = 0.9 * moment + 0.1 * gradient
+        square = 0.999 * square + 0.001 * gradient**2
+        at = at - p.rate * (moment / (1 - 0.9**step)) / (np.sqrt(square / (1 - 0.999**step)) + 1e-8)
+    return float(at[0]), at[1:]
+
+
+def _sample(documents: DataFrame, usable: DataFrame, p: PositiveUnlabelled) -> DataFrame:
+    """doc_id, is_toxic, terms, rates of the distinct texts to fit."""
     first = [F.xxhash64("doc_id", F.lit(p.seed)), "doc_id"]
     known = usable.where("toxic = 1").orderBy(*first).limit(p.max_toxic).select("doc_id", F.lit(True).alias("is_toxic"))
     ids = documents.select("doc_id").where("doc_id is not null").where(~held_out(F.col("doc_id")))
     ids = ids.join(known.select("doc_id"), "doc_id", "left_anti").distinct()
     other = ids.orderBy(*first).limit(p.max_unlabelled).select("doc_id", F.lit(False).alias("is_toxic"))
-    bits = p.bits
-
-    @F.pandas_udf("array<int>")
-    def slots(text: pd.Series) -> pd.Series:
-        return pd.Series([sorted(word_slots(t, bits)) for t in text])
-
     # Both samples are bounded by the parameters.
     chosen = documents.select("doc_id", "text").join(F.broadcast(known.unionByName(other)), "doc_id")
-    return usable, chosen.select("doc_id", "is_toxic", slots("text").alias("slots"))
+    once = chosen.groupBy(F.md5(F.coalesce("text", F.lit(""))).alias("digest")).agg(
+        F.min("doc_id").alias("doc_id"), F.max("is_toxic").alias("is_toxic"), F.any_value("text").alias("text")
+    )
+
+    @F.pandas_udf("array<struct<term:string,rate:double>>")
+    def rates(text: pd.Series) -> pd.Series:
+        return pd.Series([[{"term": k, "rate": v} for k, v in term_rates(t).items()] for t in text])
+
+    return once.select("doc_id", "is_toxic", rates("text").alias("terms"))
+
+
+def _telling(sample: DataFrame, toxic: int, other: int, p: PositiveUnlabelled) -> list[str]:
+    """Terms in more confirmed than other texts, by the G statistic of their two-by-two table; bounded in number."""
+    terms = sample.select("is_toxic", F.explode("terms.term").alias("term"))
+    counts = terms.groupBy("term").agg(F.count_if("is_toxic").alias("k"), F.count_if(~F.col("is_toxic")).alias("u"))
+    k, u, a, b = F.col("k"), F.col("u"), F.lit(float(toxic)), F.lit(float(other))
+    both = (k + u) / (a + b)
+
+    def part(n: Column, expected: Column) -> Column:
+        return F.when(n > 0, n * F.ln(n / expected)).otherwise(0.0)
+
+    g = 2 * (part(k, a * both) + part(u, b * both) + part(a - k, a * (1 - both)) + part(b - u, b * (1 - both)))
+    found = counts.where(k >= p.least_texts).where(k * b > u * a).withColumn("g", g).where(F.col("g") >= p.least_g)
+    return [r["term"] for r in found.orderBy(F.desc("g"), "term").limit(p.max_terms).select("term").collect()]
 
 
 def fit_toxicity(documents: DataFrame, labels: DataFrame, params: PositiveUnlabelled | None = None) -> ToxicityModel:
     """Fit on ``labels(doc_id, toxic)`` joined to ``documents(doc_id, text)``, without held-out rows.
 
     Of a label only "confirmed toxic" is used, besides the prior. Rows with a null id or label are left out; an id with
-    both labels is toxic. Without a confirmed toxic text, or without any other, the model scores the prior everywhere,
-    and 0 if there are no labels.
+    both labels is toxic; equal texts are one text. Without a confirmed toxic text, or without any other, or without
+    telling terms, the model scores the prior everywhere, and about 0 if there are no labels.
     """
     p = params or PositiveUnlabelled()
     spark = documents.sparkSession
-    usable, sample = _sample(documents, labels, p)
-    prior = p.prior
-    if prior is None:
-        prior = usable.agg(F.avg(F.col("toxic").cast("double"))).first()[0] or 0.0
-    nothing = np.zeros(0, dtype=np.int64)
-    clipped = min(max(prior, 1e-9), 0.95)
+    usable = labels.where("doc_id is not null and toxic in (0, 1)").where(~held_out(F.col("doc_id")))
+    usable = usable.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    prior = p.prior if p.prior is not None else usable.agg(F.avg(F.col("toxic").cast("double"))).first()[0] or 0.0
+    prior = min(max(prior, 1e-9), 0.95)
+    flat = ToxicityModel(float(np.log(prior / (1 - prior))), {})
     path = scratch_path(spark, "toxicity-sample")
-    sample.write.parquet(path)
+    _sample(documents, usable, p).write.parquet(path)
     sample = spark.read.parquet(path)
-    seen = {r[0] for r in sample.select("is_toxic").distinct().collect()}
+    seen = {r["is_toxic"]: r["count"] for r in sample.groupBy("is_toxic").count().collect()}
     if len(seen) < 2:
-        return ToxicityModel(float(np.log(clipped / (1 - clipped))) if prior > 0 else -30.0, nothing, np.zeros(0), p.bits)
+        return flat
+    terms = _telling(sample, seen[True], seen[False], p)
+    if not terms:
+        return flat
+    number = {t: i for i, t in enumerate(terms)}
     members = p.members
-    dealt = sample.withColumn("member", F.when(
-        F.col("is_toxic"), F.sequence(F.lit(0), F.lit(members - 1))
-    ).otherwise(F.array(F.pmod(F.xxhash64("doc_id"), F.lit(members)).cast("int"))))
+
+    @F.pandas_udf("at array<int>, value array<double>")
+    def picked(rows: pd.Series) -> pd.DataFrame:
+        kept = [sorted((number[e["term"]], e["rate"]) for e in r if e["term"] in number) for r in rows]
+        return pd.DataFrame({"at": [[a for a, _ in r] for r in kept], "value": [[v for _, v in r] for r in kept]})
 
     def learn(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["doc_id", "is_toxic"], kind="stable")
-        texts = [np.asarray(s, dtype=np.int64) for s in rows["slots"]]
-        at, place, count = np.unique(np.concatenate(texts), return_inverse=True, return_counts=True)
-        kept = count >= p.least_texts
-        rename = np.where(kept, np.cumsum(kept) - 1, -1)[place]
-        pieces = np.split(rename, np.cumsum([len(t) for t in texts])[:-1])
-        texts = [t[t >= 0] for t in pieces]
+        rows = rows.sort_values("doc_id", kind="stable")
+        texts = [(np.asarray(a, dtype=np.int64), np.asarray(v, dtype=float)) for a, v in zip(rows["at"], rows["value"])]
         toxic = rows["is_toxic"].to_numpy(dtype=bool)
-        member = int(rows["member"].iloc[0])
         if toxic.all():
-            return pd.DataFrame({"bias": [float(np.log(clipped / (1 - clipped)))], "at": [[]], "weight": [[]]})
-        bias, weight = fit_member(texts, toxic, clipped, p, p.seed + member)
-        return pd.DataFrame({"bias": [bias], "at": [at[kept][: len(weight)]], "weight": [weight[: int(kept.sum())]]})
+            return pd.DataFrame({"bias": [], "weights": []})
+        bias, weights = fit_member(texts, toxic, len(number), prior, p, p.seed + int(rows["member"].iloc[0]))
+        return pd.DataFrame({"bias": [bias], "weights": [weights]})
 
-    fitted = dealt.withColumn("member", F.explode("member")).groupBy("member")
-    # One row per member, of as many numbers as there are slots at most.
-    rows = fitted.applyInPandas(learn, "bias double, at array<int>, weight array<double>").collect()
-    total = np.zeros(1 << p.bits)
-    for r in rows:
-        total[np.asarray(r["at"], dtype=np.int64)] += np.asarray(r["weight"]) / len(rows)
-    used = np.flatnonzero(total)
-    return ToxicityModel(float(np.mean([r["bias"] for r in rows])), used, total[used], p.bits)
+    every = F.sequence(F.lit(0), F.lit(members - 1))
+    mine = F.array(F.pmod(F.xxhash64("doc_id"), F.lit(members)).cast("int"))
+    small = sample.select("doc_id", "is_toxic", picked("terms").alias("picked")).select("doc_id", "is_toxic", "picked.*")
+    dealt = small.withColumn("member", F.explode(F.when(F.col("is_toxic"), every).otherwise(mine)))
+    # A row per member, of as many numbers as there are terms.
+    rows = dealt.groupBy("member").applyInPandas(learn, "bias double, weights array<double>").collect()
+    weights = np.mean([r["weights"] for r in rows], axis=0)
+    return ToxicityModel(float(np.mean([r["bias"] for r in rows])), dict(zip(terms, map(float, weights))))
 
 
 def score_toxicity(documents: DataFrame, model: ToxicityModel) -> DataFrame:
@@ -184,14 +225,14 @@ def score_toxicity(documents: DataFrame, model: ToxicityModel) -> DataFrame:
     The whole text counts. A null or empty text has the score of the model's bias, repeated rows score alike, rows
     without a doc_id are scored and not held out, and other columns are never inputs.
     """
-    bias, bits = model.bias, model.bits
-    weights = dict(zip(model.at.tolist(), model.weight.tolist()))
+    bias, weights = model.bias, model.weights
+    known, heads = set(weights), _heads(weights)
 
     @F.pandas_udf("double")
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
-            z = np.array([bias + sum(weights.get(s, 0.0) for s in sorted(word_slots(t, bits))) for t in texts])
-            yield pd.Series(_sigmoid(z))
+            logits = [bias + sum(weights[t] * v for t, v in sorted(term_rates(text, known, heads).items())) for text in texts]
+            yield pd.Series(_sigmoid(np.array(logits, dtype=float)))
 
     scored = documents.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), score("text").alias("score"))
     return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
