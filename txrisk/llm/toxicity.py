@@ -19,15 +19,22 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
+from txrisk.llm.batches import small_batches
 from txrisk.session import scratch_path
 
 _WORD = re.compile(r"[^\W\d_]+")
 #: Lengths of the beginnings of words that are terms; a whole word is a term with END behind it.
 SHORTEST, LONGEST = 4, 8
 END = "|"
+#: Texts of the fitted sample whose terms a task holds together.
+TEXTS_AT_ONCE = 50
+_SAMPLE = "doc_id long, is_toxic boolean, terms array<string>, rates array<double>"
 
 
 @dataclass(frozen=True)
@@ -135,7 +142,7 @@ def fit_member(texts: list[tuple[np.ndarray, np.ndarray]], toxic: np.ndarray, te
 
 
 def _sample(documents: DataFrame, usable: DataFrame, p: PositiveUnlabelled) -> DataFrame:
-    """doc_id, is_toxic, terms, rates of the distinct texts to fit."""
+    """doc_id, is_toxic, terms and their rates, of the distinct texts to fit."""
     first = [F.xxhash64("doc_id", F.lit(p.seed)), "doc_id"]
     known = usable.where("toxic = 1").orderBy(*first).limit(p.max_toxic).select("doc_id", F.lit(True).alias("is_toxic"))
     ids = documents.select("doc_id").where("doc_id is not null").where(~held_out(F.col("doc_id")))
@@ -147,16 +154,27 @@ def _sample(documents: DataFrame, usable: DataFrame, p: PositiveUnlabelled) -> D
         F.min("doc_id").alias("doc_id"), F.max("is_toxic").alias("is_toxic"), F.any_value("text").alias("text")
     )
 
-    @F.pandas_udf("array<struct<term:string,rate:double>>")
-    def rates(text: pd.Series) -> pd.Series:
-        return pd.Series([[{"term": k, "rate": v} for k, v in term_rates(t).items()] for t in text])
+    schema = to_arrow_schema(StructType.fromDDL(_SAMPLE))
 
-    return once.select("doc_id", "is_toxic", rates("text").alias("terms"))
+    def rates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for start in range(0, whole.num_rows, TEXTS_AT_ONCE):
+                b = whole.slice(start, TEXTS_AT_ONCE)
+                found = [term_rates(t.as_py()) for t in b.column("text")]
+                ends = np.cumsum([0] + [len(f) for f in found])
+                terms = pa.array([t for f in found for t in f], pa.string())
+                rate = pa.array([r for f in found for r in f.values()], pa.float64())
+                lists = [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), v) for v in (terms, rate)]
+                cells = [b.column("doc_id"), b.column("is_toxic"), *lists]
+                yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(cells, schema)], schema=schema)
+
+    small_batches(documents.sparkSession)
+    return once.select(F.col("doc_id").cast("long").alias("doc_id"), "is_toxic", "text").mapInArrow(rates, _SAMPLE)
 
 
 def _telling(sample: DataFrame, toxic: int, other: int, p: PositiveUnlabelled) -> list[str]:
     """Terms in more confirmed than other texts, by the G statistic of their two-by-two table; bounded in number."""
-    terms = sample.select("is_toxic", F.explode("terms.term").alias("term"))
+    terms = sample.select("is_toxic", F.explode("terms").alias("term"))
     counts = terms.groupBy("term").agg(F.count_if("is_toxic").alias("k"), F.count_if(~F.col("is_toxic")).alias("u"))
     k, u, a, b = F.col("k"), F.col("u"), F.lit(float(toxic)), F.lit(float(other))
     both = (k + u) / (a + b)
@@ -196,8 +214,8 @@ def fit_toxicity(documents: DataFrame, labels: DataFrame, params: PositiveUnlabe
     members = p.members
 
     @F.pandas_udf("at array<int>, value array<double>")
-    def picked(rows: pd.Series) -> pd.DataFrame:
-        kept = [sorted((number[e["term"]], e["rate"]) for e in r if e["term"] in number) for r in rows]
+    def picked(terms: pd.Series, rates: pd.Series) -> pd.DataFrame:
+        kept = [sorted((number[t], v) for t, v in zip(ts, vs) if t in number) for ts, vs in zip(terms, rates)]
         return pd.DataFrame({"at": [[a for a, _ in r] for r in kept], "value": [[v for _, v in r] for r in kept]})
 
     def learn(rows: pd.DataFrame) -> pd.DataFrame:
@@ -211,7 +229,7 @@ def fit_toxicity(documents: DataFrame, labels: DataFrame, params: PositiveUnlabe
 
     every = F.sequence(F.lit(0), F.lit(members - 1))
     mine = F.array(F.pmod(F.xxhash64("doc_id"), F.lit(members)).cast("int"))
-    small = sample.select("doc_id", "is_toxic", picked("terms").alias("picked")).select("doc_id", "is_toxic", "picked.*")
+    small = sample.select("doc_id", "is_toxic", picked("terms", "rates").alias("picked")).select("doc_id", "is_toxic", "picked.*")
     dealt = small.withColumn("member", F.explode(F.when(F.col("is_toxic"), every).otherwise(mine)))
     # A row per member, of as many numbers as there are terms.
     rows = dealt.groupBy("member").applyInPandas(learn, "bias double, weights array<double>").collect()
@@ -225,6 +243,7 @@ def score_toxicity(documents: DataFrame, model: ToxicityModel) -> DataFrame:
     The whole text counts. A null or empty text has the score of the model's bias, repeated rows score alike, rows
     without a doc_id are scored and not held out, and other columns are never inputs.
     """
+    small_batches(documents.sparkSession)
     bias, weights = model.bias, model.weights
     known, heads = set(weights), _heads(weights)
 
