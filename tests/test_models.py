@@ -4,10 +4,13 @@ from __future__ import annotations
 
 import numpy as np
 import pytest
+from pyspark.ml.classification import LogisticRegression
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from txrisk.operators import evaluation as ev
-from txrisk.operators import models, scoring
+from txrisk.operators import models, prep, scoring
+from txrisk.operators.scoring_set import ScoringSet
 from txrisk.plans import pipeline
 
 
@@ -39,7 +42,54 @@ def test_classifiers_separate(matrix, kind):
 def test_weighted_and_focal(matrix):
     train, df = matrix
     assert auc(df, models.train_weighted(train)) > 0.9
-    assert auc(df, models.train_focal(train, rounds=2, max_iter=10)) > 0.9
+    assert auc(df, models.train_focal(train, max_iter=10)) > 0.9
+
+
+def reweighted_focal(df, gamma=2.0, alpha=0.25, rounds=4):
+    """The usual stand-in: log-loss fits, each weighted by the focal factor of the one before."""
+    data = models.as_vectors(df)
+    estimator = LogisticRegression(maxIter=50, regParam=0.01)
+    model = estimator.fit(data)
+    estimator.setWeightCol("w")
+    for _ in range(rounds):
+        p = vector_to_array("probability")[1]
+        hit = F.when(F.col("label") == 1, p).otherwise(1 - p)
+        weight = F.when(F.col("label") == 1, alpha).otherwise(1 - alpha) * F.pow(1 - hit, F.lit(gamma))
+        model = estimator.fit(model.transform(data).withColumn("w", F.greatest(weight, F.lit(1e-6))).select("features", "label", "w"))
+    return model
+
+
+def test_focal_fit_is_no_worse_than_reweighting(matrix):
+    train, _ = matrix
+
+    def loss(model):
+        scored = scoring.score_probability(models.as_vectors(train), model)
+        return scored.agg(F.avg(ev.loss_focal(F.col("label"), F.col("fraud_probability")))).first()[0]
+
+    assert loss(models.train_focal(train, l2=0.0, max_iter=25)) <= loss(reweighted_focal(train)) + 1e-9
+
+
+@pytest.mark.parametrize("name", list(ev.LOSSES))
+def test_losses_fall_at_every_step(matrix, name):
+    train, df = matrix
+    model = models.train_loss(train, name, max_iter=6)
+    assert len(model.history) > 2 and all(b < a for a, b in zip(model.history, model.history[1:]))
+    assert auc(df, model) > 0.9
+
+
+def test_log_loss_fit_equals_the_library_s(matrix):
+    train, _ = matrix
+    own = models.train_loss(train, "binary_crossentropy", l2=0.05, max_iter=40)
+    library = LogisticRegression(regParam=0.05, maxIter=200, tol=1e-10).fit(models.as_vectors(train))
+    assert own.coefficients.toArray() == pytest.approx(library.coefficients.toArray(), abs=1e-4)
+    assert own.intercept == pytest.approx(library.intercept, abs=1e-4)
+
+
+def test_rows_without_a_label_are_left_out(matrix):
+    train, _ = matrix
+    gap = train.withColumn("label", F.when(F.col("id") % 7 != 0, F.col("label")))
+    assert models.with_class_weights(gap).filter("label is null").count() == 0
+    assert models.train_loss(gap, "focal", max_iter=2).history[0] > 0
 
 
 def test_perceptron_refuses_what_it_cannot_do(matrix):
@@ -50,8 +100,11 @@ def test_perceptron_refuses_what_it_cannot_do(matrix):
 
 
 def test_tuning_picks_from_the_grid(matrix):
-    search = models.tune_classifier(matrix[0], {"maxIter": [1, 10]})
-    assert len(search.validationMetrics) == 2 and auc(matrix[1], search.bestModel) > 0.8
+    done = models.tune_classifier(matrix[0], {"hidden": [[4], [8, 4]], "stepSize": [0.001, 0.3]}, max_iter=30)
+    points = {r["point"]: r["auc"] for r in done.points.collect()}
+    assert len(points) == 4 and len(set(points.values())) > 2 and auc(matrix[1], done.model) > 0.8
+    again = models.tune_classifier(matrix[0].repartition(7), {"hidden": [[4]], "stepSize": [0.3]}, max_iter=3)
+    assert done.scores.filter("point = 0").count() == again.scores.count()
 
 
 def test_reconstructor_shape_and_direction(matrix):
@@ -97,3 +150,38 @@ def test_training_job(spark, matrix):
     done = pipeline.training_job(table)
     got = {r["metric"]: r["value"] for r in done.metrics.collect()}
     assert got["recall"] > 0.7 and done.features == [f"f{i}" for i in range(20)]
+
+
+@pytest.mark.parametrize("technique", ["smote", "undersample", "oversample", "adasyn"])
+def test_training_job_resamples_and_fits_both_halves(spark, matrix, technique, tmp_path):
+    _, df = matrix
+    table = df.select(F.col("id").alias("transaction_id"), F.col("label").alias("fraud_label"), *[F.col("features")[i].alias(f"f{i}") for i in range(6)])
+    done = pipeline.training_job(table, technique=technique, loss="focal", anomaly_axes=2)
+    assert {r["metric"]: r["value"] for r in done.metrics.collect()}["recall"] > 0.5
+    assert 0 < done.scoring.anomaly_cut and done.anomaly_metrics.count() == 4
+
+
+@pytest.mark.parametrize("kind", ["logistic", "gbt"])
+def test_saved_set_scores_alike(spark, matrix, kind, tmp_path):
+    _, df = matrix
+    table = df.select(F.col("id").alias("transaction_id"), F.col("label").alias("fraud_label"), *[F.col("features")[i].alias(f"f{i}") for i in range(6)])
+    kept = pipeline.training_job(table, kind=kind, anomaly_axes=2).scoring
+    kept.save(spark, str(tmp_path / "set"))
+    read = ScoringSet.load(spark, str(tmp_path / "set"))
+    assert read.features == kept.features and read.probability_cut == kept.probability_cut and read.anomaly_cut == kept.anomaly_cut
+    odd = table.limit(20).unionByName(spark.createDataFrame([(-1, None, None, float("nan"))], "transaction_id long, fraud_label int, f0 double, f1 double"), allowMissingColumns=True).drop("f5")
+    rows = [[tuple(r) for r in s.score(odd).orderBy("transaction_id").select("fraud_probability", "anomaly_score").collect()] for s in (kept, read)]
+    assert rows[0] == rows[1] and all(0 <= p <= 1 and e >= 0 for p, e in rows[0])
+
+
+def test_preprocessor_survives_saving_and_unseen_values(spark, tmp_path):
+    train = spark.createDataFrame([(1.0, "a"), (3.0, "b"), (None, "b"), (float("nan"), None)], "x double, c string")
+    model = prep.preprocess_pipeline(["x"], ["c"]).fit(train)
+    model.write().save(str(tmp_path / "m"))
+    model = prep.PreprocessorModel.load(str(tmp_path / "m"))
+    # Another mode in the serving table changes nothing.
+    serve = spark.createDataFrame([(None, None), (2.0, "z"), (4.0, "a"), (4.0, "a")], "x double, c string")
+    got = [list(r["features"]) for r in model.transform(serve).collect()]
+    assert model.names() == ["x", "c=a", "c=b"]
+    spread = 0.5**0.5
+    assert got == [pytest.approx(v) for v in ([0.0, 0.0, 1.0], [0.0, 0.0, 0.0], [2 / spread, 1.0, 0.0], [2 / spread, 1.0, 0.0])]

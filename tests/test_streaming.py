@@ -7,6 +7,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from txrisk.operators.scoring_set import Linear, ScoringSet
 from txrisk.streaming import scoring, sources
 
 
@@ -86,3 +87,26 @@ def test_kafka_needs_its_connector(spark):
 
     with pytest.raises(AnalysisException):
         sources.stream_kafka(spark, "localhost:9092")
+
+
+def test_rows_without_id_are_named_alike_on_replay(spark):
+    rows = spark.createDataFrame([(None, float(i)) for i in range(20)], "transaction_id string, amount double")
+    one = scoring.score_batch(rows.repartition(3), scorer, 2).select("amount", "transaction_id").collect()
+    two = scoring.score_batch(rows.repartition(5), scorer, 2).select("amount", "transaction_id").collect()
+    assert sorted(map(tuple, one)) == sorted(map(tuple, two)) and len({r[1] for r in one}) == 20
+
+
+def test_saved_set_survives_a_restart(spark, folder, tmp_path):
+    saved = ScoringSet(("amount", "amount_log", "unknown"), (0.0, 0.0, 0.0), (50.0, 3.0, 0.0), (20.0, 1.0, 1.0), Linear((1.0, -0.5, 9.0), 0.1))
+    saved.save(spark, str(tmp_path / "set"))
+    out, cp = str(tmp_path / "out"), str(tmp_path / "cp")
+
+    def run_once():
+        scoring.score_stream_with(sources.stream_files(spark, folder), str(tmp_path / "set"), scoring.sink_files(out), cp, once=True).awaitTermination()
+
+    run_once()
+    (tmp_path / "in" / "9.json").write_text(json.dumps({"transaction_id": "t99", "amount": 7.0}) + "\n")
+    run_once()
+    got = {r["transaction_id"]: r["fraud_probability"] for r in spark.read.parquet(out).collect()}
+    batch = saved.score(spark.read.schema(sources.STREAM_RECORD).json(folder)).collect()
+    assert got == {r["transaction_id"]: r["fraud_probability"] for r in batch} and len(got) == 16

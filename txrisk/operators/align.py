@@ -15,8 +15,8 @@ class MissingFeatures(ValueError):
     """A required feature is not in the table."""
 
 
-def align_features_default(df: DataFrame, features: Sequence[str], keep: Sequence[str] = ()) -> DataFrame:
-    """Serving alignment: derive what can be derived, 0.0 for the rest, in the saved order."""
+def feature_values(df: DataFrame, features: Sequence[str]) -> list[Column]:
+    """The features in the saved order: as they are, derived where that can be done, else 0.0."""
     have = set(df.columns)
     derived: dict[str, Column] = {
         "transaction_frequency": default_tx_frequency(
@@ -27,9 +27,12 @@ def align_features_default(df: DataFrame, features: Sequence[str], keep: Sequenc
         derived["amount_log"] = F.log1p("amount")
     if "velocity_score" in have:
         derived["velocity_score_norm"] = velocity_score_norm(F.col("velocity_score"))
-    return df.select(
-        *keep, *[F.col(f) if f in have else derived.get(f, F.lit(0.0)).alias(f) for f in features]
-    )
+    return [F.col(f) if f in have else derived.get(f, F.lit(0.0)) for f in features]
+
+
+def align_features_default(df: DataFrame, features: Sequence[str], keep: Sequence[str] = ()) -> DataFrame:
+    """Serving alignment: derive what can be derived, 0.0 for the rest, in the saved order."""
+    return df.select(*keep, *[v.alias(f) for f, v in zip(features, feature_values(df, features))])
 
 
 def align_features_strict(df: DataFrame, features: Sequence[str], keep: Sequence[str] = ()) -> DataFrame:

@@ -98,18 +98,29 @@ def impute_median(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     )
 
 
-def most_frequent(df: DataFrame, column: str) -> Column:
-    """Most frequent value (the smallest on ties) as a scalar subquery.
+def column_modes(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """One row: the most frequent value of each column (the smallest on ties), NULL where there is none.
 
-    Counting by group and keeping the top row scales with distinct values; the ``mode``
-    aggregate would hold all of them in one task.
+    One scan counts the values of all columns (a grouping set per column, combined before the shuffle); the ``mode``
+    aggregate would hold all distinct values in one task.
     """
-    counts = df.filter(F.col(column).isNotNull()).groupBy(column).count()
-    return counts.orderBy(F.col("count").desc(), F.col(column)).limit(1).select(column).scalar()
+    kept = df.select(*columns)
+    counts = kept.groupingSets([[F.col(c)] for c in columns], *columns).agg(
+        F.count(F.lit(1)).alias("_n"), *[F.grouping(c).alias(f"_g{i}") for i, c in enumerate(columns)]
+    )
+
+    def top(i: int, c: str):
+        mine = (F.col(f"_g{i}") == 0) & F.col(c).isNotNull()
+        return F.min_by(c, F.when(mine, F.struct(-F.col("_n"), F.col(c)))).alias(c)
+
+    return counts.agg(*[top(i, c) for i, c in enumerate(columns)])
 
 
 def impute_mode(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    return df.withColumns({c: F.coalesce(F.col(c), most_frequent(df, c)) for c in columns})
+    if not columns:
+        return df
+    fill = column_modes(df, columns).select(F.struct(*columns)).scalar()
+    return df.withColumns({c: F.coalesce(F.col(c), fill.getField(c)) for c in columns})
 
 
 def _eval_fallback(df: DataFrame, feature: str) -> Column:

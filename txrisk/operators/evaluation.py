@@ -332,5 +332,15 @@ def loss_adaptive_focal(label: Column, p: Column, gamma: float = 2.0, alpha: flo
     return loss_focal(label, p, gamma * (1 + 0.1 * epoch), alpha)
 
 
+#: Losses by name, each a function of (label, probability) and its parameters.
+LOSSES = {
+    "binary_crossentropy": loss_bce,
+    "focal": loss_focal,
+    "weighted_focal": loss_weighted_focal,
+    "asymmetric_focal": loss_asymmetric_focal,
+    "adaptive_focal": loss_adaptive_focal,
+}
+
+
 def mean_loss(df: DataFrame, loss: Column) -> DataFrame:
     return df.agg(F.avg(loss).alias("loss"))

@@ -156,9 +156,11 @@ def boxplot_by_label(df: DataFrame, value: str, label: str) -> DataFrame:
     )
 
 
-def class_weights(df: DataFrame, label: str) -> DataFrame:
-    """total / (classes * count) per class."""
+def class_weights(df: DataFrame, label: str, ratio: float | None = None) -> DataFrame:
+    """total / (classes * count) per class; with ``ratio``, that for class 1 and 1 for every other."""
     counts = df.groupBy(label).agg(F.count(F.lit(1)).alias("n"))
+    if ratio is not None:
+        return counts.withColumn("weight", F.when(F.col(label).cast("int") == 1, float(ratio)).otherwise(1.0))
     whole = counts.agg(F.sum("n").alias("rows"), F.count(F.lit(1)).alias("classes"))
     whole = whole.select(F.struct("rows", "classes")).scalar()
     return counts.withColumn("weight", whole.getField("rows") / (whole.getField("classes") * F.col("n")))

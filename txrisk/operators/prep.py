@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 
-from pyspark.ml import Pipeline
-from pyspark.ml.feature import Imputer, OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
+from pyspark.ml import Estimator, Model
+from pyspark.ml.functions import array_to_vector
+from pyspark.ml.param import Param, Params, TypeConverters
+from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from txrisk.functions.scalar import null_if_nan
-from txrisk.operators.clean import impute_mode
+from txrisk.operators.clean import column_modes, column_quantiles
 from txrisk.operators.hashing import few_counts, hash_cuts, key_counts, rank_at_most, with_hash
 from txrisk.operators.ordering import group_rank
 
@@ -47,39 +50,83 @@ def fit_categories(train: DataFrame, column: str) -> list[str]:
     return sorted(v for v in key_counts(train, column) if v is not None)
 
 
-def preprocess_pipeline(
-    df: DataFrame, numeric: Sequence[str], categorical: Sequence[str], output: str = "features"
-) -> tuple[Pipeline, DataFrame]:
-    """Unfitted pipeline (median + scaling, one-hot) and the table with text gaps filled by the mode.
+class _Columns(Params):
+    """What the estimator and its model share."""
 
-    Spark's StandardScaler divides by the sample deviation: its output is sqrt((n-1)/n) of
-    ``standardize``.
+    numeric = Param(Params._dummy(), "numeric", "numeric input columns", TypeConverters.toListString)
+    categorical = Param(Params._dummy(), "categorical", "categorical input columns", TypeConverters.toListString)
+    output = Param(Params._dummy(), "output", "name of the feature vector", TypeConverters.toString)
+
+    def __init__(self, numeric: Sequence[str] = (), categorical: Sequence[str] = (), output: str = "features") -> None:
+        super().__init__()
+        self._set(numeric=list(numeric), categorical=list(categorical), output=output)
+
+
+class Preprocessor(_Columns, Estimator, DefaultParamsReadable, DefaultParamsWritable):
+    """Median and scale for numbers, most frequent value and one-hot for texts, all learned on the rows it is fitted on.
+
+    The medians are exact, the deviations those of the population. Categories become vector slots, so they are refused
+    beyond ``MAX_SLOTS``; a category not seen in training is all zeros.
     """
-    filled = impute_mode(df, categorical) if categorical else df
-    doubles = filled.withColumns({c: F.col(c).cast("double") for c in numeric})
-    stages = [
-        Imputer(strategy="median", inputCols=list(numeric), outputCols=[f"{c}_filled" for c in numeric], relativeError=1e-3),
-        VectorAssembler(inputCols=[f"{c}_filled" for c in numeric], outputCol="_numeric"),
-        StandardScaler(inputCol="_numeric", outputCol="_scaled", withMean=True, withStd=True),
-    ]
-    inputs = ["_scaled"]
-    if categorical:
-        stages += [
-            StringIndexer(
-                inputCols=list(categorical),
-                outputCols=[f"{c}_index" for c in categorical],
-                handleInvalid="keep",
-                stringOrderType="alphabetAsc",
-            ),
-            OneHotEncoder(
-                inputCols=[f"{c}_index" for c in categorical],
-                outputCols=[f"{c}_hot" for c in categorical],
-                dropLast=True,
-            ),
+
+    MAX_SLOTS = 10_000
+
+    def _fit(self, dataset: DataFrame) -> PreprocessorModel:
+        numeric, categorical = self.getOrDefault("numeric"), self.getOrDefault("categorical")
+        numbers = dataset.select(*[F.col(c).cast("double").alias(c) for c in numeric])
+        medians = column_quantiles(numbers, numeric, [0.5]) if numeric else {}
+        fills = {c: float((medians.get(c) or [0.0])[0]) for c in numeric}
+        filled = numbers.withColumns({c: F.coalesce(null_if_nan(F.col(c)), F.lit(v)) for c, v in fills.items()})
+        moments = fit_scaler(filled, numeric) if numeric else {}
+        modes = column_modes(dataset, categorical).first().asDict() if categorical else {}
+        found = self._categories(dataset, categorical)
+        for c in categorical:
+            if len(found[c]) > self.MAX_SLOTS:
+                raise ValueError(f"column {c} has more than {self.MAX_SLOTS} categories")
+        learned = {
+            "numbers": [[c, fills[c], *map(float, moments[c])] for c in numeric],
+            "texts": [[c, None if modes[c] is None else str(modes[c]), found[c]] for c in categorical],
+        }
+        model = PreprocessorModel(numeric, categorical, self.getOrDefault("output"))
+        return model._set(learned=json.dumps(learned))
+
+    def _categories(self, dataset: DataFrame, columns: Sequence[str]) -> dict[str, list[str]]:
+        """Sorted values of every column, one more than the bound at most."""
+        return {
+            c: [r[0] for r in dataset.select(F.col(c).cast("string")).filter(F.col(c).isNotNull()).distinct().orderBy(c).limit(self.MAX_SLOTS + 1).collect()]
+            for c in columns
+        }
+
+
+def _one_hot_slots(value: Column, values: list[str]) -> Column:
+    return F.transform(F.lit(values), lambda v: F.coalesce((v == value).cast("double"), F.lit(0.0)))
+
+
+class PreprocessorModel(_Columns, Model, DefaultParamsReadable, DefaultParamsWritable):
+    """What a ``Preprocessor`` learned; saved and read back by Spark ML's own writer and reader."""
+
+    learned = Param(Params._dummy(), "learned", "fills, scales, modes and categories as JSON", TypeConverters.toString)
+
+    def names(self) -> list[str]:
+        """What each slot of the vector stands for."""
+        learned = json.loads(self.getOrDefault("learned"))
+        return [n[0] for n in learned["numbers"]] + [f"{c}={v}" for c, _, values in learned["texts"] for v in values]
+
+    def _transform(self, dataset: DataFrame) -> DataFrame:
+        learned = json.loads(self.getOrDefault("learned"))
+        numbers = [
+            (F.coalesce(null_if_nan(F.col(c).cast("double")), F.lit(fill)) - F.lit(mean)) / F.lit(scale) for c, fill, mean, scale in learned["numbers"]
         ]
-        inputs += [f"{c}_hot" for c in categorical]
-    stages.append(VectorAssembler(inputCols=inputs, outputCol=output))
-    return Pipeline(stages=stages), doubles
+        parts = [F.array(*numbers).cast("array<double>")]
+        for c, mode, values in learned["texts"]:
+            if values:
+                parts.append(_one_hot_slots(F.coalesce(F.col(c).cast("string"), F.lit(mode)), values))
+        return dataset.withColumn(self.getOrDefault("output"), array_to_vector(F.concat(*parts)))
+
+
+def preprocess_pipeline(numeric: Sequence[str], categorical: Sequence[str], output: str = "features") -> Preprocessor:
+    """The unfitted preprocessing: fit it on the training rows, then transform any table."""
+    return Preprocessor(numeric, categorical, output)
 
 
 def _split(df: DataFrame, key: Column, counts: dict, row_id: str, test: float, val: float, salt) -> DataFrame:

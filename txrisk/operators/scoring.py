@@ -13,6 +13,7 @@ from txrisk.functions.vectors import linear_score, mean_squared_error
 # Decision cuts used when none is given.
 DEFAULT_PROBABILITY_CUT = 0.5
 DEFAULT_ANOMALY_CUT = 0.1
+SCORE_COLUMNS = ("fraud_probability", "anomaly_score", "is_fraud_classification", "is_fraud_anomaly", "is_fraud_ensemble")
 MODEL_TYPES = ("classification", "autoencoder", "ensemble", "both")
 
 
@@ -65,19 +66,20 @@ def ensemble_or(
 def score_output(df: DataFrame, row_id: str = "transaction_id", epoch: int | Column = 0, now: Column | None = None) -> DataFrame:
     """Result layout: id, time, scores, flags, then the remaining input columns.
 
-    A row without id is named by its position in the batch; without time it gets the current one.
+    A row without id is named by a digest of its input columns, so a replayed batch names it alike (and equal rows
+    alike); without time it gets the current one.
     """
+    inputs = [c for c in df.columns if c not in (*SCORE_COLUMNS, "epoch")]
     fallback = F.concat(
-        F.lit("tx_"), F.monotonically_increasing_id().cast("string"), F.lit("_"),
+        F.lit("tx_"), F.hex(F.xxhash64(*inputs) if inputs else F.lit(0)), F.lit("_"),
         (F.lit(epoch) if isinstance(epoch, int) else epoch).cast("string"),
     )
     ident = F.coalesce(F.col(row_id).cast("string"), fallback) if row_id in df.columns else fallback
     moment = now if now is not None else F.current_timestamp()
     when = F.coalesce(F.col("timestamp"), moment) if "timestamp" in df.columns else moment
     lead = {row_id: ident, "timestamp": when}
-    scores = ["fraud_probability", "anomaly_score", "is_fraud_classification", "is_fraud_anomaly", "is_fraud_ensemble"]
-    rest = [c for c in df.columns if c not in lead and c not in scores]
-    return df.select(*[c.alias(n) for n, c in lead.items()], *[c for c in scores if c in df.columns], *rest)
+    rest = [c for c in df.columns if c not in lead and c not in SCORE_COLUMNS]
+    return df.select(*[c.alias(n) for n, c in lead.items()], *[c for c in SCORE_COLUMNS if c in df.columns], *rest)
 
 
 def score_by_model_type(df: DataFrame, model_type: str, keep: Sequence[str] = ("transaction_id",)) -> DataFrame:

@@ -3,15 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.ml import Model
-from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from txrisk.functions import scalar
-from txrisk.operators import clean, evaluation, models, prep, scoring
+from txrisk.operators import clean, evaluation, models, prep, sampling, scoring
+from txrisk.operators.scoring_set import Linear, ScoringSet, linear_part, preparation
 from txrisk.operators.sequence import account_history
 from txrisk.session import ensure_checkpoint_dir
 from txrisk.sources.files import scan_table, sink_parquet
@@ -69,23 +69,55 @@ def risk_by_category(features: DataFrame) -> DataFrame:
 
 @dataclass(frozen=True)
 class Trained:
-    """What a training run leaves behind."""
+    """What a training run leaves behind; ``scoring`` is all that a scorer needs."""
 
     model: Model
     features: list[str]
     threshold: float
     metrics: DataFrame
+    scoring: ScoringSet
+    #: Evaluation of the anomaly half; None without a reconstructor.
+    anomaly_metrics: DataFrame | None = None
+
+
+#: Re-sampling operators by the names they take the label, row id and feature array under.
+ARRAY_TECHNIQUES = ("smote", "adasyn", "borderline_smote", "cluster_smote")
+
+
+def resampled(train: DataFrame, technique: str | None, row_id: str = "id", **options) -> DataFrame:
+    """``train(id, label, features)`` re-balanced by technique name, or as it is with None or "none".
+
+    Techniques with a target do nothing where the minority is already there.
+    """
+    if technique in (None, "none"):
+        return train
+    if technique in ARRAY_TECHNIQUES:
+        out = sampling.rebalance(train, technique, label="label", row_id=row_id, features="features", **options)
+    else:
+        out = sampling.rebalance(train, technique, label="label", row_id=row_id, **options)
+    return out.select(row_id, "label", "features")
+
+
+def fit_anomaly_half(train: DataFrame, val: DataFrame, axes: int, percentile: float = 95.0) -> tuple[models.Reconstructor, float]:
+    """(reconstructor of the normal training rows, the percentile of the normal validation rows' errors)."""
+    rebuilt = models.train_reconstructor(train, axes)
+    errors = scoring.anomaly_score(rebuilt.transform(val), "scaled", "rebuilt")
+    cut = evaluation.fit_anomaly_threshold(errors, "anomaly_score", "label", percentile).first()["threshold"]
+    return rebuilt, float(scoring.DEFAULT_ANOMALY_CUT if cut is None else cut)
 
 
 def training_job(
     table: DataFrame, row_id: str = "transaction_id", label: str = "fraud_label", kind: str = "logistic",
-    features: Sequence[str] | None = None,
+    features: Sequence[str] | None = None, technique: str | None = None, loss: str | None = None, anomaly_axes: int = 0,
+    class_weight_ratio: float | None = None, **sampling_options,
 ) -> Trained:
-    """Split, impute, scale, fit with class weights, pick the F1-best cut, measure on held-out rows.
+    """Split, impute, scale, re-sample, fit, pick the F1-best cut, measure on held-out rows; both halves.
 
-    Imputation and scaling are fitted on the training rows only. The chosen columns are written to
-    the shared checkpoint folder once: every later pass (cuts, medians, scaling, fit, metrics)
-    reads that copy instead of recomputing the features.
+    Imputation, scaling and re-sampling see the training rows only. ``technique`` is a name of ``sampling.TECHNIQUES``;
+    ``loss`` trains a linear model on a loss of ``evaluation`` by name; otherwise rows are weighed by class, balanced or
+    1 to ``class_weight_ratio``. With ``anomaly_axes`` a reconstructor of the normal rows is fitted too, and its cut
+    is the 95th percentile of the normal validation rows. The chosen columns are written to the shared checkpoint
+    folder once: every later pass reads that copy.
     """
     names = list(features or clean.feature_names(table.schema))
     ensure_checkpoint_dir(table.sparkSession)
@@ -93,21 +125,28 @@ def training_job(
     split = prep.split_stratified(stored, label, row_id)
     train = split.filter(F.col("split") == "train")
     medians = clean.column_quantiles(train, names, [0.5])
-    filled = split.withColumns(
-        {c: F.coalesce(scalar.null_if_nan(F.col(c)), F.lit(medians.get(c, [0.0])[0])) for c in names}
-    )
-    scaled = prep.standardize(filled, names, filled.filter(F.col("split") == "train"))
-    assembled = VectorAssembler(inputCols=names, outputCol="features").transform(scaled)
-    assembled = assembled.select(row_id, F.col(label).alias("label"), "split", "features")
-    fit_rows = assembled.filter(F.col("split") == "train")
-    model = (
-        models.train_weighted(fit_rows, kind) if kind in ("logistic", "gbt") else models.train_classifier(fit_rows, kind)
-    )
-    rest = models.as_vectors(assembled.filter(F.col("split") != "train"))
-    held_out = scoring.score_probability(rest, model).drop("features")
-    val = held_out.filter(F.col("split") == "val")
-    cut = evaluation.best_f1_threshold(val, "fraud_probability", "label").first()["threshold"]
-    flagged = held_out.filter(F.col("split") == "test").withColumn(
-        "predicted", (F.col("fraud_probability") >= F.lit(cut)).cast("int")
-    )
-    return Trained(model, names, cut, evaluation.binary_metrics(flagged, "label", "predicted"))
+    filled = train.withColumns({c: F.coalesce(scalar.null_if_nan(F.col(c)), F.lit((medians.get(c) or [0.0])[0])) for c in names})
+    prepared = preparation(train, names, medians, prep.fit_scaler(filled, names))
+    assembled = prepared.prepare(split).select(F.col(row_id).alias("id"), F.col(label).alias("label"), "split", "features")
+    parts = {s: assembled.filter(F.col("split") == s).drop("split") for s in ("train", "val", "test")}
+    fit_rows = resampled(parts["train"], technique, **sampling_options)
+    if loss is not None:
+        model: Model | Linear = models.train_loss(fit_rows, loss)
+    elif kind in ("logistic", "gbt"):
+        model = models.train_weighted(fit_rows, kind, ratio=class_weight_ratio)
+    else:
+        model = models.train_classifier(fit_rows, kind)
+    chosen = replace(prepared, classifier=linear_part(model))
+    if anomaly_axes:
+        rebuilt, anomaly_cut = fit_anomaly_half(parts["train"], parts["val"], anomaly_axes)
+        chosen = replace(chosen, reconstructor=rebuilt, anomaly_cut=anomaly_cut)
+    held_out = chosen.score(split.filter(F.col("split") != "train").drop("features"))
+    val, test = (held_out.filter(F.col("split") == s) for s in ("val", "test"))
+    cut = evaluation.best_f1_threshold(val, "fraud_probability", label).first()["threshold"]
+    chosen = replace(chosen, probability_cut=float(cut))
+    flagged = test.withColumn("predicted", (F.col("fraud_probability") >= F.lit(cut)).cast("int"))
+    anomalies = None
+    if anomaly_axes:
+        by_error = test.withColumn("predicted", (F.col("anomaly_score") >= F.lit(chosen.anomaly_cut)).cast("int"))
+        anomalies = evaluation.binary_metrics(by_error, label, "predicted")
+    return Trained(model, names, cut, evaluation.binary_metrics(flagged, label, "predicted"), chosen, anomalies)

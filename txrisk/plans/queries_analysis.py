@@ -8,6 +8,7 @@ from txrisk.datasets import TX_SQL, VECTORS_SQL, table, transactions, vectors
 from txrisk.functions.random import det_rand
 from txrisk.operators import clean, explore, hashing, knn, prep, sampling
 from txrisk.plans.registry import R, query, r, rand_sql, rounded
+from txrisk.session import scratch_path
 
 
 def _tx(sql: str) -> str:
@@ -158,6 +159,11 @@ def _(spark, d):
     return rounded(explore.class_weights(transactions(spark, d), "transaction_type"), "weight")
 
 
+@query("class_weights_ratio", _tx("SELECT is_fraud, count(*) AS n, CASE WHEN is_fraud THEN 25.0::DOUBLE ELSE 1.0::DOUBLE END AS weight FROM tx GROUP BY 1"))
+def _(spark, d):
+    return explore.class_weights(transactions(spark, d), "is_fraud", ratio=25.0)
+
+
 @query("sample_head", _tx("SELECT transaction_id, sender_account, amount FROM tx ORDER BY transaction_id LIMIT 20"))
 def _(spark, d):
     return explore.sample_head(transactions(spark, d).select("transaction_id", "sender_account", "amount"), ["transaction_id"], 20)
@@ -201,14 +207,39 @@ def _(spark, d):
     return prep.one_hot(tx, "payment_channel", prep.fit_categories(tx, "payment_channel")).drop("payment_channel")
 
 
-@query("preprocess_pipeline")
+def _preprocess_sql() -> str:
+    """Learned on the first half of the rows by time, applied to all of them."""
+    texts = ["device_used", "payment_channel"]
+    fills = [f"quantile_cont({c}, 0.5) AS {c}" for c in SCORES]
+    filled = [f"coalesce(t.{c}, f.{c}) AS {c}" for c in SCORES]
+    moments = [f"avg({c}) AS m_{c}, stddev_pop({c}) AS s_{c}" for c in SCORES]
+    tops = ", ".join(
+        f"top_{c} AS (SELECT {c} AS v FROM train WHERE {c} IS NOT NULL GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1), seen_{c} AS (SELECT DISTINCT {c} AS v FROM train WHERE {c} IS NOT NULL)"
+        for c in texts
+    )
+    slots = [f"SELECT transaction_id, '{c}' AS slot, (coalesce(tx.{c}, f.{c}) - m_{c}) / s_{c} AS value FROM tx, fills f, moments" for c in SCORES]
+    slots += [
+        f"SELECT transaction_id, '{c}=' || seen_{c}.v, CASE WHEN coalesce(tx.{c}, top_{c}.v) = seen_{c}.v THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END FROM tx, seen_{c}, top_{c}"
+        for c in texts
+    ]
+    return f"""WITH {TX_SQL}, train AS (SELECT * FROM tx WHERE transaction_id % 4 <> 0 AND coalesce(device_used, 'x') <> 'dev1'),
+      fills AS (SELECT {', '.join(fills)} FROM train), filled AS (SELECT {', '.join(filled)} FROM train t, fills f),
+      moments AS (SELECT {', '.join(moments)} FROM filled), {tops}, slots AS ({' UNION ALL '.join(slots)})
+      SELECT transaction_id, slot, {R('value')} AS value FROM slots"""
+
+
+@query("preprocess_pipeline", _preprocess_sql())
 def _(spark, d):
+    """Learned on rows without one of the devices, saved, read back and applied to all rows."""
     from pyspark.ml.functions import vector_to_array
 
     tx = transactions(spark, d)
-    pipeline, data = prep.preprocess_pipeline(tx, SCORES, ["device_used", "payment_channel"])
-    out = pipeline.fit(data).transform(data)
-    return out.select("transaction_id", F.transform(vector_to_array("features"), lambda v: F.round(v, 6)).alias("features"))
+    train = tx.filter((F.col("transaction_id") % 4 != 0) & (F.coalesce("device_used", F.lit("x")) != "dev1"))
+    path = scratch_path(spark, "preprocessor")
+    prep.preprocess_pipeline(SCORES, ["device_used", "payment_channel"]).fit(train).write().save(path)
+    model = prep.PreprocessorModel.load(path)
+    out = model.transform(tx).select("transaction_id", F.posexplode(vector_to_array("features")).alias("at", "value"))
+    return rounded(out.select("transaction_id", F.get(F.lit(model.names()), F.col("at")).alias("slot"), "value"), "value")
 
 
 def _split_sql(key: str) -> str:
@@ -346,9 +377,22 @@ def _(spark, d):
     return _made(sampling.borderline_smote(vectors(spark, d), kind="borderline2"))
 
 
-@query("cluster_smote")
+@query(
+    "cluster_smote",
+    _vec(f", {_SIZES} SELECT 'on a segment of one cluster' AS made, count(*) AS n FROM (SELECT unnest(range(floor(0.5 * neg)::BIGINT - pos)) FROM s)"),
+)
 def _(spark, d):
-    return _made(sampling.cluster_smote(vectors(spark, d)))
+    """Each synthetic row lies between two minority rows of one cluster, at its gap; nothing else is made."""
+    v = vectors(spark, d)
+    out = sampling.cluster_smote(v)
+    small = v.filter("label = 1").select("id", "features")
+    a, b = small.toDF("seed_id", "x"), small.toDF("neighbor_id", "y")
+    new = out.filter("synthetic").select("seed_id", "neighbor_id", "gap", "features", "label").join(a, "seed_id", "left").join(b, "neighbor_id", "left")
+    point = F.zip_with(F.col("x"), F.col("y"), lambda p, q: p + F.col("gap") * (q - p))
+    off = F.aggregate(F.zip_with(point, F.col("features"), lambda p, q: F.abs(p - q)), F.lit(0.0), lambda s, v: F.greatest(s, v))
+    fits = (off < 1e-9) & (F.col("label") == 1) & F.col("gap").between(0, 1) & (F.col("seed_id") != F.col("neighbor_id"))
+    made = F.when(fits, "on a segment of one cluster").otherwise("elsewhere")
+    return new.groupBy(made.alias("made")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(

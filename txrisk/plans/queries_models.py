@@ -2,13 +2,21 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import itertools
+import json
+import re
+from dataclasses import replace
+from functools import reduce
+
+import numpy as np
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from txrisk.datasets import LEDGER_SQL, SCORED_SQL, TX_SQL, VECTORS_SQL, ledger, scored, transactions, vectors
+from txrisk.functions import scalar
 from txrisk.functions.vectors import linear_score
 from txrisk.operators import evaluation as ev
-from txrisk.operators import importance, models, monitor, prep, scoring
+from txrisk.operators import clean, importance, models, monitor, prep, scoring, scoring_set
 from txrisk.plans import pipeline
 from txrisk.plans.registry import R, query, r, rand_sql, rounded
 from txrisk.session import scratch_path
@@ -27,39 +35,125 @@ def _sc(sql: str) -> str:
 # ---- training --------------------------------------------------------------------------
 
 
+# What a fit finds can't be said in SQL. The queries below return what must hold of it: the SQL counterpart has the
+# counts and shares that follow from the data alone, and "true" for a condition that the query recomputes.
+
+_TEST_ROWS = "count(*) FILTER (label = 1) AS pos, count(*) FILTER (label = 0) AS neg FROM vectors"
+
+
+def _vec(sql: str) -> str:
+    return f"WITH {VECTORS_SQL} {sql}"
+
+
 def _split_vectors(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     split = prep.split_stratified(vectors(spark, d), "label", "id")
     return split.filter("split <> 'test'"), split.filter("split = 'test'")
 
 
-def _held_out(model, test: DataFrame) -> DataFrame:
-    out = scoring.score_probability(models.as_vectors(test), model)
-    return out.select("id", F.col("label").cast("int").alias("label"), r(F.col("fraud_probability")).alias("fraud_probability"))
-
-
-@query("train_classifier")
+@query(
+    "train_classifier",
+    _vec(f"""SELECT kind, (round_even(0.2 * pos, 0) + round_even(0.2 * neg, 0))::BIGINT AS test_rows, true AS in_unit_interval, true AS better_than_constant
+        FROM (SELECT {_TEST_ROWS}), (VALUES ('mlp'), ('logistic'), ('gbt')) k(kind)"""),
+)
 def _(spark, d):
+    """Probabilities for the held-out rows, and a smaller loss on the training rows than their base rate has."""
     train, test = _split_vectors(spark, d)
-    return _held_out(models.train_classifier(train, "mlp", (8,), max_iter=20), test)
+    share = train.agg(F.avg("label").alias("share")).first()["share"]
+    rows = []
+    for kind in ("mlp", "logistic", "gbt"):
+        model = models.train_classifier(train, kind, (8,), l2=0.0, max_iter=15)
+        out = scoring.score_probability(models.as_vectors(test), model)
+        fitted = scoring.score_probability(models.as_vectors(train), model).agg(
+            F.avg(ev.loss_bce(F.col("label"), F.col("fraud_probability"))).alias("l"), F.avg(ev.loss_bce(F.col("label"), F.lit(share))).alias("c")
+        )
+        inside = out.agg(F.count(F.lit(1)).alias("test_rows"), F.min(F.col("fraud_probability").between(0, 1)).alias("in_unit_interval"))
+        rows.append(inside.crossJoin(F.broadcast(fitted)).select(F.lit(kind).alias("kind"), "test_rows", "in_unit_interval", (F.col("l") < F.col("c")).alias("better_than_constant")))
+    return rows[0].unionByName(rows[1]).unionByName(rows[2])
 
 
-@query("train_weighted")
+@query(
+    "train_weighted",
+    _vec(f"""SELECT form, label, CASE WHEN label = 1 THEN pos ELSE neg END AS n, {R('weight', 6)} AS weight, {R('share', 3)} AS weighted_probability FROM (
+        SELECT 'balanced' AS form, label, (pos + neg) / (2.0::DOUBLE * CASE WHEN label = 1 THEN pos ELSE neg END) AS weight, 0.5::DOUBLE AS share, pos, neg
+        FROM (SELECT {_TEST_ROWS}), (VALUES (0), (1)) l(label)
+        UNION ALL SELECT 'ratio', label, CASE WHEN label = 1 THEN 4.0::DOUBLE ELSE 1.0::DOUBLE END, 4.0::DOUBLE * pos / (4 * pos + neg), pos, neg
+        FROM (SELECT {_TEST_ROWS}), (VALUES (0), (1)) l(label))"""),
+)
 def _(spark, d):
-    train, test = _split_vectors(spark, d)
-    return _held_out(models.train_weighted(train, "logistic", l2=0.01, max_iter=20), test)
+    """The weights of both forms. At the optimum the weighted mean probability is the weighted share of label 1."""
+    v, parts = vectors(spark, d), []
+    for form, ratio in (("balanced", None), ("ratio", 4.0)):
+        model = models.train_weighted(v, "logistic", l2=0.01, max_iter=100, ratio=ratio)
+        scored_rows = scoring.score_probability(models.as_vectors(models.with_class_weights(v, ratio=ratio)), model)
+        whole = scored_rows.agg((F.sum(F.col("weight") * F.col("fraud_probability")) / F.sum("weight")).alias("weighted_probability"))
+        table = scored_rows.groupBy(F.col("label").cast("int").alias("label")).agg(F.count(F.lit(1)).alias("n"), r(F.max("weight")).alias("weight"))
+        parts.append(table.crossJoin(F.broadcast(whole)).select(F.lit(form).alias("form"), "label", "n", "weight", r(F.col("weighted_probability"), 3).alias("weighted_probability")))
+    return parts[0].unionByName(parts[1])
+
+
+_LOSS_FORMS = {
+    "binary_crossentropy": {},
+    "focal": {"gamma": 2.0, "alpha": 0.25},
+    "weighted_focal": {"gamma": 2.0, "weights": (1.0, 4.0)},
+    "asymmetric_focal": {"gamma_pos": 2.0, "gamma_neg": 4.0},
+    "adaptive_focal": {"gamma": 2.0, "alpha": 0.25, "epoch": 5},
+}
 
 
-@query("train_focal")
+@query(
+    "train_focal",
+    _vec(f"SELECT loss, pos + neg AS rows, true AS below_reweighted, true AS nothing_near_is_lower FROM (SELECT {_TEST_ROWS}), (VALUES {', '.join(f'($${n}$$)' for n in _LOSS_FORMS)}) l(loss)"),
+)
 def _(spark, d):
-    train, test = _split_vectors(spark, d)
-    return _held_out(models.train_focal(train, rounds=2, max_iter=15), test)
+    """Every loss at its fit: no higher than at the log-loss fit with the same penalty, nor than a little beside it."""
+    v = vectors(spark, d)
+    plain = models.train_classifier(v, "logistic", l2=0.01, max_iter=100)
+    moments = models.as_vectors(v).select(models.Summarizer.std(F.col("features")).alias("s")).first()["s"].toArray()
+    parts = []
+    for name, parameters in _LOSS_FORMS.items():
+        model = models.train_loss(v, name, l2=0.01, max_iter=12, **parameters)
+
+        def at(weights, intercept, name=name, parameters=parameters):
+            x = F.aggregate(F.zip_with("features", F.lit([float(w) for w in weights]), lambda a, w: a * w), F.lit(float(intercept)), lambda a, b: a + b)
+            penalty = 0.005 * float(((weights * moments) ** 2).sum())
+            return F.avg(ev.LOSSES[name](F.col("label"), 1 / (1 + F.exp(-x)), **parameters)) + penalty
+
+        w, b = model.coefficients.toArray(), model.intercept
+        beside = [at(w, b + step) for step in (-0.05, 0.05)]
+        beside += [at(w + step * np.eye(len(w))[i] / moments[i], b) for i in (0, 31, 63) for step in (-0.05, 0.05)]
+        own, other = at(w, b).alias("own"), at(plain.coefficients.toArray(), plain.intercept).alias("plain")
+        row = v.agg(F.count(F.lit(1)).alias("rows"), own, other, F.least(*beside).alias("beside"))
+        parts.append(row.select(F.lit(name).alias("loss"), "rows", (F.col("own") <= F.col("plain") + 1e-9).alias("below_reweighted"), (F.col("own") <= F.col("beside") + 1e-9).alias("nothing_near_is_lower")))
+    return reduce(DataFrame.unionByName, parts)
 
 
-@query("tune_classifier")
+_GRID = {"hidden": [[8], [16, 8]], "stepSize": [0.01, 0.1]}
+_GRID_SQL = ", ".join(f"({i}, '{{\"hidden\": {h}, \"stepSize\": {s}}}')" for i, (h, s) in enumerate(itertools.product(*_GRID.values())))
+
+
+@query(
+    "tune_classifier",
+    _vec(f"""SELECT point, parameters, n AS validation_rows, true AS auc_of_its_scores, true AS best_has_the_highest
+        FROM (SELECT count(*) AS n FROM vectors WHERE {rand_sql('id', 42)} < 0.25), (VALUES {_GRID_SQL}) g(point, parameters)"""),
+)
 def _(spark, d):
-    train, test = _split_vectors(spark, d)
-    search = models.tune_classifier(train, {"maxIter": [5, 15], "stepSize": [0.03]})
-    return _held_out(search.bestModel, test)
+    """Layers x step size; every point's AUC again, as the share of pairs in order, from the stored scores."""
+    done = models.tune_classifier(vectors(spark, d), _GRID, max_iter=8)
+    ranked = done.scores.withColumn("rank", F.percent_rank().over(Window.partitionBy("point").orderBy("score")))
+    sizes = done.scores.groupBy("point").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("label") == 1).alias("pos"))
+    # percent_rank is (rank - 1) / (n - 1) with the least rank of ties; half of the other ties are added.
+    ties = done.scores.groupBy("point", "score").agg(F.count(F.lit(1)).alias("same"))
+    summed = ranked.join(ties, ["point", "score"]).join(sizes, "point").filter("label = 1")
+    place = F.col("rank") * (F.col("n") - 1) + 1 + (F.col("same") - 1) / 2
+    plain = summed.groupBy("point").agg(
+        ((F.sum(place) - F.max("pos") * (F.max("pos") + 1) / 2) / (F.max("pos") * (F.max("n") - F.max("pos")))).alias("plain"), F.max("n").alias("validation_rows")
+    )
+    top = done.points.agg(F.max("auc")).first()[0]
+    chosen = json.dumps(done.best, sort_keys=True)
+    best = done.points.filter(F.col("parameters") == chosen).first()["auc"]
+    return done.points.join(plain, "point").select(
+        "point", "parameters", "validation_rows", (F.abs(F.col("auc") - F.col("plain")) < 1e-9).alias("auc_of_its_scores"), F.lit(bool(best == top)).alias("best_has_the_highest")
+    )
 
 
 def _rebuilt(spark: SparkSession, d: str) -> DataFrame:
@@ -67,10 +161,22 @@ def _rebuilt(spark: SparkSession, d: str) -> DataFrame:
     return models.train_reconstructor(v, 8).transform(v)
 
 
-@query("train_reconstructor")
+@query(
+    "train_reconstructor",
+    _vec(f"""SELECT i AS dimension, {R('avg(x)')} AS mean, {R('stddev_samp(x)')} AS scale, true AS orthonormal, true AS below_best_coordinates
+        FROM (SELECT unnest(features) AS x, unnest(range(64)) AS i FROM vectors WHERE label = 0) GROUP BY i"""),
+)
 def _(spark, d):
-    out = scoring.anomaly_score(_rebuilt(spark, d), "scaled", "rebuilt")
-    return out.select("id", "label", r(F.col("anomaly_score")).alias("anomaly_score"))
+    """Mean and deviation of the normal rows; axes of length one at right angles, with less error than any 8 coordinates leave."""
+    v = vectors(spark, d)
+    fitted = models.train_reconstructor(v, 8)
+    straight = bool(np.allclose(fitted.axes.T @ fitted.axes, np.eye(8), atol=1e-9))
+    error = scoring.anomaly_score(fitted.transform(v.filter("label = 0")), "scaled", "rebuilt").agg(F.avg("anomaly_score")).first()[0]
+    n = v.filter("label = 0").count()
+    # Each scaled coordinate has variance (n - 1) / n; keeping eight of 64 leaves the others.
+    rows = [(i, float(m), float(s), straight, bool(error < 56 / 64 * (n - 1) / n)) for i, (m, s) in enumerate(zip(fitted.mean, fitted.scale))]
+    out = spark.createDataFrame(rows, "dimension long, mean double, scale double, orthonormal boolean, below_best_coordinates boolean")
+    return rounded(out, "mean", "scale")
 
 
 @query(
@@ -81,12 +187,79 @@ def _(spark, d):
     return rounded(ev.fit_anomaly_threshold(scored(spark, d), "anomaly_score", "label", 95), "threshold")
 
 
-@query("training_job")
+_JOB_FEATURES = ["amount", "amount_log", "hour_sin", "hour_cos", "velocity_score_norm", "amount_ratio", "avg_amount_last5", "time_span_days"]
+_PARTS_SQL = """parts AS (SELECT is_fraud, n, round_even(0.2 * n, 0)::BIGINT AS test, round_even(0.25 * (n - round_even(0.2 * n, 0)), 0)::BIGINT AS val
+    FROM (SELECT is_fraud, count(*) AS n FROM tx GROUP BY 1))"""
+
+
+def _job_check(done: pipeline.Trained, rows: DataFrame, score: str, cut: float, metrics: DataFrame) -> DataFrame:
+    """The metrics of a job against a plain count over its test rows, scored with the set it left behind."""
+    test = done.scoring.score(prep.split_stratified(rows, "fraud_label", "transaction_id").filter("split = 'test'"))
+    hit, truth = F.col(score) >= cut, F.col("fraud_label") == 1
+    plain = test.agg(
+        F.count(F.lit(1)).alias("test_rows"), F.count_if(truth).alias("frauds"), F.count_if(hit & truth).alias("tp"),
+        F.count_if(hit & ~truth).alias("fp"), F.count_if(hit == truth).alias("right"),
+    ).first()
+    told = {m["metric"]: m["value"] for m in metrics.collect()}
+    tp, fp, fn = plain["tp"], plain["fp"], plain["frauds"] - plain["tp"]
+    want = {
+        "accuracy": plain["right"] / max(plain["test_rows"], 1), "precision": tp / max(tp + fp, 1), "recall": tp / max(tp + fn, 1),
+        "f1": 2 * tp / max(2 * tp + fp + fn, 1),
+    }
+    same = all(abs(told[k] - v) < 1e-9 for k, v in want.items())
+    return rows.sparkSession.createDataFrame([(plain["test_rows"], plain["frauds"], same)], "test_rows long, frauds long, metrics_recounted boolean")
+
+
+_JOB_SQL = f", {_PARTS_SQL} SELECT sum(test)::BIGINT AS test_rows, (sum(test) FILTER (is_fraud))::BIGINT AS frauds, true AS metrics_recounted FROM parts"
+
+
+@query("training_job", _tx(_JOB_SQL))
 def _(spark, d):
     features = pipeline.engineer_features(transactions(spark, d))
-    names = ["amount", "amount_log", "hour_sin", "hour_cos", "velocity_score_norm", "amount_ratio", "avg_amount_last5", "time_span_days"]
-    done = pipeline.training_job(features, features=names)
-    return done.metrics.select("metric", r(F.col("value")).alias("value"))
+    done = pipeline.training_job(features, features=_JOB_FEATURES)
+    return _job_check(done, features, "fraud_probability", done.threshold, done.metrics)
+
+
+@query(
+    "training_job_smote",
+    _tx(f""", {_PARTS_SQL}, t AS (SELECT max(n - test - val) FILTER (is_fraud) AS pos, max(n - test - val) FILTER (NOT is_fraud) AS neg FROM parts)
+        SELECT technique, label, (CASE WHEN label = 0 THEN neg WHEN technique = 'none' THEN pos ELSE greatest(pos, floor(0.5 * neg)) END)::BIGINT AS rows, true AS made_in_training
+        FROM t, (VALUES ('none'), ('smote')) k(technique), (VALUES (0), (1)) l(label)"""),
+)
+def _(spark, d):
+    """What the fit of a job sees by re-sampling technique: only rows of the training part and rows made from them."""
+    seen = _seen(spark, d)
+    split = prep.split_stratified(seen, "fraud_label", "transaction_id")
+    inside = split.filter("split = 'train'").select(F.col("transaction_id").alias("id"))
+    done = pipeline.training_job(seen, features=_SET_FEATURES, technique="smote", loss="focal", ratio=0.5)
+    assembled = done.scoring.prepare(split.filter("split = 'train'")).select(
+        F.col("transaction_id").alias("id"), F.col("fraud_label").alias("label"), "features"
+    )
+    parts = []
+    for technique in ("none", "smote"):
+        rows = pipeline.resampled(assembled, technique, **({"ratio": 0.5} if technique == "smote" else {}))
+        marked = rows.join(inside.withColumn("inside", F.lit(True)), "id", "left")
+        known = F.col("inside").isNotNull() | F.col("id").isNull()
+        parts.append(marked.groupBy("label").agg(F.count(F.lit(1)).alias("rows"), F.min(known).alias("made_in_training")).select(F.lit(technique).alias("technique"), "label", "rows", "made_in_training"))
+    return parts[0].unionByName(parts[1])
+
+
+@query(
+    "anomaly_job",
+    _tx(f""", {_PARTS_SQL}, v AS (SELECT val FROM parts WHERE NOT is_fraud)
+        SELECT j.*, (SELECT val FROM v) AS normal_validation_rows, ((SELECT val FROM v) - ceil(0.95::DOUBLE * ((SELECT val FROM v) - 1)))::BIGINT AS flagged
+        FROM (SELECT sum(test)::BIGINT AS test_rows, (sum(test) FILTER (is_fraud))::BIGINT AS frauds, true AS metrics_recounted FROM parts) j"""),
+)
+def _(spark, d):
+    """Normal rows to a reconstructor, a percentile of the normal validation errors as cut, metrics on the test rows."""
+    features = pipeline.engineer_features(transactions(spark, d))
+    done = pipeline.training_job(features, features=_JOB_FEATURES, anomaly_axes=3)
+    cut = done.scoring.anomaly_cut
+    split = prep.split_stratified(features, "fraud_label", "transaction_id").filter("split = 'val' and fraud_label = 0")
+    counted = done.scoring.score(split).agg(
+        F.count(F.lit(1)).alias("normal_validation_rows"), F.count_if(F.col("anomaly_score") >= cut).alias("flagged")
+    )
+    return _job_check(done, features, "anomaly_score", cut, done.anomaly_metrics).crossJoin(F.broadcast(counted))
 
 
 # ---- scoring ---------------------------------------------------------------------------
@@ -448,11 +621,41 @@ def _(spark, d):
     return rounded(importance.permutation_importance(tx, _LINEAR, "transaction_id", score, "label"), "importance")
 
 
-@query("builtin_importance")
+@query(
+    "permutation_importance_reconstructor",
+    _vec("SELECT 'f' || i AS feature, 10::BIGINT AS repeats, true AS as_recomputed FROM (SELECT unnest(range(6)) AS i)"),
+)
+def _(spark, d):
+    """Ten repeats over the errors of a reconstructor; once more from the swapped tables, a repeat at a time."""
+    names = [f"f{i}" for i in range(6)]
+    v = vectors(spark, d).select("id", "label", *[F.col("features")[i].alias(n) for i, n in enumerate(names)])
+    fitted = models.train_reconstructor(v.withColumn("features", F.array(*names)), 2)
+
+    def score(df: DataFrame) -> DataFrame:
+        out = scoring.anomaly_score(fitted.transform(df.withColumn("features", F.array(*names))), "scaled", "rebuilt", "score")
+        return out.drop("features", "scaled", "rebuilt")
+
+    told = importance.permutation_importance(v.select("id", *names), names, "id", score, repeats=10)
+    base = score(v.select("id", *names)).agg(F.avg("score")).first()[0]
+    parts = [score(importance.permuted_variants(v.select("id", *names), names, "id", f"0-{i}")).groupBy("variant").agg(F.avg("score").alias("s")) for i in range(10)]
+    again = reduce(DataFrame.unionByName, parts).filter("variant >= 0").groupBy("variant").agg((F.avg("s") - base).alias("again"), F.count(F.lit(1)).alias("repeats"))
+    again = again.withColumn("feature", F.concat(F.lit("f"), F.col("variant").cast("string")))
+    return told.join(again, "feature").select("feature", "repeats", (F.abs(F.col("importance") - F.col("again")) < 1e-9).alias("as_recomputed"))
+
+
+@query(
+    "builtin_importance",
+    _vec("SELECT 64::BIGINT AS features, true AS share_of_one, true AS falling, true AS unused_have_none FROM (SELECT count(*) FROM vectors)"),
+)
 def _(spark, d):
+    """One share per feature, the largest first; none for a feature that no tree splits on."""
     v = vectors(spark, d)
     model = models.train_classifier(v, "gbt", max_iter=3)
-    return importance.builtin_importance(model, [f"f{i}" for i in range(64)], v)
+    rows = importance.builtin_importance(model, [f"f{i}" for i in range(64)], v).collect()
+    values = [x["importance"] for x in rows]
+    used = {f"f{i}" for tree in model.trees for i in map(int, re.findall(r"feature (\d+)", tree.toDebugString))}
+    checks = (len(rows), abs(sum(values) - 1) < 1e-9, values == sorted(values, reverse=True), all(x["importance"] == 0 for x in rows if x["feature"] not in used))
+    return spark.createDataFrame([checks], "features long, share_of_one boolean, falling boolean, unused_have_none boolean")
 
 
 # ---- monitoring ------------------------------------------------------------------------
@@ -625,26 +828,108 @@ def _(spark, d):
     )
 
 
-def _stream_scorer(batch: DataFrame) -> DataFrame:
-    amount = F.col("amount")
-    return batch.withColumns({"fraud_probability": amount / (amount + 50.0), "anomaly_score": amount * amount / 1000.0})
+# A stated linear classifier and a one-axis reconstructor over four features, prepared by what the transactions say.
+_SET_FEATURES = ("amount", "amount_log", "velocity_score_norm", "transaction_frequency")
+_SET_WEIGHTS, _SET_BIAS, _SET_AXIS, _SET_CUTS = (0.9, -0.4, 0.3, 0.2), -0.7, (0.5, 0.5, 0.5, 0.5), (0.35, 0.8)
+_SET_SQL = f"""
+  seen AS (SELECT amount, CASE WHEN amount > -1 THEN ln(1 + amount) END AS amount_log, velocity_score / 100.0::DOUBLE AS velocity_score_norm,
+    CASE WHEN time_since_last_transaction > 0 THEN 86400.0::DOUBLE / time_since_last_transaction ELSE 1.0::DOUBLE END AS transaction_frequency FROM tx),
+  fills AS (SELECT {', '.join(f'quantile_cont({c}, 0.5) AS {c}' for c in _SET_FEATURES)} FROM seen),
+  filled AS (SELECT {', '.join(f'coalesce(s.{c}, f.{c}) AS {c}' for c in _SET_FEATURES)} FROM seen s, fills f),
+  moments AS (SELECT {', '.join(f'avg({c}) AS m{i}, stddev_pop({c}) AS s{i}' for i, c in enumerate(_SET_FEATURES))} FROM filled),
+  x AS (SELECT tx.*, [(coalesce(tx.amount, f.amount) - m0) / s0, (coalesce(ln(1 + tx.amount), f.amount_log) - m1) / s1,
+    (0.0::DOUBLE - m2) / s2, (1.0::DOUBLE - m3) / s3] AS x FROM tx, fills f, moments),
+  y AS (SELECT *, 1.0::DOUBLE / (1.0 + exp(-({_SET_BIAS}::DOUBLE + {' + '.join(f'{w}::DOUBLE * x[{i + 1}]' for i, w in enumerate(_SET_WEIGHTS))}))) AS p,
+    ({' + '.join(f'{w}::DOUBLE * x[{i + 1}]' for i, w in enumerate(_SET_AXIS))}) AS z FROM x),
+  stated AS (SELECT *, list_sum(list_transform(x, lambda v, i: (v - z * ({list(_SET_AXIS)}::DOUBLE[])[i]) * (v - z * ({list(_SET_AXIS)}::DOUBLE[])[i]))) / 4 AS e FROM y)"""
+
+
+def _seen(spark: SparkSession, d: str) -> DataFrame:
+    tx = transactions(spark, d)
+    return tx.select(
+        "transaction_id", F.col("is_fraud").cast("int").alias("fraud_label"), "amount", scalar.amount_log(F.col("amount")).alias("amount_log"),
+        scalar.velocity_score_norm(F.col("velocity_score")).alias("velocity_score_norm"),
+        scalar.default_tx_frequency(F.col("time_since_last_transaction")).alias("transaction_frequency"),
+    )
+
+
+def _stated_set(spark: SparkSession, d: str) -> str:
+    """Where the set with the stated models was saved."""
+    seen, names = _seen(spark, d), list(_SET_FEATURES)
+    medians = clean.column_quantiles(seen, names, [0.5])
+    filled = seen.withColumns({c: F.coalesce(F.col(c), F.lit(medians[c][0])) for c in names})
+    prepared = scoring_set.preparation(seen, names, medians, prep.fit_scaler(filled, names))
+    axes = np.array(_SET_AXIS).reshape(-1, 1)
+    rebuilt = models.Reconstructor(np.zeros(4), np.ones(4), axes)
+    stated = replace(
+        prepared, classifier=scoring_set.Linear(_SET_WEIGHTS, _SET_BIAS), reconstructor=rebuilt,
+        probability_cut=_SET_CUTS[0], anomaly_cut=_SET_CUTS[1],
+    )
+    path = scratch_path(spark, "scoring-set")
+    stated.save(spark, path)
+    return path
+
+
+_STREAM_OUT = ["transaction_id", "fraud_probability", "anomaly_score", *_FLAGS, "is_fraud_ensemble", "merchant_category"]
 
 
 @query(
     "score_stream",
-    _sc(
-        f""", {_FLAGS_SQL} SELECT transaction_id::VARCHAR AS transaction_id, {R('fraud_probability')} AS fraud_probability,
-        {R('anomaly_score')} AS anomaly_score, {', '.join(_FLAGS)}, is_fraud_ensemble, merchant_category FROM flagged"""
+    _tx(
+        f""", {_SET_SQL} SELECT transaction_id::VARCHAR AS transaction_id, {R('p')} AS fraud_probability, {R('e')} AS anomaly_score,
+        p >= {_SET_CUTS[0]} AS is_fraud_classification, e >= {_SET_CUTS[1]} AS is_fraud_anomaly,
+        p >= {_SET_CUTS[0]} OR e >= {_SET_CUTS[1]} AS is_fraud_ensemble, merchant_category FROM stated"""
     ),
 )
 def _(spark, d):
+    """A saved set (alignment, fills, scales, both models, both cuts) over a stream of records."""
     stream = stream_sources.stream_files(spark, _json_folder(spark, d))
     out = scratch_path(spark, "scored")
-    job = stream_scoring.score_stream(stream, _stream_scorer, stream_scoring.sink_files(out), once=True, anomaly_cut=10.0)
-    job.awaitTermination()
-    back = spark.read.parquet(out)
-    keep = ["transaction_id", "fraud_probability", "anomaly_score", *_FLAGS, "is_fraud_ensemble", "merchant_category"]
-    return rounded(back.select(*keep), "fraud_probability", "anomaly_score")
+    stream_scoring.score_stream_with(stream, _stated_set(spark, d), stream_scoring.sink_files(out), once=True).awaitTermination()
+    return rounded(spark.read.parquet(out).select(*_STREAM_OUT), "fraud_probability", "anomaly_score")
+
+
+@query(
+    "score_stream_restarted",
+    _tx(
+        """SELECT transaction_id::VARCHAR AS transaction_id, 1::BIGINT AS times_scored, true AS as_in_batch, true AS as_from_coefficients
+        FROM tx"""
+    ),
+)
+def _(spark, d):
+    """Fitted models, saved; half of the records, a restart with the set read again, the rest; against one batch.
+
+    ``as_from_coefficients`` recomputes the probability from the numbers in the saved table.
+    """
+    done = pipeline.training_job(_seen(spark, d), features=_SET_FEATURES, anomaly_axes=2)
+    path, source, out, checkpoint = (scratch_path(spark, n) for n in ("scoring-set", "records", "scored", "cp"))
+    done.scoring.save(spark, path)
+    rows = transactions(spark, d).select(*_RECORD)
+    for half in (0, 1):
+        rows.filter(F.col("transaction_id") % 2 == half).write.mode("append").json(source)
+        stream = stream_sources.stream_files(spark, source, files_per_trigger=3)
+        stream_scoring.score_stream_with(stream, path, stream_scoring.sink_files(out), checkpoint, once=True).awaitTermination()
+    streamed = spark.read.parquet(out)
+    saved = spark.read.parquet(f"{path}/set").select("fill", "center", "scale", "weights", "bias", "mean", "spread", "axes")
+    records = spark.read.schema(stream_sources.STREAM_RECORD).json(source)
+    batch = scoring_set.ScoringSet.load(spark, path).score(records).select(
+        "transaction_id", F.col("fraud_probability").alias("p"), F.col("anomaly_score").alias("e")
+    )
+    columns = "array(amount, ln(1 + amount), 0D, 1D)"
+    logit = f"bias + aggregate(zip_with(zip_with(zip_with({columns}, center, (v, c) -> v - c), scale, (v, s) -> v / s), weights, (v, w) -> v * w), 0D, (a, v) -> a + v)"
+    plain = records.crossJoin(F.broadcast(saved)).selectExpr("transaction_id", f"1 / (1 + exp(-({logit}))) AS q")
+    times = streamed.groupBy("transaction_id").agg(
+        F.count("*").alias("times_scored"), F.max("fraud_probability").alias("fp"), F.max("anomaly_score").alias("es")
+    )
+    near = lambda a, b: F.abs(F.col(a) - F.col(b)) <= 1e-9
+    return times.join(batch, "transaction_id").join(plain, "transaction_id").select(
+        "transaction_id", "times_scored", (near("fp", "p") & near("es", "e")).alias("as_in_batch"), near("fp", "q").alias("as_from_coefficients")
+    )
+
+
+def _stream_scorer(batch: DataFrame) -> DataFrame:
+    amount = F.col("amount")
+    return batch.withColumns({"fraud_probability": amount / (amount + 50.0), "anomaly_score": amount * amount / 1000.0})
 
 
 def _drain(spark: SparkSession, source: str, out: str, checkpoint: str, fmt: str) -> None:

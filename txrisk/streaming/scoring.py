@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from txrisk.operators.scoring import apply_threshold, ensemble_or, score_output
+from txrisk.operators.scoring_set import ScoringSet
 from txrisk.session import scratch_path
 
 Scorer = Callable[[DataFrame], DataFrame]
@@ -87,3 +88,16 @@ def score_stream(
         .trigger(**trigger_options(once, seconds))
         .start()
     )
+
+
+def score_stream_with(
+    stream: DataFrame, set_path: str, sink: Sink, checkpoint: str | None = None, once: bool = False, seconds: int = 1
+) -> StreamingQuery:
+    """Start the job with a saved set: read once when the stream starts, applied to every batch on the executors.
+
+    Nothing of the job's state is in this process but the set, so a restart from the checkpoint scores alike.
+    """
+    saved = ScoringSet.load(stream.sparkSession, set_path)
+    return score_stream(
+        stream, saved.score, sink, checkpoint, once, seconds, probability_cut=saved.probability_cut, anomaly_cut=saved.anomaly_cut
+    )
