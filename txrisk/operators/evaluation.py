@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from txrisk.functions.scalar import bucket_of, ratio
-from txrisk.operators.ordering import exact_quantiles, fetch_quantiles, prefix_sums, reusable
+from txrisk.operators.ordering import exact_quantiles, fetch_quantiles, prefix_sums, stored
 
 # The grids the sweeps are defined on.
 SWEEP_GRID = np.linspace(0, 1, 100).tolist()
@@ -130,9 +130,8 @@ def score_counts(df: DataFrame, score: str, label: str, keys: Sequence[str] = ()
 
 def ranked_scores(df: DataFrame, score: str, label: str, keys: Sequence[str] = ()) -> DataFrame:
     """Score counts with tp/fp at "score >= threshold" and the class totals."""
-    rows = df.count()
-    falling = reusable(score_counts(df, score, label, keys).withColumn("_key", -F.col("threshold")), rows)
-    sums = prefix_sums(falling, keys, ["_key"], {"tp": F.col("pos"), "fp": F.col("neg")}, totals=True, rows=rows)
+    falling, rows = stored(score_counts(df, score, label, keys).withColumn("_key", -F.col("threshold")))
+    sums = prefix_sums(falling, keys, ["_key"], {"tp": F.col("pos"), "fp": F.col("neg")}, totals=True, rows=rows, kept=True)
     return sums.drop("_key")
 
 

@@ -11,7 +11,7 @@ from txrisk.functions.scalar import ratio
 from txrisk.operators.clean import unpivot_numeric
 from txrisk.operators.evaluation import binary_metrics
 from txrisk.operators.explore import histogram_by_label
-from txrisk.operators.ordering import prefix_sums, reusable
+from txrisk.operators.ordering import prefix_sums, stored
 from txrisk.schema import numeric_columns
 
 # Limits of the monitoring rules.
@@ -56,12 +56,11 @@ def ks_drift(
         .unionByName(unpivot_numeric(production, tested).withColumn("_new", F.lit(True)))
         .filter(F.col("value").isNotNull())
     )
-    rows = reference.count() + production.count()
-    counted = both.groupBy("feature", "value").agg(
-        F.count_if(~F.col("_new")).alias("n_ref"), F.count_if(F.col("_new")).alias("n_prod")
+    counted, rows = stored(
+        both.groupBy("feature", "value").agg(F.count_if(~F.col("_new")).alias("n_ref"), F.count_if(F.col("_new")).alias("n_prod"))
     )
     sums = {"ref": F.col("n_ref"), "prod": F.col("n_prod")}
-    ranked = prefix_sums(reusable(counted, rows), ["feature"], ["value"], sums, totals=True, rows=rows)
+    ranked = prefix_sums(counted, ["feature"], ["value"], sums, totals=True, rows=rows, kept=True)
     gap = F.abs(ratio(F.col("ref"), F.col("ref_total")) - ratio(F.col("prod"), F.col("prod_total")))
     stats = ranked.groupBy("feature").agg(
         F.max(gap).alias("ks_statistic"), F.max("ref_total").alias("_n1"), F.max("prod_total").alias("_n2")

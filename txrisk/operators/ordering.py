@@ -5,14 +5,13 @@ for a million accounts of ordinary size and fatal when one account holds a third
 of the table, or when there is no ``k`` at all (a global rank, a ROC curve).
 
 ``split_groups`` counts rows per group first (a map-side combined aggregate over
-the key columns only). While every group stays under the limit the plain window
-is used. Otherwise each oversized group is cut into ordered chunks at sampled
-edges, the window runs per (group, chunk), and what crosses a chunk border is
-carried over explicitly: totals of the earlier chunks for ranks and prefix sums,
-the last few rows of the earlier chunks for row frames.
-
-The edges are collected (their number is bounded, see ``_limit``) so that every
-use of a layout, and every retry of a lost task, sees the same chunks.
+the key columns only). Groups under the limit go through the plain window. The rows
+of larger ones are dealt by Spark's own range partitioner over (group, order) into
+parts of a fixed size, written once, and the window runs per (group, part). What
+crosses a part's border is carried over explicitly: totals of the earlier parts for
+ranks and prefix sums, the last few rows before the part for row frames. No part of
+the order passes through the driver, and the parts are fixed by being written, so a
+retry sees the same ones.
 """
 
 from __future__ import annotations
@@ -23,183 +22,116 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from txrisk.session import ensure_checkpoint_dir, max_group_rows
+from txrisk.session import max_broadcast_bytes, max_group_rows, part_rows, scratch_path
 
-CHUNK = "_chunk"
+PART = "_part"
 _HALO = "_halo"
-# What a split layout knows about the row's group; dropped before the shuffle.
-_MARKS = ("_coarse", "_fine", "_width", "_last", "_guards", "_first")
-# An oversized group can only exist while groups * limit <= rows, so these two
-# bound the edges on the driver: at most MAX_CHUNKS hot groups and 2 * MAX_CHUNKS
-# chunks for keyed layouts, KEYLESS_CHUNKS edges for a global order.
-MAX_CHUNKS = 20_000
-KEYLESS_CHUNKS = 2_048
-_SAMPLES_PER_CHUNK = 64
 
 
 @dataclass(frozen=True)
 class Layout:
-    """A table, its group keys and order columns, and the chunk every row is in."""
+    """The rows of groups that fit a task and, stored with the part they are in, those of larger groups."""
 
-    df: DataFrame
     keys: tuple[str, ...]
     order: tuple[str, ...]
-    split: bool
-    hot: DataFrame | None
+    whole: DataFrame | None
+    cut: DataFrame | None
+    parts: int = 0
 
-    def window(self, descending: bool = False) -> WindowSpec:
-        cols = [F.col(c).desc() if descending else F.col(c).asc() for c in self.order]
-        return self.partition().orderBy(*cols)
+    @property
+    def split(self) -> bool:
+        return self.cut is not None
 
-    def partition(self) -> WindowSpec:
-        """One task's share: the whole group while groups are small, a chunk of it otherwise."""
-        if self.split:
-            return Window.partitionBy(*self.keys, CHUNK)
-        return Window.partitionBy(*self.keys)
+    def window(self, cut: bool) -> WindowSpec:
+        return self.partition(cut).orderBy(*self.order)
 
-    def chunk_of(self, position: Sequence[Column]) -> Column:
-        """The chunk a position in the order falls into (uses the row's group edges)."""
-        return _chunk_expr(self.order, position)
+    def partition(self, cut: bool) -> WindowSpec:
+        return Window.partitionBy(*self.keys, *([PART] if cut else []))
 
-    def drop_internal(self, df: DataFrame) -> DataFrame:
-        return df.drop(CHUNK, *_MARKS)
+    def both(self, whole: DataFrame | None, cut: DataFrame | None) -> DataFrame:
+        """The results for the two kinds of rows as one table, in the types of the plain one."""
+        if cut is None or whole is None:
+            return whole if cut is None else cut
+        kinds = {f.name: f.dataType for f in whole.schema}
+        return whole.unionByName(cut.select(*[F.col(c).cast(kinds[c]).alias(c) for c in whole.columns]))
 
 
-def _limits(df: DataFrame, rows: int, keyed: bool) -> tuple[int, int]:
-    """(largest unsplit group, rows per chunk). Chunks are smaller than the limit so that a group
-    just above it already keeps several tasks busy."""
-    floor, share = max_group_rows(df.sparkSession), math.ceil(rows / (MAX_CHUNKS if keyed else KEYLESS_CHUNKS))
-    return max(floor, share), max(math.ceil(floor / 8), share, 1)
+def stored(df: DataFrame) -> tuple[DataFrame, int]:
+    """The table written once to the shared folder, and its rows (from the files' own counts)."""
+    path = scratch_path(df.sparkSession, "stored")
+    df.write.parquet(path)
+    back = df.sparkSession.read.schema(df.schema).parquet(path)
+    return back, back.count()
 
 
-def _null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str) -> DataFrame:
+def largest_group(df: DataFrame, keys: Sequence[str]) -> int:
+    """Rows of the largest group: a map-side combined count over the key columns only."""
+    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    return counts.agg(F.coalesce(F.max("_n"), F.lit(0)).alias("n")).first()["n"]
+
+
+def _null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str, rows: int) -> DataFrame:
+    """Join on equal or equally missing keys; ``rows`` of the right side decide whether it is broadcast."""
     renamed = right.select(
         *[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)],
         *[c for c in right.columns if c not in keys],
     )
+    if rows * (64 + 32 * len(renamed.columns)) <= max_broadcast_bytes(left.sparkSession):
+        renamed = F.broadcast(renamed)
     cond = [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)]
-    joined = left.join(F.broadcast(renamed), cond, how)
-    return joined.drop(*[f"_k{i}" for i in range(len(keys))])
-
-
-def _chunk_expr(order: Sequence[str], position: Sequence[Column]) -> Column:
-    """Two-step search over sqrt(n) coarse and sqrt(n) fine edges instead of n."""
-    point = F.struct(*[p.alias(f"o{i}") for i, p in enumerate(position)])
-    block = F.size(F.filter("_coarse", lambda e: e <= point))
-    fine = F.size(F.filter(F.get("_fine", block), lambda e: e <= point))
-    return F.when(F.col("_fine").isNull(), F.lit(0)).otherwise(block * F.col("_width") + fine)
+    return left.join(renamed, cond, how).drop(*[f"_k{i}" for i in range(len(keys))])
 
 
-def _two_level(edges: list) -> tuple[list, list, int]:
-    width = max(1, math.isqrt(len(edges)))
-    blocks = [edges[i : i + width] for i in range(0, len(edges), width)]
-    coarse = [b[-1] for b in blocks if len(b) == width]
-    if len(coarse) == len(blocks):
-        blocks.append([])
-    return coarse, blocks, width
+def reusable(df: DataFrame, rows: int) -> DataFrame:
+    """An aggregate that is read several times: recomputed while it is small, else written once."""
+    return df if rows <= max_group_rows(df.sparkSession) else stored(df)[0]
 
 
-def split_groups(
-    df: DataFrame, keys: Sequence[str], order: Sequence[str], rows: int | None = None, reach: int = 0
-) -> Layout:
+def split_groups(df: DataFrame, keys: Sequence[str], order: Sequence[str], rows: int | None = None, kept: bool = False) -> Layout:
     """Lay ``df`` out for ordered work per group.
 
-    ``order`` must be numeric, boolean or string columns that order the rows of a group
-    uniquely (add the row id last), without NULLs. ``rows`` is a known upper bound of the rows
-    in any group; when it is small enough nothing has to be counted. With ``reach`` the layout also
-    marks, for every chunk, a row at least ``reach`` rows before its end.
+    ``order`` must be columns that order the rows of a group uniquely (add the row id last), without NULLs. ``rows``
+    is a known upper bound of the rows in any group; when it is small enough nothing has to be counted. ``kept`` says
+    that ``df`` is a stored table, with ``rows`` rows if there are no keys.
     """
     keys, order = tuple(keys), tuple(order)
-    if rows is not None and rows <= max_group_rows(df.sparkSession):
-        return Layout(df.withColumn(CHUNK, F.lit(0)), keys, order, False, None)
-    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    profile = counts.agg(
-        F.coalesce(F.sum("_n"), F.lit(0)).alias("rows"),
-        F.coalesce(F.max("_n"), F.lit(0)).alias("largest"),
-    ).first()
-    limit, chunk = _limits(df, profile["rows"], bool(keys))
-    if profile["largest"] <= limit:
-        return Layout(df.withColumn(CHUNK, F.lit(0)), keys, order, False, None)
-
-    hot_keys = counts.filter(F.col("_n") > limit).select(*keys)
-    step = max(min(_SAMPLES_PER_CHUNK, chunk), reach + 1)
-    modulus = max(1, chunk // step)
-    rows = df.select(*keys, *order)
-    if keys:
-        rows = _null_safe_join(rows, hot_keys.withColumn("_hot", F.lit(True)), keys, "inner").drop("_hot")
-    sampled = rows.filter(F.pmod(F.xxhash64(*order), F.lit(modulus)) == 0)
-    point = F.struct(*[F.col(c).alias(f"o{i}") for i, c in enumerate(order)])
-    # Bounded: rows / modulus <= cap * step sampled rows in all.
-    samples = sampled.groupBy(*keys).agg(F.sort_array(F.collect_list(point)).alias("_s"))
-    # Edge j ends chunk j; guard j lies ``reach`` sampled rows before it, in the same chunk.
-    edges = samples.select(
-        *keys,
-        F.filter("_s", lambda x, i: i % step == step - 1).alias("_edges"),
-        F.filter("_s", lambda x, i: i % step == step - 1 - reach).alias("_guards"),
-        F.slice("_s", 1, 1).alias("_first"),
-    )
-    edge_type = edges.schema["_edges"].dataType
-    table = []
-    for row in edges.collect():
-        coarse, fine, width = _two_level([tuple(e) for e in row["_edges"]])
-        marks = [[tuple(e) for e in row[c]] for c in ("_guards", "_first")] if reach else [[], []]
-        table.append((*[row[k] for k in keys], coarse, fine, width, len(row["_edges"]), *marks))
-    schema = T.StructType(
-        [df.schema[k] for k in keys]
-        + [
-            T.StructField("_coarse", edge_type),
-            T.StructField("_fine", T.ArrayType(edge_type)),
-            T.StructField("_width", T.IntegerType()),
-            T.StructField("_last", T.IntegerType()),
-            T.StructField("_guards", edge_type),
-            T.StructField("_first", edge_type),
-        ]
-    )
-    hot = df.sparkSession.createDataFrame(table, T.StructType([T.StructField(f.name, f.dataType) for f in schema]))
-    if keys:
-        placed = _null_safe_join(df, hot, keys, "left")
-    else:
-        # No key to join on and one row of edges: they become literals of the plan.
-        coarse, fine, width, last, guards, first = table[0]
-        kind, deep = edge_type.simpleString(), T.ArrayType(edge_type).simpleString()
-        placed = df.withColumns(
-            {
-                "_coarse": _literal(coarse).cast(kind),
-                "_fine": F.array(*[_literal(b).cast(kind) for b in fine]).cast(deep),
-                "_width": F.lit(width),
-                "_last": F.lit(last),
-                "_guards": _literal(guards).cast(kind),
-                "_first": _literal(first).cast(kind),
-            }
-        )
-    placed = placed.withColumn(CHUNK, _chunk_expr(order, [F.col(c) for c in order]))
-    return Layout(placed, keys, order, True, hot)
-
-
-def _literal(edges: list) -> Column:
-    return F.array(*[F.struct(*[F.lit(v).alias(f"o{i}") for i, v in enumerate(e)]) for e in edges])
-
-
-def _hot_rows(layout: Layout) -> DataFrame:
-    return layout.df.filter(F.col("_fine").isNotNull())
-
-
-def _chunk_totals(layout: Layout, sums: dict[str, Column]) -> DataFrame:
-    """Per (group, chunk) of split groups: totals and the totals of all earlier chunks.
-
-    At most 2 * MAX_CHUNKS rows, hence the window over the group keys alone and the broadcast.
-    """
-    totals = _hot_rows(layout).groupBy(*layout.keys, CHUNK).agg(*[v.alias(f"_t_{n}") for n, v in sums.items()])
-    before = Window.partitionBy(*layout.keys).orderBy(CHUNK).rowsBetween(Window.unboundedPreceding, -1)
-    whole = Window.partitionBy(*layout.keys)
+    limit = max_group_rows(df.sparkSession)
+    if rows is not None and rows <= limit:
+        return Layout(keys, order, df, None)
+    if not keys:
+        df, n = (df, rows) if kept and rows is not None else stored(df)
+        return Layout(keys, order, df, None) if n <= limit else _dealt(keys, order, None, df, n)
+    if largest_group(df, keys) <= limit:
+        return Layout(keys, order, df, None)
+    # From here on everything reads the copy, not the plan above.
+    df = df if kept else stored(df)[0]
+    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > limit)
+    hot, n_hot = stored(counts)
+    n = hot.agg(F.sum("_n")).first()[0]
+    named = hot.select(*keys)
+    ordinary = _null_safe_join(df, named, keys, "left_anti", n_hot)
+    return _dealt(keys, order, ordinary, _null_safe_join(df, named, keys, "left_semi", n_hot), n)
+
+
+def _dealt(keys: tuple[str, ...], order: tuple[str, ...], whole: DataFrame | None, hot: DataFrame, rows: int) -> Layout:
+    parts = math.ceil(rows / part_rows(hot.sparkSession))
+    ranged = hot.repartitionByRange(parts, *keys, *order).withColumn(PART, F.spark_partition_id())
+    cut, _ = stored(ranged)
+    return Layout(keys, order, whole, cut, parts)
+
+
+def _totals_before(layout: Layout, sums: dict[str, Column]) -> tuple[DataFrame, int]:
+    """Per (group, part): the totals of all earlier parts and of the whole group; one row per part and group."""
+    totals, rows = stored(layout.cut.groupBy(*layout.keys, PART).agg(*[F.sum(v).alias(f"_t_{n}") for n, v in sums.items()]))
+    before = Window.partitionBy(*layout.keys).orderBy(PART).rowsBetween(Window.unboundedPreceding, -1)
+    group = Window.partitionBy(*layout.keys)
     return totals.select(
         *layout.keys,
-        CHUNK,
+        PART,
         *[F.coalesce(F.sum(f"_t_{n}").over(before), F.lit(0)).alias(f"_before_{n}") for n in sums],
-        *[F.sum(f"_t_{n}").over(whole).alias(f"_whole_{n}") for n in sums],
-    )
+        *[F.sum(f"_t_{n}").over(group).alias(f"_whole_{n}") for n in sums],
+    ), rows
 
 
 def prefix_sums(
@@ -209,40 +141,31 @@ def prefix_sums(
     sums: dict[str, Column],
     totals: bool = False,
     rows: int | None = None,
+    kept: bool = False,
 ) -> DataFrame:
     """Running totals ``{name}`` (current row included) in ``order`` within each group.
 
-    ``totals=True`` adds the group totals as ``{name}_total``; ``rows`` as in ``split_groups``.
+    ``totals=True`` adds the group totals as ``{name}_total``; ``rows`` and ``kept`` as in ``split_groups``.
     """
-    layout = split_groups(df, keys, order, rows)
-    running = layout.window().rowsBetween(Window.unboundedPreceding, 0)
-    cols = {n: F.sum(v).over(running) for n, v in sums.items()}
-    if not layout.split:
-        if totals:
-            cols.update({f"{n}_total": F.sum(v).over(layout.partition()) for n, v in sums.items()})
-        return layout.drop_internal(layout.df.withColumns(cols))
-    carried = _chunk_totals(layout, {n: F.sum(v) for n, v in sums.items()})
-    if totals:
-        cols.update({f"{n}_total": F.sum(v).over(layout.partition()) for n, v in sums.items()})
-    local = layout.df.withColumns(cols)
-    joined = _null_safe_join(local, carried, (*keys, CHUNK), "left")
-    final = {n: F.col(n) + F.coalesce(f"_before_{n}", F.lit(0)) for n in sums}
-    if totals:
-        final.update({f"{n}_total": F.coalesce(f"_whole_{n}", f"{n}_total") for n in sums})
-    joined = joined.withColumns(final)
-    return layout.drop_internal(joined).drop(*[f"_before_{n}" for n in sums], *[f"_whole_{n}" for n in sums])
-
+    layout = split_groups(df, keys, order, rows, kept)
 
-def reusable(df: DataFrame, rows: int) -> DataFrame:
-    """An aggregate that the splitting primitives will read several times.
+    def local(part: DataFrame, cut: bool) -> DataFrame:
+        running = layout.window(cut).rowsBetween(Window.unboundedPreceding, 0)
+        cols = {n: F.sum(v).over(running) for n, v in sums.items()}
+        if totals and not cut:
+            cols.update({f"{n}_total": F.sum(v).over(layout.partition(cut)) for n, v in sums.items()})
+        return part.withColumns(cols)
 
-    Over few rows it is cheaper to recompute; beyond the group limit it is written once to the
-    shared checkpoint folder instead of being shuffled again for every pass.
-    """
-    if rows <= max_group_rows(df.sparkSession):
-        return df
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint()
+    whole = None if layout.whole is None else local(layout.whole, False)
+    if not layout.split:
+        return whole
+    carried, n = _totals_before(layout, sums)
+    joined = _null_safe_join(local(layout.cut, True), carried, (*layout.keys, PART), "left", n)
+    final = {c: F.col(c) + F.col(f"_before_{c}") for c in sums}
+    if totals:
+        final.update({f"{c}_total": F.col(f"_whole_{c}") for c in sums})
+    cut = joined.withColumns(final).drop(PART, *[f"_{w}_{c}" for c in sums for w in ("before", "whole")])
+    return layout.both(whole, cut)
 
 
 def group_rank(
@@ -262,6 +185,34 @@ def take_per_group(df: DataFrame, keys: Sequence[str], order: Sequence[str], quo
     return group_rank(df, keys, order, "_rank").filter(F.col("_rank") <= quota).drop("_rank")
 
 
+def _halo_rows(layout: Layout, reach: int, keep_first: bool) -> DataFrame:
+    """For every part of a group, the last ``reach`` rows before it and, with ``keep_first``, the group's first row.
+
+    A part's own last rows go to the next ``reach`` parts of its group, of which the last ``reach`` per part are kept:
+    however few rows a part has, nothing nearer is missed.
+    """
+    keys, cut = list(layout.keys), layout.cut
+    columns = cut.columns
+    backwards = [F.col(c).desc() for c in layout.order]
+    last = F.row_number().over(Window.partitionBy(*keys, PART).orderBy(*backwards))
+    ends = cut.withColumn("_r", last).filter(F.col("_r") <= reach).drop("_r")
+    present, n = stored(cut.groupBy(*keys, PART).agg(F.count(F.lit(1)).alias("_n")))
+    numbered = present.withColumn("_no", F.row_number().over(Window.partitionBy(*keys).orderBy(PART))).drop("_n")
+    placed = _null_safe_join(ends, numbered, (*keys, PART), "inner", n).drop(PART)
+    spread = placed.withColumn("_no", F.explode(F.sequence(F.col("_no") + 1, F.col("_no") + reach)))
+    nearest = F.row_number().over(Window.partitionBy(*keys, "_no").orderBy(*backwards))
+    halo = spread.withColumn("_r", nearest).filter(F.col("_r") <= reach).drop("_r")
+    if keep_first:
+        first = F.row_number().over(Window.partitionBy(*keys).orderBy(*layout.order))
+        heads = cut.withColumn("_r", first).filter(F.col("_r") == 1).drop("_r", PART)
+        most = numbered.groupBy(*keys).agg(F.max("_no").alias("_most")).filter("_most > 1")
+        everywhere = _null_safe_join(heads, most, keys, "inner", n).withColumn("_no", F.explode(F.sequence(F.lit(2), F.col("_most"))))
+        halo = halo.unionByName(everywhere.select(*halo.columns)).dropDuplicates([*keys, "_no", *layout.order])
+    back = numbered.select(*[F.col(k).alias(f"_h{i}") for i, k in enumerate(keys)], F.col("_no").alias("_hno"), PART)
+    here = [F.col(k).eqNullSafe(F.col(f"_h{i}")) for i, k in enumerate(keys)] + [F.col("_no") == F.col("_hno")]
+    return halo.join(back, here, "inner").select(*columns)
+
+
 def row_frames(
     df: DataFrame,
     keys: Sequence[str],
@@ -273,35 +224,20 @@ def row_frames(
 ) -> DataFrame:
     """Window columns that look back at most ``reach`` rows (or at the group's first row).
 
-    ``build(window)`` returns name -> column. In a split group every chunk is preceded by a
-    halo: the last ``reach`` (at least 1) rows before it, plus the group's first row with ``keep_first``.
+    ``build(window)`` returns name -> column. In a split group every part is preceded by a
+    halo: the last ``reach`` (at least 1) rows before it, plus the group's first row with ``keep_first``
+    (which needs keys).
     """
-    layout = split_groups(df, keys, order, rows, reach)
+    if keep_first and not keys:
+        raise ValueError("the first row of a group needs group keys")
+    layout = split_groups(df, keys, order, rows)
+    whole = None if layout.whole is None else layout.whole.withColumns(build(layout.window(False)))
     if not layout.split:
-        return layout.drop_internal(layout.df.withColumns(build(layout.window())))
-
-    plain = layout.df.drop(*_MARKS)
-    cols = plain.columns
-    here = F.struct(*[F.col(c).alias(f"o{i}") for i, c in enumerate(order)])
-    hot = _hot_rows(layout)
-    # Only rows behind a chunk's guard can be among its last ones, so little has to be ranked; and
-    # every chunk has at least ``reach`` rows, so nothing from further back is needed.
-    tail = (
-        hot.filter((F.col(CHUNK) < F.col("_last")) & (here >= F.get("_guards", F.col(CHUNK))))
-        .select(*cols)
-        .withColumn("_r", F.row_number().over(layout.window(descending=True)))
-        .filter(F.col("_r") <= reach)
-        .drop("_r")
-    )
-    halo = tail.withColumn(CHUNK, F.col(CHUNK) + 1)
-    if keep_first:
-        early = hot.filter((F.col("_last") > 0) & (F.col(CHUNK) == 0) & (here <= F.get("_first", F.lit(0)))).select(*cols, "_last")
-        heads = early.withColumn("_r", F.row_number().over(layout.window())).filter(F.col("_r") == 1)
-        spread = heads.withColumn(CHUNK, F.explode(F.sequence(F.lit(1), F.col("_last"))))
-        halo = halo.unionByName(spread.select(*cols)).dropDuplicates([*keys, CHUNK, *order])
-    halo = halo.withColumn(_HALO, F.lit(True))
-    padded = plain.withColumn(_HALO, F.lit(False)).unionByName(halo)
-    return padded.withColumns(build(layout.window())).filter(~F.col(_HALO)).drop(CHUNK, _HALO)
+        return whole
+    halo = _halo_rows(layout, reach, keep_first).withColumn(_HALO, F.lit(True))
+    padded = layout.cut.withColumn(_HALO, F.lit(False)).unionByName(halo)
+    cut = padded.withColumns(build(layout.window(True))).filter(~F.col(_HALO)).drop(PART, _HALO)
+    return layout.both(whole, cut)
 
 
 def exact_quantiles(
@@ -309,22 +245,19 @@ def exact_quantiles(
 ) -> DataFrame:
     """Exact linearly interpolated quantiles per group as an array column, NULL and NaN ignored.
 
-    Up to the group-row limit the built-in aggregate is used; it keeps every distinct value of
-    a group in one task, so beyond it the ranks come from a prefix sum over (value, count).
+    Rows are counted per distinct value before anything is ordered; the counts are written once, and a running total
+    over them, cut into parts where a group has very many values, says which value holds which rank.
     """
     clean = df.select(*keys, F.col(value).cast("double").alias("_v")).filter(
         F.col("_v").isNotNull() & ~F.isnan("_v")
     )
-    n = clean.count()
-    if n <= max_group_rows(df.sparkSession):
-        return clean.groupBy(*keys).agg(
-            F.percentile("_v", F.array(*[F.lit(float(p)) for p in probs])).alias(name)
-        )
-    counted = reusable(clean.groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_c")), n)
-    ranked = prefix_sums(counted, keys, ["_v"], {"_cum": F.col("_c")}, totals=True)
+    counted, n = stored(clean.groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_c")))
+    ranked = prefix_sums(counted, keys, ["_v"], {"_cum": F.col("_c")}, totals=True, rows=n, kept=True)
 
     def at(rank: Column) -> Column:
-        return F.min(F.when(F.col("_cum") > rank, F.col("_v")))
+        # The one value whose running total passes the rank.
+        holds = (F.col("_cum") > rank) & (F.col("_cum") - F.col("_c") <= rank)
+        return F.max(F.when(holds, F.col("_v")))
 
     picks = []
     for i, p in enumerate(probs):
@@ -336,9 +269,13 @@ def exact_quantiles(
         ]
     parts = ranked.groupBy(*keys).agg(*picks)
     values = [
-        F.col(f"_lo{i}") + (F.col(f"_hi{i}") - F.col(f"_lo{i}")) * F.col(f"_w{i}") for i in range(len(probs))
+        F.when(F.col(f"_w{i}") == 0, F.col(f"_lo{i}")).otherwise(
+            (1 - F.col(f"_w{i}")) * F.col(f"_lo{i}") + F.col(f"_w{i}") * F.col(f"_hi{i}")
+        )
+        for i in range(len(probs))
     ]
-    return parts.select(*keys, F.array(*values).alias(name))
+    out = parts.select(*keys, F.array(*values).alias(name))
+    return out if keys else out.filter(F.get(name, F.lit(0)).isNotNull())
 
 
 def fetch_quantiles(df: DataFrame, value: str, probs: Sequence[float]) -> list[float] | None:

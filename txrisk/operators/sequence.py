@@ -13,7 +13,8 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from txrisk.functions.scalar import micros, ratio, whole_seconds
-from txrisk.operators.ordering import group_rank, row_frames
+from txrisk.operators.ordering import group_rank, largest_group, row_frames, stored
+from txrisk.session import max_group_rows
 
 REACH = 5
 _BASE = ("_prev_s", "_prev", "_avg", "_max", "_cnt", "_old_s")
@@ -102,7 +103,10 @@ def history_features(
     # The number of earlier rows is a prefix count; in a split group it needs the totals of
     # the earlier chunks, so it comes from the ranking primitive, not from a row frame.
     ordered = df.withColumn("_us", micros(F.col(time)))
-    ranked = group_rank(ordered, [account], ["_us", row_id], "_rank")
+    most = largest_group(ordered, [account])
+    if most > max_group_rows(df.sparkSession):
+        ordered, _ = stored(ordered)
+    ranked = group_rank(ordered, [account], ["_us", row_id], "_rank", rows=most)
 
     def build(w: WindowSpec) -> dict[str, Column]:
         recent = w.rowsBetween(-REACH, -1)
@@ -129,7 +133,7 @@ def history_features(
         "hist_deviation": F.coalesce(value - mean, F.lit(0.0)),
         "hist_velocity": F.when(days > 0, ratio(seen, days * 24)).otherwise(0.0),
     }
-    framed = row_frames(ranked, [account], ["_us", row_id], REACH, build, keep_first=True)
+    framed = row_frames(ranked, [account], ["_us", row_id], REACH, build, keep_first=True, rows=most)
     return framed.withColumns(features).drop("_us", "_rank", *_BASE)
 
 

@@ -26,23 +26,57 @@ RANGE_FRAME_ROWS_CONF = "spark.txrisk.rangeFrameRows"
 DEFAULT_RANGE_FRAME_ROWS = 10_000
 
 
-def _typed(df: DataFrame, measures: dict[str, Column], rows: int) -> dict[str, str]:
+def _typed(df: DataFrame, measures: dict[str, Column], rows: int) -> dict[str, str | tuple[str, float]]:
     """Types in which sums are exact: bigint for whole numbers, else a decimal as fine as the largest sum leaves room for.
 
     Prefix differences cancel, so doubles would lose what a sliding frame keeps. The scale comes from the data: with
-    the largest magnitude times the rows before the point, all other digits of the 38 are fraction.
+    the largest finite magnitude times the rows before the point, all other digits of the 38 are fraction.
     """
     kinds = df.select(*[m.alias(n) for n, m in measures.items()]).schema
-    fractional = [f.name for f in kinds if not isinstance(f.dataType, T.IntegralType)]
-    out = {f.name: "bigint" for f in kinds}
-    if fractional:
-        largest = df.agg(*[F.max(F.abs(measures[n].cast("double"))).alias(n) for n in fractional]).first()
-        for n in fractional:
-            whole = math.ceil(math.log10(max(largest[n] or 0.0, 1e-300) * max(rows, 1)))
-            out[n] = f"decimal(38,{min(37, max(0, 36 - max(whole, 0)))})"
+    out = {f.name: "bigint" for f in kinds if isinstance(f.dataType, T.IntegralType)}
+    rest = [f.name for f in kinds if f.name not in out]
+    if rest:
+        largest = df.agg(*[F.max(F.abs(_finite(measures[n]))).alias(n) for n in rest]).first()
+        for n in rest:
+            whole = math.ceil(math.log10(max(largest[n] or 0.0, 1e-300)) + math.log10(max(rows, 1)))
+            # Beyond 38 digits all values are summed in a larger unit.
+            unit = max(0, whole - 36)
+            out[n] = (f"decimal(38,{min(37, max(0, 36 - max(whole, 0)))})", 10.0**unit if unit < 308 else 1e307)
     return out
 
 
+def _finite(c: Column) -> Column:
+    """The value as a double, NULL where it is infinite or NaN."""
+    value = null_if_nan(c)
+    return F.when(F.abs(value) != F.lit(float("inf")), value)
+
+
+def _exact(measures: dict[str, Column], kinds: dict) -> dict[str, Column]:
+    """What is summed: whole numbers as they are, finite parts as decimals, infinities as counts of either sign."""
+    out: dict[str, Column] = {}
+    for n, m in measures.items():
+        if kinds[n] == "bigint":
+            out[n] = m.cast("bigint")
+            continue
+        kind, unit = kinds[n]
+        value = m.cast("double")
+        out[n] = F.coalesce(_finite(m) / F.lit(unit), F.lit(0.0)).cast(kind)
+        for mark, sign in (("_up", "+"), ("_down", "-")):
+            out[n + mark] = (value == F.lit(float(f"{sign}inf"))).cast("bigint")
+        out[n + "_nan"] = F.isnan(value).cast("bigint")
+    return out
+
+
+def _value_of(n: str, kind, difference: Callable[[str], Column]) -> Column:
+    """A sum as a double again; NaN and infinities win over finite parts as they do in a sum of doubles."""
+    if kind == "bigint":
+        return difference(n).cast("double")
+    up, down, odd = (difference(n + mark) > 0 for mark in ("_up", "_down", "_nan"))
+    finite = difference(n).cast("double") * F.lit(kind[1])
+    inf = F.lit(float("inf"))
+    return F.when(odd | (up & down), F.lit(float("nan"))).when(up, inf).when(down, -inf).otherwise(finite)
+
+
 def _prefix_frames(
     df: DataFrame, onto: DataFrame, entity: str, measures: dict[str, Column], starts: dict[str, int], end_inclusive: bool
 ) -> DataFrame:
@@ -53,31 +87,33 @@ def _prefix_frames(
     """
     n_rows = df.count()
     kinds = _typed(df, measures, n_rows)
-    points = df.groupBy(entity, "_us").agg(*[F.sum(m.cast(kinds[n])).cast(kinds[n]).alias(n) for n, m in measures.items()])
-    points = reusable(points, n_rows)
+    exact = _exact(measures, kinds)
+    points = df.groupBy(entity, "_us").agg(*[F.sum(m).alias(n) for n, m in exact.items()])
+    types = {f.name: f.dataType for f in df.select(*[m.alias(n) for n, m in exact.items()]).schema}
+    points = reusable(points.withColumns({n: F.col(n).cast(types[n]) for n in exact}), n_rows)
     names, data_kind = list(starts), len(starts)
-    data = points.select(entity, F.col("_us").alias("_pos"), F.lit(data_kind).alias("_kind"), "_us", *measures)
+    data = points.select(entity, F.col("_us").alias("_pos"), F.lit(data_kind).alias("_kind"), "_us", *[F.col(n) for n in exact])
     shifted = [F.struct((F.col("_us") + s).alias("_pos"), F.lit(i).alias("_kind")) for i, s in enumerate(starts.values())]
     probes = points.select(entity, "_us", F.inline(F.array(*shifted))).select(
-        entity, "_pos", "_kind", "_us", *[F.lit(0).cast(kinds[n]).alias(n) for n in measures]
+        entity, "_pos", "_kind", "_us", *[F.lit(0).cast(types[n]).alias(n) for n in exact]
     )
     running = prefix_sums(
-        data.unionByName(probes), [entity], ["_pos", "_kind"], {f"_cum_{n}": F.col(n) for n in measures}
+        data.unionByName(probes), [entity], ["_pos", "_kind"], {f"_cum_{n}": F.col(n) for n in exact}
     )
     picks = []
-    for n in measures:
+    for n in exact:
         until = F.col(f"_cum_{n}") if end_inclusive else F.col(f"_cum_{n}") - F.col(n)
         picks.append(F.max(F.when(F.col("_kind") == data_kind, until)).alias(f"_end_{n}"))
         picks += [F.max(F.when(F.col("_kind") == i, F.col(f"_cum_{n}"))).alias(f"_start{i}_{n}") for i in range(data_kind)]
     spans = running.groupBy(entity, "_us").agg(*picks)
+
+    def between(i: int) -> Callable[[str], Column]:
+        return lambda n: F.col(f"_end_{n}") - F.col(f"_start{i}_{n}")
+
     sums = spans.select(
         F.col(entity).alias("_e"),
         F.col("_us").alias("_t"),
-        *[
-            (F.col(f"_end_{n}") - F.col(f"_start{i}_{n}")).cast("double").alias(f"_{f}_{n}")
-            for i, f in enumerate(names)
-            for n in measures
-        ],
+        *[_value_of(n, kinds[n], between(i)).alias(f"_{f}_{n}") for i, f in enumerate(names) for n in measures],
     )
     # One point per (entity, time): rows join it many-to-one; AQE splits a hot point's rows.
     cond = F.col(entity).eqNullSafe(F.col("_e")) & (F.col("_us") == F.col("_t"))
@@ -191,7 +227,7 @@ def rolling_time_aggs(
     timed = df.withColumn("_us", micros(F.col(time)))
     clean = {v: null_if_nan(F.col(v)) for v in values}
     # Squares are summed around the overall mean so that the variance does not cancel.
-    means = df.agg(*[F.avg(c).alias(v) for v, c in clean.items()]).first()
+    means = df.agg(*[F.avg(_finite(c)).alias(v) for v, c in clean.items()]).first()
     centres = {v: F.lit(float(means[v] or 0.0)) for v in values}
     measures: dict[str, Column] = {}
     for i, (v, c) in enumerate(clean.items()):

@@ -13,7 +13,7 @@ from txrisk.functions import random, scalar, vectors
 from txrisk.operators import aggregate, align, clean, sequence, velocity
 from txrisk.plans import pipeline
 from txrisk.plans.registry import R, query, r, rand_sql, rounded
-from txrisk.session import scratch_path
+from txrisk.session import scratch_path, settings
 from txrisk.sources import files, synthetic
 
 
@@ -575,11 +575,8 @@ def _all_large(run):
     """The same query with every entity above the sliding-frame limit; the answer may not depend on it."""
 
     def forced(spark, d):
-        spark.conf.set(velocity.RANGE_FRAME_ROWS_CONF, "1")
-        try:
+        with settings(spark, {velocity.RANGE_FRAME_ROWS_CONF: 1}):
             return run(spark, d)
-        finally:
-            spark.conf.unset(velocity.RANGE_FRAME_ROWS_CONF)
 
     return forced
 

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import math
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import SparkSession
 
@@ -20,6 +23,9 @@ RUNTIME_CONF = {
 #: Largest group one task may hold before an operator splits it.
 MAX_GROUP_ROWS_CONF = "spark.txrisk.maxGroupRows"
 DEFAULT_MAX_GROUP_ROWS = 2_000_000
+#: Rows of one part of a split group; an eighth of the limit unless set, so that a group just above the limit keeps
+#: several tasks busy.
+PART_ROWS_CONF = "spark.txrisk.partRows"
 #: Largest table (in bytes, estimated from rows x width) an operator broadcasts.
 MAX_BROADCAST_BYTES_CONF = "spark.txrisk.maxBroadcastBytes"
 DEFAULT_MAX_BROADCAST_BYTES = 64 * 1024 * 1024
@@ -51,6 +57,26 @@ def max_group_rows(spark: SparkSession) -> int:
     return int(spark.conf.get(MAX_GROUP_ROWS_CONF, str(DEFAULT_MAX_GROUP_ROWS)))
 
 
+def part_rows(spark: SparkSession) -> int:
+    return max(1, int(spark.conf.get(PART_ROWS_CONF, str(math.ceil(max_group_rows(spark) / 8)))))
+
+
+@contextmanager
+def settings(spark: SparkSession, values: dict[str, object]) -> Iterator[None]:
+    """Session settings for the time of a block; what the caller had set comes back."""
+    before = {name: spark.conf.get(name, None) for name in values}
+    for name, value in values.items():
+        spark.conf.set(name, str(value))
+    try:
+        yield
+    finally:
+        for name, value in before.items():
+            if value is None:
+                spark.conf.unset(name)
+            else:
+                spark.conf.set(name, value)
+
+
 def max_broadcast_bytes(spark: SparkSession) -> int:
     return int(spark.conf.get(MAX_BROADCAST_BYTES_CONF, str(DEFAULT_MAX_BROADCAST_BYTES)))
 
