@@ -123,6 +123,14 @@ def test_full_rank_reconstruction_is_exact(matrix):
     assert rebuilt.agg(F.max("anomaly_score")).first()[0] < 1e-12
 
 
+def test_error_by_expressions_equals_the_arrays(matrix):
+    _, df = matrix
+    fitted = models.train_reconstructor(df, 4)
+    plain = scoring.anomaly_score(fitted.transform(df), "scaled", "rebuilt", "e").select("id", "e")
+    both = fitted.with_error(df).join(plain, "id").agg(F.max(F.abs(F.col("e") - F.col("anomaly_score")))).first()[0]
+    assert both < 1e-9
+
+
 def test_flags_and_ensemble(spark):
     df = spark.createDataFrame([(1, 0.5, 0.05), (2, 0.4, 0.2), (3, None, 0.0)], "transaction_id long, fraud_probability double, anomaly_score double")
     out = scoring.ensemble_or(scoring.apply_threshold(df))

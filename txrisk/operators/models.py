@@ -110,6 +110,10 @@ def _dot(x: Column, weights: Sequence[float], start: float = 0.0) -> Column:
     return F.aggregate(both, F.lit(float(start)), lambda a, v: a + v)
 
 
+def _times(column: str) -> Callable[[Column], Column]:
+    return lambda x: x * F.col(column)
+
+
 def _sigmoid(z: Column) -> Column:
     return F.lit(1.0) / (F.lit(1.0) + F.exp(-z))
 
@@ -270,6 +274,18 @@ class Reconstructor:
     scale: np.ndarray
     axes: np.ndarray
 
+    def with_error(self, df: DataFrame, features: str = "features", output: str = "anomaly_score") -> DataFrame:
+        """Add the mean squared error of the reconstruction: column expressions only, for streams and wide scans."""
+        scaled = F.zip_with(F.col(features).cast("array<double>"), F.lit(self.mean.tolist()), lambda x, m: x - m)
+        scaled = F.zip_with(scaled, F.lit(self.scale.tolist()), lambda x, s: x / s)
+        axes = [a.tolist() for a in self.axes.T]
+        out = df.withColumn("_z", scaled).withColumns({f"_p{k}": _dot(F.col("_z"), a) for k, a in enumerate(axes)})
+        left = F.col("_z")
+        for k, a in enumerate(axes):
+            left = F.zip_with(left, F.transform(F.lit(a), _times(f"_p{k}")), lambda x, y: x - y)
+        square = F.aggregate(F.transform(left, lambda x: x * x), F.lit(0.0), lambda s, x: s + x)
+        return out.withColumn(output, square / F.lit(float(max(len(self.mean), 1)))).drop("_z", *[f"_p{k}" for k in range(len(axes))])
+
     def transform(self, df: DataFrame, features: str = "features") -> DataFrame:
         """Add ``scaled`` and ``rebuilt`` arrays."""
         mean, scale, axes = self.mean, self.scale, self.axes

@@ -240,42 +240,106 @@ def row_frames(
     return layout.both(whole, cut)
 
 
+#: Relative accuracy of the sketch that brackets a rank: a quantile is off by 1 / this of the rows at most.
+SKETCH = 10_000
+#: Up to so many groups their ranges are literals of the plan, more are a stored table.
+_FEW_GROUPS = 1000
+#: A bracket is this many times the sketch's error wide on either side.
+_MARGIN = 4
+
+
 def exact_quantiles(
     df: DataFrame, value: str, probs: Sequence[float], keys: Sequence[str] = (), name: str = "quantiles"
 ) -> DataFrame:
     """Exact linearly interpolated quantiles per group as an array column, NULL and NaN ignored.
 
-    Rows are counted per distinct value before anything is ordered; the counts are written once, and a running total
-    over them, cut into parts where a group has very many values, says which value holds which rank.
+    While a task can hold a group's distinct values, the built-in aggregate. Otherwise selection by counting, in two
+    scans: a sketch per group puts every wanted rank into a narrow range of values; then
+    rows below the range and at its lower end are counted, and only values strictly inside, a thousandth of the rows at
+    most, are kept and put in order. Nothing else is sorted or shuffled, all groups and ranks go together. Groups of
+    less than ``SKETCH`` rows are all range.
     """
+    keys, probs = list(keys), [float(p) for p in probs]
     clean = df.select(*keys, F.col(value).cast("double").alias("_v")).filter(
         F.col("_v").isNotNull() & ~F.isnan("_v")
     )
-    counted, n = stored(clean.groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_c")))
-    ranked = prefix_sums(counted, keys, ["_v"], {"_cum": F.col("_c")}, totals=True, rows=n, kept=True)
+    if largest_group(clean, keys) <= max_group_rows(df.sparkSession):
+        # A task can hold the distinct values of a group.
+        return clean.groupBy(*keys).agg(F.percentile("_v", F.array(*[F.lit(p) for p in probs])).alias(name))
+    inf = float("inf")
+    edge = _MARGIN / SKETCH
+    points = [q for p in probs for q in (max(0.0, p - edge), min(1.0, p + edge))]
+    sketch = clean.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.percentile_approx("_v", points, SKETCH).alias("_q"))
+
+    def bound(i: int, low: bool) -> Column:
+        open_end = probs[i] - edge <= 0 if low else probs[i] + edge >= 1
+        far = F.lit(-inf if low else inf)
+        return far if open_end else F.when(F.col("_n") < SKETCH, far).otherwise(F.get("_q", F.lit(2 * i + (not low))))
+
+    marks = sketch.select(*keys, "_n", *[bound(i, low).alias(f"_{'lo' if low else 'hi'}{i}") for i in range(len(probs)) for low in (True, False)])
+    if keys:
+        few = marks.limit(_FEW_GROUPS + 1).collect()
+        if len(few) <= _FEW_GROUPS:
+            groups, largest = len(few), max((r["_n"] for r in few), default=0)
+            marks = df.sparkSession.createDataFrame(few, marks.schema)
+        else:
+            marks, groups = stored(marks)
+            largest = marks.agg(F.coalesce(F.max("_n"), F.lit(0)).alias("n")).first()["n"]
+        placed = _null_safe_join(clean, marks, keys, "inner", groups)
+    else:
+        # One row: it becomes literals of the plan.
+        row, groups = marks.first(), 1
+        largest = row["_n"]
+        placed = clean.withColumns({c: F.lit(row[c]) for c in marks.columns})
+    # No more rows than this lie strictly inside a range, by the sketch's own bound; its ends may repeat.
+    most = largest if largest < SKETCH else math.ceil(largest * 2 * (_MARGIN + 1) / SKETCH)
+    if most > max_group_rows(df.sparkSession):
+        return _by_running_counts(placed, probs, keys, name, groups)
+    v, fields = F.col("_v"), [F.max("_n").alias("_n")]
+    for i in range(len(probs)):
+        lo, hi = F.col(f"_lo{i}"), F.col(f"_hi{i}")
+        fields += [
+            F.count_if(v < lo).alias(f"_below{i}"), F.count_if(v == lo).alias(f"_same{i}"), F.max(lo).alias(f"_lo{i}"), F.max(hi).alias(f"_hi{i}"),
+            F.sort_array(F.collect_list(F.when((v > lo) & (v < hi), v))).alias(f"_in{i}"),
+        ]
+    ranked = placed.groupBy(*keys).agg(*fields)
+
+    def value_at(rank: Column, i: int) -> Column:
+        past = rank - F.col(f"_below{i}") - F.col(f"_same{i}")
+        last = past >= F.size(f"_in{i}")
+        return F.when(past < 0, F.col(f"_lo{i}")).when(last, F.col(f"_hi{i}")).otherwise(F.get(f"_in{i}", past.cast("int")))
+
+    def interpolated(i: int) -> Column:
+        at = F.lit(probs[i]) * (F.col("_n") - 1)
+        low, high, w = value_at(F.floor(at), i), value_at(F.ceil(at), i), at - F.floor(at)
+        return F.when(low == high, low).otherwise((1 - w) * low + w * high)
+
+    out = ranked.filter("_n > 0") if not keys else ranked
+    return out.select(*keys, F.array(*[interpolated(i) for i in range(len(probs))]).alias(name))
+
+
+def _by_running_counts(placed: DataFrame, probs: list[float], keys: list[str], name: str, groups: int) -> DataFrame:
+    """The same for ranges of more rows than a task should hold: running counts of their distinct values, cut into parts."""
+    within = [F.when(F.col("_v").between(F.col(f"_lo{i}"), F.col(f"_hi{i}")), F.lit(i)) for i in range(len(probs))]
+    inside = placed.select(*keys, "_v", F.explode(F.array_compact(F.array(*within))).alias("_i"))
+    counted, n = stored(inside.groupBy(*keys, "_i", "_v").agg(F.count(F.lit(1)).alias("_c")))
+    below = placed.groupBy(*keys).agg(F.max("_n").alias("_n"), *[F.count_if(F.col("_v") < F.col(f"_lo{i}")).alias(f"_b{i}") for i in range(len(probs))])
+    entries = F.array(*[F.struct(F.lit(i).alias("_i"), F.lit(p).alias("_p"), F.col(f"_b{i}").alias("_b")) for i, p in enumerate(probs)])
+    wanted = below.select(*keys, (F.col("_n") - 1).alias("_last"), F.inline(entries)).withColumn("_at", F.col("_p") * F.col("_last"))
+    ranked = prefix_sums(counted, [*keys, "_i"], ["_v"], {"_cum": F.col("_c")}, rows=n, kept=True)
+    found = _null_safe_join(ranked, wanted, [*keys, "_i"], "inner", groups * len(probs))
+    upto = F.col("_cum") + F.col("_b")
 
     def at(rank: Column) -> Column:
-        # The one value whose running total passes the rank.
-        holds = (F.col("_cum") > rank) & (F.col("_cum") - F.col("_c") <= rank)
-        return F.max(F.when(holds, F.col("_v")))
-
-    picks = []
-    for i, p in enumerate(probs):
-        position = F.lit(float(p)) * (F.col("_cum_total") - 1)
-        picks += [
-            at(F.floor(position)).alias(f"_lo{i}"),
-            at(F.ceil(position)).alias(f"_hi{i}"),
-            F.max(position - F.floor(position)).alias(f"_w{i}"),
-        ]
-    parts = ranked.groupBy(*keys).agg(*picks)
-    values = [
-        F.when(F.col(f"_w{i}") == 0, F.col(f"_lo{i}")).otherwise(
-            (1 - F.col(f"_w{i}")) * F.col(f"_lo{i}") + F.col(f"_w{i}") * F.col(f"_hi{i}")
-        )
-        for i in range(len(probs))
-    ]
-    out = parts.select(*keys, F.array(*values).alias(name))
-    return out if keys else out.filter(F.get(name, F.lit(0)).isNotNull())
+        return F.max(F.when((upto > rank) & (upto - F.col("_c") <= rank), F.col("_v")))
+
+    share = F.max(F.col("_at") - F.floor("_at"))
+    picks = found.groupBy(*keys, "_i").agg(at(F.floor("_at")).alias("_low"), at(F.ceil("_at")).alias("_high"), share.alias("_w"))
+    between = (1 - F.col("_w")) * F.col("_low") + F.col("_w") * F.col("_high")
+    one = F.when((F.col("_w") == 0) | (F.col("_low") == F.col("_high")), F.col("_low")).otherwise(between)
+    packed = F.sort_array(F.collect_list(F.struct("_i", one.alias("_x"))))
+    out = picks.groupBy(*keys).agg(F.transform(packed, lambda e: e["_x"]).alias(name))
+    return out if keys else out.filter(F.size(name) > 0)
 
 
 def fetch_quantiles(df: DataFrame, value: str, probs: Sequence[float]) -> list[float] | None:

@@ -20,7 +20,7 @@ from txrisk.functions.scalar import null_if_nan
 from txrisk.functions.vectors import linear_score
 from txrisk.operators.align import feature_values
 from txrisk.operators.models import Reconstructor
-from txrisk.operators.scoring import DEFAULT_ANOMALY_CUT, DEFAULT_PROBABILITY_CUT, anomaly_score, score_probability
+from txrisk.operators.scoring import DEFAULT_ANOMALY_CUT, DEFAULT_PROBABILITY_CUT, score_probability
 
 _SCHEMA = (
     "features array<string>, fill array<double>, center array<double>, scale array<double>, weights array<double>, bias double, "
@@ -72,7 +72,7 @@ class ScoringSet:
                 raise ValueError(f"the table's own column {name} hides the model's features")
             out = score_probability(renamed, self.classifier).drop(name)
         if self.reconstructor is not None:
-            out = anomaly_score(self.reconstructor.transform(out, x), "scaled", "rebuilt")
+            out = self.reconstructor.with_error(out, x)
         scores = [c for c in ("fraud_probability", "anomaly_score") if c in out.columns and c not in kept]
         return out.select(*kept, *scores)
 
