@@ -155,3 +155,79 @@ def test_many_copies_of_one_row_are_spread(spark, monkeypatch):
     out = sampling.expand_copies(df.filter("copies > 0"), "copies", 95)
     assert sorted(r["copy"] for r in out.filter("id = 1").collect()) == list(range(1, 96))
     assert sorted(r["copy"] for r in out.filter("id = 3").collect()) == list(range(1, 11))
+
+
+def clustered(spark, rows=400, kind="long"):
+    """Clusters with exact copies in them; every fifth row is of the minority."""
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(12, 6))[rng.integers(0, 12, rows)] * 4 + rng.normal(size=(rows, 6))
+    x[::17] = x[0]
+    name = (lambda i: f"TX{i}") if kind == "string" else (lambda i: i)
+    return spark.createDataFrame([(name(i), x[i].tolist(), int(i % 5 == 0)) for i in range(rows)], f"id {kind}, features array<double>, label int")
+
+
+def brute_force(df, k):
+    rows = df.collect()
+    out = set()
+    for q in rows:
+        if q["label"] != 1:
+            continue
+        near = sorted((float(np.sqrt(((np.array(q["features"]) - np.array(r["features"])) ** 2).sum())), r["id"]) for r in rows if r["id"] != q["id"])
+        out |= {(q["id"], r, i + 1) for i, (_, r) in enumerate(near[:k])}
+    return out
+
+
+@pytest.mark.parametrize("kind", ["long", "string"])
+@pytest.mark.parametrize("limit", [None, 0])
+def test_neighbours_on_both_paths_with_ids_of_any_type(spark, settings, kind, limit):
+    if limit is not None:
+        settings(MAX_BROADCAST_BYTES_CONF, limit)
+    df = clustered(spark, kind=kind)
+    pairs = knn.knn_topk(df.filter("label = 1"), df, 4, block_rows=60)
+    assert pairs.schema["query_id"].dataType == df.schema["id"].dataType
+    assert {(r["query_id"], r["neighbor_id"], r["rank"]) for r in pairs.collect()} == brute_force(df, 4)
+
+
+@pytest.mark.parametrize("limit", [None, 0])
+def test_nearest_of_every_tag_in_one_search(spark, settings, limit):
+    if limit is not None:
+        settings(MAX_BROADCAST_BYTES_CONF, limit)
+    df = clustered(spark)
+    pairs = knn.knn_topk(df.filter("label = 1"), df, 3, tag="label", block_rows=60, per_tag=True)
+    alone = knn.knn_topk(df.filter("label = 1"), df.filter("label = 1"), 3)
+    assert set(map(tuple, pairs.filter("neighbor_tag = 1").select("query_id", "neighbor_id", "rank").collect())) == set(map(tuple, alone.select("query_id", "neighbor_id", "rank").collect()))
+    whole = knn.overall(pairs, 3).select("query_id", "neighbor_id", "rank")
+    assert set(map(tuple, whole.collect())) == brute_force(df, 3)
+
+
+def test_few_exact_comparisons_per_query():
+    rng = np.random.default_rng(4)
+    rows, queries, k = rng.normal(size=(5000, 32)), rng.normal(size=(50, 32)), 5
+    low = rows.min(0)
+    width = (rows.max(0) - low) / 256
+    code, error = knn.encode(rows, low, width)
+    least, most = knn.bounds_of(queries, knn.decode(code, low, width), error)
+    true = np.sqrt(((queries[:, None, :] - rows[None, :, :]) ** 2).sum(2))
+    assert (least <= true).all() and (true <= most).all()
+    ids = np.arange(5000)
+    found = knn._candidates(
+        ids[:50], -1 - ids[:50], queries, np.zeros(50, "int32"), np.full(50, np.inf), ids, ids, knn.decode(code, low, width),
+        np.zeros(5000, "int32"), np.zeros(5000, "int32"), error, k,
+    )
+    per_query = found.groupby("query_key").size()
+    # Vectors without any cluster, of which cells rule out nothing: a handful beyond the k nearest are compared.
+    assert len(per_query) == 50 and per_query.max() <= 3 * k
+    for q, part in found.groupby("query_key"):
+        assert set(np.argsort(true[q])[:k]) <= set(part["key"])
+
+
+@pytest.mark.parametrize("technique", ["smote", "adasyn", "borderline_smote", "cluster_smote"])
+def test_resampling_with_text_ids(spark, technique):
+    out = sampling.rebalance(clustered(spark, 200, "string"), technique)
+    assert dict(out.dtypes)["seed_id"] == "string" and out.filter("synthetic").filter("seed_id like 'TX%'").count() > 0
+
+
+def test_lone_minority_row_still_reaches_the_ratio(spark):
+    df = spark.createDataFrame([(i, [float(i), 0.0], int(i == 7)) for i in range(21)], "id long, features array<double>, label int")
+    made = sampling.smote(df, ratio=0.5).filter("synthetic")
+    assert made.count() == 9 and made.filter("features[0] = 7.0 and neighbor_id = 7").count() == 9

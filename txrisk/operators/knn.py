@@ -1,16 +1,19 @@
 """Exact k nearest neighbours under Euclidean distance.
 
-Three ways, picked by measured sizes, all exact:
+Two ways, picked by measured sizes, both exact:
 
 * few queries: they are broadcast, every partition of the rows keeps its own top k per query,
   and the partial tops are merged. Rows are never shuffled. With many rows a first pass over a
   hash sample bounds each query's k-th distance, so the main pass emits only closer pairs.
-* many queries: rows are put into cells around pivot rows. A query first looks into one block of
-  its own cell, which bounds its k-th distance; the triangle inequality then rules out cells that
-  cannot hold anything closer. A cell is cut into blocks of bounded size by hash, so a cell full
-  of copies is many tasks, not one.
-
-Partial tops are at most k rows per (query, block); no pair list is ever materialised.
+* many queries: an approximation file holds every row as one byte per dimension and the distance to
+  the vector those bytes stand for. A distance to that vector, give or take the row's own error, bounds
+  the true one from both sides. Cells around pivot rows are ruled out by the triangle inequality where
+  the data allow it; in the other ones the bytes of a block are compared with a block of queries, and
+  only rows whose lower bound is within the k-th upper bound become candidates. Exact vectors are
+  read for candidates alone, a little more than k per query.
+
+Partial tops are little more than k rows per (query, block); no pair list is ever materialised. Ids may be of
+any type that can be ordered: those that are not whole numbers are numbered first, in their order.
 """
 
 from __future__ import annotations
@@ -20,33 +23,40 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark.ml.functions import array_to_vector
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from txrisk.session import ensure_checkpoint_dir, max_broadcast_bytes
+from txrisk.functions.vectors import squared_error
+from txrisk.operators.ordering import group_rank, stored
+from txrisk.session import max_broadcast_bytes
 
 PAIR_SCHEMA = "query_id long, neighbor_id long, neighbor_tag int, distance double"
 _PAIRS_PER_STEP = 400_000
 BLOCK_ROWS = 20_000
 SAMPLE_ABOVE = 1_000_000
+_LEVELS = 256
 
 
 def _matrix(column: pd.Series) -> np.ndarray:
     return np.array(column.tolist(), dtype="float64") if len(column) else np.zeros((0, 1))
 
 
-def _keep_k(q: np.ndarray, r: np.ndarray, tag: np.ndarray, d: np.ndarray, k: int):
-    """The k best (distance, then id) entries per query."""
-    order = np.lexsort((r, d, q))
-    q, r, tag, d = q[order], r[order], tag[order], d[order]
-    starts = np.r_[True, q[1:] != q[:-1]] if len(q) else np.zeros(0, bool)
+def _keep_k(q: np.ndarray, r: np.ndarray, tag: np.ndarray, d: np.ndarray, k: int, per_tag: bool = False):
+    """The k best (distance, then id) entries per query, or per query and tag."""
+    of = tag if per_tag else np.zeros(len(tag), "int32")
+    order = np.lexsort((r, d, of, q))
+    q, r, tag, d, of = q[order], r[order], tag[order], d[order], of[order]
+    starts = np.r_[True, (q[1:] != q[:-1]) | (of[1:] != of[:-1])] if len(q) else np.zeros(0, bool)
     first = np.maximum.accumulate(np.where(starts, np.arange(len(q)), 0)) if len(q) else np.zeros(0, int)
     keep = np.arange(len(q)) - first < k
     return q[keep], r[keep], tag[keep], d[keep]
 
 
-def _block_top(qid, Q, qgroup, bound, rid, R, rgroup, tag, k: int):
-    """Top k rows of one block per query.
+def _block_top(qid, Q, qgroup, bound, rid, R, rgroup, tag, k: int, per_tag: bool = False):
+    """Top k rows of one block per query, or per query and tag.
 
     The matrix product ranks roughly; whatever is within rounding reach of the k-th value gets
     its distance from the differences.
@@ -54,6 +64,9 @@ def _block_top(qid, Q, qgroup, bound, rid, R, rgroup, tag, k: int):
     out = []
     if not len(rid) or not len(qid):
         return (np.zeros(0, "int64"), np.zeros(0, "int64"), np.zeros(0, "int32"), np.zeros(0))
+    if per_tag:
+        tops = [_block_top(qid, Q, qgroup, bound, rid[tag == t], R[tag == t], rgroup[tag == t], tag[tag == t], k) for t in np.unique(tag)]
+        return tuple(np.concatenate(c) for c in zip(*tops))
     rr = (R * R).sum(1)
     step = max(1, _PAIRS_PER_STEP // len(rid))
     for s in range(0, len(qid), step):
@@ -81,14 +94,14 @@ def _frame(parts) -> pd.DataFrame:
 
 def _narrow(df: DataFrame, row_id: str, features: str, group: str | None, tag: str | None) -> DataFrame:
     return df.select(
-        F.col(row_id).cast("long").alias("id"),
+        F.col(row_id).alias("id"),
         F.col(features).cast("array<double>").alias("x"),
         (F.col(group).cast("int") if group else F.lit(0)).alias("g"),
         (F.col(tag).cast("int") if tag else F.lit(0)).alias("t"),
     )
 
 
-def _scan_top(queries: pd.DataFrame, bounds: np.ndarray, rows: DataFrame, k: int) -> DataFrame:
+def _scan_top(queries: pd.DataFrame, bounds: np.ndarray, rows: DataFrame, k: int, per_tag: bool) -> DataFrame:
     shared = rows.sparkSession.sparkContext.broadcast(
         (queries["id"].to_numpy("int64"), _matrix(queries["x"]), queries["g"].to_numpy("int32"), bounds)
     )
@@ -98,81 +111,140 @@ def _scan_top(queries: pd.DataFrame, bounds: np.ndarray, rows: DataFrame, k: int
         best = None
         for b in batches:
             new = _block_top(
-                qid, Q, qg, bound, b["id"].to_numpy("int64"), _matrix(b["x"]), b["g"].to_numpy("int32"), b["t"].to_numpy("int32"), k
+                qid, Q, qg, bound, b["id"].to_numpy("int64"), _matrix(b["x"]), b["g"].to_numpy("int32"), b["t"].to_numpy("int32"), k, per_tag
             )
             best = new if best is None else tuple(np.concatenate(c) for c in zip(best, new))
-            if len(best[0]) > 4 * k * max(1, len(qid)):
-                best = _keep_k(*best, k)
+            if len(best[0]) > 8 * k * max(1, len(qid)):
+                best = _keep_k(*best, k, per_tag)
         if best is not None:
-            yield _frame(_keep_k(*best, k))
+            yield _frame(_keep_k(*best, k, per_tag))
 
     return rows.mapInPandas(scan, PAIR_SCHEMA)
 
 
-def _merge(pairs: DataFrame, k: int) -> DataFrame:
-    best = Window.partitionBy("query_id").orderBy("distance", "neighbor_id")
+def _merge(pairs: DataFrame, k: int, per_tag: bool) -> DataFrame:
+    best = Window.partitionBy("query_id", *(["neighbor_tag"] if per_tag else [])).orderBy("distance", "neighbor_id")
     return pairs.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
 
 
-def _by_broadcast(queries: DataFrame, rows: DataFrame, k: int, many_rows: bool) -> DataFrame:
+def _by_broadcast(queries: DataFrame, rows: DataFrame, k: int, many_rows: bool, per_tag: bool) -> DataFrame:
     local = queries.toPandas()  # size checked by the caller
     bounds = np.full(len(local), np.inf)
-    if many_rows:
+    if many_rows and not per_tag:
         sample = rows.filter(F.pmod(F.xxhash64("id"), F.lit(100)) == 0)
-        tops = _merge(_scan_top(local, bounds, sample, k), k).filter(F.col("rank") == k).select("query_id", "distance")
+        tops = _merge(_scan_top(local, bounds, sample, k, False), k, False).filter(F.col("rank") == k).select("query_id", "distance")
         known = {r["query_id"]: r["distance"] for r in tops.collect()}
         bounds = np.array([known.get(i, np.inf) for i in local["id"]])
-    return _merge(_scan_top(local, bounds, rows, k), k)
+    return _merge(_scan_top(local, bounds, rows, k, per_tag), k, per_tag)
+
+
+# ---- approximation file ----------------------------------------------------------------
+
+
+def encode(x: np.ndarray, low: np.ndarray, width: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(one byte per dimension, distance between a row and what its bytes stand for)."""
+    code = np.clip(np.floor((x - low) / width), 0, _LEVELS - 1).astype("uint8")
+    off = x - decode(code, low, width)
+    return code, np.sqrt((off * off).sum(1))
+
+
+def decode(code: np.ndarray, low: np.ndarray, width: np.ndarray) -> np.ndarray:
+    return low + (code.astype("float64") + 0.5) * width
+
+
+def bounds_of(Q: np.ndarray, R: np.ndarray, error: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Lower and upper bounds of all distances, from decoded rows and their errors."""
+    qq, rr = (Q * Q).sum(1), (R * R).sum(1)
+    square = qq[:, None] + rr[None, :] - 2.0 * (Q @ R.T)
+    slack = 1e-9 * (qq.max(initial=0.0) + rr.max(initial=0.0) + 1.0)
+    near, far = np.sqrt(np.maximum(square - slack, 0.0)), np.sqrt(np.maximum(square + slack, 0.0))
+    return near - error[None, :] * (1 + 1e-9), far + error[None, :] * (1 + 1e-9)
+
+
+_CODED = "key long, id long, g int, t int, code binary, error double, cell int, to_pivot double"
+_CANDIDATE = "query_key long, key long, t int, least double, most double"
 
 
-def _with_cell(df: DataFrame, pivots: np.ndarray) -> DataFrame:
-    shared = df.sparkSession.sparkContext.broadcast(pivots)
+def _coded(df: DataFrame, pivots: np.ndarray, low: np.ndarray, width: np.ndarray) -> DataFrame:
+    shared = df.sparkSession.sparkContext.broadcast((pivots, low, width))
 
     def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        P = shared.value
+        P, lo, w = shared.value
         for b in batches:
-            X = _matrix(b["x"])
             if not len(b):
                 continue
+            X = _matrix(b["x"])
             cell, dist = np.empty(len(X), "int32"), np.empty(len(X))
             for s in range(0, len(X), 1000):
                 d = np.sqrt(((X[s : s + 1000, None, :] - P[None, :, :]) ** 2).sum(2))
                 cell[s : s + 1000] = d.argmin(1)
                 dist[s : s + 1000] = d.min(1)
-            yield b.assign(cell=cell, to_pivot=dist)
+            code, error = encode(X, lo, w)
+            yield b[["key", "id", "g", "t"]].assign(code=[c.tobytes() for c in code], error=error, cell=cell, to_pivot=dist)
 
-    return df.mapInPandas(assign, "id long, x array<double>, g int, t int, cell int, to_pivot double")
+    return df.mapInPandas(assign, _CODED)
 
 
-def _search_blocks(routed: DataFrame, blocked: DataFrame, k: int) -> DataFrame:
-    """Top k per query and block; both sides carry (cell, block, qblock)."""
+def _candidates(qkey, qid, Q, qgroup, bound, rkey, rid, R, rgroup, tag, error, k: int) -> pd.DataFrame:
+    """Rows of a block that may be among a query's k nearest by the bounds, always those of the k least upper ones."""
+    out = []
+    step = max(1, _PAIRS_PER_STEP // max(1, len(rkey)))
+    for s in range(0, len(qkey) if len(rkey) else 0, step):
+        part = slice(s, s + step)
+        least, most = bounds_of(Q[part], R, error)
+        not_me = (qid[part][:, None] != rid[None, :]) & (qgroup[part][:, None] == rgroup[None, :])
+        most = np.where(not_me, most, np.inf)
+        limit = bound[part]
+        if len(rkey) > k:
+            limit = np.minimum(limit, np.partition(most, k - 1, axis=1)[:, k - 1])
+        qi, ri = np.nonzero(not_me & (least <= limit[:, None]))
+        out.append(pd.DataFrame({"query_key": qkey[part][qi], "key": rkey[ri], "t": tag[ri], "least": least[qi, ri], "most": most[qi, ri]}))
+    if not out:
+        return pd.DataFrame({"query_key": [], "key": [], "t": [], "least": [], "most": []}).astype({"query_key": "int64", "key": "int64", "t": "int32"})
+    return pd.concat(out)
+
+
+def _search_blocks(routed: DataFrame, blocked: DataFrame, low: np.ndarray, width: np.ndarray, k: int, per_tag: bool) -> DataFrame:
+    """Candidates per query and block; both sides carry (cell, block, qblock)."""
 
     def search(q: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
-        return _frame(
-            _block_top(
-                q["id"].to_numpy("int64"), _matrix(q["x"]), q["g"].to_numpy("int32"), q["bound"].to_numpy("float64"),
-                r["id"].to_numpy("int64"), _matrix(r["x"]), r["g"].to_numpy("int32"), r["t"].to_numpy("int32"), k,
-            )
-        )
+        codes = np.frombuffer(b"".join(r["code"]), dtype="uint8").reshape(len(r), len(low)) if len(r) else np.zeros((0, len(low)), "uint8")
+        tag = r["t"].to_numpy("int32")
+        sides = [tag == t for t in np.unique(tag)] if per_tag else [np.ones(len(r), bool)]
+        mine = [q["key"].to_numpy("int64"), q["id"].to_numpy("int64"), _matrix(q["x"]), q["g"].to_numpy("int32"), q["bound"].to_numpy("float64")]
+        rows = [r["key"].to_numpy("int64"), r["id"].to_numpy("int64"), decode(codes, low, width), r["g"].to_numpy("int32"), tag, r["error"].to_numpy("float64")]
+        parts = [_candidates(*mine, *[c[side] for c in rows], k) for side in sides]
+        return pd.concat(parts) if parts else _candidates(*mine, *rows, k)
 
     on = ["cell", "block", "qblock"]
-    return routed.groupBy(*on).cogroup(blocked.groupBy(*on)).applyInPandas(search, PAIR_SCHEMA)
+    return routed.groupBy(*on).cogroup(blocked.groupBy(*on)).applyInPandas(search, _CANDIDATE)
+
 
+def _kth_upper(candidates: DataFrame, k: int, per_tag: bool) -> DataFrame:
+    """Per query (and tag) the k-th least upper bound, none with fewer candidates."""
+    of = ["query_key", *(["t"] if per_tag else [])]
+    ranked = candidates.withColumn("_r", F.row_number().over(Window.partitionBy(*of).orderBy("most", "key")))
+    return ranked.filter(F.col("_r") == k).select(*of, F.col("most").alias("_limit"))
 
-def _by_cells(queries: DataFrame, rows: DataFrame, k: int, n_rows: int, block_rows: int) -> DataFrame:
+
+def _by_codes(queries: DataFrame, rows: DataFrame, k: int, n_rows: int, block_rows: int, per_tag: bool) -> DataFrame:
+    rows, _ = stored(rows.withColumn("key", F.monotonically_increasing_id()))
+    queries, _ = stored(queries.withColumn("key", F.monotonically_increasing_id()))
     n_pivots = int(min(256, max(2, math.isqrt(n_rows))))
     picked = rows.select("id", "x").orderBy(F.xxhash64("id"), "id").limit(n_pivots).toPandas()
     pivots = np.unique(_matrix(picked["x"]), axis=0)
-    placed = _with_cell(rows, pivots)
-    stats = placed.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("to_pivot").alias("radius")).collect()
+    span = rows.select(Summarizer.metrics("min", "max").summary(array_to_vector("x")).alias("s")).first()["s"]
+    low = span["min"].toArray()
+    width = (span["max"].toArray() - low) / _LEVELS
+    width = np.where(width > 0, width, 1.0)
+    file, _ = stored(_coded(rows, pivots, low, width))
+    stats = file.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("to_pivot").alias("radius")).collect()
     radius, blocks = np.full(len(pivots), -np.inf), np.zeros(len(pivots), "int64")
     for s in stats:
         radius[s["cell"]], blocks[s["cell"]] = s["radius"], math.ceil(s["n"] / block_rows)
-    spark = rows.sparkSession
     n_blocks = F.element_at(F.lit([int(b) for b in blocks]), F.col("cell") + 1)
-    placed = placed.withColumn("block", F.pmod(F.xxhash64("id"), F.greatest(n_blocks, F.lit(1))).cast("int"))
-
-    homes = _with_cell(queries, pivots)
+    file = file.withColumn("block", F.pmod(F.xxhash64("key"), F.greatest(n_blocks, F.lit(1))).cast("int"))
+    homes = _coded(queries, pivots, low, width).select("key", "cell").join(queries, "key")
 
     def with_query_blocks(routed: DataFrame) -> tuple[DataFrame, DataFrame]:
         """Cut the queries of a (cell, block) into bounded pieces and give each piece the block's rows."""
@@ -182,22 +254,22 @@ def _by_cells(queries: DataFrame, rows: DataFrame, k: int, n_rows: int, block_ro
             per_block = s["count"] / max(1, blocks[s["cell"]])
             pieces[s["cell"]] = max(1, math.ceil(per_block / block_rows))
         count = F.element_at(F.lit([int(p) for p in pieces]), F.col("cell") + 1)
-        split = routed.withColumn("qblock", F.pmod(F.xxhash64(F.col("id"), F.lit(7)), count).cast("int"))
-        copies = placed.withColumn("qblock", F.explode(F.sequence(F.lit(0), (count - 1).cast("int"))))
+        split = routed.withColumn("qblock", F.pmod(F.xxhash64(F.col("key"), F.lit(7)), count).cast("int"))
+        copies = file.withColumn("qblock", F.explode(F.sequence(F.lit(0), (count - 1).cast("int"))))
         return split, copies
 
     own = homes.filter(F.element_at(F.lit([int(b) for b in blocks]), F.col("cell") + 1) > 0).withColumns(
-        {"block": F.pmod(F.xxhash64("id"), n_blocks).cast("int"), "bound": F.lit(float("inf"))}
-    )
-    first = _merge(_search_blocks(*with_query_blocks(own), k), k).filter(F.col("rank") == k)
-    first = first.select(F.col("query_id").alias("id"), F.col("distance").alias("bound"))
-    # Used for the piece counts and for the search itself: cut here so round one runs once.
-    ensure_checkpoint_dir(spark)
-    bounded = (
-        homes.join(first, "id", "left").withColumn("bound", F.coalesce("bound", F.lit(float("inf")))).checkpoint()
+        {"block": F.pmod(F.xxhash64("key"), n_blocks).cast("int"), "bound": F.lit(float("inf"))}
     )
+    first = _kth_upper(_search_blocks(*with_query_blocks(own), low, width, k, per_tag), k, per_tag)
+    if per_tag:
+        # A cell is of no use only if it is so for every tag.
+        tags = rows.select("t").distinct().count()
+        first = first.groupBy("query_key").agg(F.max("_limit").alias("_limit"), F.count(F.lit(1)).alias("_c")).filter(F.col("_c") >= tags)
+    first = first.select(F.col("query_key").alias("key"), F.col("_limit").alias("bound"))
+    bounded, _ = stored(queries.join(first, "key", "left").withColumn("bound", F.coalesce("bound", F.lit(float("inf")))))
 
-    shared = spark.sparkContext.broadcast((pivots, radius, blocks))
+    shared = rows.sparkSession.sparkContext.broadcast((pivots, radius, blocks))
 
     def route(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         P, reach, count = shared.value
@@ -210,15 +282,32 @@ def _by_cells(queries: DataFrame, rows: DataFrame, k: int, n_rows: int, block_ro
                 to_pivots = np.sqrt(((X[i] - P) ** 2).sum(1))
                 nearest = to_pivots - reach
                 cells.append(np.nonzero((count > 0) & (nearest <= limit[i] * (1 + 1e-9) + 1e-9))[0].astype("int32"))
-            yield b[["id", "x", "g", "bound"]].assign(cells=cells)
+            yield b[["key", "id", "x", "g", "bound"]].assign(cells=cells)
 
-    candidates = bounded.select("id", "x", "g", "bound").mapInPandas(
-        route, "id long, x array<double>, g int, bound double, cells array<int>"
+    routed = bounded.select("key", "id", "x", "g", "bound").mapInPandas(
+        route, "key long, id long, x array<double>, g int, bound double, cells array<int>"
     )
-    spread = candidates.select("id", "x", "g", "bound", F.explode("cells").alias("cell")).select(
+    spread = routed.select("key", "id", "x", "g", "bound", F.explode("cells").alias("cell")).select(
         "*", F.explode(F.sequence(F.lit(0), (n_blocks - 1).cast("int"))).alias("block")
     )
-    return _merge(_search_blocks(*with_query_blocks(spread), k), k)
+    found, _ = stored(_search_blocks(*with_query_blocks(spread), low, width, k, per_tag))
+    of = ["query_key", *(["t"] if per_tag else [])]
+    limits = _kth_upper(found, k, per_tag)
+    kept = found.join(limits, of, "left").filter(F.col("least") <= F.coalesce("_limit", F.lit(float("inf"))))
+    # The exact vectors, for candidates alone.
+    ends = rows.select("key", F.col("id").alias("neighbor_id"), F.col("t").alias("neighbor_tag"), F.col("x").alias("_y"))
+    starts = queries.select(F.col("key").alias("query_key"), F.col("id").alias("query_id"), F.col("x").alias("_x"))
+    exact = kept.select("query_key", "key").join(ends, "key").join(starts, "query_key")
+    pairs = exact.select("query_id", "neighbor_id", "neighbor_tag", F.sqrt(squared_error(F.col("_x"), F.col("_y"))).alias("distance"), "query_key")
+    best = Window.partitionBy("query_key", *(["neighbor_tag"] if per_tag else [])).orderBy("distance", "neighbor_id")
+    return pairs.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).drop("query_key")
+
+
+def _numbered(q: DataFrame, r: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Both tables with ids numbered in their order, and the numbers."""
+    ids, _ = stored(q.select("id").unionByName(r.select("id")).filter(F.col("id").isNotNull()).distinct())
+    numbers, _ = stored(group_rank(ids, [], ["id"], "_no"))
+    return *[t.join(numbers, "id").withColumn("id", F.col("_no").cast("long")).drop("_no") for t in (q, r)], numbers
 
 
 def knn_topk(
@@ -230,15 +319,33 @@ def knn_topk(
     group: str | None = None,
     tag: str | None = None,
     block_rows: int = BLOCK_ROWS,
+    per_tag: bool = False,
 ) -> DataFrame:
     """(query_id, neighbor_id, neighbor_tag, distance, rank): the k nearest rows, the query itself excluded.
 
-    Ties go to the smaller id. ``group`` restricts neighbours to the query's own group, ``tag`` is
-    an integer column of the neighbour to carry along.
+    Ties go to the smaller id; rows without an id are left out. ``group`` restricts neighbours to the query's own
+    group, ``tag`` is an integer column of the neighbour to carry along; ``per_tag`` finds the k nearest of every tag.
     """
     q, r = _narrow(queries, row_id, features, group, None), _narrow(rows, row_id, features, group, tag)
+    kind = r.schema["id"].dataType
+    numbers = None
+    if not isinstance(kind, T.IntegralType):
+        q, r, numbers = _numbered(q, r)
+    q, r = (t.filter(F.col("id").isNotNull()).withColumn("id", F.col("id").cast("long")) for t in (q, r))
     size = q.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.max(F.size("x")), F.lit(0)).alias("d")).first()
-    n_rows = rows.count()
-    if size["n"] * (size["d"] * 8 + 64) <= max_broadcast_bytes(queries.sparkSession):
-        return _by_broadcast(q, r, k, n_rows > SAMPLE_ABOVE)
-    return _by_cells(q, r, k, n_rows, block_rows)
+    n_rows = r.count()
+    if size["n"] * (size["d"] * 8 + 64) <= max_broadcast_bytes(queries.sparkSession) or not n_rows:
+        pairs = _by_broadcast(q, r, k, n_rows > SAMPLE_ABOVE, per_tag)
+    else:
+        pairs = _by_codes(q, r, k, n_rows, block_rows, per_tag)
+    if numbers is None:
+        return pairs.withColumns({c: F.col(c).cast(kind) for c in ("query_id", "neighbor_id")})
+    for c in ("query_id", "neighbor_id"):
+        pairs = pairs.join(numbers.select(F.col("_no").alias(c), F.col("id").alias("_id")), c).withColumn(c, F.col("_id")).drop("_id")
+    return pairs
+
+
+def overall(pairs: DataFrame, k: int) -> DataFrame:
+    """The k nearest of all tags from the k nearest (or more) of each."""
+    best = Window.partitionBy("query_id").orderBy("distance", "neighbor_id")
+    return pairs.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)

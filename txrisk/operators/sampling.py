@@ -19,7 +19,8 @@ from txrisk.functions.random import det_rand
 from txrisk.functions.vectors import interpolate
 from txrisk.operators.aggregate import remaining_rows
 from txrisk.operators.hashing import LITERAL_KEYS, first_by_hash, hash_cuts, key_counts, rank_at_most, shuffle_rows, with_hash
-from txrisk.operators.knn import knn_topk
+from txrisk.operators.knn import knn_topk, overall
+from txrisk.operators.ordering import stored
 
 
 def classes(df: DataFrame, label: str) -> tuple[object, object, int, int]:
@@ -96,12 +97,16 @@ def _neighbour_lists(pairs: DataFrame) -> DataFrame:
 def synthesize(
     seeds: DataFrame, minority: DataFrame, pairs: DataFrame, row_id: str, features: str, salt: int, most: int
 ) -> DataFrame:
-    """``copies`` (at most ``most``) new points per seed, each on the segment to a random neighbour of it."""
+    """``copies`` (at most ``most``) new points per seed, each on the segment to a random neighbour of it.
+
+    A seed without a neighbour (the only one of its class) is repeated.
+    """
     drawn = F.concat_ws(":", F.col("seed_id").cast("string"), F.col("copy").cast("string"))
     listed = (
         seeds.filter(F.col("copies") > 0)
         .select(F.col(row_id).alias("seed_id"), F.col(features).alias("_x"), "copies")
-        .join(_neighbour_lists(pairs), "seed_id")
+        .join(_neighbour_lists(pairs), "seed_id", "left")
+        .withColumn("_near", F.coalesce("_near", F.array("seed_id")))
     )
     expanded = (
         expand_copies(listed, "copies", most)
@@ -121,23 +126,24 @@ def synthesize(
 
 
 def _with_originals(df: DataFrame, made: DataFrame, row_id: str, features: str, label: str, minority) -> DataFrame:
+    kind = df.schema[row_id].dataType
     originals = df.select(
-        F.col(row_id).cast("long").alias(row_id),
+        F.col(row_id),
         F.col(features).cast("array<double>").alias(features),
         F.col(label),
         F.lit(False).alias("synthetic"),
-        F.lit(None).cast("long").alias("seed_id"),
-        F.lit(None).cast("long").alias("neighbor_id"),
+        F.lit(None).cast(kind).alias("seed_id"),
+        F.lit(None).cast(kind).alias("neighbor_id"),
         F.lit(None).cast("int").alias("copy"),
         F.lit(None).cast("double").alias("gap"),
     )
     new = made.select(
-        F.lit(None).cast("long").alias(row_id),
+        F.lit(None).cast(kind).alias(row_id),
         features,
         F.lit(minority).cast(df.schema[label].dataType).alias(label),
         F.lit(True).alias("synthetic"),
-        F.col("seed_id").cast("long"),
-        F.col("neighbor_id").cast("long"),
+        F.col("seed_id").cast(kind).alias("seed_id"),
+        F.col("neighbor_id").cast(kind).alias("neighbor_id"),
         "copy",
         "gap",
     )
@@ -162,18 +168,26 @@ def smote(
     return _with_originals(typed, synthesize(seeds, minority, pairs, row_id, features, salt, wanted // n_small + 1), row_id, features, label, small)
 
 
+def _near_both(df: DataFrame, minority: DataFrame, label: str, small, big, k: int, row_id: str, features: str) -> DataFrame:
+    """One search: each minority row's k nearest rows of the minority (tag 0), the majority (1) and the rest (2)."""
+    tagged = df.withColumn("_big", F.when(F.col(label) == F.lit(small), 0).when(F.col(label) == F.lit(big), 1).otherwise(2))
+    return stored(knn_topk(minority, tagged, k, row_id, features, tag="_big", per_tag=True))[0]
+
+
+def _density(pairs: DataFrame, row_id: str, k: int, wanted: int, n_small: int) -> DataFrame:
+    density = overall(pairs, k).groupBy(F.col("query_id").alias(row_id)).agg((F.count_if(F.col("neighbor_tag") == 1) / float(k)).alias("density"))
+    total = density.agg(F.sum("density")).scalar()
+    weight = F.when(total > 0, F.col("density") / total).otherwise(1.0 / n_small)
+    return density.withColumn("weight", weight).withColumn("copies", F.bround(F.col("weight") * wanted).cast("int"))
+
+
 def adasyn_density(
     df: DataFrame, label: str = "label", row_id: str = "id", features: str = "features", k: int = 5, beta: float = 0.5
 ) -> DataFrame:
     """Share of majority rows among each seed's neighbours, its normalised weight and its copies."""
     typed, minority, small, big, n_small, n_big = _prepare(df, label, features)
-    tagged = typed.withColumn("_big", (F.col(label) == F.lit(big)).cast("int"))
-    pairs = knn_topk(minority, tagged, k, row_id, features, tag="_big")
-    density = pairs.groupBy(F.col("query_id").alias(row_id)).agg((F.sum("neighbor_tag") / float(k)).alias("density"))
-    total = density.agg(F.sum("density")).scalar()
-    weight = F.when(total > 0, F.col("density") / total).otherwise(1.0 / n_small)
-    wanted = max(0, int(beta * (n_big - n_small)))
-    return density.withColumn("weight", weight).withColumn("copies", F.bround(F.col("weight") * wanted).cast("int"))
+    pairs = _near_both(typed, minority, label, small, big, k, row_id, features)
+    return _density(pairs, row_id, k, max(0, int(beta * (n_big - n_small))), n_small)
 
 
 def adasyn(
@@ -181,24 +195,30 @@ def adasyn(
     beta: float = 0.5, k: int = 5, salt: int = 42,
 ) -> DataFrame:
     """More synthetic rows where a minority row is surrounded by the majority."""
-    typed, minority, small, _, n_small, n_big = _prepare(df, label, features)
-    wanted = int(beta * (n_big - n_small)) + 1
-    copies = adasyn_density(df, label, row_id, features, k, beta).select(row_id, "copies")
-    seeds = minority.join(copies, row_id)
-    pairs = knn_topk(minority, minority, k, row_id, features)
-    return _with_originals(typed, synthesize(seeds, minority, pairs, row_id, features, salt, wanted), row_id, features, label, small)
+    typed, minority, small, big, n_small, n_big = _prepare(df, label, features)
+    wanted = max(0, int(beta * (n_big - n_small)))
+    pairs = _near_both(typed, minority, label, small, big, k, row_id, features)
+    seeds = minority.join(_density(pairs, row_id, k, wanted, n_small).select(row_id, "copies"), row_id)
+    made = synthesize(seeds, minority, _same_class(pairs, k), row_id, features, salt, wanted + 1)
+    return _with_originals(typed, made, row_id, features, label, small)
+
+
+def _same_class(pairs: DataFrame, k: int) -> DataFrame:
+    return pairs.filter((F.col("neighbor_tag") == 0) & (F.col("rank") <= k))
+
+
+def _zones(pairs: DataFrame, row_id: str, m: int) -> DataFrame:
+    around = overall(pairs, m).groupBy(F.col("query_id").alias(row_id)).agg(F.count_if(F.col("neighbor_tag") == 1).alias("majority_neighbors"))
+    zone = F.when(F.col("majority_neighbors") == m, "noise").when(F.col("majority_neighbors") > m // 2, "danger")
+    return around.withColumn("zone", zone.otherwise("safe"))
 
 
 def borderline_zones(
     df: DataFrame, label: str = "label", row_id: str = "id", features: str = "features", m: int = 10
 ) -> DataFrame:
     """Each minority row as noise, danger or safe by the majority among its ``m`` neighbours."""
-    typed, minority, _, big, *_ = _prepare(df, label, features)
-    tagged = typed.withColumn("_big", (F.col(label) == F.lit(big)).cast("int"))
-    pairs = knn_topk(minority, tagged, m, row_id, features, tag="_big")
-    around = pairs.groupBy(F.col("query_id").alias(row_id)).agg(F.sum("neighbor_tag").alias("majority_neighbors"))
-    zone = F.when(F.col("majority_neighbors") == m, "noise").when(F.col("majority_neighbors") > m // 2, "danger")
-    return around.withColumn("zone", zone.otherwise("safe"))
+    typed, minority, small, big, *_ = _prepare(df, label, features)
+    return _zones(_near_both(typed, minority, label, small, big, m, row_id, features), row_id, m)
 
 
 def borderline_smote(
@@ -209,16 +229,17 @@ def borderline_smote(
     zones = {"borderline1": ["danger"], "borderline2": ["danger", "noise"]}
     if kind not in zones:
         raise ValueError(f"unknown kind: {kind}")
-    typed, minority, small, _, n_small, n_big = _prepare(df, label, features)
-    chosen = borderline_zones(df, label, row_id, features, m).filter(F.col("zone").isin(zones[kind]))
+    typed, minority, small, big, n_small, n_big = _prepare(df, label, features)
+    pairs = _near_both(typed, minority, label, small, big, max(k, m), row_id, features)
+    chosen = _zones(pairs, row_id, m).filter(F.col("zone").isin(zones[kind]))
     selected = minority.join(chosen.select(row_id), row_id, "left_semi")
     n_selected = selected.count()
     if n_selected == 0:
         selected, n_selected = minority, n_small
     wanted = max(0, int(ratio * n_big) - n_small)
     seeds = equal_shares(selected, label, row_id, salt, {small: wanted}, {small: n_selected})
-    pairs = knn_topk(selected, minority, k, row_id, features)
-    return _with_originals(typed, synthesize(seeds, minority, pairs, row_id, features, salt, wanted // n_selected + 1), row_id, features, label, small)
+    made = synthesize(seeds, minority, _same_class(pairs, k), row_id, features, salt, wanted // n_selected + 1)
+    return _with_originals(typed, made, row_id, features, label, small)
 
 
 def cluster_smote(
