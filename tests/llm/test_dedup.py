@@ -65,6 +65,50 @@ def test_near_components_of_a_large_loose_group(make_docs, words):
     assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got), key=repr) == brute_components(rows, 2)
 
 
+@pytest.mark.parametrize("nodes", [1024, 40])
+def test_near_components_of_a_loose_family_of_400(make_docs, words, monkeypatch, nodes):
+    """Similarities all around the threshold, one big bucket after the other, cut into blocks or not: no link lost."""
+    monkeypatch.setattr(near_dedup, "BLOCK_NODES", nodes)
+    rng = np.random.default_rng(31)
+    base = [words[i] for i in rng.integers(0, 400, 80)]
+    rows = []
+    for d in range(400):
+        copy = list(base)
+        for at in rng.choice(80, rng.integers(2, 9), replace=False):
+            copy[at] = words[rng.integers(0, 400)]
+        rows.append((d, " ".join(copy)))
+    got = near_components(make_docs(rows), NearDedup(shingle_words=2)).collect()
+    assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got), key=repr) == brute_components(rows, 2)
+
+
+@pytest.mark.parametrize("size", [8, 60])
+def test_links_of_two_blocks_are_a_spanning_forest(size):
+    rng = np.random.default_rng(size)
+    base = rng.choice(10**6, 50, replace=False)
+    sets = []
+    for _ in range(size):
+        own = base.copy()
+        own[rng.choice(50, rng.integers(0, 9), replace=False)] = rng.integers(10**6, 2 * 10**6)
+        sets.append(np.unique(own).astype(np.int64))
+    block, nodes = np.arange(size) % 2, [bytes([i]) for i in range(size)]
+    for low, high in [(0, 0), (0, 1), (1, 1)]:
+        want = {
+            (i, j) for i in range(size) for j in range(size) if (block[i], block[j]) == (low, high) and i != j and (low != high or i < j)
+            and 100 * len(set(sets[i]) & set(sets[j])) >= 80 * len(set(sets[i]) | set(sets[j]))
+        }
+        got = [(u[0], v[0]) for u, v in near_dedup._forest_links(low, high, block, nodes, nodes, sets, 80)]
+        assert set(got) <= want and len(got) < size
+
+        def classes(links):
+            forest = near_dedup._Forest()
+            for a, b in links:
+                forest.join(a, b)
+            return [forest.root(i) for i in range(size)]
+
+        a, b = classes(got), classes(want)
+        assert all((a[i] == a[j]) == (b[i] == b[j]) for i in range(size) for j in range(size))
+
+
 def test_near_keeps_one_row_per_group(make_docs, odd_rows):
     docs = make_docs(odd_rows)
     got = keep_one_per_component(docs, NearDedup(shingle_words=5))

@@ -5,17 +5,27 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from txrisk.session import ensure_checkpoint_dir
+from txrisk.session import ensure_checkpoint_dir, max_broadcast_bytes
 
 
-def _closer(links: DataFrame) -> DataFrame:
-    """One large-star and one small-star step: every link moves to a smaller common neighbour."""
+def _closer(links: DataFrame, rows: int) -> DataFrame:
+    """One large-star and one small-star step: every link moves to a smaller common neighbour.
+
+    While they are few, the smallest neighbours are broadcast, so that a node with very many links stays spread out.
+    """
+    few = 2 * rows * 96 <= max_broadcast_bytes(links.sparkSession)
+
+    def smallest_of(table: DataFrame) -> DataFrame:
+        return table.groupBy("u").agg(F.min("v").alias("m"))
+
+    def sized(smallest: DataFrame) -> DataFrame:
+        return F.broadcast(smallest) if few else smallest
+
     both = links.select("u", "v").union(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    smallest = both.groupBy("u").agg(F.min("v").alias("m"))
-    up = both.join(smallest, "u").where("v > u").select(F.col("v").alias("u"), F.least("m", "u").alias("v"))
+    up = both.join(sized(smallest_of(both)), "u").where("v > u").select(F.col("v").alias("u"), F.least("m", "u").alias("v"))
     up = up.where("u > v").distinct()
-    smallest = up.groupBy("u").agg(F.min("v").alias("m"))
-    down = up.join(smallest, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v")
+    smallest = smallest_of(up)
+    down = up.join(sized(smallest), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v")
     return down.union(smallest.select("u", F.col("m").alias("v"))).distinct()
 
 
@@ -36,6 +46,6 @@ def connected_components(links: DataFrame) -> DataFrame:
         if now == before:
             break
         before = now
-        links = _closer(links)
+        links = _closer(links, now[0])
     roots = links.select(F.col("v").alias("node")).distinct().withColumn("component", F.col("node"))
     return links.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)

@@ -7,8 +7,9 @@ values propose links; every proposed link is confirmed on the full sets.
 
 No bucket is expanded into all its pairs. Documents with equal sets are one node. Within a bucket every
 node is compared with the bucket's hub only; after that, for some rounds, one representative per component is compared
-with another hub. What is left are buckets that hold nodes of different components; those nodes are compared
-across components unless their distances to the hub rule a link out, so no link is lost.
+with another hub. What is left are buckets that hold nodes of different components: their nodes are cut into blocks,
+every set travels once per opposing block, and a task compares two blocks and gives a spanning forest of the
+confirmed links, so no link between components is lost and no pair is written down.
 """
 
 from __future__ import annotations
@@ -18,9 +19,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from txrisk.llm.batches import small_batches
 from txrisk.llm.columns import fresh
@@ -153,30 +157,122 @@ def _open_members(live: DataFrame, components: DataFrame) -> DataFrame:
     return labelled.join(ends.where("a != b").select("key"), "key")
 
 
-def _cross_pairs(members: DataFrame, hubbed: DataFrame, compared: DataFrame, percent: int) -> DataFrame:
-    """Pairs of different components that share a bucket and may be similar enough.
+#: Nodes and shingles a block of an open bucket holds, about.
+BLOCK_NODES, BLOCK_SHINGLES = 1024, 2_000_000
+#: Up to so many nodes sets are intersected two by two, more by way of their shared shingles.
+_FEW = 12
+_PLACED = "key, low, high, block, node, component, shingles"
+_LINK = "u binary, v binary"
 
-    The Jaccard distance is a metric, so two nodes whose distances to their bucket's hub differ by more than the
-    threshold's distance can't be linked. A pair is made in the smallest of its open buckets only.
+
+def _blocks(members: DataFrame, sets: DataFrame) -> DataFrame:
+    """The members of open buckets with their sets, once per opposing block of their bucket.
+
+    A bucket of any size is cut into blocks; (low, high) names a pair of blocks, or a block with itself.
     """
-    far = 1 - F.col("shared") / F.col("total")
-    known = compared.select("u", "v", far.alias("d"))
-    to_hub = (
-        hubbed.select("key", "node", "hub", F.greatest("node", "hub").alias("u"), F.least("node", "hub").alias("v"))
-        .join(known, ["u", "v"], "left")
-        .select("key", "node", F.when(F.col("node") == F.col("hub"), 0.0).otherwise(F.col("d")).alias("d"))
-    )
-    keys = members.groupBy("node").agg(F.collect_set("key").alias("keys"))  # at most one per band
-    left = members.join(keys, "node").join(to_hub, ["key", "node"]).select("key", "node", "component", "n_shingles", "keys", "d")
-    right = left.select("key", *(F.col(c).alias(f"{c}2") for c in left.columns if c != "key"))
-    return (
-        left.join(right, "key")
-        .where("node > node2 and component != component2")
-        .where(_sizes_fit(F.col("n_shingles"), F.col("n_shingles2"), percent))
-        .where(F.abs(F.col("d") - F.col("d2")) <= 1 - percent / 100 + 1e-9)
-        .where(F.array_min(F.array_intersect("keys", "keys2")) == F.col("key"))
-        .select(F.col("node").alias("u"), F.col("node2").alias("v"))
-    )
+    sizes = members.groupBy("key").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("w"))
+    count = F.greatest(F.ceil(F.col("n") / BLOCK_NODES), F.ceil(F.col("w") / BLOCK_SHINGLES)).cast("int")
+    cut = members.join(sizes.select("key", count.alias("blocks")), "key").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    spread = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    placed = spread.select("key", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "node", "component")
+    return placed.join(sets, "node").select(*_PLACED.split(", "))
+
+
+class _Forest:
+    """Components joined so far by the links of one pair of blocks."""
+
+    def __init__(self) -> None:
+        self.above: dict = {}
+
+    def root(self, c):
+        while c in self.above:
+            c = self.above[c]
+        return c
+
+    def join(self, a, b) -> bool:
+        a, b = self.root(a), self.root(b)
+        if a != b:
+            self.above[a] = b
+        return a != b
+
+
+def _forest_links(low: int, high: int, block: np.ndarray, nodes: list, components: list, sets: list[np.ndarray], percent: int) -> list[tuple]:
+    """Confirmed links between two blocks (or inside one) that join components; not more than there are nodes."""
+    forest, out = _Forest(), []
+    sizes = np.array([len(s) for s in sets])
+    left = np.flatnonzero(block == low)
+    right = left if low == high else np.flatnonzero(block == high)
+
+    def try_link(i: int, j: int, shared: int) -> None:
+        if shared * 100 >= percent * (sizes[i] + sizes[j] - shared) and forest.join(components[i], components[j]):
+            out.append((nodes[i], nodes[j]))
+
+    def fits(i: int, j: np.ndarray) -> np.ndarray:
+        return np.minimum(sizes[i], sizes[j]) * 100 >= np.maximum(sizes[i], sizes[j]) * percent
+
+    if len(left) * len(right) <= _FEW * _FEW:
+        for i in left:
+            for j in right:
+                if (low != high or i < j) and fits(i, j) and forest.root(components[i]) != forest.root(components[j]):
+                    try_link(i, j, len(np.intersect1d(sets[i], sets[j], assume_unique=True)))
+        return out
+    # Postings of the right block: for every shingle the nodes that have it.
+    owner = np.repeat(np.arange(len(right)), sizes[right])
+    every = np.concatenate([sets[j] for j in right])
+    order = np.argsort(every, kind="stable")
+    every, owner = every[order], owner[order]
+    for at, i in enumerate(left):
+        start, end = np.searchsorted(every, sets[i], "left"), np.searchsorted(every, sets[i], "right")
+        lengths = end - start
+        if not lengths.sum():
+            continue
+        place = np.repeat(start - np.concatenate([[0], np.cumsum(lengths)[:-1]]), lengths) + np.arange(lengths.sum())
+        shared = np.bincount(owner[place], minlength=len(right))
+        close = (shared * 100 >= percent * (sizes[i] + sizes[right] - shared)) & fits(i, right)
+        if low == high:
+            close[: at + 1] = False
+        for j in np.flatnonzero(close):
+            try_link(i, right[j], int(shared[j]))
+    return out
+
+
+def _block_links(placed: DataFrame, percent: int) -> DataFrame:
+    """u, v: links of ``_blocks``, a spanning forest per pair of blocks; the rows of a pair are one sorted stream."""
+    schema = to_arrow_schema(StructType.fromDDL(_LINK))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        where, held = None, ([], [], [], [])
+
+        def done() -> list[tuple]:
+            if where is None or len(held[0]) < 2:
+                return []
+            return _forest_links(where[1], where[2], np.array(held[0]), held[1], held[2], held[3], percent)
+
+        for b in batches:
+            place = list(zip(*(b.column(c).to_pylist() for c in range(3))))
+            block, node, component = (b.column(c).to_pylist() for c in range(3, 6))
+            lists = b.column(6)
+            ends, flat = np.asarray(lists.offsets), np.asarray(lists.values)
+            out = []
+            for i, at in enumerate(place):
+                if at != where:
+                    out += done()
+                    where, held = at, ([], [], [], [])
+                # Copied, so that the batch is not kept alive.
+                for part, value in zip(held, (block[i], node[i], component[i], np.sort(flat[ends[i] : ends[i + 1]]))):
+                    part.append(value)
+            if out:
+                yield _links_batch(out, schema)
+        last = done()
+        if last:
+            yield _links_batch(last, schema)
+
+    ordered = placed.repartition("key", "low", "high").sortWithinPartitions("key", "low", "high")
+    return ordered.mapInArrow(run, _LINK)
+
+
+def _links_batch(links: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(list(c), pa.binary()) for c in zip(*links)], schema=schema)
 
 
 def near_components(documents: DataFrame, params: NearDedup | None = None) -> DataFrame:
@@ -211,9 +307,9 @@ def near_components(documents: DataFrame, params: NearDedup | None = None) -> Da
     sets = _sets(texts, p).checkpoint()
 
     # The first hubs meet every node of their buckets.
-    hubbed = _hub_pairs(live.withColumn("component", F.col("node")), 0).checkpoint()
-    compared = _compared(_ordered(hubbed).checkpoint(), sets).checkpoint()
-    components = connected_components(_linked(compared, p.percent))
+    hubbed = _hub_pairs(live.withColumn("component", F.col("node")), 0)
+    hubbed = hubbed.where(_sizes_fit(F.col("n_node"), F.col("n_hub"), p.percent))
+    components = connected_components(_linked(_compared(_ordered(hubbed).checkpoint(), sets), p.percent))
     # More hubs, now among components.
     for seed in range(1, p.hub_rounds):
         heads = _hub_pairs(_open_members(live, components), seed)
@@ -221,8 +317,7 @@ def near_components(documents: DataFrame, params: NearDedup | None = None) -> Da
         links = _linked(_compared(_ordered(heads).checkpoint(), sets), p.percent)
         components = connected_components(components.toDF("u", "v").union(links))
     # Whatever shares a bucket and is not yet in one component.
-    left = _cross_pairs(_open_members(live, components), hubbed, compared, p.percent).checkpoint()
-    links = _linked(_compared(left, sets), p.percent)
+    links = _block_links(_blocks(_open_members(live, components).checkpoint(), sets), p.percent)
     components = connected_components(components.toDF("u", "v").union(links))
 
     labelled = signed.drop("keys").join(components, "node", "left").withColumn("component", F.coalesce("component", "node"))
