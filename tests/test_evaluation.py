@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import itertools
 import math
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from txrisk.operators import evaluation as ev
-from txrisk.operators import importance, monitor
+from txrisk.operators import explore, importance, monitor
 from txrisk.operators.importance import permuted_variants
 
 
@@ -137,7 +139,7 @@ def test_ks_is_symmetric_and_right(spark, small_groups):
     s2 = s2 + 0.1
     grid = np.unique(np.concatenate([s1, s2]))
     want = max(abs((s1 <= g).mean() - (s2 <= g).mean()) for g in grid)
-    one, two = monitor.ks_drift(a, b, ["score"]).first(), monitor.ks_drift(b, a, ["score"]).first()
+    one, two = monitor.ks_drift(a, b, ["score"], method="asymptotic").first(), monitor.ks_drift(b, a, ["score"], method="asymptotic").first()
     assert one["ks_statistic"] == pytest.approx(want) == pytest.approx(two["ks_statistic"])
     lam = want * math.sqrt(300 * 200 / 500)
     p = 2 * sum((-1) ** (j - 1) * math.exp(-2 * j * j * lam * lam) for j in range(1, 101))
@@ -185,3 +187,60 @@ def test_unused_feature_has_no_importance(spark):
     )
     got = {r["feature"]: r["importance"] for r in out.collect()}
     assert got["noise"] == 0.0 and got["signal"] > 0.05
+
+
+@pytest.mark.parametrize("m,n", [(3, 3), (4, 6), (5, 3), (6, 6), (2, 7)])
+def test_exact_ks_equals_enumeration(m, n):
+    """Every order of m and n values; the share whose statistic is at least the given one."""
+    seen = []
+    for places in itertools.combinations(range(m + n), m):
+        i = j = 0
+        worst = 0.0
+        for at in range(m + n):
+            i, j = (i + 1, j) if at in places else (i, j + 1)
+            worst = max(worst, abs(i / m - j / n))
+        seen.append(worst)
+    for d in sorted(set(seen)):
+        assert monitor.exact_ks_p(d, m, n) == pytest.approx(sum(w >= d - 1e-12 for w in seen) / len(seen))
+
+
+def test_exact_and_asymptotic_p_meet_for_large_samples(spark):
+    rng = np.random.default_rng(2)
+    a, b = ([(float(v),) for v in rng.normal(shift, 1, 3000)] for shift in (0.0, 0.04))
+    one, two = spark.createDataFrame(a, "v double"), spark.createDataFrame(b, "v double")
+    exact, rough = (monitor.ks_drift(one, two, ["v"], method=m).first()["p_value"] for m in ("auto", "asymptotic"))
+    assert exact != rough and exact == pytest.approx(rough, abs=0.02)
+    assert 0 < monitor.exact_ks_p(1.0, 200, 200) < 1e-100
+
+
+def test_drift_histograms_of_several_features_in_one_go(spark):
+    rng = np.random.default_rng(3)
+    old, new = (spark.createDataFrame([(float(a), float(b), float("nan")) for a, b in rng.normal(s, 1, (300, 2))], "f1 double, f2 double, f3 double") for s in (0.0, 2.0))
+    drift = monitor.ks_drift(old, new, ["f1", "f2"])
+    got = {tuple(r) for r in monitor.drift_histograms(old, new, drift, bins=8).select("feature", "source", "bucket", "n").collect()}
+    want = set()
+    for f in ("f1", "f2"):
+        pair = old.select(F.lit("reference").alias("s"), F.col(f).alias("v")).union(new.select(F.lit("production"), f))
+        want |= {(f, r["s"], r["bucket"], r["n"]) for r in explore.histogram_by_label(pair, "v", "s", 8).collect()}
+    assert got == want
+
+
+def test_wide_correlations_equal_pairwise_ones(spark):
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(150, 300)) * 10.0 ** rng.integers(-3, 4, 300) + 1000
+    x[:, 7] = 5.0
+    x[:, 11] = 2 * x[:, 10] + 1
+    x[rng.random(x.shape) < 0.1] = np.nan
+    x[:, 13] = np.nan
+    names = [f"c{i}" for i in range(300)]
+    df = spark.createDataFrame(pd.DataFrame(x, columns=names)).repartition(4)
+    got = {(r["a"], r["b"]): r["corr"] for r in explore.correlation_matrix(df, names).collect()}
+    assert len(got) == 300 * 300
+    some = [0, 7, 10, 11, 13, 64, 127, 128, 299]
+    want = {(r["a"], r["b"]): r["corr"] for r in explore.correlation_matrix(df, [names[i] for i in some]).collect()}
+    for pair, value in want.items():
+        if value is None:
+            assert got[pair] is None, pair
+        else:
+            assert got[pair] == pytest.approx(value, abs=1e-9), pair
+    assert got["c10", "c11"] == pytest.approx(1.0)

@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import json
+import os
 
 import pytest
 from pyspark.sql import functions as F
 
 from txrisk.operators.scoring_set import Linear, ScoringSet
-from txrisk.streaming import scoring, sources
+from txrisk.session import settings
+from txrisk.streaming import history, scoring, sources
 
 
 def scorer(batch):
@@ -110,3 +112,44 @@ def test_saved_set_survives_a_restart(spark, folder, tmp_path):
     got = {r["transaction_id"]: r["fraud_probability"] for r in spark.read.parquet(out).collect()}
     batch = saved.score(spark.read.schema(sources.STREAM_RECORD).json(folder)).collect()
     assert got == {r["transaction_id"]: r["fraud_probability"] for r in batch} and len(got) == 16
+
+
+def run_history(spark, batches, tmp_path):
+    """The rows that come out after each batch of records, in arrival order."""
+    source, out, cp = (str(tmp_path / n) for n in ("src", "hist", "cp"))
+    os.makedirs(source)
+    got, seen = [], 0
+    for i, rows in enumerate(batches):
+        with open(f"{source}/{i}.json", "w") as f:
+            f.writelines(json.dumps(dict(zip(("transaction_id", "timestamp", "sender_account", "amount"), r))) + "\n" for r in rows)
+        with settings(spark, history.STATE_STORE | {"spark.sql.shuffle.partitions": 2}):
+            made = history.stream_history_features(sources.stream_files(spark, source))
+            job = made.writeStream.format("parquet").option("path", out).option("checkpointLocation", cp).trigger(availableNow=True).start()
+            job.awaitTermination()
+        now = {r["transaction_id"]: r for r in spark.read.parquet(out).collect()}
+        got.append({k: v for k, v in now.items() if k not in seen} if seen else now)
+        seen = set(now)
+    return got
+
+
+def at(minute):
+    return f"2024-01-01T00:{minute:02d}:00.000Z"
+
+
+def test_history_on_a_stream(spark, tmp_path):
+    first = [("t1", at(1), "a", 10.0), ("t3", at(3), "a", None), ("t0", at(0), "b", 5.0), ("x", at(1), None, 1.0), (None, at(1), "a", 1.0), ("y", None, "a", 1.0)]
+    second = [(f"t{m}", at(m), "a", float(m)) for m in (9, 5, 6, 7, 8)]
+    late = [("t4", at(4), "a", 100.0), ("t2", at(2), "a", 7.0), ("u10", at(10), "a", 1.0)]
+    one, two, three = run_history(spark, [first, second, late], tmp_path)
+    assert set(one) == {"t1", "t3", "t0"}
+    assert one["t3"]["time_since_prev_tx"] == 2.0 and one["t3"]["tx_count_last5"] == 1 and one["t1"]["time_span_days"] == 1.0
+    # In time order whatever the order in the file: t5 follows t3 and t1.
+    assert two["t5"]["avg_amount_last5"] == 10.0 and two["t9"]["avg_amount_last5"] == pytest.approx((5 + 6 + 7 + 8) / 4)
+    # Kept are t5 to t9: t2 and t4 come too late to see anything, and don't push a kept row out.
+    assert three["t4"]["tx_count_last5"] == 0 and three["t2"]["time_since_prev_tx"] is None
+    assert three["u10"]["avg_amount_last5"] == 7.0 and three["u10"]["max_amount_last5"] == 9.0
+
+
+def test_history_with_a_time_limit_builds(spark, folder):
+    made = history.stream_history_features(sources.stream_files(spark, folder), limit_ms=60_000)
+    assert made.isStreaming and "tx_velocity" in made.columns

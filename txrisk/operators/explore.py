@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from itertools import combinations
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -90,11 +93,96 @@ def fraud_rate_by_category(df: DataFrame, category: str, label: str, k: int = 10
     return rates.orderBy(F.col("fraud_pct").desc(), category).limit(k)
 
 
+#: More columns than this are correlated by blocks, not by an aggregate per pair.
+WIDE = 24
+#: Columns of a block of the Gram matrices.
+_BLOCK = 64
+_SUMS = ("n", "si", "sj", "qi", "qj", "p")
+_GRAM = "bi int, bj int, salt int, " + ", ".join(f"{s} array<double>" for s in _SUMS)
+
+
+def _gram(batch: np.ndarray) -> dict[tuple[int, int], list[np.ndarray]]:
+    """Sums over the rows where both columns are there, per pair of column blocks: count, values, squares, products."""
+    there = ~np.isnan(batch)
+    mask, x = there.astype("float64"), np.where(there, batch, 0.0)
+    cuts = range(0, batch.shape[1], _BLOCK)
+    out = {}
+    for bi, i in enumerate(cuts):
+        for bj, j in enumerate(cuts):
+            if bi <= bj:
+                xi, xj, mi, mj = x[:, i : i + _BLOCK], x[:, j : j + _BLOCK], mask[:, i : i + _BLOCK], mask[:, j : j + _BLOCK]
+                out[bi, bj] = [mi.T @ mj, xi.T @ mj, mi.T @ xj, (xi * xi).T @ mj, mi.T @ (xj * xj), xi.T @ xj]
+    return out
+
+
+def _wide_correlations(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """The same from masked Gram blocks: matrix products per batch, block sums merged in two levels.
+
+    Values are taken off their column's mean first, so that squares do not cancel. A task holds six numbers per pair of
+    columns.
+    """
+    d = len(columns)
+    values = [null_if_nan(F.col(c)) for c in columns]
+    means = df.agg(*[F.coalesce(F.avg(v), F.lit(0.0)).alias(f"m{i}") for i, v in enumerate(values)]).first()
+    x = F.array(*[v - F.lit(float(means[i])) for i, v in enumerate(values)])
+
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict = {}
+        for b in batches:
+            cells = b.column(0).flatten().to_numpy(zero_copy_only=False).astype("float64").reshape(-1, d)
+            for at, sums in _gram(cells).items():
+                total[at] = [t + s for t, s in zip(total[at], sums)] if at in total else sums
+        salt = int(np.random.default_rng().integers(0, 64))
+        for (bi, bj), sums in total.items():
+            cells = {name: pa.array([s.ravel().tolist()], pa.list_(pa.float64())) for name, s in zip(_SUMS, sums)}
+            yield pa.RecordBatch.from_pydict({"bi": pa.array([bi], pa.int32()), "bj": pa.array([bj], pa.int32()), "salt": pa.array([salt], pa.int32()), **cells})
+
+    def merged(rows: pd.DataFrame) -> dict[str, np.ndarray]:
+        return {name: np.sum(np.stack([np.asarray(v, dtype="float64") for v in rows[name]]), axis=0) for name in _SUMS}
+
+    def merge(rows: pd.DataFrame) -> pd.DataFrame:
+        first = rows.iloc[0]
+        return pd.DataFrame([{"bi": first["bi"], "bj": first["bj"], "salt": first["salt"], **merged(rows)}])
+
+    def finish(rows: pd.DataFrame) -> pd.DataFrame:
+        bi, bj = int(rows["bi"].iloc[0]), int(rows["bj"].iloc[0])
+        s = merged(rows)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            spread_i, spread_j = s["qi"] - s["si"] ** 2 / s["n"], s["qj"] - s["sj"] ** 2 / s["n"]
+            flat = (spread_i <= 1e-13 * s["qi"]) | (spread_j <= 1e-13 * s["qj"])
+            corr = np.where(flat, np.nan, (s["p"] - s["si"] * s["sj"] / s["n"]) / np.sqrt(spread_i * spread_j))
+        width = min(_BLOCK, d - bj * _BLOCK)
+        out = []
+        for at, c in enumerate(corr.tolist()):
+            a, b = columns[bi * _BLOCK + at // width], columns[bj * _BLOCK + at % width]
+            if bi < bj or at // width < at % width:
+                out += [(a, b, c), (b, a, c)]
+            elif at // width == at % width:
+                out.append((a, a, 1.0))
+        return pd.DataFrame(out, columns=["a", "b", "c"])
+
+    parts = df.select(x.alias("x")).mapInArrow(partial, _GRAM)
+    halfway = parts.groupBy("bi", "bj", "salt").applyInPandas(merge, _GRAM)
+    cells = halfway.groupBy("bi", "bj").applyInPandas(finish, "a string, b string, c double")
+    return cells.select("a", "b", null_if_nan(F.col("c")).alias("corr"))
+
+
+def _corr(x: Column, y: Column) -> Column:
+    """Pearson correlation over the rows that have both; NULL where either does not vary (``corr`` is an error then)."""
+    spread = F.sqrt(F.var_pop(F.when(y.isNotNull(), x)) * F.var_pop(F.when(x.isNotNull(), y)))
+    return F.try_divide(F.covar_pop(x, y), spread)
+
+
 def correlation_matrix(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Pearson correlation of all column pairs: one aggregate, both triangles in the result."""
+    """Pearson correlation of all column pairs, both triangles: one aggregate, or block sums for many columns.
+
+    A pair is correlated over the rows where neither value is NULL or NaN; NULL where one of the two does not vary.
+    """
+    if len(columns) > WIDE:
+        return _wide_correlations(df, list(columns))
     pairs = list(combinations(range(len(columns)), 2))
     sums = df.agg(
-        *[F.corr(null_if_nan(F.col(columns[i])), null_if_nan(F.col(columns[j]))).alias(f"c{i}_{j}") for i, j in pairs]
+        *[_corr(null_if_nan(F.col(columns[i])), null_if_nan(F.col(columns[j]))).alias(f"c{i}_{j}") for i, j in pairs]
     )
 
     def entry(a: int, b: int, c: Column) -> Column:
@@ -109,7 +197,7 @@ def correlation_matrix(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 def target_correlation_topk(df: DataFrame, columns: Sequence[str], target: str, k: int = 10) -> DataFrame:
     """The features most correlated with the target, highest first, without the target itself."""
     features = [c for c in columns if c != target]
-    sums = df.agg(*[F.corr(null_if_nan(F.col(c)), null_if_nan(F.col(target))).alias(c) for c in features])
+    sums = df.agg(*[_corr(null_if_nan(F.col(c)), null_if_nan(F.col(target))).alias(c) for c in features])
     return _melt(sums, features, "feature", "corr").orderBy(F.col("corr").desc_nulls_last(), "feature").limit(k)
 
 

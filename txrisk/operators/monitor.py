@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
+from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from txrisk.functions.scalar import ratio
+from txrisk.functions.scalar import null_if_nan, ratio
 from txrisk.operators.clean import unpivot_numeric
 from txrisk.operators.evaluation import binary_metrics
-from txrisk.operators.explore import histogram_by_label
 from txrisk.operators.ordering import prefix_sums, stored
 from txrisk.schema import numeric_columns
 
@@ -38,11 +42,50 @@ def ks_p_value(statistic: Column, n1: Column, n2: Column) -> Column:
     return F.when(lam < KS_SMALL, 1.0).otherwise(F.least(F.greatest(series, F.lit(0.0)), F.lit(1.0)))
 
 
+def exact_ks_p(statistic: float, n1: int, n2: int) -> float:
+    """Chance that the two samples' distribution functions differ by at least the statistic somewhere.
+
+    All orders of the pooled values are equally likely, so the pair of counts seen so far is a path through a
+    lattice; the path's chance to leave the band |i/n1 - j/n2| < statistic is added up step by step, each step one
+    vector operation. Nothing is subtracted from 1, so small values keep their digits.
+    """
+    m, n = int(n1), int(n2)
+    g = math.gcd(m, n)
+    height = round(statistic * (m // g) * n)
+    if height == 0:
+        return 1.0
+    chance, left = np.zeros(m + 1), 0.0
+    chance[0] = 1.0
+    at = np.arange(m + 1)
+    for step in range(m + n):
+        rest = m + n - step
+        seen = step - at
+        up = chance * np.clip(n - seen, 0, None) / rest
+        up[1:] += chance[:-1] * (m - at[:-1]) / rest
+        seen = step + 1 - at
+        outside = np.abs(at * (n // g) - seen * (m // g)) >= height
+        inside_lattice = (seen >= 0) & (seen <= n)
+        left += float(up[outside & inside_lattice].sum())
+        chance = np.where(outside | ~inside_lattice, 0.0, up)
+    return min(left, 1.0)
+
+
+@F.pandas_udf(T.DoubleType())
+def _exact_p(statistic: pd.Series, n1: pd.Series, n2: pd.Series) -> pd.Series:
+    return pd.Series([None if d is None or math.isnan(d) or not a or not b else exact_ks_p(d, a, b) for d, a, b in zip(statistic, n1, n2)], dtype="float64")
+
+
+#: Larger samples than this (the larger one counts) get the asymptotic p.
+EXACT_ROWS = 10_000
+
+
 def ks_drift(
-    reference: DataFrame, production: DataFrame, features: Sequence[str], limit: float = P_VALUE_LIMIT
+    reference: DataFrame, production: DataFrame, features: Sequence[str], limit: float = P_VALUE_LIMIT, method: str = "auto"
 ) -> DataFrame:
     """KS statistic, p-value and verdict per numeric feature both tables have.
 
+    ``method``: "exact", "asymptotic", or "auto", exact while both samples have at most ``EXACT_ROWS`` values.
+
     All features share one pass: counts per (feature, value), then prefix sums per feature.
     """
     tested = [f for f in features if f in numeric_columns(reference.schema) and f in numeric_columns(production.schema)]
@@ -65,7 +108,14 @@ def ks_drift(
     stats = ranked.groupBy("feature").agg(
         F.max(gap).alias("ks_statistic"), F.max("ref_total").alias("_n1"), F.max("prod_total").alias("_n2")
     )
+    if method not in ("auto", "exact", "asymptotic"):
+        raise ValueError(f"unknown method: {method}")
     p = ks_p_value(F.col("ks_statistic"), F.col("_n1"), F.col("_n2"))
+    if method != "asymptotic":
+        # One short row per feature goes through Python.
+        exact = F.greatest("_n1", "_n2") <= F.lit(EXACT_ROWS if method == "auto" else 2**62)
+        small = stats.withColumn("_exact", _exact_p(F.when(exact, F.col("ks_statistic")), F.col("_n1"), F.col("_n2")))
+        stats, p = small, F.coalesce("_exact", p)
     return stats.select("feature", "ks_statistic", p.alias("p_value")).withColumn(
         "drift_detected", F.col("p_value") < limit
     )
@@ -87,16 +137,21 @@ def drift_histograms(
 ) -> DataFrame:
     """Reference and production histograms of the first ``k`` drifted features (by name)."""
     names = [r[0] for r in drift.filter("drift_detected").orderBy("feature").limit(k).select("feature").collect()]
-    out = None
-    for name in names:
-        pair = reference.select(F.lit("reference").alias("source"), F.col(name).cast("double").alias("v")).unionByName(
-            production.select(F.lit("production").alias("source"), F.col(name).cast("double").alias("v"))
-        )
-        part = histogram_by_label(pair, "v", "source", bins).withColumn("feature", F.lit(name))
-        out = part if out is None else out.unionByName(part)
-    if out is None:
+    if not names:
         return reference.sparkSession.createDataFrame([], "source string, bucket int, n bigint, lower double, feature string")
-    return out
+    values = F.array(*[F.struct(F.lit(c).alias("feature"), null_if_nan(F.col(c)).alias("v")) for c in names])
+    long = reduce(
+        DataFrame.unionByName,
+        [df.select(F.lit(source).alias("source"), F.inline(values)) for source, df in (("reference", reference), ("production", production))],
+    ).filter(F.col("v").isNotNull())
+    # One pass for the spans, one for the counts, whatever the number of features; at most k spans.
+    spans = long.groupBy(F.col("feature").alias("_f")).agg(F.min("v").alias("lo"), F.max("v").alias("hi"))
+    placed = long.join(F.broadcast(spans), F.col("feature") == F.col("_f"))
+    place = F.coalesce(ratio((F.col("v") - F.col("lo")) * bins, F.col("hi") - F.col("lo")), F.lit(0.0))
+    bucket = F.least(F.floor(place).cast("int"), F.lit(bins - 1))
+    counts = placed.groupBy("source", "feature", "lo", "hi", bucket.alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
+    lower = F.col("lo") + F.col("bucket") * (F.col("hi") - F.col("lo")) / bins
+    return counts.select("source", "bucket", "n", lower.alias("lower"), "feature")
 
 
 def monitor_performance(df: DataFrame, source: str, label: str, score: str, cut: float = 0.5) -> DataFrame:

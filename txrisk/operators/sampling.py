@@ -18,9 +18,9 @@ from pyspark.sql import types as T
 from txrisk.functions.random import det_rand
 from txrisk.functions.vectors import interpolate
 from txrisk.operators.aggregate import remaining_rows
-from txrisk.operators.hashing import LITERAL_KEYS, first_by_hash, hash_cuts, key_counts, rank_at_most, shuffle_rows, with_hash
+from txrisk.operators.hashing import LITERAL_KEYS, few_counts, first_by_hash, hash_cuts, key_counts, rank_at_most, shuffle_rows, with_hash
 from txrisk.operators.knn import knn_topk, overall
-from txrisk.operators.ordering import stored
+from txrisk.operators.ordering import group_rank, stored
 
 
 def classes(df: DataFrame, label: str) -> tuple[object, object, int, int]:
@@ -284,13 +284,26 @@ def rebalance(df: DataFrame, technique: str, **options) -> DataFrame:
 
 
 def _stratified(pool: DataFrame, stratum: str, row_id: str, size: int, salt) -> DataFrame:
-    """``size`` rows spread equally over the strata, the division remainder from any unsampled row."""
-    counts = {k: n for k, n in key_counts(pool, stratum).items() if k is not None}
-    if not counts:
+    """``size`` rows spread equally over the strata, the division remainder from any unsampled row.
+
+    Few strata are cut by their rows' hashes without a shuffle; of many, rows are ranked within their stratum by one
+    shuffle, and nothing about a stratum reaches the driver.
+    """
+    known = pool.filter(F.col(stratum).isNotNull())
+    counts = few_counts(known, stratum)
+    if counts is None:
+        sizes = known.groupBy(stratum).agg(F.count(F.lit(1)).alias("n"))
+        strata = sizes.count()
+        each, rest = divmod(size, strata)
+        n_taken = sizes.agg(F.sum(F.least(F.col("n"), F.lit(each)))).first()[0]
+        ranked = group_rank(with_hash(known, row_id, salt), [stratum], ["_u", row_id], "_rank")
+        taken = ranked.filter(F.col("_rank") <= each).drop("_u", "_rank")
+    elif counts:
+        each, rest = divmod(size, len(counts))
+        taken = first_by_hash(pool, stratum, row_id, salt, {k: min(each, n) for k, n in counts.items()}, counts)
+        n_taken = sum(min(each, n) for n in counts.values())
+    else:
         return first_by_hash(pool.withColumn("_all", F.lit(0)), "_all", row_id, salt, {0: size}).drop("_all")
-    each, rest = divmod(size, len(counts))
-    taken = first_by_hash(pool, stratum, row_id, salt, {k: min(each, n) for k, n in counts.items()}, None)
-    n_taken = sum(min(each, n) for n in counts.values())
     if rest == 0 or n_taken >= size:
         return taken
     left = remaining_rows(pool, taken, row_id).withColumn("_all", F.lit(0))

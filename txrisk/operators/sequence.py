@@ -66,6 +66,23 @@ def _features(time: str, amount: str) -> dict[str, Column]:
     }
 
 
+def features_of_recent(df: DataFrame, recent: str, time: str, amount: str) -> DataFrame:
+    """The history features from an array of the (at most five) rows before, oldest first, with fields s and v."""
+    values = F.transform(F.filter(recent, lambda r: r["v"].isNotNull()), lambda r: r["v"])
+    last = F.try_element_at(recent, F.lit(-1))
+    total = F.aggregate(values, F.lit(0.0), lambda a, v: a + v)
+    count = F.size(values).cast("long")
+    base = {
+        "_prev_s": last["s"],
+        "_prev": last["v"],
+        "_avg": F.when(count > 0, total / F.greatest(count, F.lit(1))),
+        "_max": F.array_max(values),
+        "_cnt": count,
+        "_old_s": F.array_min(F.transform(recent, lambda r: r["s"])),
+    }
+    return df.withColumns(base).withColumns(_features(time, amount)).drop(*_BASE)
+
+
 def account_history(
     df: DataFrame,
     columns: Sequence[str] = HISTORY_COLUMNS,

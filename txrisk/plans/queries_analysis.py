@@ -427,6 +427,20 @@ def _(spark, d):
     return sampling.balanced_sample(tx, "transaction_id", 1000)
 
 
+@query(
+    "balanced_sample_by_account",
+    _tx(
+        f""", {_stratum_sql('is_fraud', 'sender_account', '300', 'fr')}, {_stratum_sql('NOT is_fraud', 'sender_account', '700', 'nr')}
+        SELECT transaction_id, is_fraud, sender_account FROM tx
+        WHERE (is_fraud AND (SELECT count(*) FROM tx WHERE is_fraud) < 300) OR transaction_id IN (SELECT transaction_id FROM fr UNION ALL SELECT transaction_id FROM nr)"""
+    ),
+)
+def _(spark, d):
+    """As many strata as accounts."""
+    tx = transactions(spark, d).select("transaction_id", "is_fraud", "sender_account")
+    return sampling.balanced_sample(tx, "transaction_id", 1000, fraud_type="sender_account", kind="sender_account")
+
+
 @query("shuffle_rows", _tx(f"SELECT transaction_id, {R(rand_sql('transaction_id', 1))} AS position FROM tx ORDER BY position, transaction_id"))
 def _(spark, d):
     shuffled = hashing.shuffle_rows(transactions(spark, d).select("transaction_id"), "transaction_id")

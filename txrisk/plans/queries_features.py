@@ -514,9 +514,9 @@ def _history_query(names: list[str]):
     return run
 
 
-def _history_sql(names: list[str]) -> str:
+def history_sql(names: list[str], relation: str = "ledger") -> str:
     cols = ", ".join(f"{R(HISTORY_SQL[n])} AS {n}" for n in names)
-    return _led(f"SELECT transaction_id, {cols} FROM ledger {_W}")
+    return (_led if relation == "ledger" else _tx)(f"SELECT transaction_id, {cols} FROM {relation} {_W}")
 
 
 for _name, _cols in {
@@ -530,7 +530,7 @@ for _name, _cols in {
     "tx_velocity": ["tx_velocity"],
     "account_history": list(HISTORY_SQL),
 }.items():
-    query(_name, _history_sql(_cols))(_history_query(_cols))
+    query(_name, history_sql(_cols))(_history_query(_cols))
 
 
 @query(

@@ -17,9 +17,11 @@ from txrisk.functions import scalar
 from txrisk.functions.vectors import linear_score
 from txrisk.operators import evaluation as ev
 from txrisk.operators import clean, importance, models, monitor, prep, scoring, scoring_set
-from txrisk.plans import pipeline
+from txrisk.operators.sequence import HISTORY_COLUMNS
+from txrisk.plans import pipeline, queries_features
 from txrisk.plans.registry import R, query, r, rand_sql, rounded
-from txrisk.session import scratch_path
+from txrisk.session import scratch_path, settings
+from txrisk.streaming import history as stream_history
 from txrisk.streaming import scoring as stream_scoring
 from txrisk.streaming import sources as stream_sources
 
@@ -681,7 +683,7 @@ _KS = f""", l AS ({_LONG}), g AS (SELECT feature, value, count(*) FILTER (NOT ne
 
 def _drift(spark: SparkSession, d: str) -> DataFrame:
     old, new = _halves(spark, d)
-    return monitor.ks_drift(old, new, [*_TESTED, "merchant_category"])
+    return monitor.ks_drift(old, new, [*_TESTED, "merchant_category"], method="asymptotic")
 
 
 @query("ks_drift", _tx(f"{_KS} SELECT feature, {R('ks')} AS ks_statistic, {R('p')} AS p_value, p < 0.05 AS drift_detected FROM kp"))
@@ -699,7 +701,7 @@ _LED_LONG = " UNION ALL ".join(f"SELECT '{c}' AS feature, {c} AS value, is_fraud
 )
 def _(spark, d):
     rows = ledger(spark, d)
-    return rounded(monitor.ks_drift(rows.filter("NOT is_fraud"), rows.filter("is_fraud"), _LED), "ks_statistic", "p_value")
+    return rounded(monitor.ks_drift(rows.filter("NOT is_fraud"), rows.filter("is_fraud"), _LED, method="asymptotic"), "ks_statistic", "p_value")
 
 
 _SUMMARY = """sm AS (SELECT count(*) AS tested, count(*) FILTER (p < 0.05) AS drifted, avg((p < 0.05)::INTEGER) AS share,
@@ -711,6 +713,30 @@ def _(spark, d):
     return rounded(monitor.drift_summary(_drift(spark, d)), "drift_share")
 
 
+# Means per category before and after the cut: two small samples, whose p is exact. The lattice walk is the same in SQL.
+_EXACT_SQL = f"""WITH RECURSIVE {TX_SQL},
+  v AS (SELECT merchant_category, timestamp >= {_CUT} AS new, avg(amount) AS value FROM tx GROUP BY ALL),
+  n AS (SELECT count(*) FILTER (NOT new) AS m, count(*) FILTER (new) AS n FROM v),
+  k AS (SELECT max(abs((SELECT count(*) FROM v a WHERE NOT a.new AND a.value <= v.value) / m::DOUBLE - (SELECT count(*) FROM v b WHERE b.new AND b.value <= v.value) / n::DOUBLE)) AS d FROM v, n),
+  walk(step, i, c) AS (
+    SELECT 0::BIGINT, 0::BIGINT, 1.0::DOUBLE
+    UNION ALL
+    SELECT step, i, sum(c) FROM (
+      SELECT w.step + 1 AS step, w.i + g.add AS i,
+        w.c * CASE WHEN g.add = 1 THEN m - w.i ELSE n - (w.step - w.i) END / (m + n - w.step)::DOUBLE AS c
+      FROM walk w, n, (VALUES (0), (1)) g(add) WHERE w.step < m + n
+    ) s, n, k WHERE i <= m AND step - i <= n AND abs(i / m::DOUBLE - (step - i) / n::DOUBLE) < d - 1e-9 GROUP BY step, i
+  )
+  SELECT 'value' AS feature, {R('d')} AS ks_statistic, {R('1 - coalesce((SELECT c FROM walk, n WHERE step = m + n), 0)')} AS p_value,
+    1 - coalesce((SELECT c FROM walk, n WHERE step = m + n), 0) < 0.05 AS drift_detected FROM k"""
+
+
+@query("ks_drift_exact", _EXACT_SQL)
+def _(spark, d):
+    old, new = (half.groupBy("merchant_category").agg(F.avg("amount").alias("value")) for half in _halves(spark, d))
+    return rounded(monitor.ks_drift(old, new, ["value"]), "ks_statistic", "p_value")
+
+
 def _drift_hist_sql() -> str:
     # The first half's amounts against the second half's doubled amounts: a drift that is really there.
     return f"""WITH {TX_SQL}, v AS (SELECT CASE WHEN timestamp < {_CUT} THEN 'reference' ELSE 'production' END AS source,
@@ -723,7 +749,7 @@ def _drift_hist_sql() -> str:
 def _(spark, d):
     old, new = _halves(spark, d)
     new = new.withColumn("amount", F.col("amount") * 2)
-    drift = monitor.ks_drift(old, new, ["amount"])
+    drift = monitor.ks_drift(old, new, ["amount"], method="asymptotic")
     return rounded(monitor.drift_histograms(old, new, drift), "lower")
 
 
@@ -956,6 +982,25 @@ def _(spark, d):
     return spark.read.parquet(out).agg(F.count(F.lit(1)).alias("rows"), F.count_if("is_fraud_ensemble").alias("fraud_rows"))
 
 
+@query("stream_history_features", queries_features.history_sql(list(HISTORY_COLUMNS), "tx"))
+def _(spark, d):
+    """The records in three batches by time, the state carried over two restarts."""
+    source, out, checkpoint = (scratch_path(spark, n) for n in ("records", "history", "cp"))
+    rows = transactions(spark, d).select(*_RECORD)
+    cuts = [0, *(int(c) for c in rows.select(F.percentile_approx(F.unix_micros("timestamp"), [0.33, 0.66])).first()[0]), 2**62]
+    for low, high in zip(cuts, cuts[1:]):
+        at = F.unix_micros("timestamp")
+        part = rows.filter((at >= low) & (at < high)).withColumn("transaction_id", F.lpad(F.col("transaction_id").cast("string"), 20, "0"))
+        # Microseconds survive the JSON round trip only if asked for.
+        part.write.mode("append").option("timestampFormat", "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX").json(source)
+        stream = stream_sources.stream_files(spark, source, files_per_trigger=100)
+        with settings(spark, stream_history.STATE_STORE | {"spark.sql.shuffle.partitions": 4}):
+            job = stream_history.stream_history_features(stream).writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint)
+            job.trigger(**stream_scoring.trigger_options(once=True)).start().awaitTermination()
+    back = spark.read.parquet(out).withColumn("transaction_id", F.col("transaction_id").cast("long"))
+    return rounded(back.select("transaction_id", *HISTORY_COLUMNS), *HISTORY_COLUMNS)
+
+
 @query(
     "sink_kafka_payload",
     _sc("SELECT transaction_id::VARCHAR AS key, merchant_category FROM scored"),
