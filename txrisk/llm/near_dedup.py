@@ -178,6 +178,28 @@ def _blocks(members: DataFrame, sets: DataFrame) -> DataFrame:
     return placed.join(sets, "node").select(*_PLACED.split(", "))
 
 
+def _units(members: DataFrame) -> DataFrame:
+    """The members of open buckets, with a bucket's key or, where that ships fewer sets, one key per family.
+
+    Nodes that open buckets connect are a family. Near copies share many buckets; as one unit, a family's sets travel once
+    per opposing block of the family, not once per bucket. Families that chance links have made large stay buckets.
+    """
+
+    def copies(n: Column, w: Column) -> Column:
+        return n * F.greatest(F.ceil(n / BLOCK_NODES), F.ceil(w / BLOCK_SHINGLES))
+
+    first = members.groupBy("key").agg(F.min("node").alias("v"), F.count("*").alias("n"), F.sum("n_shingles").alias("w")).checkpoint()
+    stars = members.select("key", F.col("node").alias("u")).join(first.select("key", "v"), "key").select("u", "v")
+    families = connected_components(stars).withColumnRenamed("component", "family").checkpoint()
+    nodes = members.select("node", "component", "n_shingles").distinct().join(families, "node").checkpoint()
+    as_one = nodes.groupBy("family").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("w")).select("family", copies(F.col("n"), F.col("w")).alias("one"))
+    by_bucket = first.join(families, first["v"] == families["node"]).groupBy("family").agg(F.sum(copies(F.col("n"), F.col("w"))).alias("many"))
+    better = as_one.join(by_bucket, "family").where("one <= many").select("family").checkpoint()
+    whole = nodes.join(better, "family").select(F.xxhash64("family").alias("key"), "node", "component", "n_shingles")
+    rest = members.join(nodes.join(better, "family", "left_anti").select("node"), "node").select("key", "node", "component", "n_shingles")
+    return whole.union(rest)
+
+
 class _Forest:
     """Components joined so far by the links of one pair of blocks."""
 
@@ -317,7 +339,7 @@ def near_components(documents: DataFrame, params: NearDedup | None = None) -> Da
         links = _linked(_compared(_ordered(heads).checkpoint(), sets), p.percent)
         components = connected_components(components.toDF("u", "v").union(links))
     # Whatever shares a bucket and is not yet in one component.
-    links = _block_links(_blocks(_open_members(live, components).checkpoint(), sets), p.percent)
+    links = _block_links(_blocks(_units(_open_members(live, components).checkpoint()), sets), p.percent)
     components = connected_components(components.toDF("u", "v").union(links))
 
     labelled = signed.drop("keys").join(components, "node", "left").withColumn("component", F.coalesce("component", "node"))
