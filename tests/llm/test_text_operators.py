@@ -143,6 +143,22 @@ def test_recurring_templates_go(make_docs, words):
     assert drop_recurring_lines(make_docs([])).collect() == []
 
 
+def test_a_leaf_holds_many_groups(make_docs, words):
+    """Three footers in one leaf with the same names in them, among unrelated lines of the leaf."""
+    rng = random.Random(4)
+    names = ["Smith", "Jones", "Brown", "Miller", "Garcia", "Davis", "Wilson", "Moore"]
+    feet = ["sent by our mailing partner {} today", "sent by our customer service {} team", "sent by our billing office {} now"]
+    rows = [(i, foot.format(name)) for i, (foot, name) in enumerate((f, n) for f in feet for n in names)]
+    rows += [(100 + i, "sent by our " + " ".join(rng.sample(words, 4))) for i in range(60)]
+    got = {r.doc_id: r.n_dropped for r in drop_recurring_lines(make_docs(rows)).collect()}
+    assert all(got[i] == 1 for i in range(24))
+    assert sum(got[100 + i] for i in range(60)) <= 2
+    # Fuller leaves lose nothing.
+    more = rows + [(1000 + i, "sent by our " + " ".join(rng.sample(words, 4))) for i in range(300)]
+    again = {r.doc_id: r.n_dropped for r in drop_recurring_lines(make_docs(more)).collect()}
+    assert all(again[i] == 1 for i in range(24))
+
+
 def _five(text):
     w = re.sub(r"[\W_]+", " ", (text or "").lower()).split()
     return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} - {()}

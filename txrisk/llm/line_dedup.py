@@ -1,11 +1,12 @@
 """Recurring line templates across documents, by a fixed-depth log-template tree.
 
 The tree of a log parser in batch form. A line goes down by its token count and then by its leading tokens
-(a token with a digit counts as variable). In the leaf it reaches, a token is constant when a fair share of the
-leaf's distinct lines have it at that position, and variable otherwise. A line's template is its tokens with the
-variable ones generalised; a line of which too little is constant keeps all its tokens, as lines that merely
-share a leaf by chance do. Lines whose template recurs in several documents are dropped. Nothing depends on the
-order of lines. Counts are combined map-side, so neither a common line nor a crowded leaf is gathered anywhere.
+(a token with a digit counts as variable). In the leaf it reaches, tokens are weighed by how many of the leaf's distinct
+lines have them at that position. A line's log group is given by its best supported tokens, as many as must be
+constant; its other tokens are the variable fields. So a leaf holds any number of groups, unrelated lines beside them
+change nothing, and a field's value that happens to be frequent does not split its group. Lines of a group that occurs
+in several documents are dropped. Nothing depends on the order of lines. Counts are combined map-side, so neither a
+common line nor a crowded leaf is gathered anywhere.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from txrisk.session import ensure_checkpoint_dir, max_broadcast_bytes
+from txrisk.session import max_broadcast_bytes, scratch_path
 
 VARIABLE = "<*>"
 
@@ -25,14 +26,13 @@ VARIABLE = "<*>"
 class LineTree:
     """A template recurs from ``min_documents`` on; lines of fewer than ``min_tokens`` tokens are left alone.
 
-    ``constant_percent``: share of a leaf's distinct lines from which on a token is constant there;
-    ``similar_percent``: share of a line's tokens that must be constant for it to be generalised.
+    ``similar_percent``: share of a line's tokens that lines of its group have in common. A line with fewer tokens
+    than that without a digit stands for itself.
     """
 
     leading: int = 3
     min_tokens: int = 3
     min_documents: int = 3
-    constant_percent: int = 50
     similar_percent: int = 60
 
 
@@ -43,60 +43,58 @@ def masked(line: Column) -> Column:
     return F.when(plain.rlike("[0-9]"), F.regexp_replace(plain, "(?<![^ ])[^ 0-9]*+[0-9][^ ]*", VARIABLE)).otherwise(plain)
 
 
-def _digest(c: Column) -> Column:
-    return F.unhex(F.md5(c))
+def _digest(*c: Column) -> Column:
+    """128 bits of two differently seeded hashes."""
+    return F.struct(F.xxhash64(*c).alias("a"), F.xxhash64(F.lit(7), *c).alias("b"))
 
 
 def _row_id(doc_id: Column, text: Column) -> Column:
     """The same for repeated rows, different for other texts under one doc_id."""
-    return _digest(F.concat_ws(":", F.coalesce(doc_id.cast("string"), F.lit("")), text))
+    return _digest(doc_id.cast("string").isNull(), F.coalesce(doc_id.cast("string"), F.lit("")), text)
 
 
 def _lines(documents: DataFrame, p: LineTree) -> DataFrame:
-    """row_id, line_no, leaf, line (masked), size; only lines of enough tokens."""
+    """row_id, line_no, leaf, key, line (masked), size; only lines of enough tokens, written once."""
     text = F.coalesce("text", F.lit(""))
     lines = documents.select(_row_id(F.col("doc_id"), text).alias("row_id"), F.posexplode(F.split(text, "\n", -1)).alias("line_no", "line"))
     # A generator, so that the masked line is made once and not again for every use.
     lines = lines.select("row_id", "line_no", F.explode(F.array(masked(F.col("line")))).alias("line"))
     lines = lines.withColumn("size", F.octet_length("line") - F.octet_length(F.replace("line", F.lit(" "))) + 1)
-    leaf = F.concat_ws(" ", F.col("size").cast("string"), F.substring_index("line", " ", p.leading))
-    return lines.where(F.col("size") >= p.min_tokens).select("row_id", "line_no", _digest(leaf).alias("leaf"), "line", "size")
+    leaf = _digest(F.col("size"), F.substring_index("line", " ", p.leading))
+    path = scratch_path(documents.sparkSession, "lines")
+    kept = lines.where(F.col("size") >= p.min_tokens).select("row_id", "line_no", leaf.alias("leaf"), _digest(F.col("line")).alias("key"), "line", "size")
+    kept.write.option("compression", "zstd").parquet(path)
+    return documents.sparkSession.read.parquet(path)
 
 
-def _generalised(lines: DataFrame, occurrences: DataFrame, p: LineTree) -> DataFrame:
+def _stored(df: DataFrame, name: str) -> DataFrame:
+    path = scratch_path(df.sparkSession, name)
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
+def _generalised(lines: DataFrame, p: LineTree) -> DataFrame:
     """(key, template) for the distinct lines of leaves that hold several lines from several documents."""
-    leaves = occurrences.groupBy("leaf").agg(
+    leaves = lines.groupBy("leaf").agg(
         F.min("row_id").alias("a"), F.max("row_id").alias("b"), F.min("key").alias("c"), F.max("key").alias("d")
     )
-    crowded = leaves.where("a != b and c != d").select("leaf").checkpoint()
+    crowded = _stored(leaves.where("a != b and c != d").select("leaf"), "leaves")
     if crowded.count() * 64 <= max_broadcast_bytes(lines.sparkSession):
         crowded = F.broadcast(crowded)  # else the lines are shuffled
-    members = (
-        lines.join(crowded, "leaf", "left_semi")
-        .groupBy("leaf", "line", "size")
-        .agg(F.count("*").alias("n"))
-        .select("leaf", "size", _digest(F.col("line")).alias("key"), F.split("line", " ", -1).alias("t"))
-        .checkpoint()
-    )
-    sizes = members.groupBy("leaf").agg(F.count("*").alias("members"))
-    tokens = (
-        members.select("leaf", F.posexplode("t").alias("at", "token"))
-        .groupBy("leaf", "at", "token")
-        .agg(F.count("*").alias("n"))
-        .where("n > 1")
+    inside = lines.join(crowded, "leaf", "left_semi").groupBy("leaf", "key").agg(F.any_value("line").alias("line"), F.max("size").alias("size"))
+    members = _stored(inside, "members")
+    at_tokens = members.select("leaf", "key", "size", F.posexplode(F.split("line", " ", -1)).alias("at", "token")).where(F.col("token") != VARIABLE)
+    support = at_tokens.groupBy("leaf", "at", "token").agg(F.count("*").alias("n")).where("n > 1")
+    # Tokens of a single line have a support of one and need no lookup.
+    weighed = at_tokens.join(support, ["leaf", "at", "token"], "left").select(
+        "key", "leaf", "size", F.struct((-F.coalesce("n", F.lit(1))).alias("n"), "at", "token").alias("t")
     )
-    # At most 100 / constant_percent tokens per position, so what is gathered per leaf is bounded by a line.
-    constant = (
-        tokens.join(sizes, "leaf")
-        .where(F.col("n") * 100 >= F.col("members") * p.constant_percent)
-        .groupBy("leaf")
-        .agg(F.map_from_entries(F.collect_list(F.struct(F.concat_ws(" ", "at", "token"), F.lit(True)))).alias("constant"))
-    )
-    fixed = F.transform("t", lambda t, i: F.when(F.map_contains_key("constant", F.concat_ws(" ", i, t)), t).otherwise(VARIABLE))
-    general = members.join(constant, "leaf").select("key", "size", fixed.alias("g"))
-    n_fixed = F.size(F.filter("g", lambda t: t != VARIABLE))
-    enough = n_fixed * 100 >= F.col("size") * p.similar_percent
-    return general.where(enough).select("key", _digest(F.array_join("g", " ")).alias("template"))
+    # A line's own tokens, gathered again.
+    listed = weighed.groupBy("leaf", "key", "size").agg(F.sort_array(F.collect_list("t")).alias("ts"))
+    wanted = F.ceil(F.col("size") * p.similar_percent / F.lit(100)).cast("int")
+    best = F.sort_array(F.transform(F.slice("ts", 1, wanted), lambda t: F.struct(t["at"].alias("at"), t["token"].alias("token"))))
+    enough = listed.where(F.size("ts") >= wanted).select("key", F.col("size"), F.col("leaf"), best.alias("best"))
+    return enough.select("key", _digest(F.lit("group"), F.col("size"), F.col("best")).alias("template"))
 
 
 def drop_recurring_lines(documents: DataFrame, params: LineTree | None = None) -> DataFrame:
@@ -108,16 +106,10 @@ def drop_recurring_lines(documents: DataFrame, params: LineTree | None = None) -
     Other columns are ignored. White space inside kept lines stays as it is.
     """
     p = params or LineTree()
-    ensure_checkpoint_dir(documents.sparkSession)
     lines = _lines(documents, p)
-    occurrences = lines.select("row_id", "line_no", "leaf", _digest(F.col("line")).alias("key")).checkpoint()
-    general = _generalised(lines, occurrences, p)
-    found = (
-        occurrences.select("row_id", "line_no", "key")
-        .join(general, "key", "left")
-        .select("row_id", "line_no", F.coalesce("template", "key").alias("template"))
-        .checkpoint()
-    )
+    general = _generalised(lines, p)
+    found = lines.select("row_id", "line_no", "key").join(general, "key", "left")
+    found = _stored(found.select("row_id", "line_no", F.coalesce("template", "key").alias("template")), "templates")
     recurring = (
         found.select("template", "row_id").distinct().groupBy("template").agg(F.count("*").alias("n"))
         .where(F.col("n") >= p.min_documents).select("template")

@@ -89,20 +89,21 @@ WITH docs AS (
 ), lines AS (
     SELECT *, concat_ws(' ', len(t), t[1], t[2], t[3]) AS leaf FROM cut WHERE len(t) >= 3
 ), crowded AS (
-    SELECT leaf, count(DISTINCT t) AS members FROM lines GROUP BY leaf
-    HAVING count(DISTINCT doc_id) > 1 AND count(DISTINCT t) > 1
+    SELECT leaf FROM lines GROUP BY leaf HAVING count(DISTINCT doc_id) > 1 AND count(DISTINCT t) > 1
 ), members AS (
-    SELECT DISTINCT leaf, t, members FROM lines JOIN crowded USING (leaf)
+    SELECT DISTINCT leaf, t FROM lines JOIN crowded USING (leaf)
 ), tokens AS (
-    SELECT leaf, members, t, unnest(range(1, len(t) + 1)) AS pos, unnest(t) AS token FROM members
-), constant AS (
-    SELECT leaf, pos, token, true AS fixed FROM tokens
-    GROUP BY leaf, members, pos, token HAVING count(*) > 1 AND count(*) * 100 >= members * 50
+    SELECT leaf, t, unnest(range(1, len(t) + 1)) AS pos, unnest(t) AS token FROM members
+), weighed AS (
+    SELECT leaf, t, pos, token, count(*) OVER (PARTITION BY leaf, pos, token) AS n FROM tokens WHERE token <> '<*>'
+), ranked AS (
+    SELECT *, row_number() OVER (PARTITION BY leaf, t ORDER BY n DESC, pos) AS rank, count(*) OVER (PARTITION BY leaf, t) AS fixed,
+        (len(t) * 60 + 99) // 100 AS wanted FROM weighed
 ), general AS (
-    SELECT leaf, t, list(CASE WHEN fixed THEN token ELSE '<*>' END ORDER BY pos) AS g
-    FROM tokens LEFT JOIN constant USING (leaf, pos, token) GROUP BY leaf, t
+    SELECT leaf, t, list_concat([len(t)::VARCHAR], list(pos::VARCHAR || ' ' || token ORDER BY pos)) AS g
+    FROM ranked WHERE fixed >= wanted AND rank <= wanted GROUP BY leaf, t
 ), templates AS (
-    SELECT doc_id, line_no, CASE WHEN len(list_filter(g, lambda x: x <> '<*>')) * 100 >= len(l.t) * 60 THEN g ELSE l.t END AS template
+    SELECT doc_id, line_no, coalesce(g, list_concat([''], l.t)) AS template
     FROM lines l LEFT JOIN general g ON g.leaf = l.leaf AND g.t = l.t
 ), recurring AS (
     SELECT template FROM templates GROUP BY template HAVING count(DISTINCT doc_id) >= 3
