@@ -159,9 +159,11 @@ def test_a_leaf_holds_many_groups(make_docs, words):
     assert all(again[i] == 1 for i in range(24))
 
 
-def _five(text):
+def _runs(text, n=None):
+    """The runs of ``n`` words; of an item, its own: five words, or all of a shorter one."""
     w = re.sub(r"[\W_]+", " ", (text or "").lower()).split()
-    return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} - {()}
+    n = min(5, len(w)) if n is None else n
+    return {tuple(w[i : i + n]) for i in range(len(w) - n + 1)} - {()}
 
 
 def test_contained_items_equal_brute_force(spark, make_docs, odd_rows, words):
@@ -169,6 +171,9 @@ def test_contained_items_equal_brute_force(spark, make_docs, odd_rows, words):
     item = [rng.choice(words) for _ in range(40)]
     edited = [*item[:30], "other", *item[31:]]
     items = [(1, " ".join(item)), (2, None), (3, ""), (4, "one two"), (5, odd_rows[5][1][:200]), (5, "another text under this id today"), (1, " ".join(item))]
+    # Items of one to four words, inside long documents.
+    short = [(60 + n, " ".join(item[:n])) for n in range(1, 5)] + [(70, "café"), (71, "no such words")]
+    items += short
     benchmark = spark.createDataFrame([(i, t, "x", 1) for i, t in items], "item_id long, text string, shingle string, doc_id int")
     rows = odd_rows + [
         (30, " ".join(item).upper() + "."),
@@ -179,13 +184,14 @@ def test_contained_items_equal_brute_force(spark, make_docs, odd_rows, words):
     docs = make_docs(rows)
     want = set()
     for d, t in rows:
-        own = _five(t)
         for i, x in items:
-            q = _five(x)
+            q = _runs(x)
+            own = _runs(t, len(next(iter(q)))) if q else set()
             if q and 100 * len(own & q) >= 80 * len(q):
                 want.add((d, i, len(own & q), len(q)))
     got = {(r.doc_id, r.item_id, r.n_shared, r.n_item) for r in contained_items(docs, benchmark).collect()}
     assert got == want and {30, 31, 32} <= {d for d, i, _, _ in got if i == 1}
+    assert {30, 31, 32, 33} <= {d for d, i, _, _ in got if i == 64} and 12 in {d for d, i, _, _ in got if i == 70}
     kept = drop_contaminated(docs, benchmark)
     assert kept.columns == docs.columns
     dirty = {d for d, _, _, _ in want}

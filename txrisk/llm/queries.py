@@ -198,12 +198,15 @@ WITH words AS (
     SELECT doc_id, CAST(NULL AS BIGINT) AS item_id, {_WORDS.format("coalesce(text, '')")} AS w FROM documents
     UNION ALL SELECT NULL, item_id, {_WORDS.format("coalesce(text, '')")} FROM benchmark
 ), sets AS (
-    SELECT doc_id, item_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE
-        list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) END AS s FROM words
+    SELECT item_id, least(len(w), 5) AS run, list_distinct(list_transform(range(1, len(w) - least(len(w), 5) + 2),
+        lambda i: array_to_string(w[i:i + least(len(w), 5) - 1], ' '))) AS s FROM words WHERE item_id IS NOT NULL AND len(w) > 0
 ), items AS (
-    SELECT item_id, len(s) AS n_item, unnest(s) AS g FROM sets WHERE item_id IS NOT NULL
+    SELECT item_id, len(s) AS n_item, unnest(s) AS g FROM sets
+), runs AS (
+    SELECT DISTINCT run FROM sets
 ), docs AS (
-    SELECT doc_id, unnest(s) AS g FROM sets WHERE item_id IS NULL
+    SELECT doc_id, unnest(list_distinct(list_transform(range(1, len(w) - run + 2), lambda i: array_to_string(w[i:i + run - 1], ' ')))) AS g
+    FROM words, runs WHERE item_id IS NULL AND len(w) >= run
 )
 SELECT doc_id, item_id, count(*) AS n_shared, n_item, count(*)::DOUBLE / n_item AS containment
 FROM docs JOIN items USING (g) GROUP BY doc_id, item_id, n_item HAVING count(*) * 100 >= n_item * 80
