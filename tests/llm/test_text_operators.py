@@ -283,3 +283,32 @@ def test_urls(spark):
     assert {r.page_id: r.verdict for r in judge_urls(new, [], model).collect()} == {1: "allow", 2: "block"}
     assert judge_urls(pages.limit(0), RULES, model).collect() == []
     assert fit_url_model(labelled.limit(0)) == "allow" and fit_url_model(labelled.where("verdict = 'block'")) == "block"
+
+
+def test_labelled_urls_train_a_filter(spark):
+    from pyspark.sql import functions as F
+
+    from txrisk.llm.url_labels import labelled_urls
+
+    table = labelled_urls(spark)
+    by_domain = table.groupBy(F.regexp_extract("url", r"\.([a-z]+)/", 1).alias("d")).agg(F.countDistinct("verdict").alias("n")).collect()
+    assert len(by_domain) == 6 and all(r.n == 2 for r in by_domain)
+    held = F.crc32(F.col("url").cast("binary")) % 5 == 0
+    model = fit_url_model(table.where(~held))
+    pages = table.where(held).select(F.col("verdict").alias("page_id"), "url")
+    judged = judge_urls(pages, [], model)
+    assert judged.where("page_id != verdict").count() <= 0.02 * judged.count()
+    # Sites that are not in the table, under the same domains.
+    new = spark.createDataFrame([(1, "http://ads-track.example.org/en/1"), (2, "https://blog.other.example.org/en/1"), (3, "http://xxx-pills.example.net/fr/5"), (4, "https://www.library-north.example.net/fr/5")], "page_id long, url string")
+    assert {r.page_id: r.verdict for r in judge_urls(new, [], model).collect()} == {1: "block", 2: "allow", 3: "block", 4: "allow"}
+
+
+def test_many_rules_are_joined(spark, monkeypatch):
+    from txrisk.llm import url_filter
+
+    urls = ["http://a.b.com/x/y", "http://b.com/x", "http://b.com/", "http://com/", "http://xb.com/x", None, "no scheme", "http://b.com/x", "http://a..com/x"]
+    pages = spark.createDataFrame([(i, u) for i, u in enumerate(urls)], "page_id long, url string")
+    rules = [Rule("com", "/", "allow"), Rule("b.com", "/x", "block"), Rule("a.b.com", "/x/", "allow"), Rule("", "/", "block"), Rule("b.com", "/x", "block")]
+    one = sorted(map(tuple, judge_urls(pages, rules, "allow").collect()), key=repr)
+    monkeypatch.setattr(url_filter, "MAX_RULES", 2)
+    assert sorted(map(tuple, judge_urls(pages, rules, "allow").collect()), key=repr) == one

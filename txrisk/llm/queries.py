@@ -18,7 +18,8 @@ from txrisk.llm.quality_rules import fit_rules, score_quality
 from txrisk.llm.suffix_dedup import remove_repeats
 from txrisk.llm.token_counts import count_tokens
 from txrisk.llm.toxicity import fit_toxicity, score_toxicity
-from txrisk.llm.url_filter import Rule, fit_url_model, judge_urls, matching_rule, url_host, url_path
+from txrisk.llm.url_filter import Rule, fit_url_model, judge_urls
+from txrisk.llm.url_labels import labelled_urls
 from txrisk.plans.registry import query
 
 
@@ -38,11 +39,8 @@ URL_RULES = [
 
 @query("op1_url_filter")
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The labelled urls are those that a rule decides: the rules are the only judgement on urls there is."""
-    pages = _read(spark, sf_dir, "pages")
-    decided = matching_rule(URL_RULES, url_host(F.col("url")), url_path(F.col("url")))
-    labelled = pages.select("url", decided["verdict"].alias("verdict"))
-    return judge_urls(pages, URL_RULES, fit_url_model(labelled))
+    """Trained on the package's own labelled urls; no label comes from a rule or from the pages."""
+    return judge_urls(_read(spark, sf_dir, "pages"), URL_RULES, fit_url_model(labelled_urls(spark)))
 
 
 def _quoted(text: str) -> str:

@@ -11,7 +11,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Rules are one expression over every row; more than this belong into a joined table.
+#: Up to so many rules are one expression over every row, more are a joined table.
 MAX_RULES = 1000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -46,13 +46,35 @@ def url_path(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(url, r"(?s)^.*?://[^/?#]*([^?#]*)", 1), F.lit(""))
 
 
+def _ordered(rules: list[Rule]) -> list[Rule]:
+    """The first fitting rule decides: longest first."""
+    return sorted(set(rules), key=lambda r: (-len(r.host + r.path), -len(r.host), r.host, r.path, r.verdict))
+
+
+def with_rules(rows: DataFrame, rules: list[Rule]) -> DataFrame:
+    """``rows(host, path, ...)`` with ``fits``, the rule that decides.
+
+    Many rules are joined: every host meets the rules of itself and of the domains above it by equality, and the rule
+    that decides comes back per distinct (host, path).
+    """
+    if len(rules) <= MAX_RULES:
+        return rows.withColumn("fits", matching_rule(rules, F.col("host"), F.col("path")))
+    numbered = [(r.host, r.path, r.verdict, i) for i, r in enumerate(_ordered(rules))]
+    table = rows.sparkSession.createDataFrame(numbered, "rule_host string, rule_path string, verdict string, place long")
+    places = rows.select("host", "path").distinct()
+    labels = F.split("host", r"\.", -1)
+    above = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+    met = places.withColumn("rule_host", F.explode(above)).join(table, "rule_host").where(F.col("path").startswith(F.col("rule_path")))
+    told = F.struct(F.concat("rule_host", "rule_path").alias("rule"), "verdict")
+    decided = met.groupBy("host", "path").agg(F.min_by(told, "place").alias("fits"))
+    return rows.join(decided, ["host", "path"], "left")
+
+
 def matching_rule(rules: list[Rule], host: Column, path: Column) -> Column:
     """The longest rule that fits, as struct(rule, verdict); null when none does."""
-    if len(rules) > MAX_RULES:
-        raise ValueError(f"at most {MAX_RULES} rules")
     if not rules:
         return F.lit(None).cast("struct<rule:string,verdict:string>")
-    ordered = sorted(rules, key=lambda r: (-len(r.host + r.path), -len(r.host), r.host, r.path, r.verdict))
+    ordered = _ordered(rules)
     table = F.array(
         *(F.struct(F.lit(r.host).alias("host"), F.lit(r.path).alias("path"), F.lit(r.verdict).alias("verdict")) for r in ordered)
     )
@@ -119,7 +141,7 @@ def judge_urls(pages: DataFrame, rules: list[Rule], model: PipelineModel | str,
     """
     p = params or UrlModel()
     rows = pages.select("page_id", url_host(F.col("url")).alias("host"), url_path(F.col("url")).alias("path"))
-    rows = rows.withColumn("fits", matching_rule(rules, F.col("host"), F.col("path")))
+    rows = with_rules(rows, rules)
     if isinstance(model, str):
         scored = rows.withColumn("score", F.lit(1.0 if model == "block" else 0.0))
     else:
