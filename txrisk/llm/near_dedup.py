@@ -28,7 +28,7 @@ from pyspark.sql.types import StructType
 
 from txrisk.llm.batches import small_batches
 from txrisk.llm.columns import fresh
-from txrisk.llm.components import connected_components
+from txrisk.llm.components import connected_components, settled
 from txrisk.llm.text_hash import lower_ascii, mix, shingle_set
 from txrisk.session import ensure_checkpoint_dir, max_broadcast_bytes
 
@@ -188,13 +188,14 @@ def _units(members: DataFrame) -> DataFrame:
     def copies(n: Column, w: Column) -> Column:
         return n * F.greatest(F.ceil(n / BLOCK_NODES), F.ceil(w / BLOCK_SHINGLES))
 
-    first = members.groupBy("key").agg(F.min("node").alias("v"), F.count("*").alias("n"), F.sum("n_shingles").alias("w")).checkpoint()
+    first = members.groupBy("key").agg(F.min("node").alias("v"), F.count("*").alias("n"), F.sum("n_shingles").alias("w"))
+    first = settled(first)
     stars = members.select("key", F.col("node").alias("u")).join(first.select("key", "v"), "key").select("u", "v")
-    families = connected_components(stars).withColumnRenamed("component", "family").checkpoint()
-    nodes = members.select("node", "component", "n_shingles").distinct().join(families, "node").checkpoint()
+    families = settled(connected_components(stars).withColumnRenamed("component", "family"))
+    nodes = settled(members.select("node", "component", "n_shingles").distinct().join(families, "node"))
     as_one = nodes.groupBy("family").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("w")).select("family", copies(F.col("n"), F.col("w")).alias("one"))
     by_bucket = first.join(families, first["v"] == families["node"]).groupBy("family").agg(F.sum(copies(F.col("n"), F.col("w"))).alias("many"))
-    better = as_one.join(by_bucket, "family").where("one <= many").select("family").checkpoint()
+    better = settled(as_one.join(by_bucket, "family").where("one <= many").select("family"))
     whole = nodes.join(better, "family").select(F.xxhash64("family").alias("key"), "node", "component", "n_shingles")
     rest = members.join(nodes.join(better, "family", "left_anti").select("node"), "node").select("key", "node", "component", "n_shingles")
     return whole.union(rest)
@@ -331,15 +332,15 @@ def near_components(documents: DataFrame, params: NearDedup | None = None) -> Da
     # The first hubs meet every node of their buckets.
     hubbed = _hub_pairs(live.withColumn("component", F.col("node")), 0)
     hubbed = hubbed.where(_sizes_fit(F.col("n_node"), F.col("n_hub"), p.percent))
-    components = connected_components(_linked(_compared(_ordered(hubbed).checkpoint(), sets), p.percent))
+    components = connected_components(_linked(_compared(settled(_ordered(hubbed)), sets), p.percent))
     # More hubs, now among components.
     for seed in range(1, p.hub_rounds):
         heads = _hub_pairs(_open_members(live, components), seed)
         heads = heads.where(_sizes_fit(F.col("n_node"), F.col("n_hub"), p.percent))
-        links = _linked(_compared(_ordered(heads).checkpoint(), sets), p.percent)
+        links = _linked(_compared(settled(_ordered(heads)), sets), p.percent)
         components = connected_components(components.toDF("u", "v").union(links))
     # Whatever shares a bucket and is not yet in one component.
-    links = _block_links(_blocks(_units(_open_members(live, components).checkpoint()), sets), p.percent)
+    links = _block_links(_blocks(_units(settled(_open_members(live, components))), sets), p.percent)
     components = connected_components(components.toDF("u", "v").union(links))
 
     labelled = signed.drop("keys").join(components, "node", "left").withColumn("component", F.coalesce("component", "node"))
