@@ -257,6 +257,78 @@ def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_toxicity(documents, fit_toxicity(documents, _read(spark, sf_dir, "labels")))
 
 
-@query("op13_conversation_repair")
+def _op13_sql() -> str:
+    """A shortest path per conversation, a row at a time: the cheapest way to each of four states, then its edits applied."""
+
+    def add(state: str, cost: str, edit: str) -> str:
+        return f"CASE WHEN {state} IS NOT NULL THEN {{'c': {state}.c + {cost}, 's': {state}.s || {edit}}} END"
+
+    def least(*ways: str) -> str:
+        return f"list_sort(list_filter([{', '.join(ways)}], lambda x: x IS NOT NULL))[1]"
+
+    def opened(table: str) -> str:
+        """Insertions before what follows: a user's row from any state but u, an assistant's after it."""
+        two = f"SELECT *, {least('q2', add('q0', '5', chr(39) + 'I' + chr(39)), add('q1', '5', chr(39) + 'I' + chr(39)), add('q3', '5', chr(39) + 'I' + chr(39)))} AS e2 FROM {table}"
+        return f"SELECT *, {least('q3', add('e2', '5', chr(39) + 'I' + chr(39)))} AS e3 FROM ({two})"
+
+    drop, extra = ("2", "'D'"), "CASE WHEN fault = 'truncated' THEN 5 ELSE 0 END"
+    stays = "fault NOT IN ('blank', 'duplicate')"
+
+    def to(state: str, role: str) -> str:
+        cost = f"CASE WHEN initial = '{role}' THEN 0 ELSE 1 END + {extra}"
+        return f"CASE WHEN {stays} THEN {add(state, cost, f'CASE WHEN initial = {chr(39)}{role}{chr(39)} THEN {chr(39)}K{chr(39)} ELSE {chr(39)}R{chr(39)} END')} END"
+
+    system = f"CASE WHEN {stays} AND initial = 's' THEN {add('q0', extra, chr(39) + 'K' + chr(39))} END"
+    step = f"""SELECT g, rn + 1 AS rn, {add('q0', *drop)} AS q0, {least(add('q1', *drop), system)} AS q1,
+        {least(add('e2', *drop), to('q0', 'u'), to('q1', 'u'), to('e3', 'u'))} AS q2, {least(add('e3', *drop), to('e2', 'a'))} AS q3"""
+    crc = """list_reduce(list_concat([4294967295::BIGINT], list_transform(range(1, length(k) + 1), lambda i: ord(substr(k, i, 1))::BIGINT)),
+        lambda c, b: list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, y: xor(x >> 1, 3988292384 * (x & 1))))"""
+    return f"""
+WITH RECURSIVE keyed AS (
+    SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS k,
+        dense_rank() OVER (ORDER BY conv_id NULLS FIRST) AS g FROM conversations
+), kinds AS (
+    SELECT *, xor({crc}, 4294967295) % 20 AS kind FROM keyed
+), damaged AS (
+    SELECT g, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+        CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(CASE WHEN kind = 3 THEN [0, 1] ELSE [0] END) AS copy
+    FROM kinds WHERE kind <> 0
+), placed AS (
+    SELECT *, row_number() OVER (PARTITION BY g ORDER BY turn NULLS FIRST, md5(length(role)::VARCHAR || ':' || role || text)) AS rn,
+        regexp_replace(text, '[\\x20\\x09-\\x0D]+\\z', '') AS body, CASE WHEN role[1] IN ('s', 'u', 'a') THEN role[1] ELSE 'x' END AS initial FROM damaged
+), marked AS (
+    SELECT *, row_number() OVER (PARTITION BY g, role, text ORDER BY rn) > 1 AS seen, lag(initial) OVER (PARTITION BY g ORDER BY rn) AS before FROM placed
+), faults AS (
+    SELECT *, CASE WHEN body = '' THEN 'blank' WHEN seen THEN 'duplicate' WHEN body[-1] NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault FROM marked
+), counts AS (
+    SELECT g, count(*) AS n, count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate,
+        count(*) FILTER (fault = 'truncated') AS truncated, count(*) FILTER (before IS NOT NULL AND before || initial NOT IN ('su', 'ua', 'au')) AS illegal,
+        coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps FROM faults GROUP BY g
+), every AS (
+    SELECT DISTINCT g, conv_id FROM keyed
+), way(g, rn, q0, q1, q2, q3) AS (
+    SELECT g, 0::BIGINT, {{'c': 0::BIGINT, 's': ''}}, NULL::STRUCT(c BIGINT, s VARCHAR), NULL::STRUCT(c BIGINT, s VARCHAR), NULL::STRUCT(c BIGINT, s VARCHAR) FROM every
+    UNION ALL
+    {step} FROM (SELECT w.*, f.initial, f.fault FROM ({opened('way')}) w JOIN faults f ON f.g = w.g AND f.rn = w.rn + 1)
+), best AS (
+    SELECT w.g, {least('q0', 'e3')} AS b FROM ({opened('way')}) w LEFT JOIN counts c USING (g) WHERE w.rn = coalesce(c.n, 0)
+), edits AS (
+    SELECT g, unnest(string_split(b.s, '')) AS edit, unnest(range(1, length(b.s) + 1)) AS pos FROM best WHERE b.s <> ''
+), numbered AS (
+    SELECT *, count(*) FILTER (edit <> 'I') OVER w AS at, count(*) FILTER (edit <> 'D') OVER w AS made, count(*) FILTER (edit <> 'D') OVER (PARTITION BY g) AS total
+    FROM edits WINDOW w AS (PARTITION BY g ORDER BY pos)
+), lines AS (
+    SELECT n.g, n.pos, CASE WHEN edit = 'K' THEN f.role WHEN (made - 1 - total % 2) % 2 = 0 THEN 'user' ELSE 'assistant' END || ':' || CASE WHEN edit = 'I' THEN '' ELSE f.text END AS line
+    FROM numbered n LEFT JOIN faults f ON f.g = n.g AND f.rn = n.at WHERE edit <> 'D'
+), texts AS (
+    SELECT g, string_agg(line, chr(10) ORDER BY pos) AS t FROM lines GROUP BY g
+)
+SELECT conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated,
+    coalesce(illegal, 0) AS illegal, b.c AS cost, b.s AS audit, sha256(coalesce(t, '')) AS repaired_sha256
+FROM every JOIN best USING (g) LEFT JOIN counts USING (g) LEFT JOIN texts USING (g)
+"""
+
+
+@query("op13_conversation_repair", _op13_sql())
 def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair_conversations(damage(_read(spark, sf_dir, "conversations")), dropped="dropped")
