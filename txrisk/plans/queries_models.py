@@ -69,7 +69,8 @@ def _(spark, d):
             F.avg(ev.loss_bce(F.col("label"), F.col("fraud_probability"))).alias("l"), F.avg(ev.loss_bce(F.col("label"), F.lit(share))).alias("c")
         )
         inside = out.agg(F.count(F.lit(1)).alias("test_rows"), F.min(F.col("fraud_probability").between(0, 1)).alias("in_unit_interval"))
-        rows.append(inside.crossJoin(F.broadcast(fitted)).select(F.lit(kind).alias("kind"), "test_rows", "in_unit_interval", (F.col("l") < F.col("c")).alias("better_than_constant")))
+        better = fitted.select(F.col("l") < F.col("c")).scalar()
+        rows.append(inside.select(F.lit(kind).alias("kind"), "test_rows", "in_unit_interval", better.alias("better_than_constant")))
     return rows[0].unionByName(rows[1]).unionByName(rows[2])
 
 
@@ -89,7 +90,7 @@ def _(spark, d):
         scored_rows = scoring.score_probability(models.as_vectors(models.with_class_weights(v, ratio=ratio)), model)
         whole = scored_rows.agg((F.sum(F.col("weight") * F.col("fraud_probability")) / F.sum("weight")).alias("weighted_probability"))
         table = scored_rows.groupBy(F.col("label").cast("int").alias("label")).agg(F.count(F.lit(1)).alias("n"), r(F.max("weight")).alias("weight"))
-        parts.append(table.crossJoin(F.broadcast(whole)).select(F.lit(form).alias("form"), "label", "n", "weight", r(F.col("weighted_probability"), 3).alias("weighted_probability")))
+        parts.append(table.select(F.lit(form).alias("form"), "label", "n", "weight", r(whole.scalar(), 3).alias("weighted_probability")))
     return parts[0].unionByName(parts[1])
 
 
@@ -261,7 +262,8 @@ def _(spark, d):
     counted = done.scoring.score(split).agg(
         F.count(F.lit(1)).alias("normal_validation_rows"), F.count_if(F.col("anomaly_score") >= cut).alias("flagged")
     )
-    return _job_check(done, features, "anomaly_score", cut, done.anomaly_metrics).crossJoin(F.broadcast(counted))
+    checked = _job_check(done, features, "anomaly_score", cut, done.anomaly_metrics)
+    return checked.withColumns({c: counted.select(c).scalar() for c in counted.columns})
 
 
 # ---- scoring ---------------------------------------------------------------------------
@@ -936,14 +938,15 @@ def _(spark, d):
         stream = stream_sources.stream_files(spark, source, files_per_trigger=3)
         stream_scoring.score_stream_with(stream, path, stream_scoring.sink_files(out), checkpoint, once=True).awaitTermination()
     streamed = spark.read.parquet(out)
-    saved = spark.read.parquet(f"{path}/set").select("fill", "center", "scale", "weights", "bias", "mean", "spread", "axes")
+    saved = spark.read.parquet(f"{path}/set").select("center", "scale", "weights", "bias").first().asDict()
     records = spark.read.schema(stream_sources.STREAM_RECORD).json(source)
     batch = scoring_set.ScoringSet.load(spark, path).score(records).select(
         "transaction_id", F.col("fraud_probability").alias("p"), F.col("anomaly_score").alias("e")
     )
     columns = "array(amount, ln(1 + amount), 0D, 1D)"
     logit = f"bias + aggregate(zip_with(zip_with(zip_with({columns}, center, (v, c) -> v - c), scale, (v, s) -> v / s), weights, (v, w) -> v * w), 0D, (a, v) -> a + v)"
-    plain = records.crossJoin(F.broadcast(saved)).selectExpr("transaction_id", f"1 / (1 + exp(-({logit}))) AS q")
+    numbers = {c: F.lit(v) for c, v in saved.items()}
+    plain = records.withColumns(numbers).selectExpr("transaction_id", f"1 / (1 + exp(-({logit}))) AS q")
     times = streamed.groupBy("transaction_id").agg(
         F.count("*").alias("times_scored"), F.max("fraud_probability").alias("fp"), F.max("anomaly_score").alias("es")
     )
