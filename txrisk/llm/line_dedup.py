@@ -82,19 +82,20 @@ def _generalised(lines: DataFrame, p: LineTree) -> DataFrame:
     if crowded.count() * 64 <= max_broadcast_bytes(lines.sparkSession):
         crowded = F.broadcast(crowded)  # else the lines are shuffled
     inside = lines.join(crowded, "leaf", "left_semi").groupBy("leaf", "key").agg(F.any_value("line").alias("line"), F.max("size").alias("size"))
-    members = _stored(inside, "members")
-    at_tokens = members.select("leaf", "key", "size", F.posexplode(F.split("line", " ", -1)).alias("at", "token")).where(F.col("token") != VARIABLE)
-    support = at_tokens.groupBy("leaf", "at", "token").agg(F.count("*").alias("n")).where("n > 1")
+    # A token at its place in its leaf is a 64-bit number from here on; variable ones are left out.
+    marks = F.transform(F.split("line", " ", -1), lambda t, i: F.when(t != VARIABLE, F.xxhash64("leaf", i, t)))
+    members = _stored(inside.select("key", "size", marks.alias("marks")), "members")
+    tokens = members.select("key", "size", F.posexplode("marks").alias("at", "mark")).where(F.col("mark").isNotNull())
+    support = tokens.groupBy("mark").agg(F.count("*").alias("n")).where("n > 1")
     # Tokens of a single line have a support of one and need no lookup.
-    weighed = at_tokens.join(support, ["leaf", "at", "token"], "left").select(
-        "key", "leaf", "size", F.struct((-F.coalesce("n", F.lit(1))).alias("n"), "at", "token").alias("t")
+    weighed = tokens.join(support, "mark", "left").select(
+        "key", "size", F.struct((-F.coalesce("n", F.lit(1))).alias("n"), "at", "mark").alias("t")
     )
     # A line's own tokens, gathered again.
-    listed = weighed.groupBy("leaf", "key", "size").agg(F.sort_array(F.collect_list("t")).alias("ts"))
+    listed = weighed.groupBy("key", "size").agg(F.sort_array(F.collect_list("t")).alias("ts"))
     wanted = F.ceil(F.col("size") * p.similar_percent / F.lit(100)).cast("int")
-    best = F.sort_array(F.transform(F.slice("ts", 1, wanted), lambda t: F.struct(t["at"].alias("at"), t["token"].alias("token"))))
-    enough = listed.where(F.size("ts") >= wanted).select("key", F.col("size"), F.col("leaf"), best.alias("best"))
-    return enough.select("key", _digest(F.lit("group"), F.col("size"), F.col("best")).alias("template"))
+    best = F.array_sort(F.transform(F.slice("ts", 1, wanted), lambda t: t["mark"]))
+    return listed.where(F.size("ts") >= wanted).select("key", _digest(F.lit("group"), F.col("size"), best).alias("template"))
 
 
 def drop_recurring_lines(documents: DataFrame, params: LineTree | None = None) -> DataFrame:
