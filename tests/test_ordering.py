@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from txrisk.operators import sequence, velocity
 from txrisk.operators.hashing import first_by_hash, key_counts
 from txrisk.operators.ordering import exact_quantiles, group_rank, prefix_sums, row_frames, split_groups
-from txrisk.session import MAX_GROUP_ROWS_CONF
+from txrisk.session import MAX_GROUP_ROWS_CONF, PART_ROWS_CONF
 
 
 def skewed(spark, rows=600):
@@ -46,6 +46,18 @@ def test_hot_group_is_split_into_parts_of_a_fixed_size(spark, small_groups):
     assert all(a["hi"] < b["lo"] for a, b in zip(spans, spans[1:]))
 
 
+def test_short_parts_share_a_task(spark, settings):
+    settings(MAX_GROUP_ROWS_CONF, 100)
+    settings(PART_ROWS_CONF, 5)
+    rows = spark.range(4000).select((F.col("id") % 2).alias("g"), F.xxhash64("id").alias("o"), "id")
+    layout = split_groups(rows, ["g"], ["o", "id"])
+    parts = layout.cut.groupBy("_part").agg(F.count("*").alias("n"), F.min(F.struct("g", "o")).alias("lo"), F.max(F.struct("g", "o")).alias("hi")).orderBy("_part").collect()
+    assert sum(p["n"] for p in parts) == 4000 and len(parts) >= 800 and max(p["n"] for p in parts) <= 5
+    assert all(a["hi"] < b["lo"] for a, b in zip(parts, parts[1:]))
+    # One file per task that dealt rows.
+    assert len(layout.cut.inputFiles()) <= 2
+
+
 def test_no_array_and_no_edges_in_the_plan_of_split_groups(spark, small_groups):
     plan = sequence.account_history(skewed(spark))._jdf.queryExecution().executedPlan().toString()
     assert "array<" not in plan and "_coarse" not in plan and "Exchange" in plan

@@ -7,7 +7,8 @@ of the table, or when there is no ``k`` at all (a global rank, a ROC curve).
 ``split_groups`` counts rows per group first (a map-side combined aggregate over
 the key columns only). Groups under the limit go through the plain window. The rows
 of larger ones are dealt by Spark's own range partitioner over (group, order) into
-parts of a fixed size, written once, and the window runs per (group, part). What
+parts of a fixed size, written once, and the window runs per (group, part). Short parts
+share a task: the number of tasks follows the rows, however small the parts are. What
 crosses a part's border is carried over explicitly: totals of the earlier parts for
 ranks and prefix sums, the last few rows before the part for row frames. No part of
 the order passes through the driver, and the parts are fixed by being written, so a
@@ -27,6 +28,8 @@ from txrisk.session import max_broadcast_bytes, max_group_rows, part_rows, scrat
 
 PART = "_part"
 _HALO = "_halo"
+#: Rows a task deals at least (if there are as many); parts shorter than that are cut within it.
+TASK_ROWS = 50_000
 
 
 @dataclass(frozen=True)
@@ -115,10 +118,15 @@ def split_groups(df: DataFrame, keys: Sequence[str], order: Sequence[str], rows:
 
 
 def _dealt(keys: tuple[str, ...], order: tuple[str, ...], whole: DataFrame | None, hot: DataFrame, rows: int) -> Layout:
-    parts = math.ceil(rows / part_rows(hot.sparkSession))
-    ranged = hot.repartitionByRange(parts, *keys, *order).withColumn(PART, F.spark_partition_id())
+    size = part_rows(hot.sparkSession)
+    ranged = hot.repartitionByRange(math.ceil(rows / max(size, TASK_ROWS)), *keys, *order)
+    if size < TASK_ROWS:
+        # The ids go up by one along the rows of a partition and leave a wide gap between partitions.
+        ranged = ranged.sortWithinPartitions(*keys, *order).withColumn(PART, F.expr(f"monotonically_increasing_id() div {size}"))
+    else:
+        ranged = ranged.withColumn(PART, F.spark_partition_id())
     cut, _ = stored(ranged)
-    return Layout(keys, order, whole, cut, parts)
+    return Layout(keys, order, whole, cut, math.ceil(rows / size))
 
 
 def _totals_before(layout: Layout, sums: dict[str, Column]) -> tuple[DataFrame, int]:
