@@ -8,7 +8,11 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
+from txrisk.datasets import transactions
+from txrisk.operators import sequence
 from txrisk.operators.scoring_set import Linear, ScoringSet
+from txrisk.plans import queries_models  # noqa: F401  (register)
+from txrisk.plans.registry import QUERIES, rounded
 from txrisk.session import settings
 from txrisk.streaming import history, scoring, sources
 
@@ -153,3 +157,22 @@ def test_history_on_a_stream(spark, tmp_path):
 def test_history_with_a_time_limit_builds(spark, folder):
     made = history.stream_history_features(sources.stream_files(spark, folder), limit_ms=60_000)
     assert made.isStreaming and "tx_velocity" in made.columns
+
+
+def test_state_partitions_follow_the_rows():
+    assert history.state_partitions(0) == history.state_partitions(800_000) == 4
+    assert history.state_partitions(36_000_000) == 180
+
+
+def test_a_batch_of_very_many_files_keeps_the_order_of_time(spark, tmp_path):
+    """More files than one trigger used to take, each with rows of all times."""
+    i = F.col("id")
+    events = spark.range(0, 440, 1, 110).select(
+        i.alias("event_id"), F.timestamp_seconds(1_700_000_000 + (i % 4) * 110 * 60 + F.floor(i / 4) * 60).cast("timestamp_ntz").alias("ts"),
+        (i % 2).alias("user_id"), F.lit("view").alias("event_type"), (i % 97).cast("double").alias("value"), F.lit('{"k": 3}').alias("props"),
+    )
+    events.write.parquet(str(tmp_path / "events.parquet"))
+    with settings(spark, {"spark.sql.files.openCostInBytes": 2**27}):
+        streamed = QUERIES["stream_history_features"].run(spark, str(tmp_path))
+        batch = rounded(sequence.account_history(transactions(spark, str(tmp_path))).select(*streamed.columns), *sequence.HISTORY_COLUMNS)
+        assert sorted(map(tuple, streamed.collect())) == sorted(map(tuple, batch.collect()))

@@ -990,14 +990,18 @@ def _(spark, d):
     """The records in three batches by time, the state carried over two restarts."""
     source, out, checkpoint = (scratch_path(spark, n) for n in ("records", "history", "cp"))
     rows = transactions(spark, d).select(*_RECORD)
-    cuts = [0, *(int(c) for c in rows.select(F.percentile_approx(F.unix_micros("timestamp"), [0.33, 0.66])).first()[0]), 2**62]
+    found = rows.select(F.percentile_approx(F.unix_micros("timestamp"), [0.33, 0.66]).alias("at"), F.count(F.lit(1)).alias("n")).first()
+    cuts = [0, *(int(c) for c in found["at"]), 2**62]
+    states = stream_history.STATE_STORE | {"spark.sql.shuffle.partitions": stream_history.state_partitions(found["n"])}
     for low, high in zip(cuts, cuts[1:]):
         at = F.unix_micros("timestamp")
         part = rows.filter((at >= low) & (at < high)).withColumn("transaction_id", F.lpad(F.col("transaction_id").cast("string"), 20, "0"))
         # Microseconds survive the JSON round trip only if asked for.
         part.write.mode("append").option("timestampFormat", "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX").json(source)
-        stream = stream_sources.stream_files(spark, source, files_per_trigger=100)
-        with settings(spark, stream_history.STATE_STORE | {"spark.sql.shuffle.partitions": 4}):
+        # All files of a third go into one batch: cut by files, its rows would not come in the order of their time.
+        n_files = len(spark.read.schema(stream_sources.STREAM_RECORD).json(source).inputFiles())
+        stream = stream_sources.stream_files(spark, source, files_per_trigger=max(100, n_files))
+        with settings(spark, states):
             job = stream_history.stream_history_features(stream).writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint)
             job.trigger(**stream_scoring.trigger_options(once=True)).start().awaitTermination()
     back = spark.read.parquet(out).withColumn("transaction_id", F.col("transaction_id").cast("long"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import pandas as pd
@@ -19,6 +20,19 @@ STATE_STORE = {"spark.sql.streaming.stateStore.providerClass": "org.apache.spark
 _KEPT = T.StructType([T.StructField("us", T.ArrayType(T.LongType())), T.StructField("id", T.ArrayType(T.StringType())), T.StructField("v", T.ArrayType(T.DoubleType()))])
 
 
+#: Rows of a batch that one state partition takes, about.
+STATE_PARTITION_ROWS = 200_000
+
+
+def state_partitions(rows: int, least: int = 4) -> int:
+    """How many partitions the state needs for batches of so many rows; a stream keeps the number it began with."""
+    return max(least, math.ceil(rows / STATE_PARTITION_ROWS))
+
+
+def _number(v) -> float | None:
+    return None if v is None or v != v else float(v)
+
+
 class LastRows(StatefulProcessor):
     """Hands every row the rows before it in time, and keeps the account's last ones.
 
@@ -34,19 +48,29 @@ class LastRows(StatefulProcessor):
         self.state = handle.getValueState("last", _KEPT, self.limit_ms)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        kept: list[tuple[int, str, float | None]] = []
-        if self.state.exists():
-            us, ids, v = self.state.get()
-            kept = list(zip(us, ids, [None if x is None or x != x else float(x) for x in v]))
-        new = pd.concat(list(rows)).sort_values(["us", "row"], kind="stable")
-        given = []
-        for us, row, v in zip(new["us"], new["row"], new["v"]):
-            mine = (int(us), str(row), None if v is None or v != v else float(v))
-            before = [k for k in kept if k[:2] < mine[:2]]
-            given.append([{"s": k[0] // 1_000_000, "v": k[2]} for k in before])
-            kept = sorted([*kept, mine], key=lambda k: k[:2])[-REACH:]
+        frames = list(rows)
+        new = frames[0] if len(frames) == 1 else pd.concat(frames)
+        # The state is asked once: None is an account without any.
+        before = self.state.get()
+        kept = list(zip(*map(list, before))) if before else []
+        kept = [(int(us), str(row), _number(v)) for us, row, v in kept]
+        mine = sorted(zip(map(int, new["us"]), map(str, new["row"]), map(_number, new["v"])), key=lambda k: k[:2])
+        line = [*kept, *mine]
+        if all(a[:2] < b[:2] for a, b in zip(line, line[1:])):
+            # No row is late: a row's history are the rows in front of it.
+            past = [line[max(0, i - REACH) : i] for i in range(len(kept), len(line))]
+            kept = line[-REACH:]
+        else:
+            past = []
+            for row in mine:
+                past.append([k for k in kept if k[:2] < row[:2]])
+                kept = sorted([*kept, row], key=lambda k: k[:2])[-REACH:]
         self.state.update(tuple(map(list, zip(*kept))))
-        yield new.assign(recent=given)
+        us, ids, values = zip(*mine)
+        seconds = [[k[0] // 1_000_000 for k in p] for p in past]
+        yield pd.DataFrame(
+            {"account": [new["account"].iloc[0]] * len(mine), "us": us, "row": ids, "v": pd.Series(values, dtype="float64"), "s": seconds, "w": [[k[2] for k in p] for p in past]}
+        )
 
     def close(self) -> None:
         pass
@@ -68,11 +92,12 @@ def stream_history_features(
     ).filter("account is not null and us is not null and row is not null")
     out = slim.groupBy("account").transformWithStateInPandas(
         statefulProcessor=LastRows(limit_ms),
-        outputStructType=f"account {kind}, us long, row string, v double, recent array<struct<s:long,v:double>>",
+        outputStructType=f"account {kind}, us long, row string, v double, s array<long>, w array<double>",
         outputMode="Append",
         timeMode="ProcessingTime" if limit_ms else "None",
     )
     named = out.select(
-        F.col("row").alias(row_id), F.col("account").alias(account), F.timestamp_micros("us").alias(time), F.col("v").alias(amount), "recent"
+        F.col("row").alias(row_id), F.col("account").alias(account), F.timestamp_micros("us").alias(time), F.col("v").alias(amount),
+        F.arrays_zip(F.col("s"), F.col("w").alias("v")).alias("recent"),
     )
     return features_of_recent(named, "recent", time, amount).drop("recent")
