@@ -231,3 +231,39 @@ def test_lone_minority_row_still_reaches_the_ratio(spark):
     df = spark.createDataFrame([(i, [float(i), 0.0], int(i == 7)) for i in range(21)], "id long, features array<double>, label int")
     made = sampling.smote(df, ratio=0.5).filter("synthetic")
     assert made.count() == 9 and made.filter("features[0] = 7.0 and neighbor_id = 7").count() == 9
+
+
+def test_identical_and_crowded_rows_leave_blocks_as_k_pairs(spark, settings, monkeypatch):
+    """Most rows share one vector or lie close together, far off ones widen the range, and ids repeat."""
+    settings(MAX_BROADCAST_BYTES_CONF, 0)
+    rng = np.random.default_rng(3)
+    X = np.concatenate([np.zeros((300, 2)), rng.normal(scale=1e-6, size=(400, 2)), rng.normal(size=(50, 2)) * 1e4])
+    ids = [*range(len(X))]
+    rows = [(i, x.tolist()) for i, x in zip(ids, X)] + [(5, X[5].tolist()), (720, X[720].tolist())]
+    df = spark.createDataFrame(rows, "id long, features array<double>")
+    made = []
+    monkeypatch.setattr(knn, "stored", lambda t, plain=knn.stored: made.append(plain(t)) or made[-1])
+    got = {}
+    for r in knn.knn_topk(df, df, 4, block_rows=50).collect():
+        got.setdefault(r["query_id"], []).append((r["rank"], r["neighbor_id"]))
+    for i in ids:
+        near = sorted((float(np.sqrt(((X[i] - np.array(x)) ** 2).sum())), j) for j, x in rows if j != i)[:4]
+        times = 2 if i in (5, 720) else 1
+        assert sorted(got[i]) == sorted([(n + 1, j) for n, (_, j) in enumerate(near)] * times), i
+    # Some 750 queries and 4 neighbours: what is written grows with their number alone.
+    assert max(n for _, n in made) <= 4 * 752
+
+
+def test_tree_reaches_all_near_leaves():
+    rng = np.random.default_rng(9)
+    X = np.concatenate([rng.normal(size=(2000, 3)), np.tile([[1.0, 2.0, 3.0]], (500, 1))])
+    none = np.zeros(len(X), int)
+    forest = knn.grow(none, none, X, 16)
+    home = forest.leaf_of(none, none, X)
+    assert home.min() == 0 and home.max() == forest.leaves - 1 and len(np.unique(home)) == forest.leaves
+    reach = np.full(20, 0.3)
+    query, leaf = forest.leaves_near(none[:20], none[:20], X[:20], reach)
+    for i in range(20):
+        within = np.sqrt(((X - X[i]) ** 2).sum(1)) <= 0.3
+        assert set(home[within]) <= set(leaf[query == i])
+    assert (forest.leaf_of(none + 1, none, X) == -1).all()

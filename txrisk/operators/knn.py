@@ -1,11 +1,13 @@
 """Exact k nearest neighbours under Euclidean distance.
 
-Two ways, picked by measured sizes, both exact:
+Three ways, picked by measured sizes, all exact:
 
 * few queries: they are broadcast, every partition of the rows keeps its own top k per query,
   and the partial tops are merged. Rows are never shuffled. With many rows a first pass over a
   hash sample bounds each query's k-th distance, so the main pass emits only closer pairs.
-* many queries: an approximation file holds every row as one byte per dimension and the distance to
+* many queries, short vectors: a tree of cuts, sampled and grown, deals the rows into cells of like size; a
+  query is compared with its own cell and with those that its k-th distance there reaches into.
+* many queries, long vectors: an approximation file holds every row as one byte per dimension and the distance to
   the vector those bytes stand for. A distance to that vector, give or take the row's own error, bounds
   the true one from both sides. Cells around pivot rows are ruled out by the triangle inequality where
   the data allow it; in the other ones the bytes of a block are compared with a block of queries, and
@@ -20,6 +22,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -55,8 +58,8 @@ def _keep_k(q: np.ndarray, r: np.ndarray, tag: np.ndarray, d: np.ndarray, k: int
     return q[keep], r[keep], tag[keep], d[keep]
 
 
-def _block_top(qid, Q, qgroup, bound, rid, R, rgroup, tag, k: int, per_tag: bool = False):
-    """Top k rows of one block per query, or per query and tag.
+def _block_top(qid, Q, qgroup, bound, rid, R, rgroup, tag, k: int, per_tag: bool = False, key=None):
+    """Top k rows of one block per query, or per query and tag. ``key`` stands for a query in the result, else its id.
 
     The matrix product ranks roughly; whatever is within rounding reach of the k-th value gets
     its distance from the differences.
@@ -67,6 +70,7 @@ def _block_top(qid, Q, qgroup, bound, rid, R, rgroup, tag, k: int, per_tag: bool
     if per_tag:
         tops = [_block_top(qid, Q, qgroup, bound, rid[tag == t], R[tag == t], rgroup[tag == t], tag[tag == t], k) for t in np.unique(tag)]
         return tuple(np.concatenate(c) for c in zip(*tops))
+    key = qid if key is None else key
     rr = (R * R).sum(1)
     step = max(1, _PAIRS_PER_STEP // len(rid))
     for s in range(0, len(qid), step):
@@ -83,7 +87,7 @@ def _block_top(qid, Q, qgroup, bound, rid, R, rgroup, tag, k: int, per_tag: bool
         for i in range(0, len(qi), 50_000):
             diff = Q[part][qi[i : i + 50_000]] - R[ri[i : i + 50_000]]
             dist[i : i + 50_000] = np.sqrt((diff * diff).sum(1))
-        out.append(_keep_k(qid[part][qi], rid[ri], tag[ri], dist, k))
+        out.append(_keep_k(key[part][qi], rid[ri], tag[ri], dist, k))
     return tuple(np.concatenate(c) for c in zip(*out))
 
 
@@ -303,6 +307,224 @@ def _by_codes(queries: DataFrame, rows: DataFrame, k: int, n_rows: int, block_ro
     return pairs.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).drop("query_key")
 
 
+# ---- cells ------------------------------------------------------------------------------
+
+#: Vectors up to this long are searched whole in cells of a tree; of longer ones blocks hold one byte per dimension.
+NARROW = 16
+LEAF_ROWS = 1024
+#: More comparisons than this and short vectors go into cells, though the queries could be broadcast.
+SCANNED_PAIRS = 200_000_000
+_MOST_LEAVES = 8192
+_SAMPLED_PER_LEAF = 16
+
+
+@dataclass(frozen=True)
+class Forest:
+    """A tree of cuts per group: node -> (axis, cut, node below, node above); a negative node is leaf ``~node``.
+
+    ``roots`` has the node a group begins with. Groups that are not in it are one cell each.
+    """
+
+    roots: dict[tuple[int, int], int]
+    axis: np.ndarray
+    cut: np.ndarray
+    low: np.ndarray
+    high: np.ndarray
+    leaves: int
+
+    def by_group(self, g: np.ndarray, t: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+        for group in set(zip(g.tolist(), t.tolist())):
+            if group in self.roots:
+                yield self.roots[group], np.flatnonzero((g == group[0]) & (t == group[1]))
+
+    def leaf_of(self, g: np.ndarray, t: np.ndarray, X: np.ndarray) -> np.ndarray:
+        """The leaf of every row, -1 in a group without a tree."""
+        leaf = np.full(len(X), -1, "int32")
+        for root, of in self.by_group(g, t):
+            node = np.full(len(of), root)
+            while (inner := np.flatnonzero(node >= 0)).size:
+                n = node[inner]
+                node[inner] = np.where(X[of[inner], self.axis[n]] <= self.cut[n], self.low[n], self.high[n])
+            leaf[of] = ~node
+        return leaf
+
+    def leaves_near(self, g: np.ndarray, t: np.ndarray, X: np.ndarray, reach: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(query, leaf) for all leaves whose side of the cuts is within ``reach`` of the query."""
+        found = [(np.zeros(0, int), np.zeros(0, int))]
+        for root, of in self.by_group(g, t):
+            query, node = of, np.full(len(of), root)
+            while len(query):
+                done = node < 0
+                found.append((query[done], ~node[done]))
+                query, node = query[~done], node[~done]
+                off = X[query, self.axis[node]] - self.cut[node]
+                below, above = off <= reach[query], -off <= reach[query]
+                query = np.concatenate([query[below], query[above]])
+                node = np.concatenate([self.low[node[below]], self.high[node[above]]])
+        return tuple(np.concatenate(c) for c in zip(*found))
+
+
+def grow(g: np.ndarray, t: np.ndarray, X: np.ndarray, per_leaf: int) -> Forest:
+    """Cut the sampled rows of every group along their widest axis, near the median, down to ``per_leaf`` rows."""
+    nodes: list[list] = []
+    roots, leaves = {}, 0
+    for group in set(zip(g.tolist(), t.tolist())):
+        # (rows, where to write the node's number: parent and side)
+        open_parts: list = [(np.flatnonzero((g == group[0]) & (t == group[1])), None, 0)]
+        while open_parts:
+            of, parent, side = open_parts.pop()
+            spread = np.ptp(X[of], axis=0) if len(of) > per_leaf else np.zeros(1)
+            if spread.max(initial=0.0) > 0:
+                a = int(spread.argmax())
+                values = np.sort(X[of, a])
+                at = values[(len(values) - 1) // 2]
+                at = at if at < values[-1] else values[values < at][-1]
+                number = len(nodes)
+                nodes.append([a, at, 0, 0])
+                below = X[of, a] <= at
+                open_parts += [(of[below], number, 2), (of[~below], number, 3)]
+            else:
+                number, leaves = ~leaves, leaves + 1
+            if parent is None:
+                roots[group] = number
+            else:
+                nodes[parent][side] = number
+    axis, cut, low, high = (np.array(c) for c in zip(*nodes)) if nodes else (np.zeros(0, int),) * 4
+    return Forest(roots, axis, cut, low, high, leaves)
+
+
+_PLACED = "key long, id long, x binary, g int, t int, c int, leaf int, m long"
+_ROUTED = "key long, id long, x binary, g int, c int, leaf int, bound double"
+_DEALT_TO = ["g", "c", "leaf", "block", "qblock"]
+_FOUND = "query_key long, query_id long, neighbor_id long, neighbor_tag int, c int, distance double, m long"
+
+
+def _wide(column: pd.Series, dims: int) -> np.ndarray:
+    return np.frombuffer(b"".join(column), dtype="float64").reshape(len(column), dims)
+
+
+def _by_cells(queries: DataFrame, rows: DataFrame, k: int, dims: int, block_rows: int, per_tag: bool) -> DataFrame:
+    """Cells of about as many rows each, however dense the rows lie, from the cuts of a sampled tree.
+
+    Of rows with the same vector only those of the k + 1 least ids can be among a query's nearest, so no others are
+    searched. A query is compared with all rows of its own cell; the k-th distance there bounds the rest: only cells
+    whose box is that near are searched too. A block gives k rows per query and nothing else leaves it.
+    """
+    spark = rows.sparkSession
+    c = F.col("t") if per_tag else F.lit(0)
+    finite = F.forall("x", lambda v: F.coalesce(F.abs(v) < F.lit(float("inf")), F.lit(False)))
+    # Ids that repeat with their vector are one row with a count.
+    same = rows.filter(finite).groupBy("x", "g", "t", "id").agg(F.count(F.lit(1)).alias("m")).withColumn("c", c)
+    first = F.dense_rank().over(Window.partitionBy("x", "g", "c").orderBy("id"))
+    distinct, n = stored(same.withColumn("_r", first).filter(F.col("_r") <= k + 1).select("id", "x", "g", "t", "c", "m"))
+    asked = queries.filter(finite).withColumn("key", F.monotonically_increasing_id()).select("key", "id", "x", "g")
+    if per_tag:
+        asked = asked.crossJoin(F.broadcast(distinct.select("c").distinct()))
+    else:
+        asked = asked.withColumn("c", F.lit(0))
+    leaf_rows = min(LEAF_ROWS, block_rows)
+    leaves = min(_MOST_LEAVES, max(1, math.ceil(n / leaf_rows)))
+    share = min(1.0, leaves * _SAMPLED_PER_LEAF / max(n, 1))
+    sample = distinct.filter(F.pmod(F.xxhash64("x", "id"), F.lit(1 << 30)) < int(share * (1 << 30))).select("g", "c", "x").toPandas()
+    forest = grow(sample["g"].to_numpy("int64"), sample["c"].to_numpy("int64"), _matrix(sample["x"]), max(1, math.ceil(share * n / leaves)))
+    shared = spark.sparkContext.broadcast(forest)
+
+    def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            if len(b):
+                X = _matrix(b["x"])
+                leaf = shared.value.leaf_of(b["g"].to_numpy("int64"), b["c"].to_numpy("int64"), X)
+                yield b.assign(x=[v.tobytes() for v in X], leaf=leaf)[[f.split()[0] for f in _PLACED.split(", ")]]
+
+    file, _ = stored(distinct.withColumn("key", F.lit(0)).mapInPandas(place, _PLACED))
+    homes, _ = stored(asked.withColumns({"t": F.lit(0), "m": F.lit(1)}).mapInPandas(place, _PLACED))
+
+    unpack = F.udf(lambda x: np.frombuffer(x, "float64").tolist(), "array<double>")
+    flat = file.filter("leaf >= 0").withColumn("v", unpack("x"))
+    edges = [f(F.get("v", F.lit(i))).alias(f"{n}{i}") for n, f in (("low", F.min), ("high", F.max)) for i in range(dims)]
+    blocks, low, high = np.ones(forest.leaves + 1, "int64"), np.full((forest.leaves, dims), np.inf), np.full((forest.leaves, dims), -np.inf)
+    for s in flat.groupBy("leaf").agg(F.count(F.lit(1)).alias("n"), *edges).collect():
+        blocks[s["leaf"]] = math.ceil(s["n"] / block_rows)
+        low[s["leaf"]], high[s["leaf"]] = [s[f"low{i}"] for i in range(dims)], [s[f"high{i}"] for i in range(dims)]
+    boxes = spark.sparkContext.broadcast((low, high))
+
+    def searched(routed: DataFrame) -> DataFrame:
+        """The k nearest of every query in each block of the leaf it is routed to."""
+        pieces = np.ones(forest.leaves + 1, "int64")
+        for s in routed.filter("leaf >= 0").groupBy("leaf").count().collect():
+            pieces[s["leaf"]] = math.ceil(s["count"] / block_rows)
+        cut = spark.sparkContext.broadcast((blocks, pieces))
+
+        def dealt(side: str):
+            def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+                n_blocks, n_pieces = cut.value
+                mine, other, name, copied = (n_blocks, n_pieces, "block", "qblock") if side == "row" else (n_pieces, n_blocks, "qblock", "block")
+                for b in batches:
+                    leaf, h = b["leaf"].to_numpy(), b.pop("h").to_numpy("int64")
+                    times = other[leaf]
+                    at = np.repeat(np.arange(len(b)), times)
+                    number = np.arange(len(at)) - np.repeat(np.cumsum(times) - times, times)
+                    yield b.iloc[at].assign(**{name: (h % mine[leaf])[at].astype("int32"), copied: number.astype("int32")})
+
+            return deal
+
+        hashed = F.pmod(F.xxhash64("key", "id", "x"), F.lit(1 << 30)).alias("h")
+        left = routed.select("*", hashed).mapInPandas(dealt("query"), _ROUTED + ", qblock int, block int")
+        right = file.select("id", "x", "g", "t", "c", "leaf", "m", hashed).mapInPandas(
+            dealt("row"), "id long, x binary, g int, t int, c int, leaf int, m long, block int, qblock int"
+        )
+
+        def search(q: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
+            if not len(q) or not len(r):
+                return pd.DataFrame({f.split()[0]: [] for f in _FOUND.split(", ")})
+            number, no_group = np.arange(len(q)), np.zeros(1, "int32")
+            at, neighbor, row, distance = _block_top(
+                q["id"].to_numpy("int64"), _wide(q["x"], dims), np.zeros(len(q), "int32"), q["bound"].to_numpy("float64"),
+                r["id"].to_numpy("int64"), _wide(r["x"], dims), np.broadcast_to(no_group, len(r)), np.arange(len(r), dtype="int32"), k, key=number,
+            )
+            return pd.DataFrame(
+                {
+                    "query_key": q["key"].to_numpy()[at], "query_id": q["id"].to_numpy()[at], "neighbor_id": neighbor,
+                    "neighbor_tag": r["t"].to_numpy()[row], "c": q["c"].to_numpy()[at], "distance": distance, "m": r["m"].to_numpy()[row],
+                }
+            )
+
+        return left.groupBy(*_DEALT_TO).cogroup(right.groupBy(*_DEALT_TO)).applyInPandas(search, _FOUND)
+
+    def ranked(pairs: DataFrame) -> DataFrame:
+        best = Window.partitionBy("query_key", "c").orderBy("distance", "neighbor_id")
+        return pairs.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
+
+    open_ends = homes.withColumn("bound", F.lit(float("inf")))
+    near, _ = stored(ranked(searched(open_ends.select("key", "id", "x", "g", "c", "leaf", "bound"))))
+    limits = near.filter(F.col("rank") == k).select(F.col("query_key").alias("key"), "c", F.col("distance").alias("bound"))
+    bounded = homes.filter("leaf >= 0").join(limits, ["key", "c"], "left").withColumn("bound", F.coalesce("bound", F.lit(float("inf"))))
+
+    def route(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            if not len(b):
+                continue
+            X, bound = _wide(b["x"], dims), b["bound"].to_numpy("float64")
+            reach = bound * (1 + 1e-9) + 1e-9
+            at, leaf = shared.value.leaves_near(b["g"].to_numpy("int64"), b["c"].to_numpy("int64"), X, reach)
+            other = leaf != b["leaf"].to_numpy()[at]
+            at, leaf = at[other], leaf[other]
+            box_low, box_high = boxes.value
+            keep = np.zeros(len(at), bool)
+            for s in range(0, len(at), 100_000):
+                a, on = at[s : s + 100_000], leaf[s : s + 100_000]
+                off = np.maximum(np.maximum(box_low[on] - X[a], X[a] - box_high[on]), 0.0)
+                keep[s : s + 100_000] = np.sqrt((off * off).sum(1)) <= reach[a]
+            at, leaf = at[keep], leaf[keep]
+            yield b.iloc[at].assign(leaf=leaf.astype("int32"))
+
+    routed, _ = stored(bounded.select("key", "id", "x", "g", "c", "leaf", "bound").mapInPandas(route, _ROUTED))
+    pairs = near.drop("rank").unionByName(searched(routed))
+    counted = ranked(pairs).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.least("m", F.lit(k)).cast("int"))))
+    out = ranked(counted.drop("rank", "_copy")).select("query_id", "neighbor_id", "neighbor_tag", "distance", "rank")
+    return stored(out)[0]
+
+
 def _numbered(q: DataFrame, r: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Both tables with ids numbered in their order, and the numbers."""
     ids, _ = stored(q.select("id").unionByName(r.select("id")).filter(F.col("id").isNotNull()).distinct())
@@ -334,8 +556,12 @@ def knn_topk(
     q, r = (t.filter(F.col("id").isNotNull()).withColumn("id", F.col("id").cast("long")) for t in (q, r))
     size = q.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.max(F.size("x")), F.lit(0)).alias("d")).first()
     n_rows = r.count()
-    if size["n"] * (size["d"] * 8 + 64) <= max_broadcast_bytes(queries.sparkSession) or not n_rows:
+    narrow = 0 < size["d"] <= NARROW
+    few = size["n"] * (size["d"] * 8 + 64) <= max_broadcast_bytes(queries.sparkSession) and not (narrow and size["n"] * n_rows > SCANNED_PAIRS)
+    if few or not n_rows:
         pairs = _by_broadcast(q, r, k, n_rows > SAMPLE_ABOVE, per_tag)
+    elif narrow:
+        pairs = _by_cells(q, r, k, size["d"], block_rows, per_tag)
     else:
         pairs = _by_codes(q, r, k, n_rows, block_rows, per_tag)
     if numbers is None:

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from txrisk.functions import scalar
-from txrisk.operators import clean, evaluation, models, prep, sampling, scoring
+from txrisk.operators import clean, evaluation, models, ordering, prep, sampling, scoring
 from txrisk.operators.scoring_set import Linear, ScoringSet, linear_part, preparation
 from txrisk.operators.sequence import account_history
 from txrisk.session import ensure_checkpoint_dir
@@ -130,6 +130,9 @@ def training_job(
     assembled = prepared.prepare(split).select(F.col(row_id).alias("id"), F.col(label).alias("label"), "split", "features")
     parts = {s: assembled.filter(F.col("split") == s).drop("split") for s in ("train", "val", "test")}
     fit_rows = resampled(parts["train"], technique, **sampling_options)
+    if technique not in (None, "none"):
+        # Read by every pass of the fit; made once.
+        fit_rows, _ = ordering.stored(fit_rows)
     if loss is not None:
         model: Model | Linear = models.train_loss(fit_rows, loss)
     elif kind in ("logistic", "gbt"):
