@@ -54,8 +54,17 @@ def test_short_parts_share_a_task(spark, settings):
     parts = layout.cut.groupBy("_part").agg(F.count("*").alias("n"), F.min(F.struct("g", "o")).alias("lo"), F.max(F.struct("g", "o")).alias("hi")).orderBy("_part").collect()
     assert sum(p["n"] for p in parts) == 4000 and len(parts) >= 800 and max(p["n"] for p in parts) <= 5
     assert all(a["hi"] < b["lo"] for a, b in zip(parts, parts[1:]))
-    # One file per task that dealt rows.
-    assert len(layout.cut.inputFiles()) <= 2
+    # One range of the partitioner deals all of them: parts are numbered within it.
+    assert len({p["_part"] >> 33 for p in parts}) == 1
+
+
+def test_rows_equal_in_order_stay_in_one_part(spark, settings):
+    settings(MAX_GROUP_ROWS_CONF, 100)
+    settings(PART_ROWS_CONF, 5)
+    rows = spark.range(4000).select((F.col("id") % 2).alias("g"), F.floor(F.col("id") / 6).alias("o"))
+    cut = split_groups(rows, ["g"], ["o"]).cut
+    assert cut.groupBy("g", "o").agg(F.count_distinct("_part").alias("n")).agg(F.max("n")).first()[0] == 1
+    assert cut.count() == 4000 and cut.select("_part").distinct().count() > 500
 
 
 def test_no_array_and_no_edges_in_the_plan_of_split_groups(spark, small_groups):

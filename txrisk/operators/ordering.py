@@ -121,8 +121,10 @@ def _dealt(keys: tuple[str, ...], order: tuple[str, ...], whole: DataFrame | Non
     size = part_rows(hot.sparkSession)
     ranged = hot.repartitionByRange(math.ceil(rows / max(size, TASK_ROWS)), *keys, *order)
     if size < TASK_ROWS:
-        # The ids go up by one along the rows of a partition and leave a wide gap between partitions.
-        ranged = ranged.sortWithinPartitions(*keys, *order).withColumn(PART, F.expr(f"monotonically_increasing_id() div {size}"))
+        # Rows that are equal in order have one rank, so that no part ends between them.
+        place = F.rank().over(Window.partitionBy("_dealt_task").orderBy(*keys, *order)) - 1
+        ranged = ranged.withColumn("_dealt_task", F.spark_partition_id().cast("long")).withColumn("_dealt_at", F.floor(place / size))
+        ranged = ranged.withColumn(PART, F.shiftleft("_dealt_task", 33) + F.col("_dealt_at")).drop("_dealt_task", "_dealt_at")
     else:
         ranged = ranged.withColumn(PART, F.spark_partition_id())
     cut, _ = stored(ranged)
@@ -215,7 +217,10 @@ def _halo_rows(layout: Layout, reach: int, keep_first: bool) -> DataFrame:
         heads = cut.withColumn("_r", first).filter(F.col("_r") == 1).drop("_r", PART)
         most = numbered.groupBy(*keys).agg(F.max("_no").alias("_most")).filter("_most > 1")
         everywhere = _null_safe_join(heads, most, keys, "inner", n).withColumn("_no", F.explode(F.sequence(F.lit(2), F.col("_most"))))
-        halo = halo.unionByName(everywhere.select(*halo.columns)).dropDuplicates([*keys, "_no", *layout.order])
+        # The first row goes in unless it is there; of equal rows in the halo each one counts.
+        twin = F.row_number().over(Window.partitionBy(*keys, "_no", *layout.order).orderBy(*layout.order))
+        halo = halo.withColumn("_twin", twin).unionByName(everywhere.select(*halo.columns).withColumn("_twin", F.lit(1)))
+        halo = halo.dropDuplicates([*keys, "_no", *layout.order, "_twin"]).drop("_twin")
     back = numbered.select(*[F.col(k).alias(f"_h{i}") for i, k in enumerate(keys)], F.col("_no").alias("_hno"), PART)
     here = [F.col(k).eqNullSafe(F.col(f"_h{i}")) for i, k in enumerate(keys)] + [F.col("_no") == F.col("_hno")]
     return halo.join(back, here, "inner").select(*columns)
