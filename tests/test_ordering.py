@@ -215,3 +215,11 @@ def test_first_by_hash_is_exact(spark, small_groups):
     taken = first_by_hash(df, "sender_account", "transaction_id", 5, {0: 77, 1: 3, 2: 10_000}, counts)
     sizes = key_counts(taken, "sender_account")
     assert sizes == {0: 77, 1: 3, 2: counts[2]}
+
+
+def test_history_counts_equal_rows_at_part_borders(spark, settings):
+    rows = skewed(spark, 60).filter("sender_account = 0")
+    twice = rows.unionByName(rows)
+    settings(PART_ROWS_CONF, 3)
+    plain, split = both_ways(spark, settings, lambda: sequence.history_features(twice), "transaction_id", "hours_since_prev")
+    assert plain == split
