@@ -7,6 +7,8 @@ sequence crosses documents and none needs padding; sequences of equal length for
 
 from __future__ import annotations
 
+import functools
+import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -18,7 +20,7 @@ from pyspark.sql import functions as F
 
 from txrisk.llm.batches import small_batches
 
-#: Words a task remembers per generation; the generation before is kept too.
+#: Words a Python worker remembers per generation; the generation before is kept too.
 CACHE_WORDS = 400_000
 #: About how many pieces share a numbering slot.
 SLOT_PIECES = 1 << 16
@@ -36,66 +38,87 @@ def _kinds() -> np.ndarray:
 _KIND = _kinds()
 
 
-def cut_words(raw: bytes) -> list[bytes]:
-    """Words of a text, also cut between ASCII letters or digits and signs, where every pre-token ends.
+def cut_words(raws: list[bytes]) -> list[list[bytes]]:
+    """Words of texts, also cut between ASCII letters or digits and signs, where every pre-token ends.
 
     An apostrophe may begin a pre-token with letters in it, so there is no cut next to one; nor is there next to
     other characters, whose kind depends on more than a byte.
     """
-    if b"<|" in raw:  # a special token keeps its signs and its case
-        return raw.split()
-    raw = raw.lower()
-    kinds = _KIND[np.frombuffer(raw, dtype=np.uint8)]
+    special = [b"<|" in raw for raw in raws]  # a special token keeps its signs and its case
+    ends = np.cumsum([0 if as_is else len(raw) + 1 for raw, as_is in zip(raws, special)])
+    joined = np.frombuffer(b"".join([raw.lower() + b" " for raw, as_is in zip(raws, special) if not as_is]), dtype=np.uint8)
+    kinds = _KIND[joined]
     at = np.flatnonzero(kinds[1:] * kinds[:-1] == 2) + 1
-    if len(at):
-        raw = np.insert(np.frombuffer(raw, dtype=np.uint8), at, 32).tobytes()
-    return raw.split()
+    cut = np.insert(joined, at, 32).tobytes()
+    ends = (ends + np.searchsorted(at, ends)).tolist()
+    return [raw.split() if as_is else cut[i:j].split() for raw, as_is, i, j in zip(raws, special, [0, *ends], ends)]
 
 
-class WordIds:
+#: Words of ASCII characters but the apostrophe, and Latin-1 letters: their normal form and pre-tokens are plain.
+_PLAIN = re.compile("[!-&(-~\u00aa\u00b5\u00ba\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+")
+_PRE_TOKEN = re.compile("[a-z\u00aa\u00b5\u00ba\u00df-\u00f6\u00f8-\u00ff]+|[0-9]|[^a-z0-9\u00aa\u00b5\u00ba\u00df-\u00f6\u00f8-\u00ff]+")
+#: Words on which the plain way is compared with the library before it is taken.
+_PROBES = ["Word", "straße,", "a1b22--c", "\u00c0\u00d6\u00d8\u00de\u00aa\u00b5\u00ba\u00ff", "(x).", "~!", "q" * 300]
+
+
+def _byte_signs() -> dict[int, str]:
+    """What the byte-level alphabet has for bytes that are no visible character of Latin-1."""
+    seen = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    return {byte: chr(256 + i) for i, byte in enumerate(b for b in range(256) if b not in seen)}
+
+
+_BYTE_SIGN = _byte_signs()
+
+
+class WordIds(dict):
     """Ids of texts by way of their words: this tokenizer's pre-tokens never hold white space.
 
-    Ids are kept as little-endian unsigned 32-bit bytes. The library sees each new word of a batch once; words
-    that are one pre-token (letters only) are given to it many at a time, as one text.
+    Ids are kept as little-endian unsigned 32-bit bytes; a word that is missing is learned. Plain words are cut into
+    their pre-tokens here, which go to the library's model; other words go through the whole tokenizer.
     """
 
     def __init__(self, file: str):
         from tokenizers import Tokenizer
 
+        super().__init__()
         self._tokenizer = Tokenizer.from_file(file)
-        self._new: dict[bytes, bytes] = {}
+        self._tokenize = self._tokenizer.model.tokenize
         self._old: dict[bytes, bytes] = {}
-
-    def _learn(self, words: set[bytes]) -> None:
-        """Have all these words in the newer generation."""
-        known, old = self._new, self._old
-        letters, other = [], []
-        for word in [w for w in words if w not in known]:
-            ids = old.get(word)
-            if ids is not None:
-                known[word] = ids
-                continue
-            text = word.decode("utf-8")
-            (letters if text.isalpha() and text.lower().isalpha() else other).append((word, text))
-        for at in range(0, len(letters), 512):
-            part = letters[at : at + 512]
-            e = self._tokenizer.encode(" ".join([text for _, text in part]), add_special_tokens=False)
-            ends = np.cumsum(np.bincount(np.array(e.word_ids), minlength=len(part))) * 4
-            if len(ends) != len(part):  # the library cuts one of them after all
-                other += part
-                continue
-            raw, ends = np.array(e.ids, dtype="<u4").tobytes(), ends.tolist()
-            known.update((word, raw[i:j]) for (word, _), i, j in zip(part, [0, *ends], ends))
-        found = self._tokenizer.encode_batch_fast([text for _, text in other], add_special_tokens=False)
-        known.update((word, struct.pack(f"<{len(e.ids)}I", *e.ids)) for (word, _), e in zip(other, found))
+        self._plain = all(self._plain_ids(text) == self._library_ids(text) for text in _PROBES)
+
+    def _library_ids(self, text: str) -> list[int]:
+        return self._tokenizer.encode(text, add_special_tokens=False).ids
+
+    def _plain_ids(self, text: str) -> list[int]:
+        pieces = _PRE_TOKEN.findall(text.lower())
+        signs = [piece.encode("utf-8").decode("latin-1").translate(_BYTE_SIGN) for piece in pieces]
+        return [token.id for piece in signs for token in self._tokenize(piece)]
+
+    def __missing__(self, word: bytes) -> bytes:
+        ids = self._old.get(word)
+        if ids is None:
+            if self._plain and word.isalpha():  # ASCII letters only
+                found = [token.id for token in self._tokenize(word.lower().decode("ascii"))]
+            else:
+                text = word.decode("utf-8")
+                plain = self._plain and _PLAIN.fullmatch(text) and "<|" not in text
+                found = self._plain_ids(text) if plain else self._library_ids(text)
+            ids = struct.pack(f"<{len(found)}I", *found)
+        self[word] = ids
+        return ids
 
     def encode_batch(self, texts: list[str], end: int) -> list[bytes]:
-        split = [cut_words(text.encode("utf-8")) for text in texts]
-        if len(self._new) >= CACHE_WORDS:
-            self._old, self._new = self._new, {}
-        self._learn(set().union(*split))
+        if len(self) >= CACHE_WORDS:
+            self._old = dict(self)
+            self.clear()
         last = struct.pack("<I", end)
-        return [b"".join(map(self._new.__getitem__, words)) + last for words in split]
+        return [b"".join(map(self.__getitem__, words)) + last for words in cut_words([text.encode("utf-8") for text in texts])]
+
+
+@functools.lru_cache(maxsize=1)
+def word_ids(file: str) -> WordIds:
+    """The words that this Python worker knows; its later tasks need not learn them again."""
+    return WordIds(file)
 
 
 def binary_pieces(n: int, longest: int) -> Iterator[tuple[int, int]]:
@@ -122,7 +145,7 @@ def pack(documents: DataFrame, tokenizer_file: str, longest: int = 2048, end_id:
         raise ValueError("the longest sequence must be a power of two")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        words = WordIds(tokenizer_file)
+        words = word_ids(tokenizer_file)
         for batch in batches:
             for at in range(0, len(batch), 256):
                 part, rows = batch.iloc[at : at + 256], []
