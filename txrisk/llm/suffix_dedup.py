@@ -26,7 +26,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from txrisk.llm.batches import small_batches
@@ -128,8 +128,8 @@ def transform_of(strings: list[bytes], depth: int) -> Transform:
         rank[order] = np.cumsum(np.concatenate([[False], ordered[1:] != ordered[:-1]]))
         if known >= depth or rank[order[-1]] == n - 1:
             break
-        wide = 6 if known == 1 else 2
         base = n + 1 if known > 1 else 257 + len(strings)
+        wide = 6 if known == 1 else 3 if base**3 < 1 << 63 else 2
         key = rank.copy()
         for i in range(1, wide):
             key *= base
@@ -174,18 +174,44 @@ def repeated_starts(strings: list[bytes], width: int, shard: int) -> tuple[np.nd
     rows = rows[np.argsort(first, kind="stable")]
     part = np.sort(first).astype(np.int32)
     rows, part = _still_together(rows, part)
-    for _ in range(1, width):
+    known = 1
+    if width % 2 == 0:
+        rows, part = _dealt(rows, part, symbol, step)
+        known += 1
+    # What is left to read is even: two symbols at a time, numbered by those that occur so that a pair is dealt by a
+    # radix sort.
+    occurs = np.zeros(257, dtype=bool)
+    occurs[symbol] = True
+    number = np.cumsum(occurs) - 1
+    two = 2 if number[-1] < 256 else 1
+    if two == 2:
+        dense = number.astype(np.uint16)[symbol]
+        symbol = dense[step] * np.uint16(number[-1] + 1) + dense
+        step = step[step]
+    for _ in range(known, width, two):
         if not len(rows):
             break
-        dealt = symbol[rows]
-        order = np.argsort(dealt, kind="stable")
-        dealt, part = dealt[order], part[order]
-        rows = step[rows[order]]
-        part = np.cumsum(np.concatenate([[False], (dealt[1:] != dealt[:-1]) | (part[1:] != part[:-1])]), dtype=np.int32)
-        rows, part = _still_together(rows, part)
+        rows, part = _dealt(rows, part, symbol, step)
     return np.concatenate(of_string)[rows], np.concatenate(start_of)[rows], part
 
 
+def _dealt(rows: np.ndarray, part: np.ndarray, symbol: np.ndarray, step: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """One round: the rows one step on, in their new order and parts, without those that are alone."""
+    dealt = symbol[rows]
+    order = np.argsort(dealt, kind="stable")
+    dealt, part = dealt[order], part[order]
+    new = np.empty(len(part), dtype=bool)
+    new[:1] = False
+    np.not_equal(dealt[1:], dealt[:-1], out=new[1:])
+    new[1:] |= part[1:] != part[:-1]
+    # A row is alone where a part begins with it and the next one begins after it.
+    alone = np.empty(len(part), dtype=bool)
+    alone[:1], alone[1:] = True, new[1:]
+    alone[:-1] &= new[1:]
+    keep = np.flatnonzero(~alone)
+    return step[rows[order[keep]]], np.cumsum(new, dtype=np.int32)[keep]
+
+
 def symbol_in_front(rows: np.ndarray, symbol: np.ndarray, step: np.ndarray) -> np.ndarray:
     """First symbols of rows: what the transform has before the row that steps to them."""
     first = np.empty_like(symbol)
@@ -201,6 +227,15 @@ def _still_together(rows: np.ndarray, part: np.ndarray) -> tuple[np.ndarray, np.
     return rows[keep], part[keep]
 
 
+def later_places(place: np.ndarray, interval: np.ndarray) -> np.ndarray:
+    """Sorted distinct places that aren't the first one of an interval; equal intervals follow each other."""
+    if not len(place):
+        return place
+    at = np.flatnonzero(np.concatenate([[True], interval[1:] != interval[:-1]]))
+    first = np.repeat(np.minimum.reduceat(place, at), np.diff(np.append(at, len(place))))
+    return np.unique(place[place != first])
+
+
 # -- the Spark job -----------------------------------------------------------------------------------------------
 
 
@@ -313,9 +348,9 @@ def _covered(texts: DataFrame, p: RepeatedStrings) -> DataFrame:
     if later.count() * 64 <= max_broadcast_bytes(texts.sparkSession):
         # Not needed for the result: contexts of whole copies would be merged below.
         texts = texts.join(F.broadcast(later.select("d", "t")), ["d", "t"], "left_anti")
-    anchors = _anchors(texts, p)
-    repeated = anchors.groupBy("run").agg(F.count("*").alias("n")).where("n > 1").select("run")
-    found = anchors.join(repeated, "run").groupBy("d", "t")
+    # Counted in place: the texts are hashed once and the runs travel once.
+    anchors = _anchors(texts, p).withColumn("n", F.count("*").over(Window.partitionBy("run")))
+    found = anchors.where("n > 1").groupBy("d", "t")
     found = found.agg(F.collect_list("at").alias("places"), F.collect_list("run").alias("runs"), F.collect_list("reach").alias("reaches"))
     contexts = _stored(_contexts(texts.select("d", "t", "raw").join(found, ["d", "t"]), p), "contexts")
 
@@ -324,9 +359,9 @@ def _covered(texts: DataFrame, p: RepeatedStrings) -> DataFrame:
     merged = contexts.groupBy("run", "digest").agg(F.min(first).alias("first"), F.count("*").alias("n"))
     merged = _stored(merged, "merged")
     copies = (
-        contexts.select("run", "digest", "d", "t", "begin", "stop")
+        contexts.select("digest", "d", "t", "begin", "stop")
         .where(F.col("stop") - F.col("begin") >= p.width)
-        .join(merged.where("n > 1").select("run", "digest", "first"), ["run", "digest"])
+        .join(merged.where("n > 1").select("digest", "first"), "digest")  # of equal contexts, so of one run
         .where((F.col("d") != F.col("first.d")) | (F.col("t") != F.col("first.t")) | (F.col("begin") != F.col("first.begin")))
         .select("d", "t", "begin", "stop")
     )
@@ -343,21 +378,16 @@ def _covered(texts: DataFrame, p: RepeatedStrings) -> DataFrame:
         if not len(part):
             return pd.DataFrame({"d": [], "t": [], "begin": [], "stop": []})
         string, start, interval = repeated_starts([bytes(c) for c in part["context"]], p.width, p.shard)
-        rows = pd.DataFrame({"d": part["d"].to_numpy()[string], "t": part["t"].to_numpy()[string], "interval": interval})
-        rows["begin"] = part["begin"].to_numpy()[string] + start
-        rows = rows.sort_values(["interval", "d", "t", "begin"], ignore_index=True)
-        head = rows.drop_duplicates("interval")
-        rows = rows.merge(head, on="interval", suffixes=("", "0"))
-        rows = rows[(rows["d"] != rows["d0"]) | (rows["t"] != rows["t0"]) | (rows["begin"] != rows["begin0"])]
-        rows = rows.drop_duplicates(["d", "t", "begin"]).sort_values(["d", "t", "begin"])
-        if not len(rows):
-            return pd.DataFrame({"d": [], "t": [], "begin": [], "stop": []})
-        # Starts that overlap or touch become one stretch.
-        d, t, b = (rows[c].to_numpy() for c in ("d", "t", "begin"))
-        new = np.concatenate([[True], (d[1:] != d[:-1]) | (t[1:] != t[:-1]) | (b[1:] > b[:-1] + p.width)])
-        at = np.flatnonzero(new)
-        last = np.append(at[1:], len(b)) - 1
-        return pd.DataFrame({"d": d[at], "t": t[at], "begin": b[at], "stop": b[last] + p.width})
+        d, t, begin = (part[c].to_numpy() for c in ("d", "t", "begin"))
+        # Contexts go by document, so a document's number and a place in it are in the order of first places.
+        document = np.cumsum(np.concatenate([[False], (d[1:] != d[:-1]) | (t[1:] != t[:-1])]))
+        head = np.flatnonzero(np.concatenate([[True], document[1:] != document[:-1]]))
+        place = later_places((document[string] << 32) + begin[string] + start, interval)
+        # Starts that overlap or touch become one stretch; a document's last start is far from the next one's first.
+        new = np.flatnonzero(np.diff(place, prepend=-1 - p.width) > p.width)
+        last = place[np.append(new[1:], len(place)) - 1] if len(new) else place
+        first, low = head[place[new] >> 32], (1 << 32) - 1
+        return pd.DataFrame({"d": d[first], "t": t[first], "begin": place[new] & low, "stop": (last & low) + p.width})
 
     within = dealt.groupBy("portion").applyInPandas(merge, "d long, t long, begin long, stop long")
 
