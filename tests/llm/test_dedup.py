@@ -1,18 +1,21 @@
 from __future__ import annotations
 
 import hashlib
+import random
+import time
 from collections import defaultdict
 
 import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from txrisk.llm import near_dedup
 from txrisk.llm.components import connected_components
 from txrisk.llm.exact_dedup import ExtendibleHash, build_index, exact_groups, keep_one_of_equal
 from txrisk.llm.near_dedup import NearDedup, keep_one_per_component, near_components
-from txrisk.llm.suffix_dedup import RepeatedStrings, picked_runs, remove_repeats, repeated_starts, transform_of
+from txrisk.llm.suffix_dedup import RepeatedStrings, _stored, later_places, picked_runs, remove_repeats, repeated_starts, transform_of
 
 
 def shingles(text, n):
@@ -256,3 +259,46 @@ def test_every_window_picks_a_run_by_its_content_only(data):
         own = picked_runs(np.frombuffer(data[b : b + 12], dtype=np.uint8), p)[0]
         assert picked == set(own.tolist())
         assert by_content.setdefault(data[b : b + 12], picked) == picked
+
+
+@pytest.mark.parametrize("width", [7, 8])
+@pytest.mark.parametrize("values", [3, 256])
+def test_rounds_of_two_symbols_reach_any_width(width, values):
+    """All 256 bytes and the end mark are too many for pairs; an even width leaves an odd number of rounds."""
+    rng = random.Random(width)
+    every = [bytes(range(256))] if values == 256 else []
+    strings = every + [bytes(rng.randrange(values) for _ in range(60)) for _ in range(30)]
+    strings += [b"head" + s[5:40] for s in strings]
+    want = defaultdict(set)
+    for s, x in enumerate(strings):
+        for b in range(len(x) - width + 1):
+            want[x[b : b + width]].add((s, b))
+    got = defaultdict(set)
+    for s, b, i in zip(*(x.tolist() for x in repeated_starts(strings, width, 16))):
+        got[i].add((s, b))
+    assert sorted(map(sorted, got.values())) == sorted(sorted(v) for v in want.values() if len(v) > 1)
+
+
+def test_later_places_leave_out_the_first_of_each_interval():
+    place = np.array([5, 9, 5, 7, 2, 8, 5])
+    interval = np.array([0, 0, 1, 1, 2, 2, 2])
+    assert later_places(place, interval).tolist() == [5, 7, 8, 9]
+    assert later_places(place[:0], interval[:0]).tolist() == []
+
+
+def test_stored_tables_keep_no_shuffle_files(spark):
+    blocks = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def shuffled():
+        files = blocks.getAllFiles()
+        return {f.toString() for f in map(files.apply, range(files.size())) if "shuffle_" in f.getName()}
+
+    spark.sparkContext._jvm.System.gc()
+    before = shuffled()
+    stored = _stored(spark.range(5000).repartition(7, "id").groupBy((F.col("id") % 90).alias("k")).count(), "test")
+    for _ in range(50):
+        left = shuffled() - before
+        if not left:
+            break
+        time.sleep(0.2)
+    assert not left and stored.count() == 90

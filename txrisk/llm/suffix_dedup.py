@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from txrisk.llm.batches import small_batches
 from txrisk.llm.text_hash import window_hashes
-from txrisk.session import ensure_checkpoint_dir, max_broadcast_bytes, scratch_path
+from txrisk.session import ensure_checkpoint_dir, max_broadcast_bytes, scratch_path, settings
 
 
 @dataclass(frozen=True)
@@ -310,10 +310,15 @@ def _cut_out(firsts: DataFrame, texts: DataFrame) -> DataFrame:
     )
 
 
+#: Spark removes what a query shuffled when the query ends, not when the driver next collects garbage.
+_CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def _stored(df: DataFrame, name: str) -> DataFrame:
-    """Cut the lineage with a compressed table in the shared folder."""
+    """Cut the lineage with a compressed table in the shared folder; the shuffles behind it are not kept."""
     path = scratch_path(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
+    with settings(df.sparkSession, {_CLEAN_UP: "true"}):
+        df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -389,7 +394,7 @@ def _covered(texts: DataFrame, p: RepeatedStrings) -> DataFrame:
         first, low = head[place[new] >> 32], (1 << 32) - 1
         return pd.DataFrame({"d": d[first], "t": t[first], "begin": place[new] & low, "stop": (last & low) + p.width})
 
-    within = dealt.groupBy("portion").applyInPandas(merge, "d long, t long, begin long, stop long")
+    within = _stored(dealt.groupBy("portion").applyInPandas(merge, "d long, t long, begin long, stop long"), "within")
 
     shifts = F.sequence(F.lit(0), F.octet_length("context") - p.width)
     windows = (
