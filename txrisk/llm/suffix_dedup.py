@@ -10,8 +10,9 @@ first dealt out such that equal strings meet:
    Equal contexts (by a 128-bit digest) are merged by Spark: all but the first occurrence are covered.
 3. Contexts that differ are dealt by run. In each dealt portion shards of contexts get a suffix order and a
    Burrows-Wheeler transform of their own. The transforms are merged by refining their interleave: reading the
-   symbols in the order reached so far and dealing them stably by symbol sorts by one symbol more. The round in which two
-   neighbours part gives their common prefix; after ``width`` rounds, what is still together is a repeated
+   symbols in the order reached so far and dealing them stably by symbol sorts by one symbol more (two are read at
+   once where few enough occur). The round in which two neighbours part tells their common prefix; after ``width``
+   symbols, what is still together is a repeated
    interval. No suffix of another shard is looked at and none is sorted again.
 4. A run with very many different contexts is cut into its windows, which Spark groups by their bytes.
 """
@@ -146,10 +147,10 @@ def repeated_starts(strings: list[bytes], width: int, shard: int) -> tuple[np.nd
 
     Shards are merged by refining the interleave of their rows. A round takes the rows in the order reached, which is
     by their first symbols, and deals them stably by the symbol before; one step on, they are in order by one symbol
-    more. Neighbours with another symbol, or from parts that were apart already, part here, and the round is the length
+    more. (Two symbols are dealt as one where a pair of them fits 16 bits.) Neighbours with another symbol, or from parts that were apart already, part here, and the round is the length
     of their common prefix. A row that parts from both its neighbours can't get an equal again, nor can any row it
     steps to, so only rows that are still together go on; and only rows from which a window's start is yet to be
-    reached begin. After ``width`` rounds the parts are the repeated intervals.
+    reached begin. After ``width`` symbols the parts are the repeated intervals.
     """
     of_string, start_of, begin, base = [], [], [], 0
     lengths = np.fromiter(map(len, strings), dtype=np.int64, count=len(strings))
